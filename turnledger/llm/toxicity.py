@@ -16,7 +16,7 @@ from turnledger.llm.common import Scratch, only
 from turnledger.llm.features import dense, labelled_sample
 from turnledger.llm.words import _ODD, _powers, SLICE_BYTES, byte_table, mix, slices
 
-CUT = 0.3
+CUT, FOLDS = 0.3, 4
 #: Word beginnings of so many bytes are entries beside whole words.
 STEMS = (4, 5, 6)
 #: Words of the second person.
@@ -185,10 +185,15 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class ToxicModel:
+    """Trees on all rows; the calibration from margins of trees that hadn't seen a row's fold."""
+
     def __init__(self, lexicon: np.ndarray, x: np.ndarray, y: np.ndarray, fold: np.ndarray):
         self.lexicon, self.second = np.sort(lexicon), _hash_listed(SECOND)
-        self.trees = BoostedTrees(x[~fold], y[~fold])
-        self.at, self.to = isotonic(self.trees.margin(x[fold]), y[fold]) if fold.any() else (np.zeros(1), np.array([y.mean() if len(y) else 0.0]))
+        self.trees = BoostedTrees(x, y)
+        margin = np.zeros(len(y))
+        for k in range(FOLDS):
+            margin[fold == k] = BoostedTrees(x[fold != k], y[fold != k]).margin(x[fold == k])
+        self.at, self.to = isotonic(margin, y) if len(y) else (np.zeros(1), np.zeros(1))
 
     def score(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         m = self.trees.margin(toxic_features(data, bounds, self.lexicon, self.second))
@@ -196,24 +201,40 @@ class ToxicModel:
         return np.clip(0.98 * np.interp(m, self.at, self.to) + 0.02 * order, 0, 1)
 
 
-def _learn_lexicon(sample: DataFrame, least: int = 6, sure: float = 0.5) -> np.ndarray:
-    """Hashes of entries in at least ``least`` texts whose toxic share is above ``sure`` at the lower 95 % end."""
+def _learn_lexicon(sample: DataFrame, least: int = 4, sure: float = 0.5) -> list[np.ndarray]:
+    """Sorted hashes of the lexicon without each fold, and of the whole one at the end.
+
+    An entry stands in at least ``least`` texts, and its toxic share is above
+    ``sure`` at the lower end of a confidence interval of 97 %.
+    """
 
     def run(batches):
         for rows, data, bounds in slices(batches):
             first, _, _, found = entries(data, bounds)
-            y = np.array(rows.column("y").to_pylist())
+            y, fold = np.array(rows.column("y").to_pylist()), np.array(rows.column("fold").to_pylist())
             text = np.repeat(np.arange(len(y)), np.diff(first))
             pairs = np.unique(np.column_stack([np.concatenate([h.view(np.int64) for _, h in found.values()]), np.concatenate([text[i] for i, _ in found.values()])]), axis=0)
-            key, inverse = np.unique(pairs[:, 0], return_inverse=True)
-            toxic = y[pairs[:, 1]]
-            yield pa.RecordBatch.from_pydict({"key": pa.array(key), "n": pa.array(np.bincount(inverse, minlength=len(key)).astype(np.int64)), "t": pa.array(np.bincount(inverse, toxic, len(key)).astype(np.int64))})
-
-    counts = sample.mapInArrow(run, "key long, n long, t long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(F.col("n") >= least)
-    z, p = 1.96, F.col("t") / F.col("n")
-    lower = (p + z * z / (2 * F.col("n")) - z * F.sqrt(p * (1 - p) / F.col("n") + z * z / (4 * F.col("n") * F.col("n")))) / (1 + z * z / F.col("n"))
-    top = counts.withColumn("low", lower).where(F.col("low") > sure).orderBy(F.desc("low"), "key").limit(4000).toArrow()
-    return top.column("key").to_numpy().view(np.uint64) if top.num_rows else np.zeros(0, np.uint64)
+            cell = np.column_stack([pairs[:, 0], fold[pairs[:, 1]]])
+            cell, inverse = np.unique(cell, axis=0, return_inverse=True)
+            inverse = inverse.ravel()
+            yield pa.RecordBatch.from_pydict({"key": pa.array(cell[:, 0]), "fold": pa.array(cell[:, 1].astype(np.int32)), "n": pa.array(np.bincount(inverse, minlength=len(cell)).astype(np.int64)), "t": pa.array(np.bincount(inverse, y[pairs[:, 1]], len(cell)).astype(np.int64))})
+
+    def lower(n, t, z=2.17):
+        n = F.greatest(n, F.lit(1))
+        p = t / n
+        return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+    each = [(F.sum(F.when(F.col("fold") != k, F.col("n")).otherwise(0)), F.sum(F.when(F.col("fold") != k, F.col("t")).otherwise(0))) for k in range(FOLDS)]
+    each.append((F.sum("n"), F.sum("t")))
+    counts = sample.mapInArrow(run, "key long, fold int, n long, t long").groupBy("key").agg(*(c.alias(f"{x}{i}") for i, pair in enumerate(each) for x, c in zip("nt", pair, strict=True)))
+    counts = counts.where(F.col(f"n{FOLDS}") >= least)
+    sure_ = [(F.col(f"n{i}") >= least) & (lower(F.col(f"n{i}"), F.col(f"t{i}")) > sure) for i in range(FOLDS + 1)]
+    counts = counts.select("key", lower(F.col(f"n{FOLDS}"), F.col(f"t{FOLDS}")).alias("low"), F.array(*sure_).alias("in")).where(F.exists("in", lambda x: x))
+    top = counts.orderBy(F.desc("low"), "key").limit(8000).toArrow()
+    if not top.num_rows:
+        return [np.zeros(0, np.uint64)] * (FOLDS + 1)
+    key, inside = top.column("key").to_numpy().view(np.uint64), np.array(top.column("in").to_pylist())
+    return [np.sort(key[inside[:, i]]) for i in range(FOLDS + 1)]
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, max_labels: int = 12_000) -> DataFrame:
@@ -222,25 +243,26 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, held:
     docs: doc_id and text; labels: doc_id and toxic; other columns are ignored.
     Labels are learned only from rows whose crc32(doc_id) modulo ``modulus`` isn't
     ``held``, at most ``max_labels`` of them, the documented bound of the fit; the
-    lexicon keeps its 4,000 surest entries.  Half of the sample feeds the lexicon,
-    a quarter the trees with the lexicon's half, and a quarter the calibration, so
-    the calibration sees texts the rest hasn't.  Every row is scored by its whole
+    lexicon keeps its 8,000 surest entries.  A row's lexicon features come from the
+    other folds' lexicon, and the calibration from trees without its fold, so
+    neither is tuned to what it has seen.  Every row is scored by its whole
     text; null and empty texts have zero features.
     """
     spark = docs.sparkSession
-    fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(4))
+    fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(FOLDS))
     sample = Scratch(spark, "toxicity").write(labelled_sample(docs, labels, "toxic", modulus, held, max_labels).withColumn("fold", fold.cast("int")), "sample")
-    lexicon, second = _learn_lexicon(sample.where("fold < 2")), _hash_listed(SECOND)
+    lexicons, second = _learn_lexicon(sample), _hash_listed(SECOND)
 
     def gather(batches):
         for rows, data, bounds in slices(batches):
-            x = toxic_features(data, bounds, lexicon_sorted, second)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("y"), rows.column("fold"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "fold", "x"])
+            folds = np.array(rows.column("fold").to_pylist())
+            every = [toxic_features(data, bounds, lexicons[k], second) for k in range(FOLDS)]
+            x = [every[k][i] for i, k in enumerate(folds)]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("y"), rows.column("fold"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "fold", "x"])
 
-    lexicon_sorted = np.sort(lexicon)
     t = sample.mapInArrow(gather, "doc_id long, y int, fold int, x array<double>").toArrow().sort_by("doc_id")
-    x = np.array(t.column("x").to_pylist(), float).reshape(t.num_rows, -1) if t.num_rows else toxic_features(np.zeros(0, np.uint8), np.zeros(2, np.int64), lexicon, second)[:0]
-    model = spark.sparkContext.broadcast(ToxicModel(lexicon, x, t.column("y").to_numpy(), t.column("fold").to_numpy() == 3))
+    x = np.array(t.column("x").to_pylist(), float).reshape(t.num_rows, -1) if t.num_rows else toxic_features(np.zeros(0, np.uint8), np.zeros(2, np.int64), lexicons[-1], second)[:0]
+    model = spark.sparkContext.broadcast(ToxicModel(lexicons[-1], x, t.column("y").to_numpy(), t.column("fold").to_numpy()))
 
     def run(batches):
         m = model.value
