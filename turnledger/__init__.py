@@ -1,0 +1 @@
+"""Turn-level credit analytics for multi-turn agent rollouts, on Spark DataFrames."""

@@ -1,15 +1,710 @@
-"""Every query of the library with its SQL."""
+"""The registered queries, one for each operator, over whole tables, with their SQL.
+
+Doubles are rounded on both sides, since sums depend on the order of rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from turnledger.functions import scalars, spans
+from turnledger.operators import answers, calibration, checks, controls, credits, objective, requests, sampling, turns
+from turnledger.plans import proxies
+from turnledger.schema import REVISION
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
 
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _r(c: Column | str, n: int = 6) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c, n) + F.lit(0.0)
+
+
+# answers
+
+
+@_query(f"""WITH a AS ({proxies.ANSWERS}), s AS (SELECT *, avg(q) FILTER (WHERE valid_terminal_answer) OVER w AS m, count(*) FILTER (WHERE valid_terminal_answer) OVER w AS n FROM a WINDOW w AS (PARTITION BY rollout_group_id, binary_em))
+SELECT trajectory_id, valid_terminal_answer AS eligible, round(CASE WHEN valid_terminal_answer THEN q ELSE 0 END, 6) + 0.0 AS quality, round(CASE WHEN valid_terminal_answer AND n > 1 THEN q - m ELSE 0 END, 6) + 0.0 AS residual, CASE WHEN valid_terminal_answer THEN n ELSE 0 END AS stratum_size FROM s""")
+def w1_answer_residual(spark, d):
+    out = answers.answer_residuals(proxies.answers(spark, d))
+    return out.withColumn("quality", _r("quality")).withColumn("residual", _r("residual"))
+
+
+_WORDS = r"list_filter(string_split_regex(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), lambda w: w <> '' AND w NOT IN ('a', 'an', 'the'))"
+
+
+@_query(f"""WITH p AS (SELECT doc_id, {_WORDS.format("d.text")} AS x, {_WORDS.format("b.text")} AS y FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
+a AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(x) AS w FROM p) GROUP BY ALL), b AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(y) AS w FROM p) GROUP BY ALL),
+o AS (SELECT doc_id, sum(least(a.n, b.n)) AS o FROM a JOIN b USING (doc_id, w) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(o, 0) AS BIGINT) AS overlap, CAST(len(x) AS BIGINT) AS n_prediction, CAST(len(y) AS BIGINT) AS n_target, round(CASE WHEN coalesce(o, 0) = 0 THEN 0 ELSE 1.25 * (o / len(x)) * (o / len(y)) / (0.25 * (o / len(x)) + o / len(y)) END, 6) AS fbeta FROM p LEFT JOIN o USING (doc_id)""")
+def f1_word_fbeta(spark, d):
+    items = proxies.table(spark, d, "benchmark")
+    n = items.agg(F.count("*").alias("n_items"))
+    docs = proxies.table(spark, d, "documents").select("doc_id", "text").join(F.broadcast(n)).withColumn("item_id", F.pmod("doc_id", "n_items"))  # one row
+    pairs = docs.join(items.select("item_id", F.col("text").alias("target")), "item_id").select("doc_id", F.col("text").alias("prediction"), "target")
+    return scalars.fbeta_scores(pairs, "doc_id", "prediction", "target").withColumn("fbeta", _r("fbeta"))
+
+
+@_query("""WITH b AS (SELECT doc_id, quality AS em, (n_chars % 89) / 89.0::DOUBLE AS f FROM documents JOIN labels USING (doc_id)) SELECT doc_id, round(CASE WHEN em = 1 THEN 1.0 ELSE f END, 6) AS quality FROM b""")
+def f2_answer_quality(spark, d):
+    rows = proxies.table(spark, d, "documents").join(proxies.table(spark, d, "labels"), "doc_id")
+    return rows.select("doc_id", _r(scalars.answer_quality(F.col("quality"), F.col("n_chars") % 89 / 89.0)).alias("quality"))
+
+
+@_query(f"""WITH a AS (SELECT doc_id % 500 AS turn_id, text AS alias, doc_id % 3 = 0 AS is_primary, array_to_string({_WORDS.format("text")}, ' ') AS form FROM documents),
+g AS (SELECT turn_id, form, min(alias) AS least, min(CASE WHEN is_primary THEN alias END) AS p FROM a WHERE form <> '' GROUP BY ALL),
+o AS (SELECT turn_id, coalesce(p, least) AS alias, row_number() OVER (PARTITION BY turn_id ORDER BY p IS NULL, form) - 1 AS i FROM g)
+SELECT turn_id, CAST(i AS INTEGER) AS alias_index, sha256(alias) AS alias FROM o WHERE i < 3""")
+def f3_probe_aliases(spark, d):
+    rows = proxies.table(spark, d, "documents").select((F.col("doc_id") % 500).alias("turn_id"), F.col("text").alias("alias"), (F.col("doc_id") % 3 == 0).alias("is_primary"))
+    return answers.probe_aliases(rows).withColumn("alias", F.sha2("alias", 256))
+
+
+# contrasts and utilities
+
+
+@_query("""WITH e AS (SELECT event_id, value - 100 AS a, (user_id % 50) - 20.0::DOUBLE AS b FROM events)
+SELECT event_id, round(CASE WHEN a > 0 AND b > 0 THEN least(a, b) WHEN a < 0 AND b < 0 THEN greatest(a, b) ELSE 0 END, 6) + 0.0 AS directed, a * b < 0 AS conflict FROM e""")
+def f4_directed_agreement(spark, d):
+    rows = proxies.table(spark, d, "events").select("event_id", scalars.directed_agreement(F.col("value") - 100, F.col("user_id") % 50 - F.lit(20.0)).alias("r"))
+    return rows.select("event_id", _r("r.directed").alias("directed"), "r.conflict")
+
+
+_MEANS = f"""WITH s AS ({proxies.SCORES}), m AS (SELECT turn_id, avg(score) FILTER (WHERE view = 'real') AS r, avg(score) FILTER (WHERE view = 'empty') AS e,
+  avg(score) FILTER (WHERE view = 'control_0') AS c0, avg(score) FILTER (WHERE view = 'control_1') AS c1, avg(score) FILTER (WHERE view = 'control_2') AS c2, count(*) AS n FROM s GROUP BY turn_id)"""
+
+
+@_query(f"""{_MEANS} SELECT turn_id, round(r, 6) AS real, round(e, 6) AS empty, round(c0, 6) AS control_0, round(c1, 6) AS control_1, round(c2, 6) AS control_2, n // 5 AS alias_count FROM m""")
+def a1_view_means(spark, d):
+    rows = credits.view_means(proxies.scores(spark, d))
+    return rows.select("turn_id", *(_r(c).alias(c) for c in ("real", "empty", "control_0", "control_1", "control_2")), "alias_count")
+
+
+@_query(f"""{_MEANS}, g AS (SELECT *, r - e AS i, r - (c0 + c1 + c2) / 3 AS c, CAST(turn_id AS BIGINT) % 7 = 0 AS rep FROM m),
+a AS (SELECT *, CASE WHEN i > 0 AND c > 0 THEN least(i, c) WHEN i < 0 AND c < 0 THEN greatest(i, c) ELSE 0 END AS dd, i * c < 0 AS x FROM g),
+u AS (SELECT *, CASE WHEN dd > 0.1 THEN tanh((abs(dd) - 0.1) / 0.5) WHEN dd < -0.1 THEN -0.1 * tanh((abs(dd) - 0.1) / 0.5) ELSE 0 END AS raw FROM a)
+SELECT turn_id, round(CASE WHEN rep AND raw > 0 THEN 0 ELSE raw END, 6) + 0.0 AS utility, round(i, 6) + 0.0 AS g_incremental, round(c, 6) + 0.0 AS g_control, round(dd, 6) + 0.0 AS g_directed, x AS conflict,
+  CASE WHEN rep AND raw > 0 THEN 'visible_exact_repeat' WHEN raw = 0 AND x THEN 'contrast_sign_conflict' WHEN raw = 0 THEN 'dead_zone' END AS zero_reason FROM u""")
+def f5_search_utility(spark, d):
+    rows = proxies.scores(spark, d)
+    repeats = rows.select("turn_id", (F.col("turn_id").cast("long") % 7 == 0).alias("visible_exact_repeat")).distinct()
+    out = credits.search_utilities(rows, 0.1, 0.5, repeats)
+    return out.select("turn_id", *(_r(c).alias(c) for c in ("utility", "g_incremental", "g_control", "g_directed")), "conflict", "zero_reason")
+
+
+@_query(f"""WITH m AS ({proxies.MASKED}), w AS (SELECT turn_id, full_score, whole_masked, list_transform(chunk_masked, lambda x: pow(greatest(full_score - x - 0.05, 0), 2)) AS p FROM m)
+SELECT turn_id, round(full_score - whole_masked, 6) + 0.0 AS dependency, round(1 - exp(-greatest(full_score - whole_masked - 0.05, 0) / 0.3), 6) + 0.0 AS rho,
+  array_to_string(list_transform(p, lambda x: CAST(CAST(round(CASE WHEN list_sum(p) > 0 THEN x / list_sum(p) ELSE 0 END * 1000) AS INTEGER) AS VARCHAR)), ',') AS weights FROM w""")
+def f6_responsibility(spark, d):
+    out = credits.responsibilities(proxies.masked(spark, d), 0.05, 0.3, 0.05)
+    mills = F.transform("weights", lambda w: F.round(w.cast("double") * 1000).cast("int").cast("string"))
+    return out.select("turn_id", _r("dependency").alias("dependency"), _r("rho").alias("rho"), F.array_join(mills, ",").alias("weights"))
+
+
+@_query(f"""WITH m AS ({proxies.MASKED}) SELECT turn_id, round(0.25 * full_score, 9) AS action, round(abs(0.25 * full_score) + list_sum(list_transform(chunk_masked, lambda c: abs(0.25 * 0.5 * c * full_score))), 9) AS mass FROM m""")
+def f7_f8_routed_credit(spark, d):
+    rows = proxies.masked(spark, d).withColumn("r", scalars.route_credit(F.col("full_score"), F.lit(0.5), F.col("chunk_masked"), 0.25))
+    return rows.select("turn_id", _r("r.action", 9).alias("action"), _r(scalars.absolute_mass(F.col("r.action"), F.col("r.chunks")), 9).alias("mass"))
+
+
+# scalar functions over texts
+
+
+@_query("""SELECT p.doc_id, b.item_id, length(b.text) > 0 AND p.n_chars > 0 AND length(b.text) / p.n_chars::DOUBLE BETWEEN 0.75 AND 1.25 AS near FROM documents p JOIN benchmark b ON b.item_id = p.doc_id""")
+def f9_near_length(spark, d):
+    rows = proxies.table(spark, d, "documents").join(proxies.table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "item_id", F.length("text").alias("n")), "doc_id")
+    return rows.select("doc_id", "item_id", scalars.near_length(F.col("n_chars"), F.col("n")).alias("near"))
+
+
+@_query(r"""WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS p FROM conversations),
+v AS (SELECT a.conv_id, a.turn, a.p AS p, coalesce(b.p, []) AS q FROM l a LEFT JOIN l b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1)
+SELECT conv_id, turn, len(p) > 0 AND len(list_filter(p, lambda x: NOT list_contains(q, x))) = 0 AS repeat FROM v""")
+def f10_j9_exact_repeat(spark, d):
+    rows = proxies.table(spark, d, "conversations").select("conv_id", "turn", F.split("text", "\n").alias("p"))
+    before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("p").alias("q"))
+    both = rows.join(before, ["conv_id", "turn"], "left").withColumn("q", F.coalesce("q", F.array().cast("array<string>")))
+    return both.select("conv_id", "turn", scalars.exact_repeat(F.col("p"), F.col("q")).alias("repeat"))
+
+
+@_query(r"""WITH p AS (SELECT page_id, regexp_extract_all(html, '(?is)<p.*?</p>') AS b FROM pages) SELECT page_id, CAST(len(b) AS INTEGER) AS blocks, sha256(array_to_string(b, '|')) AS digest FROM p""")
+def f11_blocks(spark, d):
+    b = F.regexp_extract_all("html", F.lit(r"(?is)<p.*?</p>"), F.lit(0))
+    return proxies.table(spark, d, "pages").select("page_id", b.alias("b")).select("page_id", F.size("b").alias("blocks"), F.sha2(F.array_join("b", "|"), 256).alias("digest"))
+
+
+@_query("""SELECT conv_id, turn, sha256(CASE WHEN trim(text) = '' THEN '<documents></documents>' WHEN lower(trim(text)) LIKE '<documents>%' AND lower(trim(text)) LIKE '%</documents>' THEN trim(text) ELSE '<documents>' || trim(text) || '</documents>' END) AS slot FROM conversations""")
+def f12_observation_slot(spark, d):
+    return proxies.table(spark, d, "conversations").select("conv_id", "turn", F.sha2(scalars.observation_slot(F.col("text")), 256).alias("slot"))
+
+
+@_query("""SELECT doc_id, concat_ws(':', source, lang, 'row', CAST(doc_id AS VARCHAR)) AS question_id FROM documents""")
+def f13_question_id(spark, d):
+    return proxies.table(spark, d, "documents").select("doc_id", scalars.question_id(F.col("source"), F.col("lang"), F.col("doc_id")).alias("question_id"))
+
+
+@_query()
+def f14_request_key(spark, d):
+    return proxies.scores(spark, d).select("request_id", scalars.request_key({"group": F.col("turn_id"), "view": F.col("view"), "score": F.col("score")}).alias("cache_key"))
+
+
+@_query("""SELECT event_id, round(0.12 * least(user_id / 30.0::DOUBLE, 1.0), 6) AS lambda_now FROM events""")
+def f15_effective_lambda(spark, d):
+    return proxies.table(spark, d, "events").select("event_id", _r(scalars.effective_lambda(0.12, F.col("user_id"), 30)).alias("lambda_now"))
+
+
+@_query(r"""SELECT conv_id, turn, CAST(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS INTEGER) AS tokens, CASE WHEN turn = 0 THEN '1' ELSE '2+' END AS bucket,
+  sha256(array_to_string(list_sort(list_transform(string_split(text, chr(10)), lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g'))))), '|')) AS signature FROM conversations""")
+def f17_f18_f19_observation(spark, d):
+    sign = scalars.document_signature(F.split("text", "\n"))
+    return proxies.table(spark, d, "conversations").select("conv_id", "turn", scalars.token_length(F.col("text")).alias("tokens"), scalars.call_bucket(F.col("turn")).alias("bucket"), F.sha2(F.array_join(sign, "|"), 256).alias("signature"))
+
+
+# turns
+
+
+@_query("""WITH r AS (SELECT conv_id * 100 + turn AS row, conv_id % 20 AS q, 'u' || CAST(conv_id // 2 AS VARCHAR) AS uid, conv_id AS t, turn FROM conversations),
+g AS (SELECT *, min(row) OVER (PARTITION BY q, uid) AS gr, min(row) OVER (PARTITION BY q, uid, t) AS tr FROM r),
+i AS (SELECT *, dense_rank() OVER (PARTITION BY q ORDER BY gr) - 1 AS gi, dense_rank() OVER (PARTITION BY q, uid ORDER BY tr) - 1 AS ti FROM g)
+SELECT row AS batch_row_index, 'step:3:conv:train:row:' || q || ':group:' || gi || ':rollout:' || ti || ':turn:' || turn AS turn_id FROM i""")
+def w2_appearance_ids(spark, d):
+    c = proxies.table(spark, d, "conversations")
+    rows = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("batch_row_index"), F.lit("conv").alias("data_source"), F.struct((F.col("conv_id") % 20).alias("index"), F.lit("train").alias("split")).alias("extra_info"), F.concat(F.lit("u"), F.floor(F.col("conv_id") / 2).cast("string")).alias("uid"), F.col("conv_id").cast("string").alias("traj_uid"), F.col("turn").alias("turn_step"))
+    return turns.appearance_ids(rows, 3).select("batch_row_index", "turn_id")
+
+
+@_query(f"""WITH t AS ({proxies.TURNS}) SELECT turn_id, action_type, valid_action, observation_consumable FROM t WHERE NOT is_adjustment_copy AND action_type = 'search' AND valid_action AND observation_consumable AND trajectory_id IN (SELECT trajectory_id FROM t WHERE turn_index = 3)""")
+def p3_p4_j6_search_anchors(spark, d):
+    t = proxies.turns(spark, d)
+    return turns.search_anchors(t, t.where("turn_index = 3")).select("turn_id", "action_type", "valid_action", "observation_consumable")
+
+
+@_query(f"""WITH t AS ({proxies.TURNS}), s AS (SELECT * FROM t WHERE NOT is_adjustment_copy AND action_type = 'search'),
+z AS (SELECT turn_id, CASE WHEN NOT valid_action THEN 'invalid_search' WHEN NOT observation_consumable THEN 'unconsumable_observation' WHEN CAST(trajectory_id AS BIGINT) % 5 = 4 THEN 'diagnostic_trajectory_subset' WHEN turn_index >= 5 THEN 'diagnostic_anchor_cap' WHEN length(text) < 40 THEN 'invalid_observation' WHEN length(text) % 19 = 0 THEN 'no_other_question_control' WHEN length(text) > 2000 THEN 'score_context_overflow' END AS zero_reason FROM s)
+SELECT * FROM z WHERE zero_reason IS NOT NULL""")
+def p5_zero_reasons(spark, d):
+    t, n = proxies.turns(spark, d), F.length("text")
+    return turns.zero_reasons(
+        t, population=t.where("cast(trajectory_id as bigint) % 5 <> 4"), chosen=t.where("turn_index < 5"), pool=t.select(F.col("turn_id").alias("observation_id"), (n >= 40).alias("valid")),
+        failures=t.where(n % 19 == 0).select("turn_id", F.lit("no_other_question_control").alias("control_failure")), overflows=t.where(n > 2000),
+    )
+
+
+@_query(f"""WITH t AS ({proxies.TURNS}) SELECT turn_id, CASE action_type WHEN 'search' THEN TRUE WHEN 'answer' THEN TRUE ELSE FALSE END AND length(text) > 30 AND length(text) % 7 <> 0 AND NOT length(text) % 5 = 0 AS valid_action, action_type = 'search' AND turn_index + 1 < 6 AS consumable FROM t""")
+def p6_p7_action_predicates(spark, d):
+    n = F.length("text")
+    t = proxies.turns(spark, d).withColumns({"action_target_positions": F.when(n > 30, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")), "is_action_valid": n % 7 != 0, "invalid_action": n % 5 == 0, "empty_action": F.lit(None).cast("boolean"), "unclosed_action": F.lit(False), "turn_step": F.col("turn_index"), "episode_lengths": F.lit(6.0)})
+    return t.select("turn_id", turns.valid_action().alias("valid_action"), turns.consumable().alias("consumable"))
+
+
+_TARGET = "list_transform(range(0, 1 + CAST(length(text) % 4 AS BIGINT)), lambda i: 5 + i + CASE WHEN length(text) % 6 = 0 AND i > 1 THEN 1 ELSE 0 END)"
+
+
+def _target() -> Column:
+    n = F.length("text")
+    return F.transform(F.sequence(F.lit(0), n % 4), lambda i: (i + 5 + F.when((n % 6 == 0) & (i > 1), 1).otherwise(0)).cast("int"))
+
+
+@_query(f"""WITH t AS (SELECT *, {_TARGET} AS p FROM ({proxies.TURNS}))
+SELECT turn_id, CASE WHEN length(text) % 4 > 1 AND length(text) % 6 = 0 THEN 'noncontiguous_action_target' WHEN len(p) <> 1 + length(text) % 3 THEN 'old_action_log_probs_misaligned' WHEN turn_index > 5 THEN 'no_preceding_think_target' END AS reason FROM t""")
+def p9_p10_unavailable_reason(spark, d):
+    t = proxies.turns(spark, d).withColumn("action_target_positions", _target()).withColumn("old_action_target_log_probs", F.array_repeat(F.lit(0.0), 1 + F.length("text") % 3)).withColumn("think_content_positions", F.array(F.when(F.col("turn_index") > 5, 9).otherwise(2)))
+    return t.select("turn_id", requests.unavailable_reason().alias("reason"))
+
+
+@_query(f"""WITH t AS (SELECT * FROM ({proxies.TURNS})) SELECT turn_id, utility FROM t WHERE NOT is_adjustment_copy AND valid_action AND action_type IN ('search', 'answer') AND utility <> 0 AND chunks_n > 0""")
+def p8_responsibility_eligible(spark, d):
+    t = proxies.turns(spark, d)
+    u = t.select("turn_id", "utility")
+    rows = t.drop("utility").withColumns({"think_content_positions": F.array(F.lit(1)), "think_chunks": F.array_repeat(F.array(F.lit(1)), F.col("chunks_n"))})
+    return requests.responsibility_eligible(rows, u).select("turn_id", "utility")
+
+
+@_query(f"""WITH t AS (SELECT * FROM ({proxies.TURNS}) WHERE NOT is_adjustment_copy),
+m AS (SELECT 'outcomes' AS what, count(*) AS n FROM (SELECT trajectory_id FROM t GROUP BY 1 HAVING min(terminal_binary_em) <> max(terminal_binary_em))),
+r AS (SELECT 'repeated' AS what, count(*) AS n FROM (SELECT turn_id FROM t GROUP BY 1 HAVING count(*) > 1)),
+g AS (SELECT 'sizes' AS what, count(*) AS n FROM (SELECT rollout_group_id FROM t GROUP BY 1 HAVING count(DISTINCT trajectory_id) <> 5)),
+b AS (SELECT 'binary' AS what, count(*) AS n FROM t WHERE turn_index NOT IN (0, 1)) SELECT * FROM m UNION ALL SELECT * FROM r UNION ALL SELECT * FROM g UNION ALL SELECT * FROM b""")
+def p11_p12_identity_checks(spark, d):
+    t = proxies.turns(spark, d)
+    found = {"outcomes": checks.mixed_outcomes(t), "repeated": checks.duplicate_turns(t), "sizes": checks.group_sizes(t, 5), "binary": checks.not_binary(checks.originals(t), "turn_index")}
+    out = None
+    for name, bad in found.items():
+        one = bad.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@_query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 100 = 3 THEN 'NaN'::DOUBLE WHEN event_id % 100 = 5 THEN 'Infinity'::DOUBLE WHEN event_id % 100 = 7 THEN NULL ELSE value END AS v FROM events) SELECT event_id FROM e WHERE v IS NULL OR isnan(v) OR isinf(v)""")
+def p15_not_finite(spark, d):
+    e = F.col("event_id") % 100
+    rows = proxies.table(spark, d, "events").select("event_id", F.when(e == 3, F.lit(float("nan"))).when(e == 5, F.lit(float("inf"))).when(e == 7, F.lit(None)).otherwise(F.col("value")).alias("v"))
+    return checks.not_finite(rows, "v").select("event_id")
+
+
+@_query(f"""WITH t AS (SELECT turn_id, {_TARGET} AS p, [6, 7] AS tag FROM ({proxies.TURNS})) SELECT turn_id, array_to_string(list_filter(p, lambda x: list_contains(tag, x)), ',') AS boundary, array_to_string(list_filter(p, lambda x: NOT list_contains(tag, x)), ',') AS content FROM t""")
+def p16_p17_positions(spark, d):
+    mask = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.array_contains(_target(), i).cast("int"))
+    t = proxies.turns(spark, d).withColumn("mask", mask).withColumn("p", spans.positions(F.col("mask"))).withColumn("s", spans.split_positions(F.col("p"), F.array(F.lit(6), F.lit(7))))
+    return t.select("turn_id", F.array_join("s.boundary", ",").alias("boundary"), F.array_join("s.content", ",").alias("content"))
+
+
+@_query("""SELECT c.conv_id, turn, CAST(CASE WHEN quality = 1 THEN 1 ELSE 0 END AS DOUBLE) AS terminal_binary_em FROM conversations c LEFT JOIN labels l ON l.doc_id = c.conv_id""")
+def p18_outcome_joined(spark, d):
+    c = proxies.table(spark, d, "conversations").select("conv_id", "turn", F.col("conv_id").alias("traj_uid"))
+    outcome = proxies.table(spark, d, "labels").select(F.col("doc_id").alias("traj_uid"), F.col("quality").alias("outcome"))
+    return checks.outcome_joined(c, outcome).select("conv_id", "turn", F.coalesce("terminal_binary_em", F.lit(0.0)).alias("terminal_binary_em"))
+
+
+# controls
+
+
+_PAIRS = f"""WITH p AS ({proxies.POOL}), c AS (SELECT a.global_step, a.observation_id AS anchor_id, b.observation_id, sha256('serialized|' || b.text) AS fingerprint,
+  CASE WHEN a.token_length > 0 AND b.token_length > 0 AND b.token_length / a.token_length::DOUBLE BETWEEN 0.75 AND 1.25 THEN CASE WHEN a.data_source = b.data_source AND a.call_bucket = b.call_bucket THEN 0 WHEN a.data_source = b.data_source THEN 1 ELSE 2 END ELSE 3 END AS tier
+  FROM p a JOIN p b ON a.global_step = b.global_step AND a.document_count = b.document_count AND a.question_id <> b.question_id AND a.text <> b.text WHERE b.valid AND trim(b.text) <> '' AND a.doc_id % 50 = 0),
+f AS (SELECT anchor_id, fingerprint, tier, observation_id, row_number() OVER (PARTITION BY anchor_id, fingerprint ORDER BY tier, observation_id) AS k FROM c), b AS (SELECT * FROM f WHERE k = 1)"""
+
+
+def _best(spark: SparkSession, d: str) -> DataFrame:
+    p = proxies.pool(spark, d)
+    return controls.best_by_fingerprint(controls.candidate_pairs(p.where("doc_id % 50 = 0"), p))
+
+
+@_query(f"{_PAIRS} SELECT anchor_id, observation_id, CAST(tier AS INTEGER) AS tier, fingerprint FROM b")
+def j5_w3_candidates(spark, d):
+    return _best(spark, d).select("anchor_id", "observation_id", "tier", "fingerprint")
+
+
+@_query(f"""{_PAIRS}, r AS (SELECT anchor_id, observation_id, tier, row_number() OVER (PARTITION BY anchor_id ORDER BY tier, sha256(concat_ws('|', '{REVISION}', 'control', anchor_id, observation_id)), observation_id) - 1 AS k FROM b),
+s AS (SELECT *, count(*) OVER (PARTITION BY anchor_id) AS n FROM r WHERE k < 3), x AS (SELECT *, unnest(range(k, 3, n)) AS i FROM s)
+SELECT anchor_id, CAST(i AS INTEGER) AS control_index, observation_id, CAST(tier AS INTEGER) AS tier, n < 3 AS used_replacement FROM x""")
+def t3_control_selection(spark, d):
+    return controls.hashed_controls(_best(spark, d))
+
+
+@_query()
+def t4_drawn_controls(spark, d):
+    return controls.drawn_controls(_best(spark, d))
+
+
+# samples and layouts
+
+
+@_query(f"SELECT doc_id FROM documents ORDER BY sha256('{REVISION}|diagnostic-anchor|' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 256")
+def t1_hash_subset(spark, d):
+    return sampling.hash_subset(proxies.table(spark, d, "documents").select("doc_id"), 256, "doc_id")
+
+
+@_query(f"""WITH g AS (SELECT DISTINCT source AS rollout_group_id FROM documents JOIN labels USING (doc_id) WHERE quality = 0) SELECT rollout_group_id FROM g ORDER BY sha256('{REVISION}|gradient-group|' || rollout_group_id), rollout_group_id LIMIT 8""")
+def t2_hash_groups(spark, d):
+    rows = proxies.table(spark, d, "documents").join(proxies.table(spark, d, "labels"), "doc_id")
+    rows = rows.select(F.col("source").alias("rollout_group_id"), F.array((1 - F.col("quality")).cast("double")).alias("advantages"), F.array(F.lit(1)).alias("response_mask"))
+    return sampling.hash_groups(rows, 8)
+
+
+@_query("""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256(concat_ws('|', '20260908', source, CAST(doc_id AS VARCHAR))), doc_id) AS k FROM documents) SELECT doc_id, source FROM r WHERE k <= 64""")
+def t5_stratified_sample(spark, d):
+    return sampling.stratified_sample(proxies.table(spark, d, "documents").select("doc_id", "source"), 64, 20260908, "source", "doc_id")
+
+
+@_query("""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256(concat_ws('|', '20260909', source, CAST(doc_id AS VARCHAR))), doc_id) AS k FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) SELECT doc_id, source, CAST(ceil(k / 8.0) AS INTEGER) AS batch_index FROM r WHERE k <= 24""")
+def t6_j7_s8_disjoint_batches(spark, d):
+    docs, out = proxies.table(spark, d, "documents").select("doc_id", "source"), proxies.table(spark, d, "labels").select("doc_id")
+    return sampling.disjoint_batches(docs, out.join(docs, "doc_id"), 3, 8, 20260909, "source", "doc_id")
+
+
+@_query(f"""WITH t AS ({proxies.TURNS}), r AS (SELECT turn_id, action_type, utility, row_number() OVER (PARTITION BY action_type ORDER BY utility = 0, sha256(concat_ws('|', '{REVISION}', 'responsibility', turn_id)), turn_id) AS k FROM t) SELECT turn_id, action_type, utility = 0 AS is_zero_utility_shadow FROM r WHERE k <= 64""")
+def t7_active_then_shadow(spark, d):
+    return sampling.active_then_shadow(proxies.turns(spark, d), 64).select("turn_id", "action_type", "is_zero_utility_shadow")
+
+
+@_query("""WITH r AS (SELECT p_partkey AS row_index, row_number() OVER (ORDER BY p_partkey) - 1 AS o FROM part WHERE p_partkey < 100), d AS (SELECT row_index, o % 16 AS block, o // 16 AS place FROM r), h AS (SELECT block, count(*) AS n, min_by(row_index, place) AS row_index FROM d GROUP BY block)
+SELECT CAST(block AS INTEGER) AS block, CAST(place AS INTEGER) AS place, row_index, TRUE AS is_original FROM d UNION ALL SELECT CAST(block AS INTEGER), CAST(unnest(range(n, 8)) AS INTEGER), row_index, FALSE FROM h WHERE n < 8""")
+def t10_interleaved_layout(spark, d):
+    rows = proxies.table(spark, d, "part").where("p_partkey < 100").select(F.col("p_partkey").alias("row_index"), F.col("p_partkey").alias("ordinal"))
+    return sampling.interleaved_layout(rows, 128, 8)
+
+
+@_query("""WITH n AS (SELECT count(*) AS c FROM supplier) SELECT s_suppkey, FALSE AS is_adjustment_copy FROM supplier UNION ALL
+SELECT s_suppkey, TRUE FROM (SELECT s_suppkey, row_number() OVER (ORDER BY sha256('7|' || CAST(s_suppkey AS VARCHAR)), s_suppkey) AS k FROM supplier), n WHERE k <= (48 - c % 48) % 48""")
+def t11_pad_with_copies(spark, d):
+    return sampling.pad_with_copies(proxies.table(spark, d, "supplier").select("s_suppkey"), 48, 7, "s_suppkey")
+
+
+@_query("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 9 = 0)")
+def t12_take_rows(spark, d):
+    chosen = proxies.table(spark, d, "orders").where("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    return sampling.take_rows(proxies.table(spark, d, "customer").select("c_custkey", "c_nationkey"), chosen, "c_custkey")
+
+
+@_query("SELECT turn_id FROM (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS turn_id FROM conversations) ORDER BY sha256('turn-sample|' || turn_id) LIMIT 8")
+def s7_sampled_turns(spark, d):
+    from turnledger.sources.tables import sampled_turns
+
+    return sampled_turns(proxies.turns(spark, d).select("turn_id"), 3, (1, 2))
+
+
+# requests
+
+
+@_query(f"""WITH s AS ({proxies.SCORES}) SELECT a.request_id, round(b.score, 6) AS score FROM s a LEFT JOIN s b ON b.request_id = a.request_id""")
+def j1_scored_requests(spark, d):
+    s = proxies.scores(spark, d)
+    return requests.scored(s.select("request_id", "turn_id", "view"), s, check=False).select("request_id", _r("score").alias("score"))
+
+
+@_query("""WITH k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text, source) AS r FROM documents) SELECT CAST(doc_id AS VARCHAR) AS request_id, CAST(r AS VARCHAR) AS representative_request_id, r * 2.0 AS score FROM k""")
+def w6_j8_first_wins(spark, d):
+    rows = proxies.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("request_id"), "text", "source", F.col("doc_id").alias("ordinal"))
+    keyed = requests.cache_keys(rows, ["text", "source"])
+    scores = requests.unique_requests(keyed).select("request_id", (F.col("ordinal") * 2.0).alias("score"))
+    out = requests.expand_scores(keyed, scores, check=False)
+    return out.join(keyed.select("request_id", "representative_request_id"), "request_id").select("request_id", "representative_request_id", "score")
+
+
+@_query("""WITH g AS (SELECT CAST(l_orderkey % 10 AS VARCHAR) AS queue, l_orderkey AS g, CAST(max(l_quantity) AS BIGINT) AS width, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS tokens FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY ALL) SELECT queue, CAST(g AS VARCHAR) AS comparison_group_id, width, n, tokens, CAST(row_number() OVER (PARTITION BY queue ORDER BY width DESC, CAST(g AS VARCHAR)) - 1 AS INTEGER) AS position FROM g""")
+def t8_length_buckets(spark, d):
+    return requests.length_buckets(_items(spark, d)).select("queue", "comparison_group_id", "width", "n", "tokens", "position")
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    rows = proxies.table(spark, d, "lineitem").where("l_orderkey % 5 = 0")
+    return rows.select((F.col("l_orderkey") % 10).cast("string").alias("queue"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("request_id"), F.col("l_orderkey").cast("string").alias("comparison_group_id"), F.col("l_quantity").cast("long").alias("length"))
+
+
+@_query()
+def t9_token_packing(spark, d):
+    return requests.pack(_items(spark, d), 1000, 32, 4)
+
+
+@_query()
+def a19_packing_cost(spark, d):
+    rows = _items(spark, d)
+    return requests.packing_cost(rows, requests.pack(rows, 1000, 32, 4))
+
+
+@_query("""WITH c AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS t FROM conversations), v AS (SELECT unnest(['real', 'empty', 'control_0', 'control_1', 'control_2']) AS view), a AS (SELECT unnest(range(2)) AS i) SELECT t || ':' || view || ':alias:' || i AS request_id, t AS comparison_group_id, view FROM c, v, a""")
+def r7_search_requests(spark, d):
+    t = proxies.turns(spark, d).select("turn_id", F.col("text").alias("observation_text"))
+    ctl = t.select(F.col("turn_id").alias("anchor_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("control_index"), F.lit("x").alias("serialized_observation"))
+    names = t.select("turn_id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("alias_index"), F.lit("y").alias("alias"))
+    return requests.search_requests(t, ctl, names).select("request_id", "comparison_group_id", "view")
+
+
+# credits
+
+
+_CREDITS = f"""WITH t AS ({proxies.TURNS}), c AS (SELECT turn_id, trajectory_id, action_type, utility AS action, list_transform(range(0, CAST(chunks_n AS BIGINT)), lambda i: 0.5 * utility / (i + 1)) AS chunks FROM t),
+m AS (SELECT *, abs(action) + coalesce(list_sum(list_transform(chunks, lambda x: abs(x))), 0) AS mass FROM c), s AS (SELECT *, sum(mass) OVER (PARTITION BY trajectory_id) AS raw FROM m)"""
+
+
+def _credits(spark: SparkSession, d: str) -> DataFrame:
+    t = proxies.turns(spark, d)
+    chunks = F.when(F.col("chunks_n") > 0, F.transform(F.sequence(F.lit(1), F.greatest("chunks_n", F.lit(1))), lambda i: 0.5 * F.col("utility") / i)).otherwise(F.array().cast("array<double>"))
+    return t.select("batch_row_index", "turn_id", "trajectory_id", "action_type", F.col("utility").alias("action"), chunks.alias("chunks"))
+
+
+@_query(f"""{_CREDITS} SELECT turn_id, round(raw, 6) AS raw_mass, round(CASE WHEN raw > 0 THEN least(1, 2 / raw) ELSE 1 END, 6) AS cap_scale, round(action * CASE WHEN raw > 0 THEN least(1, 2 / raw) ELSE 1 END, 6) + 0.0 AS action FROM s""")
+def w4_trajectory_cap(spark, d):
+    return credits.trajectory_cap(_credits(spark, d)).select("turn_id", *(_r(c).alias(c) for c in ("raw_mass", "cap_scale", "action")))
+
+
+@_query(f"{_CREDITS} SELECT trajectory_id, round(sum(mass), 6) AS mass FROM m GROUP BY trajectory_id")
+def a16_trajectory_mass(spark, d):
+    rows = _credits(spark, d).select("trajectory_id", F.col("action").alias("action_coefficient"), F.col("chunks").alias("think_chunk_coefficients"), F.lit(None).cast("string").alias("zero_reason"))
+    return credits.trajectory_mass(rows).withColumn("mass", _r("mass"))
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    rows = _credits(spark, d).select("batch_row_index", "trajectory_id", "action_type", F.array(F.lit(0), F.lit(1)).alias("action_positions"), F.col("action").alias("action_coefficient"), F.transform("chunks", lambda c, i: F.array(i + 2, i + 3)).alias("think_chunk_positions"), F.col("chunks").alias("think_chunk_coefficients"))
+    return spans.credit_spans(rows)
+
+
+_SPANS = f"""{_CREDITS}, k AS (SELECT c.*, t.batch_row_index, t.chunks_n FROM c JOIN t USING (turn_id) WHERE c.action_type IN ('search', 'answer')),
+x AS (SELECT batch_row_index, 0 AS slot, CASE action_type WHEN 'search' THEN 0 ELSE 2 END AS channel, action AS co, [0, 1] AS p FROM k UNION ALL
+SELECT batch_row_index, i + 1 AS slot, CASE action_type WHEN 'search' THEN 1 ELSE 3 END, chunks[i + 1], [i + 2, i + 3] FROM (SELECT *, unnest(range(0, CAST(chunks_n AS BIGINT))) AS i FROM k))"""
+
+
+@_query(f"{_SPANS} SELECT batch_row_index, CAST(slot AS INTEGER) AS slot, CAST(channel AS INTEGER) AS channel, round(co, 5) + 0.0 AS coefficient, array_to_string(p, ',') AS positions FROM x")
+def r10_credit_spans(spark, d):
+    s = _spans(spark, d)
+    return s.select("batch_row_index", "slot", "channel", _r(F.col("coefficient").cast("double"), 5).alias("coefficient"), F.array_join("positions", ",").alias("positions"))
+
+
+@_query(f"{_SPANS}, e AS (SELECT batch_row_index, unnest(p) AS position FROM x) SELECT batch_row_index, CAST(position AS INTEGER) AS position, count(*) AS n FROM e GROUP BY ALL HAVING count(*) > 1")
+def r10_span_overlaps(spark, d):
+    return spans.span_overlaps(_spans(spark, d))
+
+
+@_query(f"{_SPANS} SELECT CAST(channel AS INTEGER) AS channel, count(*) FILTER (WHERE co <> 0) AS spans, round(sum(abs(co)), 3) AS mass FROM x GROUP BY channel")
+def a17_channel_mass(spark, d):
+    return credits.channel_mass(_spans(spark, d)).withColumn("mass", _r("mass", 3))
+
+
+@_query(f"""WITH t AS ({proxies.TURNS}) SELECT turn_id, action_type, round(CASE action_type WHEN 'search' THEN coalesce(CASE WHEN turn_index % 2 = 1 THEN utility END, 0) WHEN 'answer' THEN CASE WHEN CAST(trajectory_id AS BIGINT) % 2 = 0 THEN 0.5 ELSE 0 END ELSE 0 END, 6) + 0.0 AS utility FROM t WHERE NOT is_adjustment_copy""")
+def j2_j3_action_utilities(spark, d):
+    t = proxies.turns(spark, d)
+    residuals = t.where("cast(trajectory_id as bigint) % 2 = 0").select("trajectory_id", F.lit(0.5).alias("residual")).distinct()
+    return credits.action_utilities(t.drop("utility"), t.where("turn_index % 2 = 1").select("turn_id", "utility"), residuals).withColumn("utility", _r("utility"))
+
+
+_ASSEMBLED = f"""WITH t AS ({proxies.TURNS}), r AS (SELECT *, CASE WHEN is_adjustment_copy THEN 'adjustment_copy' WHEN action_type = 'answer' AND NOT valid_action THEN 'ineligible_answer' WHEN action_type = 'other' THEN 'invalid_or_other_action' WHEN action_type = 'search' AND utility = 0 THEN 'dead_zone' WHEN turn_index % 4 = 3 THEN 'action_boundary_only' END AS reason,
+  CASE WHEN is_adjustment_copy OR action_type = 'other' OR (action_type = 'answer' AND NOT valid_action) THEN 0.0 WHEN action_type = 'answer' THEN 0.2 ELSE utility / 4 END::DOUBLE AS u FROM t),
+a AS (SELECT *, CASE WHEN turn_index % 4 = 3 THEN 0.0 ELSE CASE action_type WHEN 'answer' THEN 0.25 ELSE 1.0 END * u END AS ac, CASE action_type WHEN 'answer' THEN 0.25 ELSE 1.0 END * 0.5 * u * (CASE WHEN chunks_n > 0 THEN 1.0 ELSE 0.0 END) AS th FROM r),
+m AS (SELECT *, sum(CASE WHEN action_type = 'search' AND NOT is_adjustment_copy THEN abs(ac) + abs(th) END) OVER (PARTITION BY trajectory_id) AS raw FROM a),
+z AS (SELECT *, CASE WHEN action_type = 'search' AND NOT is_adjustment_copy AND raw > 0 THEN least(1.0, 2.0 / raw) ELSE 1.0 END AS k FROM m)"""
+
+
+def _assembled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """One chunk list for each turn, equal weights; quarter utilities, so that no budget breaks."""
+    t = proxies.turns(spark, d)
+    rows = t.withColumn("think_chunks", F.array_repeat(F.array(F.lit(5)), F.col("chunks_n"))).withColumn("action_content_positions", F.when(F.col("turn_index") % 4 == 3, F.array().cast("array<int>")).otherwise(F.array(F.lit(1)))).withColumn("answer_aliases", F.array(F.lit("x")))
+    utilities = t.where("action_type = 'search' and not is_adjustment_copy").select("turn_id", (F.col("utility") / 4).alias("utility"), F.when(F.col("utility") == 0, "dead_zone").alias("zero_reason"))
+    found = rows.select("turn_id", F.lit(0.5).alias("rho"), F.transform("think_chunks", lambda _: (1.0 / F.col("chunks_n")).cast("float")).alias("weights"))
+    residuals = t.select("trajectory_id", F.lit(0.2).alias("residual")).distinct()
+    return rows, credits.assemble(rows.drop("utility"), utilities, found, residuals, check=False)
+
+
+@_query(f"""{_ASSEMBLED} SELECT turn_id, round(ac * k, 5) + 0.0 AS action_coefficient, round(th * k, 5) + 0.0 AS think, round(u, 6) + 0.0 AS raw_utility, round(k, 6) AS search_cap_scale, reason AS zero_reason FROM z""")
+def r11_r12_j4_credit_assembly(spark, d):
+    _, out = _assembled(spark, d)
+    think = F.aggregate("think_chunk_coefficients", F.lit(0.0), lambda a, x: a + x)
+    return out.select("turn_id", _r("action_coefficient", 5).alias("action_coefficient"), _r(think, 5).alias("think"), _r("raw_utility").alias("raw_utility"), _r("search_cap_scale").alias("search_cap_scale"), "zero_reason")
+
+
+@_query(f"""{_ASSEMBLED} SELECT count(*) AS rows, count(*) FILTER (WHERE is_adjustment_copy) AS copies, count(*) FILTER (WHERE NOT is_adjustment_copy AND action_type = 'search') AS search_turns, count(*) FILTER (WHERE NOT is_adjustment_copy AND action_type = 'answer') AS answer_turns,
+  count(*) FILTER (WHERE u > 0) AS positive, count(*) FILTER (WHERE u < 0) AS negative, count(*) FILTER (WHERE reason = 'action_boundary_only') AS boundary_only, count(DISTINCT CASE WHEN NOT is_adjustment_copy THEN trajectory_id END) AS trajectories FROM z""")
+def a18_j10_step_metrics(spark, d):
+    rows, out = _assembled(spark, d)
+    return credits.step_metrics(rows, out).select("rows", "copies", "search_turns", "answer_turns", "positive", "negative", "boundary_only", "trajectories")
+
+
+@_query(f"""WITH t AS ({proxies.TURNS}) SELECT turn_id, CASE WHEN turn_index < 4 THEN 0.5 ELSE 0.0 END::DOUBLE AS rho, CASE WHEN turn_index < 4 THEN 1 ELSE chunks_n END AS n_weights FROM t""")
+def r19_zero_filled(spark, d):
+    t = proxies.turns(spark, d).withColumn("think_chunks", F.array_repeat(F.array(F.lit(1)), F.col("chunks_n")))
+    found = t.where("turn_index < 4").select("turn_id", F.lit(0.5).alias("rho"), F.array(F.lit(1.0)).alias("weights"))
+    return credits.zero_filled(t, found).select("turn_id", "rho", F.size("weights").alias("n_weights"))
+
+
+# distributions and scales
+
+
+@_query("""SELECT event_type AS kind, count(value) AS n, round(min(value), 4) AS low, round(quantile_cont(value, 0.25), 4) AS p25, round(quantile_cont(value, 0.5), 4) AS median, round(quantile_cont(value, 0.75), 4) AS p75, round(quantile_cont(value, 0.95), 4) AS p95, round(max(value), 4) AS high FROM events GROUP BY event_type""")
+def a3_summary(spark, d):
+    out = calibration.summary(proxies.table(spark, d, "events").withColumnRenamed("event_type", "kind"), "value", ["kind"])
+    return out.select("kind", "n", *(_r(c, 4).alias(c) for c in ("low", "p25", "median", "p75", "p95", "high")))
+
+
+def _scale_sql(rows: str, by: str) -> str:
+    return f"""WITH r AS ({rows}), a AS (SELECT {by}, quantile_cont(abs(control_0 - control_1), 0.75) FILTER (WHERE NOT used_replacement) AS p, quantile_cont(abs(difference), 0.95) AS e FROM r GROUP BY {by}),
+d AS (SELECT {by}, greatest(3 * e, greatest(0.05, least(0.5, p))) AS delta FROM a), g AS (SELECT {by}, delta, count(*) FILTER (WHERE abs(g_directed) > delta) AS active, quantile_cont(abs(g_directed) - delta, 0.75) FILTER (WHERE abs(g_directed) > delta) AS q FROM r JOIN d USING ({by}) GROUP BY ALL)
+SELECT {by}, round(delta, 6) AS delta, round(CASE WHEN active < 8 THEN 1.0 ELSE greatest(0.25, least(2.0, q)) END, 6) AS scale, active, active < 8 AS limited FROM g"""
+
+
+@_query(_scale_sql(proxies.CALIBRATION, "kind"))
+def a4_search_scale(spark, d):
+    rows = proxies.calibration(spark, d)
+    return calibration.search_scale(rows, rows, ["kind"]).select("kind", _r("delta").alias("delta"), _r("scale").alias("scale"), "active", "limited")
+
+
+@_query(f"""WITH r AS ({proxies.CALIBRATION}), e AS (SELECT kind, action_type, greatest(0.01, 3 * greatest(quantile_cont(abs(repeat_error), 0.95), quantile_cont(abs(old_full - plain), 0.95))) AS delta FROM r GROUP BY ALL),
+g AS (SELECT kind, action_type, delta, count(*) FILTER (WHERE old_full - whole_masked > delta) AS active, quantile_cont(old_full - whole_masked - delta, 0.5) FILTER (WHERE old_full - whole_masked > delta) AS q FROM r JOIN e USING (kind, action_type) GROUP BY ALL)
+SELECT kind, action_type, round(delta, 6) AS delta, round(CASE WHEN active < 8 THEN CASE action_type WHEN 'search' THEN 0.6201 ELSE 0.2 END ELSE greatest(0.1, least(2.0, q)) END, 6) AS scale, active FROM g""")
+def a5_responsibility_scale(spark, d):
+    return calibration.responsibility_scale(proxies.calibration(spark, d), ["kind"]).select("kind", "action_type", _r("delta").alias("delta"), _r("scale").alias("scale"), "active")
+
+
+@_query(f"""WITH r AS ({proxies.CALIBRATION}) SELECT kind, round(greatest(0.0001, least(0.2, 0.1 * quantile_cont(global_norm / local_norm, 0.5))), 6) AS lambda_0, round(least(greatest(0.0001, least(0.2, 0.1 * quantile_cont(global_norm / local_norm, 0.5))), 0.3 * min(global_norm / local_norm)), 6) AS lambda_max FROM r GROUP BY kind""")
+def a6_gradient_scale(spark, d):
+    return calibration.gradient_scale(proxies.calibration(spark, d), ["kind"], check=False).select("kind", _r("lambda_0").alias("lambda_0"), _r("lambda_max").alias("lambda_max"))
+
+
+@_query(f"""WITH r AS ({proxies.CALIBRATION}) SELECT event_id, round(CASE WHEN 0.15 * local_norm / global_norm > 0.3 THEN least(0.15, 0.3 * global_norm / local_norm) ELSE 0.15 END, 9) AS lambda_max FROM r""")
+def a7_shadow_ceiling(spark, d):
+    return proxies.calibration(spark, d).select("event_id", _r(calibration.shadow_ceiling(F.lit(0.15), F.col("global_norm"), F.col("local_norm")), 9).alias("lambda_max"))
+
+
+@_query("SELECT coalesce(nullif(event_type, 'error'), 'unspecified') AS reason, count(*) AS n FROM events GROUP BY 1")
+def a8_reason_counts(spark, d):
+    return calibration.reason_counts(proxies.table(spark, d, "events").select(F.nullif("event_type", F.lit("error")).alias("zero_reason")))
+
+
+@_query("SELECT count(*) FILTER (WHERE value > 20) AS positive, count(*) FILTER (WHERE value < 20) AS negative, count(*) FILTER (WHERE value = 20) AS zero FROM events")
+def a9_sign_counts(spark, d):
+    return calibration.sign_counts(proxies.table(spark, d, "events").select((F.col("value") - 20).alias("x")), "x")
+
+
+@_query(f"""WITH a AS ({proxies.ANSWERS}) SELECT count(DISTINCT (rollout_group_id, binary_em)) AS groups, TRUE AS zero_sum FROM a WHERE valid_terminal_answer""")
+def a10_residual_sums(spark, d):
+    rows = proxies.answers(spark, d)
+    out = answers.answer_residuals(rows).join(rows.select("trajectory_id", "rollout_group_id", "binary_em"), "trajectory_id")
+    return calibration.residual_sums(out).select("groups", (F.col("largest") <= 1e-6).alias("zero_sum"))
+
+
+@_query("SELECT count(DISTINCT user_id) AS n_user_id, count(DISTINCT event_type) AS n_event_type FROM events")
+def a11_distinct_counts(spark, d):
+    return calibration.distinct_counts(proxies.table(spark, d, "events"), "user_id", "event_type")
+
+
+_PREFIXED = f"SELECT a.*, p.batch AS prefix FROM ({proxies.CALIBRATION}) a JOIN (SELECT DISTINCT CAST(user_id % 10 AS INTEGER) AS batch FROM events) p ON a.batch <= p.batch"
+
+
+def _prefix_scales(spark: SparkSession, d: str) -> DataFrame:
+    rows = proxies.calibration(spark, d)
+    every = calibration.prefixes(rows, rows.select("batch").distinct())
+    return calibration.search_scale(every, every, ["prefix"])
+
+
+@_query(_scale_sql(_PREFIXED, "prefix"))
+def a12_a13_prefix_scales(spark, d):
+    return _prefix_scales(spark, d).select("prefix", _r("delta").alias("delta"), _r("scale").alias("scale"), "active", "limited")
+
+
+@_query(f"""WITH s AS ({_scale_sql(_PREFIXED, "prefix")}), l AS (SELECT * FROM s ORDER BY prefix DESC LIMIT 3) SELECT round(max(scale) - min(scale), 4) + 0.0 AS spread, round((max(scale) - min(scale)) / greatest(abs(max_by(scale, prefix)), 1e-12), 4) + 0.0 AS ratio FROM l""")
+def a14_last_range(spark, d):
+    return calibration.last_range(_prefix_scales(spark, d), "scale").select(_r("spread", 4).alias("spread"), _r("ratio", 4).alias("ratio"))
+
+
+@_query("""WITH c AS (SELECT unnest(['l_quantity', 'l_extendedprice']) AS key, unnest([l_quantity, l_extendedprice]) AS v FROM lineitem) SELECT key, count(*) AS n, round(sum(v), 1) AS total, round(quantile_cont(v, 0.5), 3) AS median, round(quantile_cont(v, 0.95), 3) AS p95 FROM c GROUP BY key""")
+def a15_cost_summary(spark, d):
+    return calibration.cost_summary(proxies.table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"]).select("key", "n", _r("total", 1).alias("total"), _r("median", 3).alias("median"), _r("p95", 3).alias("p95"))
+
+
+@_query("SELECT source AS data_source, count(*) AS count FROM documents GROUP BY source HAVING count(*) <> 50")
+def a20_unbalanced(spark, d):
+    return checks.unbalanced(proxies.table(spark, d, "documents").select(F.col("source").alias("data_source")), 50)
+
+
+# sets
+
+
+@_query("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+def u1_union(spark, d):
+    return calibration.pooled([proxies.table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), proxies.table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))])
+
+
+@_query("SELECT user_id, min(event_type) AS first, max(event_type) AS last FROM events GROUP BY user_id HAVING min(event_type) <> max(event_type)")
+def u2_shared_rows(spark, d):
+    return checks.shared_rows(proxies.table(spark, d, "events"), ["user_id"], "event_type")
+
+
+@_query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def u3_p15_not_contained(spark, d):
+    return checks.not_contained(proxies.table(spark, d, "customer"), proxies.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+@_query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+def u4_union_distinct(spark, d):
+    return u1_union(spark, d).distinct()
+
+
+@_query("SELECT l_orderkey, count(*) AS count FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
+def u5_repeated_ids(spark, d):
+    return checks.repeated_ids(proxies.table(spark, d, "lineitem"), "l_orderkey")
+
+
+# arrays and objectives
+
+
+def _forced(spark: SparkSession, d: str) -> DataFrame:
+    t, n = proxies.turns(spark, d), F.length("text")
+    seq = lambda k: F.sequence(F.lit(1), k)
+    item = spans.teacher_forced(seq(n % 5 + 2), F.array(F.lit(9)), seq(n % 3 + 1), F.array(F.lit(1), F.lit(0), F.lit(1)))
+    return t.select(F.col("turn_id").alias("request_id"), F.col("trajectory_id").alias("batch_id"), item.alias("i")).select("request_id", "batch_id", "i.*")
+
+
+_FORCED = "SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS request_id, CAST(conv_id AS VARCHAR) AS batch_id, length(text) % 5 + 2 AS c, length(text) % 3 + 1 AS t, length(text) % 5 + length(text) % 3 + 4 AS n FROM conversations"
+
+
+@_query(f"""WITH f AS ({_FORCED}) SELECT request_id, CAST(n AS INTEGER) AS n, array_to_string(range(c + 1, n), ',') AS target_positions, array_to_string(range(c, n - 1), ',') AS predictor_positions, '0,1' AS blocked FROM f""")
+def r1_teacher_forced(spark, d):
+    f = _forced(spark, d)
+    return f.select("request_id", F.size("input_ids").alias("n"), F.array_join("target_positions", ",").alias("target_positions"), F.array_join("predictor_positions", ",").alias("predictor_positions"), F.array_join("blocked_key_positions", ",").alias("blocked"))
+
+
+@_query(f"""WITH f AS ({_FORCED}), q AS (SELECT request_id, n, unnest(range(n)) AS q FROM f), k AS (SELECT request_id, q, unnest(range(q + 1)) AS k FROM q) SELECT request_id, count(*) AS pairs, CAST(sum(q * 100 + k) AS BIGINT) AS digest FROM k WHERE q = k OR q IN (0, 1) OR k NOT IN (0, 1) GROUP BY request_id""")
+def r2_r3_barrier(spark, d):
+    pairs = spans.information_barrier(_forced(spark, d))
+    return pairs.groupBy("request_id").agg(F.count("*").alias("pairs"), F.sum(F.col("q") * 100 + F.col("k")).alias("digest"))
+
+
+@_query(f"""WITH f AS ({_FORCED}), w AS (SELECT *, max(n) OVER (PARTITION BY batch_id) AS m, max(t) OVER (PARTITION BY batch_id) AS mt FROM f) SELECT request_id, CAST(m AS INTEGER) AS width, CAST(n AS INTEGER) AS attended, CAST(mt AS INTEGER) AS target_width, CAST(t AS INTEGER) AS scored FROM w""")
+def r5_padded(spark, d):
+    p = spans.pad_batches(_forced(spark, d))
+    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
+    return p.select("request_id", F.size("input_ids").alias("width"), total("attention_mask").alias("attended"), F.size("target_ids").alias("target_width"), total("target_mask").alias("scored"))
+
+
+@_query(f"""WITH m AS ({proxies.MASKED}) SELECT turn_id, round((chunk_masked[1] + chunk_masked[3] + chunk_masked[5]) / 3, 6) AS mean FROM m""")
+def r6_masked_mean(spark, d):
+    return proxies.masked(spark, d).select("turn_id", _r(spans.masked_mean(F.col("chunk_masked"), F.array(*(F.lit(v) for v in (1.0, 0.0, 1.0, 0.0, 1.0, 0.0))))).alias("mean"))
+
+
+@_query(f"""WITH t AS ({proxies.TURNS}), b AS (SELECT turn_id, chunks_n FROM t WHERE chunks_n > 0) SELECT turn_id || ':whole_mask' AS request_id, 'whole_mask' AS view, '3,4,5' AS blocked FROM b UNION ALL SELECT turn_id || ':chunk_mask:' || i, 'chunk_mask_' || i, CAST(3 + i AS VARCHAR) FROM (SELECT turn_id, unnest(range(0, CAST(chunks_n AS BIGINT))) AS i FROM b)""")
+def r8_responsibility_requests(spark, d):
+    ints = lambda *v: F.array(*(F.lit(x) for x in v))
+    t = proxies.turns(spark, d).where("chunks_n > 0").withColumns({
+        "visible_prompt_token_ids": ints(7, 7, 7), "sampled_response_token_ids": ints(1, 2, 3, 4, 5, 6), "action_target_positions": ints(4, 5), "think_content_positions": ints(0, 1, 2), "old_action_target_log_probs": F.array(F.lit(-1.0), F.lit(-2.0)),
+        "think_chunks": F.transform(F.sequence(F.lit(0), F.col("chunks_n") - 1), lambda i: F.array(i)),
+    })
+    return requests.responsibility_requests(t).select("request_id", "view", F.array_join("blocked_key_positions", ",").alias("blocked"))
+
+
+_TOKENS = "SELECT l_orderkey AS row, l_linenumber % 2 AS slot, l_discount AS o, l_tax AS n, (l_quantity - 25) / 10 AS c, l_orderkey % 7 AS minibatch FROM lineitem"
+
+
+def _losses(spark: SparkSession, d: str) -> DataFrame:
+    rows = proxies.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row"), (F.col("l_linenumber") % 2).alias("slot"), F.col("l_discount").alias("old_log_prob"), F.col("l_tax").alias("log_prob"), ((F.col("l_quantity") - 25) / 10).alias("coefficient"))
+    return objective.signed_span_losses(rows, 0.05, 0.05)
+
+
+_LOSS = f"WITH t AS ({_TOKENS}), l AS (SELECT row, slot, minibatch, -avg(least(exp(n - o) * c, greatest(0.95, least(1.05, exp(n - o))) * c)) AS loss, count(*) AS tokens FROM t GROUP BY ALL), k AS (SELECT row, minibatch, sum(loss) AS numerator FROM l GROUP BY ALL)"
+
+
+@_query(f"{_LOSS} SELECT row, CAST(slot AS INTEGER) AS slot, round(loss, 6) + 0.0 AS loss, tokens FROM l")
+def r13_span_losses(spark, d):
+    return _losses(spark, d).withColumn("loss", _r("loss")).withColumn("slot", F.col("slot").cast("int"))
+
+
+@_query(f"{_LOSS} SELECT minibatch, round(sum(numerator) * (1000.0 / 50) / count(*), 4) + 0.0 AS estimate, count(*) AS n_rows FROM k GROUP BY minibatch")
+def r14_minibatch_estimates(spark, d):
+    rows = objective.row_numerators(_losses(spark, d)).withColumn("minibatch", F.col("row") % 7)
+    return objective.minibatch_estimates(rows, 1000, 50).withColumn("estimate", _r("estimate", 4))
+
+
+@_query(f"{_LOSS} SELECT round(sum(numerator) / 50, 4) AS objective FROM k")
+def r15_trajectory_mean(spark, d):
+    return objective.trajectory_mean(objective.row_numerators(_losses(spark, d)), 50).withColumn("objective", _r("objective", 4))
+
+
+@_query("SELECT l_orderkey % 16 AS g, round(sqrt(sum(l_quantity * l_quantity)), 4) AS norm_a, round(sqrt(sum(l_tax * l_tax)), 4) AS norm_b, round(sum(l_quantity * l_tax) / (sqrt(sum(l_quantity * l_quantity)) * sqrt(sum(l_tax * l_tax))), 4) AS cosine FROM lineitem GROUP BY 1")
+def r16_dot_products(spark, d):
+    rows = proxies.table(spark, d, "lineitem").select((F.col("l_orderkey") % 16).alias("g"), F.col("l_quantity").alias("a"), F.col("l_tax").alias("b"))
+    return objective.dot_products(rows, ["g"]).select("g", *(_r(c, 4).alias(c) for c in ("norm_a", "norm_b", "cosine")))
+
+
+@_query(f"WITH f AS ({_FORCED}) SELECT request_id, CAST((row_number() OVER (PARTITION BY batch_id ORDER BY request_id) - 1) // 3 AS INTEGER) AS slice FROM f")
+def r20_request_slices(spark, d):
+    return spans.request_slices(_forced(spark, d), 3).select("request_id", "slice")
