@@ -15,15 +15,19 @@ single element; the slack in the allocation pays for them, and a set with more
 of these than the slack indexes them too, so that nothing is lost.
 
 Sets that share a key are not paired with each other: each goes to the smallest
-id under the key (its hub), and the members of a hub are compared within
-blocks of bounded size by exact counts.  Any pair that shares a key also
-shares that key's hub, so each similar pair is compared.
+id under the key (its hub).  Any pair that shares a key also shares that key's
+hub.  The members of a hub are compared by sketches first, the counts of their
+tokens in a few hundred buckets: the sum of the smaller counts bounds an
+intersection from above, so a pair under the threshold there is no link.  The
+components of the pairs that remain are clusters, in which every document lies
+once; within them exact intersection counts decide.  Both comparisons are dealt
+out as pairs of blocks of bounded size.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -147,8 +151,50 @@ def _texts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarr
         yield rows.column("doc_id").to_numpy(zero_copy_only=False), shingles(h, first, n)
 
 
-def _blocks(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets, by exact intersection counts."""
+#: Buckets of a sketch.
+SKETCH = 256
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Counts of a set's tokens by bucket."""
+    return np.minimum(np.bincount((mix(s ^ _C[3]) >> np.uint64(56)).astype(np.int64), minlength=SKETCH), 65535).astype(np.uint16)
+
+
+def _forest(near: Callable[[int, np.ndarray], np.ndarray], n: int) -> list[tuple[int, int]]:
+    """A spanning forest of n nodes; ``near(i, others)`` marks the others that i is linked with."""
+    left, out = np.arange(n), []
+    while len(left):
+        stack, left = [int(left[0])], left[1:]
+        while stack and len(left):
+            i = stack.pop()
+            hit = near(i, left)
+            found = left[hit]
+            left = left[~hit]
+            out.extend((i, int(j)) for j in found)
+            stack.extend(found.tolist())
+    return out
+
+
+def _possible(sketches: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose upper bound reaches the threshold."""
+    x = np.array(sketches)
+    size = x.sum(1, dtype=np.int64)
+    full = (x == 65535).any(1)
+
+    def near(i, others):
+        both = np.minimum(x[i], x[others]).sum(1, dtype=np.int64)
+        both = np.where(full[i] | full[others], np.minimum(size[i], size[others]), both)
+        return 100 * both >= percent * (size[i] + size[others] - both)
+
+    return _forest(near, len(x))
+
+
+def _linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets, by exact intersection counts.
+
+    Tokens of many sets are multiplied out as columns of a matrix, a slice at a
+    time; those of few are counted pair by pair; those of one count for nothing.
+    """
     n = len(sets)
     size = np.array([len(s) for s in sets])
     if n == 2:
@@ -157,17 +203,17 @@ def _blocks(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(n), size)
     keep = count[token] > 1
-    token, owner, count = token[keep], owner[keep], count
+    token, owner = token[keep], owner[keep]
     both = np.zeros((n, n), np.float32)
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
     starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
-    ends = np.r_[starts[1:], len(token)]
+    ends = np.r_[starts[1:], len(token)].astype(np.int64)[: len(starts)]
     dense = (ends - starts) > 24
     if dense.any():
         column = np.cumsum(dense) - 1
         which = np.repeat(np.arange(len(starts)), ends - starts)
-        width = 2048
+        width = 1024
         for c in range(0, int(dense.sum()), width):
             pick = dense[which] & (column[which] >= c) & (column[which] < c + width)
             x = np.zeros((n, width), np.float32)
@@ -179,19 +225,46 @@ def _blocks(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             for j in range(i + 1, f):
                 np.add.at(both, (rows[:, i], rows[:, j]), 1)
                 np.add.at(both, (rows[:, j], rows[:, i]), 1)
-    near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-    np.fill_diagonal(near, False)
-    left, out = np.ones(n, bool), []
-    while left.any():
-        stack = [int(np.argmax(left))]
-        left[stack[0]] = False
-        while stack:
-            i = stack.pop()
-            for j in np.flatnonzero(near[i] & left):
-                left[j] = False
-                out.append((i, int(j)))
-                stack.append(int(j))
-    return out
+    return _forest(lambda i, others: 100 * both[i, others] >= percent * (size[i] + size[others] - both[i, others]), n)
+
+
+def _dealt(members: DataFrame, load: DataFrame) -> DataFrame:
+    """(hub, p, q, doc_id): the members of a hub as pairs of blocks; load: hub and blocks."""
+    rows = members.join(load, "hub").withColumn("k", F.pmod(F.xxhash64("doc_id", "hub"), "blocks").cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("hub", F.least("k", "j").alias("p"), F.greatest("k", "j").alias("q"), "doc_id")
+
+
+def _compare(column: str, kind: type, links: Callable[[list[np.ndarray], int], list[tuple[int, int]]], percent: int):
+    """A mapInArrow body over rows sorted by (hub, p, q): the links of each pair of blocks, as (a, b)."""
+
+    def run(batches):
+        group, ids, found = None, [], []
+
+        def flush():
+            if len(ids) > 1:
+                found.extend((ids[i][0], ids[j][0]) for i, j in links([x for _, x in ids], percent))
+            ids.clear()
+
+        def batch_of():
+            out = pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+            found.clear()
+            return out
+
+        for batch in batches:
+            hub, p, q, d = (batch.column(c).to_pylist() for c in ("hub", "p", "q", "doc_id"))
+            data = batch.column(column)
+            for i in range(batch.num_rows):
+                if (key := (hub[i], p[i], q[i])) != group:
+                    flush()
+                    group = key
+                ids.append((d[i], np.frombuffer(data[i].as_buffer(), kind).copy()))
+            if found:
+                yield batch_of()
+        flush()
+        yield batch_of()
+
+    return run
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block_docs: int = 1200, block_tokens: int = 1_000_000) -> DataFrame:
@@ -212,9 +285,9 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block_doc
     def sizes(batches):
         for ids, sets in _texts(batches, n):
             who = [identity(s) for s in sets]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "s1": pa.array([x for x, _ in who], pa.int64()), "s2": pa.array([x for _, x in who], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "s1": pa.array([x for x, _ in who], pa.int64()), "s2": pa.array([x for _, x in who], pa.int64()), "sketch": pa.array([sketch(s).tobytes() for s in sets], pa.binary())})
 
-    sized = scratch.write(docs.mapInArrow(sizes, "doc_id long, n_shingles long, s1 long, s2 long"), "sizes")
+    sized = scratch.write(docs.mapInArrow(sizes, "doc_id long, n_shingles long, s1 long, s2 long, sketch binary"), "sizes")
     first = sized.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"))
     copies = scratch.write(
         sized.join(first.where("top > rep"), ["s1", "s2", "n_shingles"]).where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies"
@@ -239,44 +312,22 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block_doc
     star = keys.withColumn("hub", F.min("doc_id").over(same)).where("hub <> doc_id").groupBy("hub", "doc_id").agg(F.lit(1).alias("x")).drop("x")
     star = scratch.write(star, "star")
 
+    by = ("hub", "p", "q")
     members = star.select("hub", "doc_id").unionByName(star.select("hub", F.col("hub").alias("doc_id")).distinct())
-    wanted = members.select("doc_id").distinct()
+    load = members.groupBy("hub").agg(F.ceil(F.count("*") / block_docs).cast("int").alias("blocks"))
+    drawn = _dealt(members, load).join(sized.select("doc_id", "sketch"), "doc_id").repartition(*by).sortWithinPartitions(*by, "doc_id")
+    clusters = connected_components(spark, drawn.mapInArrow(_compare("sketch", np.uint16, _possible, percent), "a long, b long"), scratch)
+    clusters = scratch.write(clusters.select(F.col("component").alias("hub"), F.col("node").alias("doc_id")), "clusters")
 
     def kept(batches):
         for ids, sets in _texts(batches, n):
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    sets = scratch.write(keep_ids(docs, wanted).mapInArrow(kept, "doc_id long, n int, tokens binary"), "sets")
-    load = members.join(sets.select("doc_id", "n"), "doc_id").groupBy("hub").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
+    load = clusters.join(sized.select("doc_id", "n_shingles"), "doc_id").groupBy("hub").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("t"))
     load = load.select("hub", F.ceil(F.greatest(F.col("c") / block_docs, F.col("t") / block_tokens)).cast("int").alias("blocks"))
-    dealt = members.join(load, "hub").withColumn("k", F.pmod(F.xxhash64("doc_id", "hub"), "blocks").cast("int"))
-    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("hub", F.least("k", "j").alias("p"), F.greatest("k", "j").alias("q"), "doc_id").join(sets.select("doc_id", "tokens"), "doc_id")
-    dealt = dealt.repartition("hub", "p", "q").sortWithinPartitions("hub", "p", "q", "doc_id")
-
-    def compare(batches):
-        group, ids, found = None, [], []
-
-        def flush():
-            if len(ids) > 1:
-                found.extend((ids[i][0], ids[j][0]) for i, j in _blocks([x for _, x in ids], percent))
-            ids.clear()
-
-        for batch in batches:
-            hub, p, q, d = (batch.column(c).to_pylist() for c in ("hub", "p", "q", "doc_id"))
-            tokens = batch.column("tokens")
-            for i in range(batch.num_rows):
-                if (key := (hub[i], p[i], q[i])) != group:
-                    flush()
-                    group = key
-                ids.append((d[i], np.frombuffer(tokens[i].as_buffer(), np.uint64)))
-            if found:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-                found.clear()
-        flush()
-        yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    classes = connected_components(spark, dealt.mapInArrow(compare, "a long, b long"), scratch)
+    sets = keep_ids(docs, clusters.select("doc_id")).mapInArrow(kept, "doc_id long, tokens binary")
+    drawn = _dealt(clusters, load).join(sets, "doc_id").repartition(*by).sortWithinPartitions(*by, "doc_id")
+    classes = connected_components(spark, drawn.mapInArrow(_compare("tokens", np.uint64, _linked, percent), "a long, b long"), scratch)
     near = sized.select("doc_id", "n_shingles").join(copies, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = near.join(classes, near.rep == classes.node, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
