@@ -116,3 +116,14 @@ def spans_outside(spans: DataFrame, lengths: DataFrame) -> DataFrame:
 def request_slices(requests: DataFrame, size: int, order: str = "request_id") -> DataFrame:
     """Rows with the number of the contiguous slice of ``size`` requests they fall in, within their batch."""
     return requests.withColumn("slice", F.floor((F.row_number().over(Window.partitionBy("batch_id").orderBy(order)) - 1) / size).cast("int"))
+
+
+def split_by_offsets(ids: Column, starts: Column, ends: Column, cut: Column) -> Column:
+    """struct(prefix, target, crossing) of tokens about a character: those that end by it, those that start at it or later.
+
+    crossing says that a token lies on both sides, so that the text can't be
+    split there; such a token is in neither part.
+    """
+    tokens = F.arrays_zip(ids.alias("i"), starts.alias("s"), ends.alias("e"))
+    part = lambda keep: F.transform(F.filter(tokens, keep), lambda t: t["i"])
+    return F.struct(part(lambda t: t["e"] <= cut).alias("prefix"), part(lambda t: t["s"] >= cut).alias("target"), F.exists(tokens, lambda t: (t["s"] < cut) & (t["e"] > cut)).alias("crossing"))

@@ -124,10 +124,10 @@ def f6_responsibility(spark, d):
     return out.select("turn_id", _r("dependency").alias("dependency"), _r("rho").alias("rho"), F.array_join(mills, ",").alias("weights"))
 
 
-@_query(f"""WITH m AS ({proxies.MASKED}) SELECT turn_id, round(0.25 * full_score, 9) AS action, round(abs(0.25 * full_score) + list_sum(list_transform(chunk_masked, lambda c: abs(0.25 * 0.5 * c * full_score))), 9) AS mass FROM m""")
+@_query(f"""WITH m AS ({proxies.MASKED}) SELECT turn_id, round(0.25 * full_score, 9) AS action, round(abs(0.25 * full_score) + list_sum(list_transform(chunk_masked, lambda c: abs(0.25 * 0.5 * c * full_score))), 5) AS mass FROM m""")
 def f7_f8_routed_credit(spark, d):
     rows = proxies.masked(spark, d).withColumn("r", scalars.route_credit(F.col("full_score"), F.lit(0.5), F.col("chunk_masked"), 0.25))
-    return rows.select("turn_id", _r("r.action", 9).alias("action"), _r(scalars.absolute_mass(F.col("r.action"), F.col("r.chunks")), 9).alias("mass"))
+    return rows.select("turn_id", _r("r.action", 9).alias("action"), _r(scalars.absolute_mass(F.col("r.action"), F.col("r.chunks")), 5).alias("mass"))
 
 
 # scalar functions over texts
@@ -708,3 +708,34 @@ def r16_dot_products(spark, d):
 @_query(f"WITH f AS ({_FORCED}) SELECT request_id, CAST((row_number() OVER (PARTITION BY batch_id ORDER BY request_id) - 1) // 3 AS INTEGER) AS slice FROM f")
 def r20_request_slices(spark, d):
     return spans.request_slices(_forced(spark, d), 3).select("request_id", "slice")
+
+
+@_query("""WITH c AS (SELECT conv_id, turn, length(text) AS n, length(text) // 2 AS cut FROM conversations WHERE length(text) > 0), p AS (SELECT *, list_filter(range(0, (n + 3) // 4), lambda i: least(4 * i + 4, n) <= cut) AS a, list_filter(range(0, (n + 3) // 4), lambda i: 4 * i >= cut) AS b FROM c)
+SELECT conv_id, turn, CAST(len(a) AS INTEGER) AS prefix, CAST(len(b) AS INTEGER) AS target, len(a) + len(b) < (n + 3) // 4 AS crossing FROM p""")
+def r9_prefix_target_split(spark, d):
+    n = F.length("text")
+    rows = proxies.table(spark, d, "conversations").where(n > 0).select("conv_id", "turn", n.alias("n"), F.sequence(F.lit(0), F.floor((n + 3) / 4).cast("int") - 1).alias("ids"))
+    starts, ends = F.transform("ids", lambda i: 4 * i), F.transform("ids", lambda i: F.least(4 * i + 4, F.col("n")))
+    out = rows.withColumn("s", starts).withColumn("e", ends).withColumn("r", spans.split_by_offsets(F.col("ids"), F.col("s"), F.col("e"), F.floor(F.col("n") / 2).cast("int")))
+    return out.select("conv_id", "turn", F.size("r.prefix").alias("prefix"), F.size("r.target").alias("target"), "r.crossing")
+
+
+@_query("SELECT 'documents' AS name, 0 AS forbidden UNION ALL SELECT 'labels', 0 UNION ALL SELECT 'training', 2")
+def p2_p13_p14_forbidden_fields(spark, d):
+    from turnledger.schema import TRAINING
+
+    kinds = {name: checks.require_columns(proxies.table(spark, d, name), {"doc_id": "bigint"}).schema for name in ("documents", "labels")} | {"training": TRAINING}
+    return spark.createDataFrame([(name, len(checks.forbidden_paths(kind))) for name, kind in kinds.items()], "name string, forbidden int")
+
+
+@_query("""SELECT doc_id, text IS NULL AS gone FROM documents""")
+def s1_s2_parquet_round_trip(spark, d):
+    import tempfile
+    import uuid
+
+    from turnledger.sources import tables
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    path = f"{root.rstrip('/')}/round-trip-{uuid.uuid4().hex}"
+    tables.write_parquet(proxies.table(spark, d, "documents").select("doc_id", F.col("text").isNull().alias("gone")), path)
+    return tables.read_parquet(spark, path)
