@@ -11,7 +11,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnledger.llm.common import only
@@ -93,7 +93,7 @@ class Hierarchy:
         self.within = {f: Duels(x[family == f], lang_[family == f]) for f in sorted(set(family.tolist()))}
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or self.families is None or not _LETTER.search(text):
+        if not text or self.families is None or not any(m.group().isalpha() for m in _LETTER.finditer(text)):
             return "und", 0.0
         x = features(text)
         family, p = self.families.choose(x)
@@ -101,24 +101,23 @@ class Hierarchy:
         return lang, float(p * q)
 
 
-def detect_language(docs: DataFrame, modulus: int = 3, held: int = 1, per_language: int = 500, languages: int = 64) -> DataFrame:
+def detect_language(docs: DataFrame, modulus: int = 3, held: int = 1, per_language: int = 500, sample: int = 8_000, languages: int = 64) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row of docs.
 
     docs: doc_id, text and lang; other columns are ignored.  Learned from at
     most ``per_language`` texts, the smallest by a hash of doc_id, for each of the
-    ``languages`` most frequent non-null values of lang, among rows whose
-    crc32(doc_id) modulo ``modulus`` isn't ``held``: the documented bound of the
-    fit.  Every row is predicted from its whole text.  ``und`` with score 0 for a
-    null text, one without a letter, or when nothing could be learned.
+    ``languages`` most frequent non-null values of lang, ``sample`` in all, among
+    rows whose crc32(doc_id) modulo ``modulus`` isn't ``held``: the documented bound
+    of the fit.  Every row is predicted from its whole text.  ``und`` with score 0
+    for a null text, one without a letter, or when nothing could be learned.
     """
     docs = only(docs, doc_id="long", text="string", lang="string")
     fold = F.crc32(F.col("doc_id").cast("string")) % modulus == held
-    known = docs.where("lang is not null and text is not null").where(~fold)
+    known = docs.where("lang is not null").where(~fold)
     listed = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    parts = [known.where(F.col("lang") == v).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language) for v in listed]
-    picked = None
-    for p in parts:
-        picked = p if picked is None else picked.unionByName(p)
+    each = min(per_language, sample // max(1, len(listed)))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # the planner keeps the first of each task before the shuffle
+    picked = known.where(F.col("lang").isin(listed)).select("doc_id", "lang").withColumn("k", F.row_number().over(first)).where(F.col("k") <= each) if listed else None
 
     def gather(batches):
         for batch in batches:
@@ -128,7 +127,7 @@ def detect_language(docs: DataFrame, modulus: int = 3, held: int = 1, per_langua
     if picked is None:
         model = Hierarchy(np.zeros((0, WIDTH), np.float32), [])
     else:
-        ids = F.broadcast(picked.select("doc_id").distinct())  # at most per_language * languages ids
+        ids = F.broadcast(picked.select("doc_id").distinct())  # at most ``sample`` ids
         t = known.join(ids, "doc_id").where(F.rlike("text", F.lit(r"\p{L}"))).mapInArrow(gather, "doc_id long, lang string, x binary").toArrow().sort_by("doc_id")
         model = Hierarchy(np.frombuffer(b"".join(t.column("x").to_pylist()), np.float32).reshape(-1, WIDTH), t.column("lang").to_pylist())
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -7,6 +7,8 @@ their confidence interval.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -212,12 +214,12 @@ def _learn_lexicon(sample: DataFrame, least: int = 4, sure: float = 0.5) -> list
         for rows, data, bounds in slices(batches):
             first, _, _, found = entries(data, bounds)
             y, fold = np.array(rows.column("y").to_pylist()), np.array(rows.column("fold").to_pylist())
-            text = np.repeat(np.arange(len(y)), np.diff(first))
-            pairs = np.unique(np.column_stack([np.concatenate([h.view(np.int64) for _, h in found.values()]), np.concatenate([text[i] for i, _ in found.values()])]), axis=0)
-            cell = np.column_stack([pairs[:, 0], fold[pairs[:, 1]]])
-            cell, inverse = np.unique(cell, axis=0, return_inverse=True)
-            inverse = inverse.ravel()
-            yield pa.RecordBatch.from_pydict({"key": pa.array(cell[:, 0]), "fold": pa.array(cell[:, 1].astype(np.int32)), "n": pa.array(np.bincount(inverse, minlength=len(cell)).astype(np.int64)), "t": pa.array(np.bincount(inverse, y[pairs[:, 1]], len(cell)).astype(np.int64))})
+            texts = [np.unique(np.concatenate([h[np.searchsorted(at, first[i]) : np.searchsorted(at, first[i + 1])] for at, h in found.values()])) for i in range(len(y))]
+            key = np.concatenate(texts)
+            owner = np.repeat(np.arange(len(y)), [len(t) for t in texts])
+            _, index, inverse = np.unique(key ^ mix(fold[owner].astype(np.uint64) + np.uint64(1)), return_index=True, return_inverse=True)
+            n, t = np.bincount(inverse, minlength=len(index)), np.bincount(inverse, y[owner], len(index))
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key[index].view(np.int64)), "fold": pa.array(fold[owner[index]].astype(np.int32)), "n": pa.array(n.astype(np.int64)), "t": pa.array(t.astype(np.int64))})
 
     def lower(n, t, z=2.17):
         n = F.greatest(n, F.lit(1))
@@ -253,14 +255,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, held:
     sample = Scratch(spark, "toxicity").write(labelled_sample(docs, labels, "toxic", modulus, held, max_labels).withColumn("fold", fold.cast("int")), "sample")
     lexicons, second = _learn_lexicon(sample), _hash_listed(SECOND)
 
-    def gather(batches):
-        for rows, data, bounds in slices(batches):
-            folds = np.array(rows.column("fold").to_pylist())
-            every = [toxic_features(data, bounds, lexicons[k], second) for k in range(FOLDS)]
-            x = [every[k][i] for i, k in enumerate(folds)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("y"), rows.column("fold"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "fold", "x"])
+    def gather(lexicon):
+        def run(batches):
+            for rows, data, bounds in slices(batches):
+                x = toxic_features(data, bounds, lexicon, second)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("y"), rows.column("fold"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "fold", "x"])
+
+        return run
 
-    t = sample.mapInArrow(gather, "doc_id long, y int, fold int, x array<double>").toArrow().sort_by("doc_id")
+    parts = [sample.where(F.col("fold") == k).mapInArrow(gather(lexicons[k]), "doc_id long, y int, fold int, x array<double>") for k in range(FOLDS)]
+    t = reduce(DataFrame.unionByName, parts).toArrow().sort_by("doc_id")
     x = np.array(t.column("x").to_pylist(), float).reshape(t.num_rows, -1) if t.num_rows else toxic_features(np.zeros(0, np.uint8), np.zeros(2, np.int64), lexicons[-1], second)[:0]
     model = spark.sparkContext.broadcast(ToxicModel(lexicons[-1], x, t.column("y").to_numpy(), t.column("fold").to_numpy()))
 
