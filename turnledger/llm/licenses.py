@@ -111,6 +111,11 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-/:-`{-\x7f]+", " "))
 
 
+def _once(value: Column) -> Column:
+    """A column that is computed once a row: as a generator's output, the planner doesn't copy it into each use."""
+    return F.explode(F.array(value))
+
+
 def _spaces(part: Column) -> Column:
     return F.length(part) - F.length(F.replace(part, F.lit(" "), F.lit("")))
 
@@ -138,7 +143,7 @@ def detections(docs: DataFrame) -> DataFrame:
     present = F.filter(F.array(*map(F.lit, keyed)), lambda k: F.contains("padded", k))
     array = F.array(*(F.struct(F.lit(i).alias("rule"), F.lit(a).alias("label"), F.array(*map(F.lit, k)).alias("keywords"), F.lit(p).alias("pattern"), F.lit(n).alias("priority"), F.lit(w).alias("weight")) for i, (a, k, p, n, w) in enumerate(listed)))
     gate = F.exists(F.array(*(F.lit(k) for k in sorted({r[1][0] for r in listed}))), lambda k: F.contains("padded", k))
-    tried = docs.withColumn("padded", padded).where(gate).withColumn("present", present)
+    tried = docs.withColumn("padded", padded).where(gate).select("doc_id", "norm", _once(present).alias("present"))
     tried = tried.withColumn("r", F.explode(F.filter(array, lambda r: F.size(F.array_except(r.keywords, F.col("present"))) == 0)))
     tried = tried.select("doc_id", "norm", "r.*").where(F.rlike("norm", F.col("pattern")))
     marked = F.regexp_replace("norm", F.col("pattern"), F.lit("\u0001$0\u0001"))
@@ -167,7 +172,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     with a base label, else 0.  Null and empty texts have no words and no labels.
     Rows of equal doc_id share the detections of all of them.
     """
-    norm = only(docs, doc_id="long", text="string").select("doc_id", normal(F.col("text")).alias("norm"))
+    norm = only(docs, doc_id="long", text="string").select("doc_id", _once(normal(F.col("text"))).alias("norm"))
     found = detections(norm).groupBy("doc_id").agg(F.collect_set("label").alias("found"), F.max("weight").alias("weight"))
     words = F.when(F.col("norm") == "", 0).otherwise(_spaces(F.col("norm")) + 1)
     places = [_base(F.col("norm"), words, p) for _, p in BASE]
