@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 #: this (8 bytes a row); beyond it the same join is shuffled.
 BROADCAST_IDS = 1_000_000
 
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rows of a batch between the JVM and Python.
+ARROW_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,7 +53,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def only(df: DataFrame, **casts: str) -> DataFrame:
-    """The named columns, cast; other columns cannot clash with an operator's own."""
+    """The named columns, cast; other columns cannot clash with an operator's own.
+
+    Also bounds the rows of a batch that goes to Python, where the session has
+    a larger bound, since texts are long.
+    """
+    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return df.select(*(F.col(c).cast(t).alias(c) for c, t in casts.items()))
 
 

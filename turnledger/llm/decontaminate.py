@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnledger.llm.common import Scratch, keep_ids, only
-from turnledger.llm.words import byte_table
+from turnledger.llm.words import byte_table, pieces
 
 #: Separators become spaces and A-Z lower case; bytes from 0x80 belong to words.
 _TABLE = bytes(x or 32 for x in byte_table("alnum").tolist())
@@ -104,7 +104,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
     def scan(shared):
         def run(batches):
             found = [WuManber(p) for p in shared.value]
-            for batch in batches:
+            for batch in pieces(batches):
                 texts, items, hits = (batch.column(c).to_pylist() for c in ("text", "items", "hits"))
                 for i, text in enumerate(texts):
                     words = split_words(text)
@@ -126,7 +126,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
             out = out.mapInArrow(scan(spark.sparkContext.broadcast(patterns)), "doc_id long, text string, items array<long>, hits binary")
 
     def count(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             n = [len(split_words(x)) for x in batch.column("text").to_pylist()]
             hit = [sum(x) if x else 0 for x in batch.column("hits").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), batch.column("items")], ["doc_id", "n_words", "n_hit", "items"])

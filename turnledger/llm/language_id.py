@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnledger.llm.common import only
+from turnledger.llm.words import pieces
 
 #: ISO 639-1 codes by family; a code that isn't here is a family of its own.
 FAMILIES = {
@@ -120,7 +121,7 @@ def detect_language(docs: DataFrame, modulus: int = 3, held: int = 1, per_langua
     picked = known.where(F.col("lang").isin(listed)).select("doc_id", "lang").withColumn("k", F.row_number().over(first)).where(F.col("k") <= each) if listed else None
 
     def gather(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             text = batch.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array([features(t).tobytes() for t in text], pa.binary())], ["doc_id", "lang", "x"])
 
@@ -134,7 +135,7 @@ def detect_language(docs: DataFrame, modulus: int = 3, held: int = 1, per_langua
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             found = [m.predict(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([v for v, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnledger.llm.common import Scratch, only, shared_dir
+from turnledger.llm.words import pieces
 
 #: The pre-tokenisation pattern of the public byte-level vocabulary, a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -55,7 +56,7 @@ def flat_blocks(docs: DataFrame, vocabulary: str, block_bytes: int = 1 << 20) ->
         rest, ids, block = bytearray(), [], 0
         waiting: list[tuple[int, int]] = []  # (end of the document in the file, doc_id)
         done = 0
-        for batch in batches:
+        for batch in pieces(batches):
             for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 rest += np.array([*encode(text or ""), END], np.uint16).tobytes()
                 waiting.append((done + len(rest), d))

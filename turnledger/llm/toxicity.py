@@ -42,7 +42,7 @@ def _spans(data: np.ndarray, bounds: np.ndarray, lut: np.ndarray):
         begins[1:] &= ~inside[:-1] | cut[1:-1]
         ends[:-1] &= ~inside[1:] | cut[1:-1]
     s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down, letters = _powers(max(4 * SLICE_BYTES, 1 << int(n).bit_length()))
+    up, down, letters = _powers(max(2 * SLICE_BYTES, 1 << int(n).bit_length()))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(letters[low] * up[:n], out=sums[1:])
     return sums, down, s, e, np.searchsorted(s, bounds)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are handled in slices of about so many bytes, which bounds a worker's memory.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -59,7 +59,7 @@ def hash_words(data: np.ndarray, bounds: np.ndarray, lut: np.ndarray) -> tuple[n
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2, np.zeros(len(bounds), np.int64)
-    up, down, letters = _powers(max(4 * SLICE_BYTES, 1 << int(n).bit_length()))
+    up, down, letters = _powers(max(2 * SLICE_BYTES, 1 << int(n).bit_length()))
     low = lut[data]
     inside = low != 0
     cut = np.zeros(n + 1, bool)
@@ -78,11 +78,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.fill_null("").cast(pa.large_string())
+    if column.null_count:
+        column = column.fill_null("")
     _, offsets, data = column.buffers()
-    o = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    if not len(o):
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    o = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     d = np.frombuffer(data, np.uint8)[o[0] : o[-1]] if data is not None and o[-1] > o[0] else np.zeros(0, np.uint8)
     return d, o - o[0]
 
@@ -97,3 +99,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             last = min(last, n)
             yield batch.slice(row, last - row), data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row]
             row = last
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Row ranges of bounded size, so that Python objects are made for a few rows at a time."""
+    for rows, _, _ in slices(batches, column):
+        yield rows
