@@ -108,7 +108,8 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     ignored.  ``targets`` maps each domain to its share of the present number of
     tokens (words).  Rates start at 1 and stay nonnegative; a step goes along the
     gradient of half the squared residual, in the metric of the Gram matrix of
-    the domains' token vectors, and ends when no domain is off by more than
+    the domains' token vectors over documents with a positive rate, is projected
+    on rates of at least zero, and ends when no domain is off by more than
     ``tolerance`` of all tokens.  Documents without words have rate 1, whatever the
     residuals.  Domain is the likeliest, the first of equals.  Without labelled
     rows posteriors are equal.  An empty table gives no rows.
@@ -118,10 +119,7 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     names, k = list(targets), len(targets)
     table = Scratch(spark, "mixing").write(memberships(docs, labelled, names, **options), "members")
     a = [F.col("n_tokens") * F.col("p")[i] for i in range(k)]
-    sums = table.agg(*(F.sum(x).alias(f"s{i}") for i, x in enumerate(a)), *(F.sum(a[i] * a[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k))).first()
-    total = np.array([sums[f"s{i}"] or 0.0 for i in range(k)])
-    gram = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-    inverse = np.linalg.pinv(gram, rcond=1e-10)
+    total = np.array([x or 0.0 for x in table.agg(*(F.sum(x) for x in a)).first()])
     want = np.array(list(targets.values())) / sum(targets.values()) * total.sum()
 
     def rate(moves: list[np.ndarray]):
@@ -136,11 +134,13 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     for _ in range(steps):
         if not total.sum():
             break
-        now = table.select(rate(moves).alias("r"), *(x.alias(f"a{i}") for i, x in enumerate(a))).agg(*(F.sum(F.col("r") * F.col(f"a{i}")) for i in range(k))).first()
-        off = np.array(now, float) - want
+        live = F.col("r") > 0
+        sums = [F.sum(F.col("r") * F.col(f"a{i}")) for i in range(k)] + [F.sum(F.when(live, F.col(f"a{i}") * F.col(f"a{j}")).otherwise(0.0)) for i in range(k) for j in range(k)]
+        now = np.array(table.select(rate(moves).alias("r"), *(x.alias(f"a{i}") for i, x in enumerate(a))).agg(*sums).first(), float)
+        off, gram = now[:k] - want, now[k:].reshape(k, k)
         if np.abs(off).max() <= tolerance * total.sum():
             break
-        moves.append(inverse @ off)
+        moves.append(np.linalg.pinv(gram, rcond=1e-10) @ off)
     domain = F.array(*(F.lit(n) for n in names))[(F.array_position("p", F.array_max("p")) - 1).cast("int")]
     return table.select("doc_id", "n_tokens", domain.alias("domain"), "p", rate(moves).alias("rate"))
 
