@@ -297,3 +297,34 @@ def test_fuzzy_passages(spark):
     rows = [(1, " ".join(["head"] * 3 + p)), (2, " ".join(q + ["tail"] * 5)), (3, " ".join(f"u{r.randrange(5000)}" for _ in range(120)))]
     got = substring_dedup.repeated_passages(frame(spark, rows)).collect()
     assert [(x.doc_id, x.src_doc_id) for x in got] == [(2, 1)] and got[0].start_word == 0 and got[0].end_word == len(q)
+
+
+def covered_words(spark, rows):
+    out = {}
+    for r in substring_dedup.repeated_passages(frame(spark, rows)).collect():
+        out.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    return out
+
+
+def test_passages_of_frequent_lines_and_large_families(spark):
+    """Runs of 50 words are found whatever the frequency of their seeds, and so is every member of a family."""
+    r = random.Random(21)
+    own = iter(range(10**6))
+    fresh = lambda n: [f"v{next(own)}" for _ in range(n)]
+    lines = [fresh(10) for _ in range(20)]
+    texts = []
+    for _ in range(250):  # every line stands in many documents, in no order
+        texts.append([w for _ in range(5) for w in fresh(8) + r.choice(lines) + r.choice(lines)])
+    passages = [[w for line in r.sample(lines, 6) for w in line] for _ in range(40)]
+    texts += [fresh(30) + p + fresh(30) for p in passages] + [fresh(20) + p + fresh(9) for p in passages]
+    root = fresh(70)
+    for _ in range(80):
+        w = list(root)
+        for i in r.sample(range(70), 4):
+            w[i] = next(iter(fresh(1)))
+        texts.append(fresh(5) + w)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = covered_words(spark, rows)
+    for d, m in brute_repeats(rows, 50).items():
+        assert {i for i, x in enumerate(m) if x} <= got.get(d, set())
+    assert set(range(291, 330)) <= set(got) and set(range(331, 410)) <= set(got)
