@@ -328,3 +328,21 @@ def test_passages_of_frequent_lines_and_large_families(spark):
     for d, m in brute_repeats(rows, 50).items():
         assert {i for i, x in enumerate(m) if x} <= got.get(d, set())
     assert set(range(291, 330)) <= set(got) and set(range(331, 410)) <= set(got)
+
+
+@pytest.mark.parametrize("percent", [80, 85, 90, 95])
+def test_fuzzy_recall_against_brute_force(spark, percent):
+    """Pairs of a lone source and a substituted copy; the truth is a scan of every stretch of the diagonal."""
+    r = random.Random(percent)
+    own = iter(range(10**6))
+    fresh = lambda n: [f"v{next(own)}" for _ in range(n)]
+    rows, truth = [], set()
+    for i in range(120):
+        n = r.choice((50, 60, 120))
+        p, bad = fresh(n), set(r.sample(range(n), n * (100 - percent) // 100))
+        m = [j not in bad for j in range(n)]
+        if any(m[a] and m[b] and 100 * sum(m[a : b + 1]) >= 80 * (b + 1 - a) for a in range(n) for b in range(a + 49, n)):
+            truth.add(2 * i + 1)
+        rows += [(2 * i, " ".join(fresh(20) + p + fresh(20))), (2 * i + 1, " ".join(fresh(15) + [w if m[j] else f"z{next(own)}" for j, w in enumerate(p)] + fresh(15)))]
+    got = set(covered_words(spark, rows))
+    assert got <= truth and len(got) >= 0.95 * len(truth), (len(got), len(truth))
