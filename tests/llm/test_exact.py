@@ -218,6 +218,43 @@ def test_license_suppression_against_brute_force(spark, docs):
     assert got == want
 
 
+def spelled(pattern):
+    """Texts that spell every alternative and every optional part of a rule."""
+    parse = re._parser
+
+    def every(items):
+        out = [""]
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                part = [chr(arg)]
+            elif name == "ANY":
+                part = ["x"]
+            elif name == "IN":
+                part = [chr(c) for o, v in arg for c in ([v] if str(o) == "LITERAL" else range(v[0], v[1] + 1))]
+            elif name == "BRANCH":
+                part = [t for b in arg[1] for t in every(b)]
+            elif name == "SUBPATTERN":
+                part = every(arg[3])
+            elif name == "MAX_REPEAT":
+                part = [t * n for n in {arg[0], min(arg[1], 1)} for t in every(arg[2])]
+            else:
+                assert name == "ASSERT_NOT", name
+                part = [""]
+            out = [a + b for a in out for b in part]
+        return out
+
+    return every(parse.parse(pattern))
+
+
+def test_license_keywords_pass_every_alternative(spark):
+    for label, keywords, pattern, _, _ in licenses.rules():
+        for t in spelled(pattern):
+            assert re.search(pattern, t) and all(k in f" {t} " for k in keywords), (label, t)
+    rows = [(1, "Licensed under CDDL 1.0"), (2, "released under the FreeBSD license"), (3, "Licensed under the Common Development and Distribution 1.0 license")]
+    assert {r.doc_id: r.labels for r in licenses.license_scan(frame(spark, rows)).collect()} == {1: "cddl-1", 2: "bsd-2-clause", 3: "cddl-1"}
+
+
 def test_token_counts(spark, docs):
     e = token_counts.encoder(token_counts.load_ranks(VOCABULARY))
     for block in (64, 1 << 20):

@@ -21,7 +21,8 @@ LICENCES = (
     ("mit", "mit", "mit( x11)?"),
     ("apache-1", "apache", "apache( software)?( version| v)? ?1( [01])?"),
     ("apache-2", "apache", "apache( software)?( version| v)? ?2( 0)?"),
-    ("bsd-2-clause", "bsd", "(bsd 2 clause|simplified bsd|two clause bsd|2 clause bsd|freebsd)"),
+    ("bsd-2-clause", "bsd", "(bsd 2 clause|simplified bsd|two clause bsd|2 clause bsd)"),
+    ("bsd-2-clause", "freebsd", "freebsd"),
     ("bsd-3-clause", "bsd", "(bsd 3 clause|new bsd|modified bsd|revised bsd|three clause bsd|3 clause bsd)"),
     ("bsd-4-clause", "bsd", "(bsd 4 clause|original bsd|four clause bsd)"),
     ("gpl-1", "gpl", "gpl( version| v)? ?1( 0)?"),
@@ -34,7 +35,8 @@ LICENCES = (
     ("mpl-2", "mozilla", "mozilla public( version| v)? ?2( 0)?"),
     ("epl-1", "eclipse", "eclipse public( version| v)? ?1( 0)?"),
     ("epl-2", "eclipse", "eclipse public( version| v)? ?2( 0)?"),
-    ("cddl-1", "distribution", "(cddl|common development and distribution)( version| v)? ?1( [01])?"),
+    ("cddl-1", "cddl", "cddl( version| v)? ?1( [01])?"),
+    ("cddl-1", "common development", "common development and distribution( version| v)? ?1( [01])?"),
     ("isc", "isc", "isc"),
     ("zlib", "zlib", "zlib( libpng)?"),
     ("unlicense", "unlicense", "unlicense"),
