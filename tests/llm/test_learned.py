@@ -72,6 +72,17 @@ def test_language(docs):
     assert language_id.detect_language(docs.limit(0)).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    """More languages than 64, each in letters of its own; the rarest are learned too."""
+    r, rows = random.Random(8), []
+    for i in range(68):
+        letters = [chr(0x4E00 + 40 * i + j) for j in range(12)]
+        rows += [(len(rows) + j, " ".join("".join(r.choice(letters) for _ in range(4)) for _ in range(30)), f"l{i:02d}") for j in range(8 if i < 64 else 7)]
+    out = language_id.detect_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=4).collect()
+    lang = {d: v for d, _, v in rows}
+    assert {x.lang_pred for x in out} == set(lang.values()) and all(x.lang_pred == lang[x.doc_id] for x in out)
+
+
 def test_isotonic_is_monotone():
     r = np.random.default_rng(0)
     m = r.normal(size=300)

@@ -102,23 +102,23 @@ class Hierarchy:
         return lang, float(p * q)
 
 
-def detect_language(docs: DataFrame, modulus: int = 3, held: int = 1, per_language: int = 500, sample: int = 8_000, languages: int = 64) -> DataFrame:
+def detect_language(docs: DataFrame, modulus: int = 3, held: int = 1, per_language: int = 500, sample: int = 8_000, least: int = 20) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row of docs.
 
     docs: doc_id, text and lang; other columns are ignored.  Learned from at
-    most ``per_language`` texts, the smallest by a hash of doc_id, for each of the
-    ``languages`` most frequent non-null values of lang, ``sample`` in all, among
-    rows whose crc32(doc_id) modulo ``modulus`` isn't ``held``: the documented bound
-    of the fit.  Every row is predicted from its whole text.  ``und`` with score 0
+    most ``per_language`` texts, the smallest by a hash of doc_id, for each
+    non-null value of lang among rows whose crc32(doc_id) modulo ``modulus`` isn't
+    ``held``.  With many languages each has fewer texts, ``sample`` in all, but never
+    a bound under ``least``: the documented bound of the fit; no language is left out.  Every row is predicted from its whole text.  ``und`` with score 0
     for a null text, one without a letter, or when nothing could be learned.
     """
     docs = only(docs, doc_id="long", text="string", lang="string")
     fold = F.crc32(F.col("doc_id").cast("string")) % modulus == held
     known = docs.where("lang is not null").where(~fold)
-    listed = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    each = min(per_language, sample // max(1, len(listed)))
+    languages = known.select("lang").distinct().count()
+    each = min(per_language, max(least, sample // max(1, languages)))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # the planner keeps the first of each task before the shuffle
-    picked = known.where(F.col("lang").isin(listed)).select("doc_id", "lang").withColumn("k", F.row_number().over(first)).where(F.col("k") <= each) if listed else None
+    picked = known.select("doc_id", "lang").withColumn("k", F.row_number().over(first)).where(F.col("k") <= each) if languages else None
 
     def gather(batches):
         for batch in pieces(batches):
@@ -128,7 +128,7 @@ def detect_language(docs: DataFrame, modulus: int = 3, held: int = 1, per_langua
     if picked is None:
         model = Hierarchy(np.zeros((0, WIDTH), np.float32), [])
     else:
-        ids = F.broadcast(picked.select("doc_id").distinct())  # at most ``sample`` ids
+        ids = F.broadcast(picked.select("doc_id").distinct())  # at most ``sample`` ids, or ``least`` a language
         t = known.join(ids, "doc_id").where(F.rlike("text", F.lit(r"\p{L}"))).mapInArrow(gather, "doc_id long, lang string, x binary").toArrow().sort_by("doc_id")
         model = Hierarchy(np.frombuffer(b"".join(t.column("x").to_pylist()), np.float32).reshape(-1, WIDTH), t.column("lang").to_pylist())
     shared = docs.sparkSession.sparkContext.broadcast(model)
