@@ -177,6 +177,18 @@ def test_perplexity_band_rejects_noise(spark):
     assert not kept[100] and all(kept[i] for i in range(60))
 
 
+def test_bands_are_by_language(spark):
+    """cs and lv shared a model once; a text wholly in another language doesn't pass under its own."""
+    r = random.Random(6)
+    text = lambda parts: " ".join("".join(r.choice(parts) for _ in range(3)) for _ in range(120))
+    a, b = ("ta", "mi", "lo", "ne"), ("szk", "czr", "wyx", "gjq")
+    rows = [(i, text(a), "cs") for i in range(80)] + [(100 + i, text(b), "lv") for i in range(8)] + [(200, text(b), "cs")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {x.doc_id: x.kept for x in quality_rules.quality_rules(docs).collect()}
+    assert all(kept[i] for i in (*range(80), *range(100, 108))) and not kept[200]
+    assert set(quality_rules.train(docs)) == {"cs", "lv"}
+
+
 def test_licenses(spark, docs):
     rows = [
         *docs, (1001, "Licensed under the Apache License, Version 2.0."), (1002, "cc by-nc CC  BY NC. x"), (1003, "This work is licensed under the GNU General Public License, version 3."), (1004, "Licensed under CC BY-NC-SA 4.0"),

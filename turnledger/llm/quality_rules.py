@@ -4,12 +4,11 @@ The language model is a modified Kneser-Ney model over classes of characters.
 Spark counts the n-grams of the whole corpus: each task sums its own counts in an
 array, and the partial counts are added up by (language, n-gram).  Characters
 fall into 32 classes and n-grams have four, so a model has at most 2**20 n-grams
-whatever the corpus; that, and 64 language slots, bound what is broadcast.
+whatever the corpus; what is broadcast grows with the number of languages.
 """
 
 from __future__ import annotations
 
-import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from turnledger.llm.common import Scratch, keep_ids, only
 from turnledger.llm.words import byte_table, hash_words, mix, pieces, slices
 
-ORDER, BITS, SLOTS = 4, 5, 64
+ORDER, BITS = 4, 5
 _EXACT = byte_table("space")
 _EXACT[65:91] = np.arange(65, 91)
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -61,8 +60,9 @@ def grams(text: str) -> np.ndarray:
     return g
 
 
-def slot(lang: str | None) -> int:
-    return zlib.crc32((lang or "und").encode()) % SLOTS
+def named(lang: str | None) -> str:
+    """The key of a language's model and band: its value, ``und`` for null."""
+    return "und" if lang is None else lang
 
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
@@ -138,7 +138,7 @@ class KneserNey:
 EXPANDED = 16
 
 
-def log_probabilities(models: dict[int, KneserNey], k: int, g: np.ndarray) -> np.ndarray:
+def log_probabilities(models: dict[str, KneserNey], k: str, g: np.ndarray) -> np.ndarray:
     """The score of each 4-gram under one model of a worker, from its expansion where there is one."""
     m = models[k]
     if m.expanded is None and sum(x.expanded is not None for x in models.values()) < EXPANDED:
@@ -146,18 +146,25 @@ def log_probabilities(models: dict[int, KneserNey], k: int, g: np.ndarray) -> np
     return m.score(g) if m.expanded is None else m.expanded[g]
 
 
-def mixed_score(models: dict[int, KneserNey], g: np.ndarray, window: int = 64) -> float:
-    """The mean log-probability with each window of a text under the language that suits it best."""
+def mixed_score(models: dict[str, KneserNey], own: str, g: np.ndarray, window: int = 64, share: float = 0.5) -> float:
+    """The mean log-probability with at most ``share`` of a text's windows, those that gain most, under the language that suits them best."""
     at = np.arange(0, len(g), window)
-    return float(np.max([np.add.reduceat(log_probabilities(models, k, g).astype(np.float64), at) for k in models], axis=0).sum() / len(g))
+    home = np.add.reduceat(log_probabilities(models, own, g).astype(np.float64), at)
+    best = np.max([np.add.reduceat(log_probabilities(models, k, g).astype(np.float64), at) for k in models], axis=0)
+    gain = np.sort(best - home)[::-1][: int(share * len(at))]
+    return float((home.sum() + gain.sum()) / len(g))
+
+
+#: A task holds the counts of so many languages (8 MB each) before it passes them on.
+HELD = 64
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(slot, gram, n) over all texts; tasks add up their own counts first."""
+    """(lang, gram, n) over all texts; tasks add up their own counts first, of at most HELD languages at a time."""
 
     def run(batches):
-        held: dict[int, np.ndarray] = {}
-        parts: dict[int, list[np.ndarray]] = {}
+        held: dict[str, np.ndarray] = {}
+        parts: dict[str, list[np.ndarray]] = {}
         size = 0
 
         def flush():
@@ -166,31 +173,42 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
                 held[k] = held[k] + counts if k in held else counts
             parts.clear()
 
+        def summed():
+            for k, counts in held.items():
+                g = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([k] * len(g), pa.string()), "gram": pa.array(g.astype(np.int32)), "n": pa.array(counts[g])})
+            held.clear()
+
         for batch in pieces(batches):
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 if text:
-                    parts.setdefault(slot(lang), []).append(grams(text))
+                    k = named(lang)
+                    if k not in held and k not in parts and len(held.keys() | parts.keys()) >= HELD:
+                        flush()
+                        size = 0
+                        yield from summed()
+                    parts.setdefault(k, []).append(grams(text))
                     size += len(text)
                     if size > 2_000_000:
                         flush()
                         size = 0
         flush()
-        for k, counts in held.items():
-            g = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(np.full(len(g), k, np.int32)), "gram": pa.array(g.astype(np.int32)), "n": pa.array(counts[g])})
+        yield from summed()
 
-    return docs.select("text", "lang").mapInArrow(run, "slot int, gram int, n long").groupBy("slot", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("text", "lang").mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame) -> dict[int, KneserNey]:
-    """A model for each language slot; at most SLOTS * 2**20 counts reach the driver."""
+def train(docs: DataFrame) -> dict[str, KneserNey]:
+    """A model for each language; at most 2**20 counts of each reach the driver."""
     table = count_ngrams(docs).toArrow()
-    slots, gram, n = (table.column(c).to_numpy() for c in ("slot", "gram", "n"))
+    lang = table.column("lang").combine_chunks().dictionary_encode()
+    lang = lang.combine_chunks() if isinstance(lang, pa.ChunkedArray) else lang
+    places, gram, n = lang.indices.to_numpy(), table.column("gram").to_numpy(), table.column("n").to_numpy()
     out = {}
-    for k in np.unique(slots):
-        pick = np.flatnonzero(slots == k)
+    for i, k in enumerate(lang.dictionary.to_pylist()):
+        pick = np.flatnonzero(places == i)
         pick = pick[np.argsort(gram[pick])]
-        out[int(k)] = KneserNey(gram[pick], n[pick])
+        out[k] = KneserNey(gram[pick], n[pick])
     return out
 
 
@@ -231,10 +249,10 @@ def quality_rules(docs: DataFrame, width: float = 5.0, floor: float = 0.02, fore
     than 50 words, or more than half of the words in repeated 3-word windows.
     log_ppl is the mean negative log-probability of a character under the model
     of the document's language, trained on all texts of that language; null
-    languages share one model.  A text that is more than ``foreign`` above its
+    languages share the model of ``und``.  A text that is more than ``foreign`` above its
     language's entropy may hold passages in other languages: best_ppl then has
-    the mean with each window of 64 characters under the model that suits it
-    best, and is null for other texts.  The band of a language is its median
+    the mean with up to half of its windows of 64 characters, those that gain most,
+    under the model that suits them best, and is null for other texts.  The band of a language is its median
     plus or minus ``width`` robust deviations (1.4826 times the median absolute
     deviation, at least ``floor``), both from a histogram of all documents that
     pass the base rules; a text of n words gets sqrt(1 + 60 / n) of that width.  kept: not base_failed, log_ppl not under the band, and
@@ -246,37 +264,37 @@ def quality_rules(docs: DataFrame, width: float = 5.0, floor: float = 0.02, fore
     scratch = Scratch(spark, "quality")
     docs = only(docs, doc_id="long", text="string", lang="string")
     models = spark.sparkContext.broadcast(train(docs))
-    kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "slot": pa.int32(), "log_ppl": pa.float64(), "best_ppl": pa.float64()}
+    kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "lang": pa.string(), "log_ppl": pa.float64(), "best_ppl": pa.float64()}
 
     def run(batches):
         model = models.value
         for rows, data, bounds in slices(batches):
             h, s, e, first = hash_words(data, bounds, _EXACT)
             out = base_counts(data, bounds, h, s, e, first)
-            slots = [slot(x) for x in rows.column("lang").to_pylist()]
+            langs = [named(x) for x in rows.column("lang").to_pylist()]
             ppl, best = [], []
-            for k, t in zip(slots, rows.column("text").to_pylist(), strict=True):
+            for k, t in zip(langs, rows.column("text").to_pylist(), strict=True):
                 g = grams(t) if t else None
                 ppl.append(float(-log_probabilities(model, k, g).mean(dtype=np.float64)) if t else None)
-                best.append(-mixed_score(model, g) if t and ppl[-1] > model[k].entropy * (1 + foreign) else None)
-            out |= {"doc_id": rows.column("doc_id"), "slot": slots, "log_ppl": ppl, "best_ppl": best}
+                best.append(-mixed_score(model, k, g) if t and ppl[-1] > model[k].entropy * (1 + foreign) else None)
+            out |= {"doc_id": rows.column("doc_id"), "lang": langs, "log_ppl": ppl, "best_ppl": best}
             yield pa.RecordBatch.from_arrays([x if isinstance(x := out[c], pa.Array) else pa.array(x, t) for c, t in kinds.items()], list(kinds))
 
-    scored = docs.mapInArrow(run, ", ".join(f"{c} {({pa.int32(): 'int', pa.float64(): 'double'}).get(t, 'long')}" for c, t in kinds.items()))
+    scored = docs.mapInArrow(run, ", ".join(f"{c} {({pa.string(): 'string', pa.float64(): 'double'}).get(t, 'long')}" for c, t in kinds.items()))
     scored = scored.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
     scored = scratch.write(scored, "scored")
-    histogram = scored.where("not base_failed").groupBy("slot", F.round(F.col("log_ppl") * 1000).cast("int").alias("q")).count().collect()
+    histogram = scored.where("not base_failed").groupBy("lang", F.round(F.col("log_ppl") * 1000).cast("int").alias("q")).count().collect()
     bands = []
-    for k in sorted({r["slot"] for r in histogram}):
-        part = sorted((r["q"] / 1000, r["count"]) for r in histogram if r["slot"] == k)
+    for k in sorted({r["lang"] for r in histogram}):
+        part = sorted((r["q"] / 1000, r["count"]) for r in histogram if r["lang"] == k)
         value, n = np.array([v for v, _ in part]), np.array([c for _, c in part])
         mid = value[np.searchsorted(np.cumsum(n), n.sum() / 2)]
         apart = np.abs(value - mid)
         order = np.argsort(apart, kind="stable")
         spread = max(floor, 1.4826 * float(apart[order][np.searchsorted(np.cumsum(n[order]), n.sum() / 2)]))
         bands.append((k, float(mid), float(width * spread)))
-    mid = F.coalesce(*(F.when(F.col("slot") == k, F.lit(m)) for k, m, _ in bands)) if bands else F.lit(0.0)
-    reach = F.coalesce(*(F.when(F.col("slot") == k, F.lit(w)) for k, _, w in bands)) if bands else F.lit(0.0)
+    mid = F.coalesce(*(F.when(F.col("lang") == k, F.lit(m)) for k, m, _ in bands)) if bands else F.lit(0.0)
+    reach = F.coalesce(*(F.when(F.col("lang") == k, F.lit(w)) for k, _, w in bands)) if bands else F.lit(0.0)
     reach = reach * F.sqrt(1 + 60 / F.greatest(F.col("n_words"), F.lit(1)))
     kept = ~F.col("base_failed") & F.coalesce((F.col("log_ppl") >= mid - reach) & (F.coalesce("best_ppl", "log_ppl") <= mid + reach), F.lit(False))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "log_ppl", "best_ppl")
