@@ -233,3 +233,12 @@ def test_prepare_batches(spark):
     rows = spark.createDataFrame([(s, (i, "train"), ((["a"],),), (["x"],)) for s in ("nq", "hotpotqa") for i in range(30)], schema.TRAINING)
     out = governance.prepare_batches(rows, rows.limit(0).select("data_source", F.col("extra_info.index").alias("row_index")), 2, 8, 3)
     assert out.count() == 32 and "metadata" not in out.columns
+
+
+def test_packing_queries_cover_the_whole_table(spark):
+    from turnledger.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    items = spark.read.parquet(f"{sf}/lineitem.parquet")
+    assert registry.a19_packing_cost(spark, sf).first().item_count == items.count()
+    assert {r[0] for r in registry.t9_token_packing(spark, sf).select("comparison_group_id").collect()} == {str(r[0]) for r in items.select("l_orderkey").distinct().collect()}

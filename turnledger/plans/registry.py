@@ -386,11 +386,11 @@ def w6_j8_first_wins(spark, d):
 
 @_query("""WITH g AS (SELECT CAST(l_orderkey % 10 AS VARCHAR) AS queue, l_orderkey AS g, CAST(max(l_quantity) AS BIGINT) AS width, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS tokens FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY ALL) SELECT queue, CAST(g AS VARCHAR) AS comparison_group_id, width, n, tokens, CAST(row_number() OVER (PARTITION BY queue ORDER BY width DESC, CAST(g AS VARCHAR)) - 1 AS INTEGER) AS position FROM g""")
 def t8_length_buckets(spark, d):
-    return requests.length_buckets(_items(spark, d)).select("queue", "comparison_group_id", "width", "n", "tokens", "position")
+    return requests.length_buckets(_items(spark, d, "l_orderkey % 5 = 0")).select("queue", "comparison_group_id", "width", "n", "tokens", "position")
 
 
-def _items(spark: SparkSession, d: str) -> DataFrame:
-    rows = proxies.table(spark, d, "lineitem").where("l_orderkey % 5 = 0")
+def _items(spark: SparkSession, d: str, chosen: str = "true") -> DataFrame:
+    rows = proxies.table(spark, d, "lineitem").where(chosen)
     return rows.select((F.col("l_orderkey") % 10).cast("string").alias("queue"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("request_id"), F.col("l_orderkey").cast("string").alias("comparison_group_id"), F.col("l_quantity").cast("long").alias("length"))
 
 
