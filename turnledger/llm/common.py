@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +14,8 @@ from pyspark.sql import functions as F
 #: this (8 bytes a row); beyond it the same join is shuffled.
 BROADCAST_IDS = 1_000_000
 
-#: Rows of a batch between the JVM and Python.
-ARROW_ROWS = 1_000
+#: Rows and bytes of a batch between the JVM and Python.
+ARROW_ROWS, ARROW_BYTES = 1_000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +50,17 @@ class Scratch:
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Asks the driver to drop what it no longer refers to, so that the shuffle files of written tables go.
+
+    The first collection finds the plans, the second what they held.
+    """
+    gc.collect()
+    for wait in (0.3, 0.2):
+        spark._jvm.System.gc()
+        time.sleep(wait)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -56,10 +69,13 @@ def only(df: DataFrame, **casts: str) -> DataFrame:
     """The named columns, cast; other columns cannot clash with an operator's own.
 
     Also bounds the rows of a batch that goes to Python, where the session has
-    a larger bound, since texts are long.
+    a larger bound, since texts are long: a setting of the session, as a plan has
+    none of its own.
     """
-    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return df.select(*(F.col(c).cast(t).alias(c) for c, t in casts.items()))
 
 
@@ -68,15 +84,3 @@ def keep_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi", key: str = "
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return df.join(ids, key, how)
-
-
-def copy_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, rep): the smallest id with the same text, only for ids that aren't it.
-
-    The map-side aggregate leaves one row for each text and task, so that a group
-    of any number of copies costs one row in a task; the join back is an ordinary
-    equi-join whose large partitions the adaptive planner can split.
-    """
-    hashed = docs.where(F.col("text").isNotNull()).select("doc_id", F.md5("text").alias("h"), F.length("text").alias("c"))
-    first = hashed.groupBy("h", "c").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("top > rep").drop("top")
-    return hashed.join(first, ["h", "c"]).where("doc_id <> rep").select("doc_id", "rep")
