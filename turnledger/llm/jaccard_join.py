@@ -96,13 +96,16 @@ class Bands:
         b = self.band(n) + 1
         return b if 100 * n >= self.percent * self.low[b] else None
 
-    def _allocate(self, b: int, rows: int, shared: float = 1e-4, check: float = 5.0) -> tuple[int, int, int]:
+    def _allocate(self, b: int, rows: int, shared: float = 1e-4, check: float = 5.0, spare: float = 6.0) -> tuple[int, int, int]:
         """The cheapest allocation: keys made, plus ``check`` for each expected candidate.
 
         ``shared`` is the assumed share of a band's sets with which a segment of
-        a single element is shared; the choice changes costs only, not results.
+        a single element is shared; ``spare`` are the standard deviations of the
+        number of empty segments that the slack has room for, so that few sets
+        index empty segments, whose keys all those sets share.  Both change costs
+        only, not results.
         """
-        low, high = self.low[b], self.low[b + 1] - 1
+        low, high = max(1, self.low[b] * self.percent // 100), self.low[b + 1] - 1  # sets of the band before lie here too
         differ = (100 - self.percent) * 2 * high // (100 + self.percent)
         if differ == 0:
             return 1, 0, 0
@@ -110,7 +113,8 @@ class Bands:
         for r in range(1, min(differ, 64) + 1):
             m = max(r, differ + 1 - r)
             thin = math.exp(-low / m)
-            slack = m + r - differ - 1 + math.ceil(m * thin + r * (low / m + 1) * thin) + 1
+            empty = m * thin + r * (low / m + 1) * thin
+            slack = m + r - differ - 1 + math.ceil(empty + spare * math.sqrt(empty)) + 1
             m = differ + 1 + slack - r
             s = low / m
             cost = m + r * (s + 1) + check * rows * shared * m * s * math.exp(-s)
