@@ -10,10 +10,14 @@ its own posterior and of the residuals so far, so no state is shuffled.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from turnledger.llm.common import Scratch, only
 from turnledger.llm.features import dense
@@ -72,11 +76,8 @@ def rows_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.hstack([dense(data, bounds), np.log1p(cells.reshape(len(n), Posterior.WORDS)) / np.sqrt(np.maximum(n, 1))[:, None]]), n
 
 
-def memberships(docs: DataFrame, labelled: DataFrame, domains: list[str], max_labels: int = 6_000) -> DataFrame:
-    """(doc_id, n_tokens, p) with p the posterior over ``domains``; one row for each row of docs.
-
-    Learned from at most ``max_labels`` labelled rows, the documented bound of the fit.
-    """
+def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], max_labels: int = 6_000) -> Broadcast:
+    """The posterior over ``domains``, learned from at most ``max_labels`` labelled rows, the documented bound of the fit."""
     rows = labelled.where(F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
     docs = only(docs, doc_id="long", text="string")
@@ -90,70 +91,114 @@ def memberships(docs: DataFrame, labelled: DataFrame, domains: list[str], max_la
     t = docs.join(F.broadcast(rows), "doc_id").mapInArrow(gather, "doc_id long, domain string, x binary").toArrow().sort_by("doc_id")
     x = np.frombuffer(b"".join(t.column("x").to_pylist()), np.float32).reshape(-1, width).astype(np.float64)
     place = {d: i for i, d in enumerate(domains)}
-    model = docs.sparkSession.sparkContext.broadcast(Posterior(x, np.array([place[d] for d in t.column("domain").to_pylist()], np.int64), len(domains)))
+    return docs.sparkSession.sparkContext.broadcast(Posterior(x, np.array([place[d] for d in t.column("domain").to_pylist()], np.int64), len(domains)))
+
+
+def memberships(docs: DataFrame, model: Broadcast) -> DataFrame:
+    """(row, n_tokens, p) with row a struct of all columns of docs and p the posterior; one for each row of docs."""
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    only(docs, text="string")
 
     def run(batches):
         m = model.value
         for part, data, bounds in slices(batches):
             f, n = rows_of(data, bounds)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(list(m.predict(f)), pa.list_(pa.float64()))], ["doc_id", "n_tokens", "p"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(n, pa.int64()), pa.array(list(m.predict(f)), pa.list_(pa.float64()))], ["row", "n_tokens", "p"])
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
+    return whole.mapInArrow(run, StructType([StructField("row", docs.schema), StructField("n_tokens", LongType()), StructField("p", ArrayType(DoubleType()))]))
 
 
-def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, tolerance: float = 1e-6, steps: int = 40, **options) -> DataFrame:
-    """(doc_id, n_tokens, domain, p, rate) for each row of docs.
+class Fit(NamedTuple):
+    """Moves of the rates, the domains in order, and what was reached: shares of the present tokens."""
 
-    docs: doc_id and text; labelled: doc_id and domain; other columns are
-    ignored.  ``targets`` maps each domain to its share of the present number of
-    tokens (words).  Rates start at 1 and stay nonnegative; a step goes along the
-    gradient of half the squared residual, in the metric of the Gram matrix of
-    the domains' token vectors over documents with a positive rate, is projected
-    on rates of at least zero, and ends when no domain is off by more than
-    ``tolerance`` of all tokens.  Documents without words have rate 1, whatever the
-    residuals.  Domain is the likeliest, the first of equals.  Without labelled
-    rows posteriors are equal.  An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    targets = dict(sorted((targets or TARGETS).items()))
-    names, k = list(targets), len(targets)
-    table = Scratch(spark, "mixing").write(memberships(docs, labelled, names, **options), "members")
-    a = [F.col("n_tokens") * F.col("p")[i] for i in range(k)]
-    total = np.array([x or 0.0 for x in table.agg(*(F.sum(x) for x in a)).first()])
-    want = np.array(list(targets.values())) / sum(targets.values()) * total.sum()
+    domains: list[str]
+    moves: list[np.ndarray]
+    target: dict[str, float]
+    reached: dict[str, float]
 
-    def rate(moves: list[np.ndarray]):
-        """A document's rate after the moves: each takes p-weighted tokens off and stops at zero."""
-        if not moves:
+    def rate(self) -> Column:
+        """A document's rate after the moves, from its n_tokens and p: each takes p-weighted tokens off and stops at zero."""
+        if not self.moves:
             return F.lit(1.0)
-        listed = F.array(*(F.array(*(F.lit(float(v)) for v in m)) for m in moves))
-        step = lambda r, m: F.greatest(F.lit(0.0), r - sum(a[i] * m[i] for i in range(k)))
-        return F.aggregate(listed, F.lit(1.0), step)
+        listed = F.array(*(F.array(*(F.lit(float(v)) for v in m)) for m in self.moves))
+        a = [F.col("n_tokens") * F.col("p")[i] for i in range(len(self.domains))]
+        return F.aggregate(listed, F.lit(1.0), lambda r, m: F.greatest(F.lit(0.0), r - sum(x * m[i] for i, x in enumerate(a))))
+
+    def domain(self) -> Column:
+        """The likeliest domain, the first of equals."""
+        return F.array(*(F.lit(n) for n in self.domains))[(F.array_position("p", F.array_max("p")) - 1).cast("int")]
 
-    moves: list[np.ndarray] = []
-    for _ in range(steps):
+    def off(self) -> float:
+        """By how much the worst domain misses its target, as a share of the present tokens."""
+        return max(abs(self.reached[d] - self.target[d]) for d in self.domains)
+
+
+def fitted(table: DataFrame, targets: dict[str, float], tolerance: float = 1e-6, steps: int = 40) -> Fit:
+    """Fits the rates of a table with n_tokens and p; as many sums as there are pairs of domains reach the driver in a step."""
+    targets = dict(sorted(targets.items()))
+    names, k = list(targets), len(targets)
+    a = [F.col("n_tokens") * F.col("p")[i] for i in range(k)]
+    total = np.array([x or 0.0 for x in table.agg(*(F.sum(x) for x in a)).first()])
+    share = np.array(list(targets.values())) / sum(targets.values())
+    want = share * total.sum()
+    fit = Fit(names, [], dict(zip(names, share.tolist(), strict=True)), dict.fromkeys(names, 0.0))
+    for _ in range(steps + 1):
         if not total.sum():
             break
         live = F.col("r") > 0
         sums = [F.sum(F.col("r") * F.col(f"a{i}")) for i in range(k)] + [F.sum(F.when(live, F.col(f"a{i}") * F.col(f"a{j}")).otherwise(0.0)) for i in range(k) for j in range(k)]
-        now = np.array(table.select(rate(moves).alias("r"), *(x.alias(f"a{i}") for i, x in enumerate(a))).agg(*sums).first(), float)
+        now = np.array(table.select(fit.rate().alias("r"), *(x.alias(f"a{i}") for i, x in enumerate(a))).agg(*sums).first(), float)
         off, gram = now[:k] - want, now[k:].reshape(k, k)
-        if np.abs(off).max() <= tolerance * total.sum():
+        fit.reached.update(zip(names, (now[:k] / total.sum()).tolist(), strict=True))
+        if np.abs(off).max() <= tolerance * total.sum() or len(fit.moves) == steps:
             break
-        moves.append(np.linalg.pinv(gram, rcond=1e-10) @ off)
-    domain = F.array(*(F.lit(n) for n in names))[(F.array_position("p", F.array_max("p")) - 1).cast("int")]
-    return table.select("doc_id", "n_tokens", domain.alias("domain"), "p", rate(moves).alias("rate"))
+        fit.moves.append(np.linalg.pinv(gram, rcond=1e-10) @ off)
+    return fit
+
+
+def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, tolerance: float = 1e-6, steps: int = 40, **options) -> DataFrame:
+    """(doc_id, n_tokens, domain, p, rate, off) for each row of docs.
+
+    docs: doc_id and text; labelled: doc_id and domain; other columns are
+    ignored.  ``targets`` maps each domain to its share of the present number of
+    tokens (words).  Rates start at 1 and stay nonnegative; a step goes along the
+    gradient of half the squared residual, in the metric of the Gram matrix of
+    the domains' token vectors over documents with a positive rate, is projected
+    on rates of at least zero, and ends when no domain is off by more than
+    ``tolerance`` of all tokens, or after ``steps``.  ``off``, the same in every row,
+    is what the worst domain misses its target by, as a share of all tokens: over
+    ``tolerance`` where a target can't be met, as when no document may belong to
+    its domain; the rates are then those of the last step.  Documents without
+    words have rate 1, whatever the residuals; null texts have none.  Domain is the
+    likeliest, the first of equals.  Without labelled rows posteriors are equal.
+    Repeated rows count as often as they occur.  An empty table gives no rows.
+    """
+    targets = targets or TARGETS
+    docs = only(docs, doc_id="long", text="string")
+    members = memberships(docs, classifier(docs, labelled, sorted(targets), **options))
+    table = Scratch(docs.sparkSession, "mixing").write(members.select("row.doc_id", "n_tokens", "p"), "members")
+    fit = fitted(table, targets, tolerance, steps)
+    return table.select("doc_id", "n_tokens", fit.domain().alias("domain"), "p", fit.rate().alias("rate"), F.lit(fit.off()).alias("off"))
 
 
-def mixing_stage(docs: DataFrame, labelled: DataFrame, **options) -> DataFrame:
-    """docs with their rate and number of copies in the mix; those with no copy go.
+def mixing_stage(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, tolerance: float = 1e-6, steps: int = 40, **options) -> DataFrame:
+    """docs with their domain, rate and number of copies in the mix; those with no copy go.
 
-    copies is the rate rounded down, plus one where a hash of doc_id, even on 0
-    to 1, falls under its fraction, so that copies have the rate as their mean.
-    Rows of equal doc_id get the copies of the first in order of tokens.
+    copies is the rate rounded down, plus one where a hash of doc_id and text, even
+    on 0 to 1, falls under its fraction, so that copies have the rate as their
+    mean.  Each row has the rate of its own text, so repeated rows, and rows
+    without an id, have the copies of any other.  Columns mix_domain, mix_rate and
+    mix_copies that docs has are replaced.  A rate is a function of a row's own
+    posterior, so the stage joins and shuffles no texts.
     """
-    rates = mixing_rates(docs, labelled, **options).groupBy("doc_id").agg(F.min(F.struct("n_tokens", "rate", "domain")).alias("m"))
-    even = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
-    copies = (F.floor("m.rate") + F.when(even < F.col("m.rate") - F.floor("m.rate"), 1).otherwise(0)).cast("int")
-    rates = rates.select("doc_id", F.col("m.domain").alias("mix_domain"), F.col("m.rate").alias("mix_rate"), copies.alias("mix_copies"))
-    return docs.join(Scratch(docs.sparkSession, "mixing-rates").write(rates, "rates"), "doc_id").where("mix_copies > 0")
+    targets = targets or TARGETS
+    model = classifier(docs, labelled, sorted(targets), **options)
+    members = memberships(docs, model)
+    table = Scratch(docs.sparkSession, "mixing").write(memberships(only(docs, text="string"), model).select("n_tokens", "p"), "members")
+    fit = fitted(table, targets, tolerance, steps)
+    mixed = members.select("row", fit.rate().alias("rate"), fit.domain().alias("domain"))
+    even = F.pmod(F.xxhash64("row.doc_id", "row.text", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
+    copies = (F.floor("rate") + F.when(even < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
+    mine = ("mix_domain", "mix_rate", "mix_copies")
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in mine]
+    return mixed.select(*kept, F.col("domain").alias(mine[0]), F.col("rate").alias(mine[1]), copies.alias(mine[2])).where("mix_copies > 0")

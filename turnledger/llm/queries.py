@@ -27,7 +27,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = mixing.mixing_rates(table(spark, sf_dir, "documents"), mixing.label_domains(table(spark, sf_dir, "labels")))
-    return rates.select("doc_id", "n_tokens", "domain", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(sorted(mixing.TARGETS))), "rate")
+    return rates.select("doc_id", "n_tokens", "domain", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(sorted(mixing.TARGETS))), "rate", "off")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
