@@ -159,14 +159,76 @@ def test_quality_base(spark, docs):
     assert quality_rules.quality_stage(frame(spark, docs)).columns == frame(spark, docs).columns
 
 
-def test_kneser_ney_is_a_distribution():
+def plain_characters(text):
+    """Runs of white space as one space, runs of one ASCII mark as one."""
+    out = ""
+    for c in text:
+        c = " " if c in "\0\t\n\v\f\r " else c
+        if not (out.endswith(c) and ord(c) < 128 and not c.isalnum()):
+            out += c
+    return out
+
+
+def plain_kneser_ney(texts, order=5):
+    """The probability of a character after others, by modified Kneser-Ney over one language's texts."""
+    count = {order: collections.Counter()}
+    for t in texts:
+        t = " " * (order - 1) + plain_characters(t)
+        count[order].update(t[i : i + order] for i in range(len(t) - order + 1))
+    for o in range(order - 1, 0, -1):
+        count[o] = collections.Counter(g[1:] for g in count[o + 1])
+    cut, total, left = {}, {}, {}
+    for o, c in count.items():
+        n = [max(1, sum(v == i for v in c.values())) for i in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1])
+        cut[o] = [0] + [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05), i) for i in (1, 2, 3)]
+        for g, v in c.items():
+            total[o, g[:-1]] = total.get((o, g[:-1]), 0) + v
+            left[o, g[:-1]] = left.get((o, g[:-1]), 0) + cut[o][min(v, 3)]
+
+    def p(g):
+        o = len(g)
+        if not o:
+            return 1 / (len(count[1]) + 1)
+        h = (o, g[:-1])
+        if h not in total:
+            return p(g[1:])
+        v = count[o].get(g, 0)
+        return (v - cut[o][min(v, 3)]) / total[h] + left[h] / total[h] * p(g[1:])
+
+    return p
+
+
+def test_kneser_ney_against_plain_python(spark, monkeypatch, tmp_path):
+    """Scores under the own and another language's model, with one shard and with several."""
     import numpy as np
 
-    g = np.concatenate([quality_rules.grams("the cat sat on the mat. the cat"), quality_rules.grams("a dog sat")])
-    m = quality_rules.KneserNey(*np.unique(g, return_counts=True))
-    for history in (int(g[5]) >> 5, 12345):
-        p = np.exp(m.score(((history << 5) + np.arange(32)).astype(np.uint32)).astype(float))
-        assert p.sum() == pytest.approx(1, abs=1e-4) and p.min() > 0
+    texts = {"en": ["the cat sat on the mat. the cat!!!", "a dog sat\n\n\tdown", "Été 漢字 the"], "xx": ["zz the zaz zzz", "", "mat 漢"]}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in texts.items() for t in ts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for size in (4_000_000, 60):
+        monkeypatch.setattr(quality_rules, "SHARD", size)
+        scratch = quality_rules.Scratch(spark, "test")
+        table, count = quality_rules.sharded(scratch, quality_rules.train(scratch, docs))
+        assert (count > 2) == (size == 60)
+        shards = [s.value for s in quality_rules._shards(spark, table, count)]
+        for lang, ts in texts.items():
+            p = plain_kneser_ney(ts)
+            assert sum(p("the " + c) for c in {c for t in ts for c in plain_characters(t)}) + p("the \u4e01") == pytest.approx(1)
+            for t in (*texts["en"], *texts["xx"], "qqq unseen the catz"):
+                data = np.frombuffer(t.encode(), np.uint8)
+                c, begin = quality_rules.characters(data, np.array([0, len(data)]))
+                chars = plain_characters(t)
+                assert "".join(map(chr, c)) == " " * 4 + chars
+                at, _ = quality_rules.positions(begin)
+                got = sum(float(s.score(c, s.mine(c, at), quality_rules.seed(lang)).sum()) for s in shards)
+                padded = " " * 4 + chars
+                assert got == pytest.approx(sum(np.log(p(padded[i : i + 5])) for i in range(len(chars))), abs=1e-3)
+        out = {r.doc_id: r.log_ppl for r in quality_rules.quality_rules(docs).collect()}
+        for d, t, lang in rows:
+            p, padded = plain_kneser_ney(texts[lang]), " " * 4 + plain_characters(t)
+            n = len(padded) - 4
+            assert out[d] is None if not n else out[d] == pytest.approx(-sum(np.log(p(padded[i : i + 5])) for i in range(n)) / n, abs=1e-4)
 
 
 def test_perplexity_band_rejects_noise(spark):
@@ -186,7 +248,8 @@ def test_bands_are_by_language(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = {x.doc_id: x.kept for x in quality_rules.quality_rules(docs).collect()}
     assert all(kept[i] for i in (*range(80), *range(100, 108))) and not kept[200]
-    assert set(quality_rules.train(docs)) == {"cs", "lv"}
+    scratch = quality_rules.Scratch(spark, "test")
+    assert {r.lang for r in quality_rules.train(scratch, docs).select("lang").distinct().collect()} == {"cs", "lv"}
 
 
 def test_licenses(spark, docs):

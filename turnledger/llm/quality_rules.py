@@ -1,63 +1,38 @@
 """Operator 8: quality rules with an n-gram perplexity band for each language.
 
-The language model is a modified Kneser-Ney model over classes of characters.
-Spark counts the n-grams of the whole corpus: each task sums its own counts in an
-array, and the partial counts are added up by (language, n-gram).  Characters
-fall into 32 classes and n-grams have four, so a model has at most 2**20 n-grams
-whatever the corpus; what is broadcast grows with the number of languages.
+The language model is a modified Kneser-Ney model over the characters themselves,
+one for each value of lang.  Spark counts the n-grams of the whole corpus and
+derives continuation counts, discounts and probabilities by aggregates and joins
+over (lang, n-gram), so the model grows with the corpus and never meets in one
+place.  It is kept in the shared folder as hashes of n-grams with their values,
+dealt out to shards by the two characters before the last, so that all that a
+position of a text may look up lies in one shard.  A shard, of bounded size, is
+sorted and broadcast, and texts pass the shards one after another, adding up the
+log-probabilities of the positions that a shard answers for.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnledger.llm.common import Scratch, keep_ids, only
-from turnledger.llm.words import byte_table, hash_words, mix, pieces, slices
+from turnledger.llm.words import byte_table, hash_words, mix, slices
 
-ORDER, BITS = 4, 5
+#: Characters of an n-gram.
+ORDER = 5
+#: Entries of the model that a shard holds, 12 bytes each.
+SHARD = 4_000_000
 _EXACT = byte_table("space")
 _EXACT[65:91] = np.arange(65, 91)
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
-
-
-@lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
-    """The class of each code point of the basic plane.
-
-    0 white space, 1 to 26 small letters (others than a to z by their number),
-    27 digits, 28 full stop and comma, 29 other punctuation, 30 symbols, 31 capitals.
-    """
-    t = np.full(65536, 29, np.uint8)
-    for i in range(65536):
-        c = chr(i)
-        if c.isspace() or i == 0:
-            t[i] = 0
-        elif c.isalpha():
-            t[i] = 31 if c.isupper() else 1 + (i - 97) % 26
-        elif c.isdigit():
-            t[i] = 27
-        elif c in ".,":
-            t[i] = 28
-        elif c in "#*$%&|<>":
-            t[i] = 30
-    return t
-
-
-def grams(text: str) -> np.ndarray:
-    """The packed 4-grams of one text; runs of white space count as one."""
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = _classes()[np.minimum(cp, 65535)].astype(np.uint32)
-    c = c[np.r_[True, (c[1:] != 0) | (c[:-1] != 0)]] if len(c) else c
-    c = np.concatenate([np.zeros(ORDER - 1, np.uint32), c, np.zeros(1, np.uint32)])
-    g = np.zeros(len(c) - ORDER + 1, np.uint32)
-    for j in range(ORDER):
-        g = (g << np.uint32(BITS)) | c[j : len(c) - ORDER + 1 + j]
-    return g
+_M = np.uint64(0xD1342543DE82EF95)
+_GAP = np.array([0, *range(9, 14), 32], np.uint32)
+_MARK = np.array([c < 128 and not chr(c).isalnum() for c in range(129)])
 
 
 def named(lang: str | None) -> str:
@@ -65,151 +40,214 @@ def named(lang: str | None) -> str:
     return "und" if lang is None else lang
 
 
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more."""
-    n = [max(1, int((counts == i).sum())) for i in range(1, 5)]
-    y = n[0] / (n[0] + 2 * n[1])
-    d = [i - (i + 1) * y * n[i] / n[i - 1] for i in (1, 2, 3)]
-    return np.array([0.0, *(min(max(x, 0.05), i) for i, x in enumerate(d, 1))])
+def seed(lang: str) -> np.uint64:
+    """The hash of a language's empty n-gram."""
+    out = np.array([len(lang)], np.uint64)
+    for c in lang:
+        out = mix(out * _M + np.uint64(ord(c)))
+    return out[0]
 
 
-class KneserNey:
-    """log-probabilities of n-grams in sorted arrays, one pair for each order.
+def characters(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, where each text begins and the end): runs of white space are one space, runs of one ASCII mark one mark, and ORDER - 1 spaces stand before each text."""
+    cp = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    at = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][bounds] if len(data) else np.zeros(len(bounds), np.int64)
+    gap = np.isin(cp, _GAP)
+    cp = np.where(gap, np.uint32(32), cp)
+    head = np.zeros(len(cp) + 1, bool)
+    head[at] = True
+    mark = _MARK[np.minimum(cp, 128)]
+    keep = ~mark | np.r_[True, cp[1:] != cp[:-1]][: len(cp)] | head[:-1]
+    n = np.r_[0, np.cumsum(keep)][at]
+    out = np.full(int(n[-1]) + (ORDER - 1) * (len(bounds) - 1), 32, np.uint32)
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(n))
+    out[np.arange(int(n[-1])) + (ORDER - 1) * (text + 1)] = cp[keep]
+    return out, n + (ORDER - 1) * np.arange(len(bounds))
 
-    ``keys[o]`` are the packed (o+1)-grams seen, sorted; ``logp[o]`` the
-    interpolated log-probability of the last class after the others;
-    ``back[o]`` is the log of the weight left to the shorter history, kept for
-    histories seen.
-    """
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        size = 1 << BITS
-        levels = {ORDER: (keys.astype(np.int64), counts.astype(np.float64))}
-        for o in range(ORDER - 1, 0, -1):  # lower orders count distinct classes on the left
-            tail = levels[o + 1][0] & ((1 << (BITS * o)) - 1)
-            k, c = np.unique(tail, return_counts=True)
-            levels[o] = k, c.astype(np.float64)
-        lower = np.full(size, 1 / size)
-        self.keys, self.logp, self.back = [], [], []
-        for o in range(1, ORDER + 1):
-            k, c = levels[o]
-            d = _discounts(c)[np.minimum(c, 3).astype(np.int64)]
-            h = k >> BITS
-            width = 1 << (BITS * (o - 1))
-            total = np.bincount(h, c, width)
-            left = np.bincount(h, d, width)
-            weight = np.where(total > 0, left / np.maximum(total, 1), 1.0)
-            below = lower[k & ((1 << (BITS * (o - 1))) - 1)] if o > 1 else lower[k]
-            p = (c - d) / total[h] + weight[h] * below
-            self.keys.append(k.astype(np.uint32))
-            self.logp.append(np.log(p).astype(np.float32))
-            seen = np.flatnonzero(total)
-            self.back.append((seen.astype(np.uint32), np.log(np.maximum(weight[seen], 1e-9)).astype(np.float32)))
-            if o < ORDER:
-                history = np.arange(1 << (BITS * o)) >> BITS
-                tails = np.arange(1 << (BITS * o)) & ((1 << (BITS * (o - 1))) - 1) if o > 1 else np.arange(size)
-                lower_full = weight[history] * (lower[tails] if o > 1 else lower[np.arange(size)])
-                lower_full[k] = p
-                lower = lower_full
-        self.floor = float(np.log(1 / size))
-        self.expanded: np.ndarray | None = None
-        self.entropy = float(-(counts * self.logp[-1]).sum() / max(1, counts.sum()))
-
-    def score(self, g: np.ndarray) -> np.ndarray:
-        """The log-probability of each packed 4-gram, backing off where it wasn't seen."""
-        out = np.zeros(len(g), np.float32)
-        todo, penalty = np.arange(len(g)), np.zeros(len(g), np.float32)
-        for o in range(ORDER, 0, -1):
-            k = g[todo] & np.uint32((1 << (BITS * o)) - 1) if o < ORDER else g
-            at = np.minimum(np.searchsorted(self.keys[o - 1], k), len(self.keys[o - 1]) - 1)
-            hit = self.keys[o - 1][at] == k
-            out[todo[hit]] = self.logp[o - 1][at[hit]] + penalty[hit]
-            if hit.all():
-                return out
-            todo, k, penalty = todo[~hit], k[~hit] >> np.uint32(BITS), penalty[~hit]
-            hk, hv = self.back[o - 1]
-            at = np.minimum(np.searchsorted(hk, k), len(hk) - 1)
-            penalty = penalty + np.where(hk[at] == k, hv[at], np.float32(0))
-        out[todo] = penalty + np.float32(self.floor)
-        return out
 
+def positions(begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the texts' own characters, text of each)."""
+    n = np.diff(begin) - (ORDER - 1)
+    text = np.repeat(np.arange(len(n)), n)
+    return np.arange(int(n.sum())) + (ORDER - 1) * (text + 1), text
 
-#: A worker expands the models of so many languages (4 MB each) to one entry for each 4-gram; it searches the others' arrays.
-EXPANDED = 16
 
+def suffixes(c: np.ndarray, at: np.ndarray, start: np.ndarray | np.uint64, order: int) -> Iterator[np.ndarray]:
+    """Hashes of the 0, 1 ... ``order`` characters that end at each place, begun with the language's."""
+    h = np.broadcast_to(np.asarray(start, np.uint64), at.shape).copy()
+    yield h
+    for o in range(order):
+        h = mix(h * _M + c[at - o].astype(np.uint64))
+        yield h
 
-def log_probabilities(models: dict[str, KneserNey], k: str, g: np.ndarray) -> np.ndarray:
-    """The score of each 4-gram under one model of a worker, from its expansion where there is one."""
-    m = models[k]
-    if m.expanded is None and sum(x.expanded is not None for x in models.values()) < EXPANDED:
-        m.expanded = m.score(np.arange(1 << (BITS * ORDER), dtype=np.uint32))
-    return m.score(g) if m.expanded is None else m.expanded[g]
 
+def shard_of(before: np.ndarray, last: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of positions by the two characters before them."""
+    return (mix(before.astype(np.uint64) * _M + last.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
 
-def mixed_score(models: dict[str, KneserNey], own: str, g: np.ndarray, window: int = 64, share: float = 0.5) -> float:
-    """The mean log-probability with at most ``share`` of a text's windows, those that gain most, under the language that suits them best."""
-    at = np.arange(0, len(g), window)
-    home = np.add.reduceat(log_probabilities(models, own, g).astype(np.float64), at)
-    best = np.max([np.add.reduceat(log_probabilities(models, k, g).astype(np.float64), at) for k in models], axis=0)
-    gain = np.sort(best - home)[::-1][: int(share * len(at))]
-    return float((home.sum() + gain.sum()) / len(g))
 
+def count_ngrams(docs: DataFrame, held: int = 1 << 20) -> DataFrame:
+    """(lang, gram, n) over all texts; a task adds up its own counts, of about ``held`` n-grams at a time."""
 
-#: A task holds the counts of so many languages (8 MB each) before it passes them on.
-HELD = 64
+    def run(batches):
+        parts: list[tuple[np.ndarray, ...]] = []
+        names: dict[str, np.uint64] = {}
 
+        def summed():
+            h, lang, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2))
+            c = np.concatenate([p[3] for p in parts])
+            _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+            parts[:] = [(h[first], lang[first], np.bincount(inverse, n).astype(np.int64), c[first])]
 
-def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n) over all texts; tasks add up their own counts first, of at most HELD languages at a time."""
+        def batch():
+            _, lang, n, c = parts[0]
+            known = list(names)
+            grams = np.ascontiguousarray(c, np.uint32).view(f"<U{ORDER}").ravel().tolist()
+            return pa.RecordBatch.from_pydict({"lang": pa.array([known[i] for i in lang.tolist()], pa.string()), "gram": pa.array(grams, pa.string()), "n": pa.array(n)})
 
-    def run(batches):
-        held: dict[str, np.ndarray] = {}
-        parts: dict[str, list[np.ndarray]] = {}
         size = 0
+        for rows, data, bounds in slices(batches):
+            langs = [named(x) for x in rows.column("lang").to_pylist()]
+            for x in langs:
+                names.setdefault(x, seed(x))
+            number = {x: i for i, x in enumerate(names)}  # names only grow while counts are held
+            c, begin = characters(data, bounds)
+            at, text = positions(begin)
+            if not len(at):
+                continue
+            *_, h = suffixes(c, at, np.array([names[x] for x in langs], np.uint64)[text], ORDER)
+            _, first, n = np.unique(h, return_index=True, return_counts=True)
+            at = at[first]
+            parts.append((h[first], np.array([number[x] for x in langs], np.int64)[text[first]], n, np.stack([c[at - ORDER + 1 + j] for j in range(ORDER)], 1)))
+            size += len(n)
+            if size > 2 * held:
+                summed()
+                size = len(parts[0][0])
+                if size > held:
+                    yield batch()
+                    parts, size = [], 0
+                    names = {}
+        if parts:
+            summed()
+            yield batch()
+
+    return docs.select("text", "lang").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def train(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """(lang, gram, kind, value): for kind 0 the log-probability of an n-gram's last character after the others, for kind 1 the log of the weight that a history leaves to the shorter one.
+
+    Discounts are those of modified Kneser-Ney, by language and order; shorter
+    n-grams count the distinct characters before them.  Below the single
+    characters all of a language's characters, and one for the unseen, are equal:
+    the empty history's value is the log-probability of an unseen character.
+    """
+    levels = {ORDER: scratch.write(count_ngrams(docs), f"level-{ORDER}")}
+    for o in range(ORDER - 1, 0, -1):
+        levels[o] = scratch.write(levels[o + 1].groupBy("lang", F.substring("gram", 2, o).alias("gram")).agg(F.count("*").alias("n")), f"level-{o}")
+    lower, out = None, None
+    for o in range(1, ORDER + 1):
+        of = [F.greatest(F.lit(1), F.count(F.when(F.col("n") == i, 1))).alias(f"n{i}") for i in range(1, 5)]
+        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        cut = [F.least(F.greatest(i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"), F.lit(0.05)), F.lit(float(i))) for i in (1, 2, 3)]
+        discounts = levels[o].groupBy("lang").agg(*of, F.count("*").alias("size")).select("lang", "size", *(x.alias(f"d{i}") for i, x in enumerate(cut, 1)))
+        same = Window.partitionBy("lang", "history")
+        t = levels[o].join(discounts, "lang").withColumn("history", F.substring("gram", 1, o - 1) if o > 1 else F.lit(""))
+        t = t.withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
+        t = t.withColumn("total", F.sum("n").over(same)).withColumn("left", F.sum("d").over(same) / F.col("total"))
+        if o > 1:
+            t = t.withColumn("tail", F.substring("gram", 2, o - 1)).join(lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("below")), ["lang", "tail"])
+        else:
+            t = t.withColumn("below", 1 / (F.col("size") + 1))
+        lower = scratch.write(t.select("lang", "gram", "history", "left", "below", ((F.col("n") - F.col("d")) / F.col("total") + F.col("left") * F.col("below")).alias("p")), f"order-{o}")
+        grams = lower.select("lang", "gram", F.lit(0).alias("kind"), F.log("p").alias("value"))
+        value = F.log(F.greatest(F.col("left"), F.lit(1e-9)) * (F.col("below") if o == 1 else F.lit(1.0)))
+        histories = lower.groupBy("lang", F.col("history").alias("gram")).agg(F.lit(1).alias("kind"), F.max(value).alias("value"))
+        part = grams.unionByName(histories)
+        out = part if out is None else out.unionByName(part)
+    return out
 
-        def flush():
-            for k, x in parts.items():
-                counts = np.bincount(np.concatenate(x), minlength=1 << (BITS * ORDER))
-                held[k] = held[k] + counts if k in held else counts
-            parts.clear()
 
-        def summed():
-            for k, counts in held.items():
-                g = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([k] * len(g), pa.string()), "gram": pa.array(g.astype(np.int32)), "n": pa.array(counts[g])})
-            held.clear()
-
-        for batch in pieces(batches):
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                if text:
-                    k = named(lang)
-                    if k not in held and k not in parts and len(held.keys() | parts.keys()) >= HELD:
-                        flush()
-                        size = 0
-                        yield from summed()
-                    parts.setdefault(k, []).append(grams(text))
-                    size += len(text)
-                    if size > 2_000_000:
-                        flush()
-                        size = 0
-        flush()
-        yield from summed()
-
-    return docs.select("text", "lang").mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def train(docs: DataFrame) -> dict[str, KneserNey]:
-    """A model for each language; at most 2**20 counts of each reach the driver."""
-    table = count_ngrams(docs).toArrow()
-    lang = table.column("lang").combine_chunks().dictionary_encode()
-    lang = lang.combine_chunks() if isinstance(lang, pa.ChunkedArray) else lang
-    places, gram, n = lang.indices.to_numpy(), table.column("gram").to_numpy(), table.column("n").to_numpy()
-    out = {}
-    for i, k in enumerate(lang.dictionary.to_pylist()):
-        pick = np.flatnonzero(places == i)
-        pick = pick[np.argsort(gram[pick])]
-        out[k] = KneserNey(gram[pick], n[pick])
-    return out
+class Shard:
+    """Sorted hashes of the n-grams and histories of a shard, with their values."""
+
+    def __init__(self, number: int, shards: int, table: pa.Table):
+        self.number, self.shards, self.arrays = number, shards, []
+        kind, key, value = (table.column(c).to_numpy() for c in ("kind", "key", "value"))
+        for k in (0, 1):
+            mine = key[kind == k].view(np.uint64)
+            order = np.argsort(mine)
+            self.arrays.append((mine[order], value[kind == k][order].astype(np.float32)))
+
+    def find(self, kind: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether each hash is there, its value or 0)."""
+        key, value = self.arrays[kind]
+        if not len(key):
+            return np.zeros(len(h), bool), np.zeros(len(h), np.float32)
+        at = np.minimum(np.searchsorted(key, h), len(key) - 1)
+        hit = key[at] == h
+        return hit, np.where(hit, value[at], np.float32(0))
+
+    def mine(self, c: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The places that this shard answers for."""
+        return at if self.shards == 1 else at[shard_of(c[at - 2], c[at - 1], self.shards) == self.number]
+
+    def score(self, c: np.ndarray, at: np.ndarray, start: np.ndarray | np.uint64) -> np.ndarray:
+        """The log-probability of the character at each of its places, backing off where an n-gram wasn't seen."""
+        out = np.zeros(len(at), np.float64)
+        todo, start = np.arange(len(at)), np.broadcast_to(np.asarray(start, np.uint64), at.shape)
+        grams = list(suffixes(c, at, start, ORDER))
+        before = None
+        for o in range(ORDER, -1, -1):
+            if o < ORDER:
+                before = before or list(suffixes(c, at - 1, start, ORDER - 1))
+                out[todo] += self.find(1, before[o][todo])[1]
+            if not o:
+                break
+            hit, value = self.find(0, grams[o][todo])
+            out[todo] += value
+            todo = todo[~hit]
+            if not len(todo):
+                break
+        return out
+
+
+def sharded(scratch: Scratch, model: DataFrame) -> tuple[DataFrame, int]:
+    """(the model's rows as (shard, kind, key, value), the number of shards); rows of shard -1 belong to every shard.
+
+    An n-gram of two characters or one and a history of one or none are needed in
+    every shard; there are at most as many as pairs of characters in a language.
+    """
+    model = scratch.write(model, "model")
+    shards = max(1, -(-model.count() // SHARD))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            langs, grams, kind = (batch.column(c).to_pylist() for c in ("lang", "gram", "kind"))
+            seeds = {x: seed(x) for x in set(langs)}
+            key, shard = np.zeros(batch.num_rows, np.uint64), np.full(batch.num_rows, -1, np.int64)
+            size = np.array([len(g) for g in grams])
+            for n in np.unique(size).tolist():
+                for k in (0, 1):
+                    pick = np.flatnonzero((size == n) & (np.array(kind) == k))
+                    if not len(pick):
+                        continue
+                    c = np.frombuffer("".join(grams[i] for i in pick).encode("utf-32-le"), np.uint32).reshape(len(pick), n)
+                    flat = c.ravel()
+                    last = np.arange(len(pick)) * n + n - 1
+                    *_, key[pick] = suffixes(flat, last, np.array([seeds[langs[i]] for i in pick], np.uint64), n)
+                    if n - 1 + k >= 2:
+                        shard[pick] = shard_of(c[:, n - 3 + k], c[:, n - 2 + k], shards)
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), batch.column("kind"), pa.array(key.view(np.int64)), batch.column("value")], ["shard", "kind", "key", "value"])
+
+    return scratch.write(model.mapInArrow(run, "shard int, kind int, key long, value double"), "shards"), shards
+
+
+def _shards(spark: SparkSession, table: DataFrame, shards: int) -> Iterator:
+    for i in range(shards):
+        yield spark.sparkContext.broadcast(Shard(i, shards, table.where(F.col("shard").isin(-1, i)).select("kind", "key", "value").toArrow()))
 
 
 def base_counts(data: np.ndarray, bounds: np.ndarray, h: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
@@ -242,65 +280,140 @@ def base_counts(data: np.ndarray, bounds: np.ndarray, h: np.ndarray, s: np.ndarr
     return {"n_words": words, "word_chars": lead[bounds[1:]] - lead[bounds[:-1]], "n_symbols": symbols[bounds[1:]] - symbols[bounds[:-1]], "n_dup_lines": lines, "n_repeat_words": repeat}
 
 
-def quality_rules(docs: DataFrame, width: float = 5.0, floor: float = 0.02, foreign: float = 0.03) -> DataFrame:
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def _passes(scratch: Scratch, rows: DataFrame, shards: list, scan) -> DataFrame:
+    """rows after a scan with each shard; after every second one they are written, so that a task holds two shards at most."""
+    for i, shared in enumerate(shards):
+        if i and i % 2 == 0:
+            rows = scratch.write(rows, f"pass-{i}")
+        rows = rows.mapInArrow(scan(shared), rows.schema)
+    return rows
+
+
+def _own(scratch: Scratch, docs: DataFrame, shards: list) -> DataFrame:
+    """doc_id, lang, h, the base counts, n_chars and total, the summed log-probabilities under the model of each text's own language."""
+
+    def scan(shared):
+        def run(batches):
+            shard = shared.value
+            for rows, data, bounds in slices(batches):
+                c, begin = characters(data, bounds)
+                at, text = positions(begin)
+                mine = shard.mine(c, at)
+                whose = text if len(mine) == len(at) else text[np.searchsorted(at, mine)]
+                seeds = np.array([seed(x) for x in rows.column("lang").to_pylist()], np.uint64)
+                out = dict(zip(rows.schema.names, rows.columns, strict=True))
+                out["total"] = pa.array(out["total"].to_numpy() + np.bincount(whose, shard.score(c, mine, seeds[whose]), rows.num_rows))
+                if shard.number == 0:
+                    counts = base_counts(data, bounds, *hash_words(data, bounds, _EXACT)) | {"n_chars": np.diff(begin) - (ORDER - 1)}
+                    out |= {x: pa.array(n, pa.int64()) for x, n in counts.items()}
+                if shard.number == shard.shards - 1:
+                    out["text"] = pa.nulls(rows.num_rows, pa.string())
+                yield pa.RecordBatch.from_pydict(out)
+
+        return run
+
+    rows = docs.withColumn("total", F.lit(0.0)).withColumns({x: F.lit(None).cast("long") for x in (*_COUNTS, "n_chars")})
+    return _passes(scratch, rows, shards, scan).drop("text")
+
+
+def _mixed(scratch: Scratch, docs: DataFrame, shards: list, langs: list[str], window: int, share: float) -> DataFrame:
+    """(h, best): the mean of -log-probability with at most ``share`` of a text's windows, those that gain most, under the one of ``langs`` that suits them best."""
+
+    def scan(shared):
+        def run(batches):
+            shard = shared.value
+            for rows, data, bounds in slices(batches):
+                c, begin = characters(data, bounds)
+                sums = []
+                for i, (own, old) in enumerate(zip(rows.column("lang").to_pylist(), rows.column("sums").to_pylist(), strict=True)):
+                    at = np.arange(begin[i] + ORDER - 1, begin[i + 1])
+                    cell = np.frombuffer(old, np.float32).reshape(-1, len(langs) + 1).copy() if old else np.zeros((-(-len(at) // window), len(langs) + 1), np.float32)
+                    mine = shard.mine(c, at)
+                    for j, lang in enumerate((own, *langs)):
+                        cell[:, j] += np.bincount((mine - at[0]) // window, shard.score(c, mine, seed(lang)), len(cell))
+                    if shard.number < shard.shards - 1:
+                        sums.append(cell.tobytes())
+                        continue
+                    home = cell[:, 0].astype(np.float64)
+                    gain = np.sort(cell.max(1) - home)[::-1][: int(share * len(cell))]
+                    sums.append(np.float64(-(home.sum() + gain.sum()) / len(at)).tobytes())
+                yield rows.set_column(rows.schema.get_field_index("sums"), "sums", pa.array(sums, pa.binary()))
+
+        return run
+
+    def last(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"h": batch.column("h"), "best": pa.array([np.frombuffer(x, np.float64)[0] for x in batch.column("sums").to_pylist()], pa.float64())})
+
+    rows = _passes(scratch, docs.select("h", "lang", "text", F.lit(None).cast("binary").alias("sums")), shards, scan)
+    return rows.mapInArrow(last, "h long, best double").distinct()
+
+
+def _bands(scored: DataFrame, floor: float) -> DataFrame:
+    """(lang, mid, spread): the median log_ppl of the documents that pass the base rules, and 1.4826 times the median distance from it, at least ``floor``."""
+
+    def median(rows: DataFrame, value: str) -> DataFrame:
+        same = Window.partitionBy("lang")
+        rows = rows.withColumn("up", F.sum("n").over(same.orderBy(value))).withColumn("all", F.sum("n").over(same))
+        return rows.where(2 * F.col("up") >= F.col("all")).groupBy("lang").agg(F.min(value).alias("mid"))
+
+    rows = scored.where("not base_failed and log_ppl is not null").groupBy("lang", F.round(F.col("log_ppl") * 1000).cast("long").alias("q")).agg(F.count("*").alias("n"))
+    mid = median(rows, "q")
+    apart = rows.join(mid, "lang").groupBy("lang", F.abs(F.col("q") - F.col("mid")).alias("a")).agg(F.sum("n").alias("n"))
+    spread = median(apart, "a").select("lang", F.greatest(F.lit(floor), 1.4826 * F.col("mid") / 1000).alias("spread"))
+    return mid.join(spread, "lang").select("lang", (F.col("mid") / 1000).alias("mid"), "spread")
+
+
+def quality_rules(docs: DataFrame, under: float = 5.0, over: float = 3.0, floor: float = 0.02, window: int = 64, share: float = 0.5, least: float = 0.001) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_ppl, best_ppl) for each row.
 
     docs: doc_id, text and lang; other columns are ignored.  base_failed: fewer
     than 50 words, or more than half of the words in repeated 3-word windows.
     log_ppl is the mean negative log-probability of a character under the model
     of the document's language, trained on all texts of that language; null
-    languages share the model of ``und``.  A text that is more than ``foreign`` above its
-    language's entropy may hold passages in other languages: best_ppl then has
-    the mean with up to half of its windows of 64 characters, those that gain most,
-    under the model that suits them best, and is null for other texts.  The band of a language is its median
-    plus or minus ``width`` robust deviations (1.4826 times the median absolute
-    deviation, at least ``floor``), both from a histogram of all documents that
-    pass the base rules; a text of n words gets sqrt(1 + 60 / n) of that width.  kept: not base_failed, log_ppl not under the band, and
-    log_ppl or best_ppl not over it.  Null and
-    empty texts have no words, a null log_ppl and are not kept.  Repeated rows
-    count as often as they occur.  An empty table gives no rows.
+    languages share the model of ``und``.  The band of a language reaches from
+    ``under`` robust deviations under its median to ``over`` above it (1.4826 times the
+    median absolute deviation, at least ``floor``), from all documents that pass the
+    base rules; a text of n words gets sqrt(1 + 60 / n) of that width.  A text over
+    its band may quote other languages: best_ppl then has the mean with up to
+    ``share`` of its windows of ``window`` characters, those that gain most, under the
+    model that suits them best of the languages with at least ``least`` of all
+    characters, and is null for other texts.  kept: not base_failed, log_ppl not
+    under the band, and log_ppl or best_ppl not over it.  Null and empty texts have
+    no words, a null log_ppl and are not kept.  Repeated rows count as often as
+    they occur.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "quality")
+    scratch = Scratch(docs.sparkSession, "quality")
     docs = only(docs, doc_id="long", text="string", lang="string")
-    models = spark.sparkContext.broadcast(train(docs))
-    kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "lang": pa.string(), "log_ppl": pa.float64(), "best_ppl": pa.float64()}
-
-    def run(batches):
-        model = models.value
-        for rows, data, bounds in slices(batches):
-            h, s, e, first = hash_words(data, bounds, _EXACT)
-            out = base_counts(data, bounds, h, s, e, first)
-            langs = [named(x) for x in rows.column("lang").to_pylist()]
-            ppl, best = [], []
-            for k, t in zip(langs, rows.column("text").to_pylist(), strict=True):
-                g = grams(t) if t else None
-                ppl.append(float(-log_probabilities(model, k, g).mean(dtype=np.float64)) if t else None)
-                best.append(-mixed_score(model, k, g) if t and ppl[-1] > model[k].entropy * (1 + foreign) else None)
-            out |= {"doc_id": rows.column("doc_id"), "lang": langs, "log_ppl": ppl, "best_ppl": best}
-            yield pa.RecordBatch.from_arrays([x if isinstance(x := out[c], pa.Array) else pa.array(x, t) for c, t in kinds.items()], list(kinds))
-
-    scored = docs.mapInArrow(run, ", ".join(f"{c} {({pa.string(): 'string', pa.float64(): 'double'}).get(t, 'long')}" for c, t in kinds.items()))
-    scored = scored.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
-    scored = scratch.write(scored, "scored")
-    histogram = scored.where("not base_failed").groupBy("lang", F.round(F.col("log_ppl") * 1000).cast("int").alias("q")).count().collect()
-    bands = []
-    for k in sorted({r["lang"] for r in histogram}):
-        part = sorted((r["q"] / 1000, r["count"]) for r in histogram if r["lang"] == k)
-        value, n = np.array([v for v, _ in part]), np.array([c for _, c in part])
-        mid = value[np.searchsorted(np.cumsum(n), n.sum() / 2)]
-        apart = np.abs(value - mid)
-        order = np.argsort(apart, kind="stable")
-        spread = max(floor, 1.4826 * float(apart[order][np.searchsorted(np.cumsum(n[order]), n.sum() / 2)]))
-        bands.append((k, float(mid), float(width * spread)))
-    mid = F.coalesce(*(F.when(F.col("lang") == k, F.lit(m)) for k, m, _ in bands)) if bands else F.lit(0.0)
-    reach = F.coalesce(*(F.when(F.col("lang") == k, F.lit(w)) for k, _, w in bands)) if bands else F.lit(0.0)
-    reach = reach * F.sqrt(1 + 60 / F.greatest(F.col("n_words"), F.lit(1)))
-    kept = ~F.col("base_failed") & F.coalesce((F.col("log_ppl") >= mid - reach) & (F.coalesce("best_ppl", "log_ppl") <= mid + reach), F.lit(False))
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "log_ppl", "best_ppl")
+    docs = docs.select("doc_id", F.coalesce("lang", F.lit(named(None))).alias("lang"), F.xxhash64("doc_id", "text", "lang").alias("h"), "text")
+    model = train(scratch, docs)
+    table, count = sharded(scratch, model)
+    shards = list(_shards(docs.sparkSession, table, count))
+    scored = _own(scratch, docs, shards)
+    scored = scored.withColumn("log_ppl", F.when(F.col("n_chars") > 0, -F.col("total") / F.col("n_chars")))
+    scored = scratch.write(scored.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")), "scored")
+    bands = scratch.write(_bands(scored, floor), "bands")
+    wide = F.sqrt(1 + 60 / F.greatest(F.col("n_words"), F.lit(1))) * F.col("spread")
+    judged = scored.join(bands, "lang", "left").withColumns({"low": F.col("mid") - under * wide, "high": F.col("mid") + over * wide})
+    above = scratch.write(judged.where("not base_failed and log_ppl > high").select("h").distinct(), "above")
+    chars = scored.groupBy("lang").agg(F.sum("n_chars").alias("n"))
+    total = chars.agg(F.sum("n")).first()[0] or 0
+    langs = sorted(r[0] for r in chars.where(F.col("n") >= least * total).select("lang").collect())
+    best = scratch.write(_mixed(scratch, keep_ids(docs, above, key="h"), shards, langs, window, share), "best")
+    judged = judged.join(best.withColumnRenamed("best", "best_ppl"), "h", "left")
+    kept = ~F.col("base_failed") & F.coalesce((F.col("log_ppl") >= F.col("low")) & (F.coalesce("best_ppl", "log_ppl") <= F.col("high")), F.lit(False))
+    return judged.select("doc_id", *_COUNTS, "base_failed", kept.alias("kept"), "log_ppl", "best_ppl")
 
 
 def quality_stage(docs: DataFrame, **options) -> DataFrame:
-    """docs without those that the rules reject; all columns stay."""
+    """docs without those that the rules reject; all columns stay.
+
+    Of rows with one doc_id all go when one is rejected; rows without an id stay,
+    as nothing can name them; null, empty and short texts are rejected.  Repeated
+    rows are judged alike.  An empty table gives an empty one.
+    """
     bad = quality_rules(docs, **options).where("not kept").select("doc_id").distinct()
     return keep_ids(docs, Scratch(docs.sparkSession, "quality-drop").write(bad, "ids"), "left_anti")
