@@ -1,5 +1,7 @@
 """Operators against hand-made rows and the reference's invariants."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,13 +205,29 @@ def test_objective(spark):
 
 
 def test_governance(spark, tmp_path):
-    numbers = {"search_delta": 0.1, "search_scale": 1.0, "responsibility_delta": 0.05, "responsibility_scale_search": 0.6, "responsibility_scale_answer": 0.2, "lambda_max": 0.1}
+    numbers = dict.fromkeys(governance.NUMBERS, 0.1)
     source = {"a": 1}
     doc, _ = governance.freeze(numbers, {"s": source}, {"s": governance.document_hash(source)})
-    assert governance.validate_method(doc) == numbers
-    for bad in ({"control_count": 4}, {"lambda_max": 0.3}, {"search_scale": float("nan")}, {"search_delta": True}):
+    assert governance.validate_method(doc) == numbers | {"local_objective.warmup_outer_steps": 30.0}
+    altered = {}
+    for path, value in (governance.PINNED | numbers).items():
+        other = json.loads(json.dumps(doc))
+        *head, last = path.split(".")
+        at = other
+        for part in head:
+            at = at[part]
+        at[last] = (not value) if isinstance(value, bool) else value + "x" if isinstance(value, str) else -1
+        if path not in governance.PINNED and path.endswith("delta"):
+            at[last] = "x"
+        altered[path] = other
+    altered |= {"legacy.old": doc | {"legacy": {"old": True}}, "metadata.more": doc | {"metadata": doc["metadata"] | {"more": 1}}, "legacy": {k: v for k, v in doc.items() if k != "legacy"}}
+    for path, other in altered.items():
+        assert governance.method_faults(other) == [path]
         with pytest.raises(checks.CheckFailed):
-            governance.validate_method(doc | bad)
+            governance.validate_method(other)
+    told = [(p, json.dumps(x)) for p, x in altered.items() if not p.startswith("legacy") and p != "metadata.more"] + [("fine", json.dumps(doc))]
+    found = governance.method_findings(spark.createDataFrame(told, "document_id string, document string")).collect()
+    assert sorted((r.document_id, r.path) for r in found) == sorted((p, p) for p, _ in told if p != "fine")
     with pytest.raises(checks.CheckFailed):
         governance.freeze(numbers, {"s": source}, {"s": "0"})
     (tmp_path / "f").write_bytes(b"x")
@@ -222,11 +240,51 @@ def test_governance(spark, tmp_path):
     for bad in ("../f", "/f", ""):
         with pytest.raises(checks.CheckFailed):
             governance.safe_relative(bad)
-    healthy = dict.fromkeys(governance.HEALTH, 1.0)
-    governance.step_health(healthy, 1)
-    for bad in ({"loss": float("nan")}, {"gradient_norm": 0.0}, {"rows": 2.0}):
-        with pytest.raises(checks.CheckFailed):
-            governance.step_health(healthy | bad, 1)
+
+
+def test_step_health(spark):
+    fine = dict.fromkeys(governance.HEALTH, 1.0) | {"urcr_v4/original_trajectory_count": 8.0, "other": float("nan")}
+
+    def findings(step, **changed):
+        rows = [(step, m, x) for m, x in (fine | {k.replace("__", "/"): v for k, v in changed.items()}).items() if x is not None]
+        return [(r.metric, r.finding) for r in governance.health_findings(spark.createDataFrame(rows, "global_step int, metric string, value double"), 8).collect()]
+
+    assert findings(1) == [] and findings(1, actor__lr=0.0) == []
+    assert findings(2, actor__lr=0.0) == [("actor/lr", "not_positive")]
+    assert findings(1, actor__lr=-1.0) == [("actor/lr", "not_positive")]
+    assert findings(1, actor__pg_loss=float("nan")) == [("actor/pg_loss", "not_finite")]
+    assert findings(1, actor__kl_loss=None) == [("actor/kl_loss", "missing")]
+    assert findings(1, actor__grad_norm=0.0) == [("actor/grad_norm", "not_positive")]
+    assert findings(1, urcr_v4__lambda_effective=0.0) == [("urcr_v4/lambda_effective", "not_positive")]
+    assert findings(1, urcr_v4__original_trajectory_count=9.0) == [("urcr_v4/original_trajectory_count", "other_count")]
+    with pytest.raises(checks.CheckFailed):
+        governance.step_health(spark.createDataFrame([(1, "actor/lr", 1.0)], "global_step int, metric string, value double"), 8)
+
+
+def test_population_findings(spark):
+    entry = "batch_index int, batch_count int, selected_rows array<int>, manifest_rows array<int>, question_ids array<string>, data_sha256 string, found_sha256 string"
+    kind = "batch_index int, artifact string, pass boolean, temperature double, world_size int, scorer_micro_batch_size_per_gpu int, model string, question_group_count int, original_trajectory_count int, optimizer_update_executed boolean, calibration_batch_index int, method_revision string, reference_sha256 string, observed_questions array<string>"
+    names = [c.split()[0] for c in kind.split(", ")]
+    entries = [(i, 3, [2 * i, 2 * i + 1], [2 * i, 2 * i + 1], [f"q{i}", f"p{i}"], "h", "h") for i in (1, 2, 3)]
+    documents = [(i, "urcr_v4_s150_frozen_calibration", True, 1.0, 4, 32, "m", 128, 1024, False, i, "r", "n", [f"q{i}"]) for i in (1, 2, 3)]
+
+    def findings(entries=entries, documents=documents):
+        out = governance.population_findings(spark.createDataFrame(entries, entry), spark.createDataFrame(documents, kind), "m").collect()
+        return sorted((r.batch_index, r.finding) for r in out)
+
+    assert findings() == []
+    for name, value, finding in [
+        ("artifact", "x", "other_artifact"), ("pass", False, "other_pass"), ("temperature", 0.5, "other_temperature"), ("world_size", 2, "other_world_size"), ("scorer_micro_batch_size_per_gpu", 16, "other_scorer_micro_batch_size_per_gpu"),
+        ("model", "x", "other_model"), ("question_group_count", 1, "other_question_group_count"), ("original_trajectory_count", 1, "other_original_trajectory_count"), ("optimizer_update_executed", True, "other_optimizer_update_executed"),
+        ("calibration_batch_index", 9, "other_batch_index"), ("method_revision", "x", "other_revision"), ("reference_sha256", "x", "other_reference"), ("observed_questions", ["z"], "unexpected_question"),
+    ]:
+        changed = list(documents[1])
+        changed[names.index(name)] = value
+        assert findings(documents=[documents[0], tuple(changed), documents[2]]) == [(2, finding)]
+    shift = lambda at, value: [entries[0], (*entries[1][:at], value, *entries[1][at + 1 :]), entries[2]]
+    assert findings(shift(6, None)) == [(2, "changed_data")] and findings(shift(3, [0])) == [(2, "other_manifest")]
+    assert findings(shift(4, ["q1", "q2"])) == [(1, "shared_question"), (2, "shared_question")]
+    assert findings(entries[:2], documents[:2]) == [(3, "missing_index")]
 
 
 def test_prepare_batches(spark):

@@ -33,17 +33,17 @@ def collapse_space(text: Column) -> Column:
 
 
 def fbeta_scores(pairs: DataFrame, key: str, prediction: str, target: str, beta: float = 0.5) -> DataFrame:
-    """(key, overlap, n_prediction, n_target, fbeta) of two text columns, by counts of each word.
+    """(key, overlap, n_prediction, n_target, fbeta) of two text columns, by counts of each word; key names a pair.
 
     The overlap is that of multisets: a word counts as often as on the side with
-    fewer.  Words are counted before the shuffle, so a long text is a row for
-    each different word.
+    fewer.  Both texts are split and spread out once, and words are counted before
+    the shuffle, so a long text is a row for each different word.
     """
-    side = lambda c, p, t: pairs.select(key, F.explode(answer_words(F.col(c))).alias("w"), F.lit(p).alias("p"), F.lit(t).alias("t"))
-    words = side(prediction, 1, 0).unionByName(side(target, 0, 1)).groupBy(key, "w").agg(F.sum("p").alias("p"), F.sum("t").alias("t"))
-    found = words.groupBy(key).agg(F.sum(F.least("p", "t")).alias("overlap"), F.sum("p").alias("n_prediction"), F.sum("t").alias("n_target"))
-    out = pairs.select(key).join(found, key, "left").select(key, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("overlap", "n_prediction", "n_target")))
-    return out.withColumn("fbeta", fbeta(F.col("overlap"), F.col("n_prediction"), F.col("n_target"), beta))
+    side = lambda c, p, t: F.transform(answer_words(F.col(c)), lambda w: F.struct(w.alias("w"), F.lit(p).alias("p"), F.lit(t).alias("t")))
+    words = pairs.select(key, F.explode_outer(F.concat(side(prediction, 1, 0), side(target, 0, 1))).alias("x"))
+    words = words.groupBy(key, "x.w").agg(F.sum("x.p").alias("p"), F.sum("x.t").alias("t"))
+    found = words.groupBy(key).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in ((F.least("p", "t"), "overlap"), ("p", "n_prediction"), ("t", "n_target"))))
+    return found.withColumn("fbeta", fbeta(F.col("overlap"), F.col("n_prediction"), F.col("n_target"), beta))
 
 
 def fbeta(overlap: Column, n_prediction: Column, n_target: Column, beta: float = 0.5) -> Column:
@@ -168,6 +168,17 @@ def request_key(row: dict[str, Column]) -> Column:
     return F.sha2(F.to_json(F.struct(*(row[k].alias(k) for k in sorted(row)))), 256)
 
 
+def scorer_key(row: dict[str, Column] | None = None) -> Column:
+    """The key of a teacher-forced request, from its columns or those given: equal keys have one score.
+
+    Of the input only what stands before the target counts, as the target is a field of its own.
+    """
+    names = ("actor_snapshot_id", "comparison_group_id", "attention_mask", "position_ids", "target_ids", "target_positions", "predictor_positions", "blocked_key_positions", "probe_version")
+    given = {n: F.col(n) for n in (*names, "input_ids")} | (row or {})
+    prefix = F.slice(given["input_ids"], F.lit(1), F.coalesce(F.get(given["target_positions"], F.lit(0)), F.lit(0)))
+    return request_key({n: given[n] for n in names} | {"prefix_ids": prefix})
+
+
 def effective_lambda(lambda_max: Column | float, step: Column, warmup: int = 30) -> Column:
     return F.lit(lambda_max) * (F.lit(1.0) if warmup == 0 else F.least(step / warmup, F.lit(1.0)))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnledger.functions import scalars
 from turnledger.operators import answers, checks
-from turnledger.schema import ANSWER_ALPHA, SEARCH_CAP, TRAJECTORY_BUDGET, VIEWS
+from turnledger.schema import ANSWER_ALPHA, CHANNELS, SEARCH_CAP, TRAJECTORY_BUDGET, VIEWS
 
 
 def view_means(scored: DataFrame) -> DataFrame:
@@ -149,3 +149,41 @@ def step_metrics(turns: DataFrame, credits: DataFrame) -> DataFrame:
     }
     sums = [F.sum(F.when(own & (kind == k), mass).otherwise(0.0)).alias(f"{k}_mass") for k in ("search", "answer")]
     return live.agg(*(F.count_if(v).alias(k) for k, v in counts.items()), F.count_distinct(F.when(own, F.col("trajectory_id"))).alias("trajectories"), *sums, F.max("search_cap_scale").alias("largest_cap_scale"), F.min("search_cap_scale").alias("smallest_cap_scale"))
+
+
+# Names that a step's metrics have, less their common prefix.
+METRIC_PREFIX = "urcr_v4/"
+
+
+def training_metrics(turns: DataFrame, utilities: DataFrame, responsibilities: DataFrame, reasons: DataFrame, spans: DataFrame, masses: DataFrame, search_items: DataFrame, responsibility_items: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """(metric, value) of a training step, one aggregate over each table.
+
+    turns: TURN rows; utilities: turn_id, action_type, utility; responsibilities:
+    turn_id, action_type, rho; reasons: turn_id, zero_reason of those without a
+    responsibility; spans: channel, coefficient; masses: trajectory_id, raw_mass,
+    capped_mass; items: requests with comparison_group_id; groups: the selected
+    question groups, none counting as 0.
+    """
+    own = checks.originals(turns)
+    kind, u, rho, c = F.col("action_type"), F.col("utility"), F.col("rho"), F.coalesce(F.col("coefficient").cast("double"), F.lit(0.0))
+    boundary_only = F.col("valid_action") & (F.size("action_boundary_positions") > 0) & (F.size("action_content_positions") == 0)
+    tables = [
+        (own, {"original_turn_row_count": F.count("*"), "original_trajectory_count": F.count_distinct("trajectory_id"), "boundary_only_action_count": F.count_if(boundary_only), "no_think_valid_action_count": F.count_if(F.col("valid_action") & (F.size("think_chunks") == 0))}),
+        (utilities, {"search_utility_positive_count": F.count_if((kind == "search") & (u > 0)), "search_utility_negative_count": F.count_if((kind == "search") & (u < 0)), "search_zero_reason_count": F.count_if((kind == "search") & (u == 0)),
+                     "action_utility_positive_count": F.count_if(u > 0), "action_utility_negative_count": F.count_if(u < 0), "action_utility_zero_count": F.count_if(u == 0)}),
+        (responsibilities, {"responsibility_positive_count": F.count_if(rho > 0), "search_responsibility_positive_count": F.count_if((kind == "search") & (rho > 0)), "answer_responsibility_positive_count": F.count_if((kind == "answer") & (rho > 0))}),
+        (reasons, {"responsibility_zero_reason_count": F.count("*")}),
+        (spans, {"local_nonzero_span_count": F.count_if(c != 0), "local_absolute_coefficient_sum": F.sum(F.abs(c))} | {f"{n}_span_count": F.count_if((F.col("channel") == i) & (c != 0)) for n, i in CHANNELS.items()} | {f"{n}_absolute_mass": F.sum(F.when(F.col("channel") == i, F.abs(c))) for n, i in CHANNELS.items()}),
+        (masses, {"trajectory_cap_active_count": F.count_if(F.col("capped_mass") < F.col("raw_mass"))}),
+        (search_items, {"search_bundle_count": F.count_distinct("comparison_group_id"), "search_item_count": F.count("*")}),
+        (responsibility_items, {"responsibility_bundle_count": F.count_distinct("comparison_group_id"), "responsibility_item_count": F.count("*")}),
+    ]
+    if groups is not None:
+        tables.append((groups, {"selected_question_group_count": F.count("*")}))
+    out = reasons.groupBy("zero_reason").agg(F.count("*").cast("double").alias("value")).select(F.concat(F.lit(f"{METRIC_PREFIX}responsibility_zero_reason/"), "zero_reason").alias("metric"), "value")
+    if groups is None:
+        out = out.unionByName(turns.sparkSession.createDataFrame([(f"{METRIC_PREFIX}selected_question_group_count", 0.0)], "metric string, value double"))
+    for rows, values in tables:
+        one = rows.agg(*(F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in values.items()))
+        out = out.unionByName(one.select(F.explode(F.create_map(*(x for k in values for x in (F.lit(METRIC_PREFIX + k), F.col(k))))).alias("metric", "value")))
+    return out

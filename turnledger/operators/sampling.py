@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnledger.functions.scalars import hash_order
+from turnledger.operators.checks import CheckFailed
 from turnledger.schema import REVISION
 
 
@@ -49,11 +50,18 @@ def active_then_shadow(rows: DataFrame, limit: int) -> DataFrame:
 def interleaved_layout(rows: DataFrame, target: int, micro: int, order: str = "ordinal") -> DataFrame:
     """(block, place, row_index, is_original): rows dealt round-robin over target / micro blocks.
 
-    A block that isn't full repeats its first row.  ``order`` numbers the rows from 0.
+    A block that isn't full repeats its first row.  ``order`` numbers the rows from
+    0.  Raises for a row that is repeated or negative, for more rows than
+    ``target`` and for fewer than blocks.
     """
-    if target % micro:
+    if target <= 0 or micro <= 0 or target % micro:
         raise ValueError("rows must divide into microbatches")
     blocks = target // micro
+    seen = rows.agg(F.count("*").alias("n"), F.count_distinct("row_index").alias("distinct"), F.min("row_index").alias("least")).first()
+    if seen.n != seen.distinct or (seen.n and seen.least < 0):
+        raise CheckFailed("row indices have to be distinct and not negative")
+    if not blocks <= seen.n <= target:
+        raise CheckFailed(f"{seen.n} rows don't make {blocks} blocks of at most {micro}")
     dealt = rows.select("row_index", F.pmod(F.col(order), F.lit(blocks)).cast("int").alias("block"), F.floor(F.col(order) / blocks).cast("int").alias("place"))
     real = dealt.select("block", "place", "row_index", F.lit(True).alias("is_original"))
     held = dealt.groupBy("block").agg(F.count("*").alias("n"), F.min_by("row_index", "place").alias("row_index"))

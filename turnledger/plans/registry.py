@@ -5,15 +5,17 @@ Doubles are rounded on both sides, since sums depend on the order of rows.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnledger.functions import scalars, spans
-from turnledger.operators import answers, calibration, checks, controls, credits, objective, requests, sampling, turns
+from turnledger.operators import answers, calibration, checks, controls, credits, governance, objective, requests, sampling, turns
 from turnledger.plans import proxies
-from turnledger.schema import REVISION
+from turnledger.schema import PROBE_VERSION, REVISION, ROLLOUT
+from turnledger.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -56,10 +58,11 @@ def w1_answer_residual(spark, d):
 _WORDS = r"list_filter(string_split_regex(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), lambda w: w <> '' AND w NOT IN ('a', 'an', 'the'))"
 
 
-@_query(f"""WITH p AS (SELECT doc_id, {_WORDS.format("d.text")} AS x, {_WORDS.format("b.text")} AS y FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
-a AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(x) AS w FROM p) GROUP BY ALL), b AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(y) AS w FROM p) GROUP BY ALL),
-o AS (SELECT doc_id, sum(least(a.n, b.n)) AS o FROM a JOIN b USING (doc_id, w) GROUP BY doc_id)
-SELECT doc_id, CAST(coalesce(o, 0) AS BIGINT) AS overlap, CAST(len(x) AS BIGINT) AS n_prediction, CAST(len(y) AS BIGINT) AS n_target, round(CASE WHEN coalesce(o, 0) = 0 THEN 0 ELSE 1.25 * (o / len(x)) * (o / len(y)) / (0.25 * (o / len(x)) + o / len(y)) END, 6) AS fbeta FROM p LEFT JOIN o USING (doc_id)""")
+@_query(f"""WITH n AS (SELECT count(*) AS c FROM benchmark), d AS MATERIALIZED (SELECT doc_id, doc_id % c AS k, {_WORDS.format("text")} AS x FROM documents, n), b AS MATERIALIZED (SELECT item_id, {_WORDS.format("text")} AS y FROM benchmark),
+p AS MATERIALIZED (SELECT doc_id, item_id, len(x) AS nx, len(y) AS ny FROM d JOIN b ON item_id = k),
+u AS MATERIALIZED (SELECT doc_id, k, w, count(*) AS n FROM (SELECT doc_id, k, unnest(x) AS w FROM d) GROUP BY ALL), v AS MATERIALIZED (SELECT item_id, w, count(*) AS m FROM (SELECT item_id, unnest(y) AS w FROM b) GROUP BY ALL),
+o AS (SELECT doc_id, sum(least(n, m)) AS o FROM u JOIN v ON v.item_id = u.k AND v.w = u.w GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(o, 0) AS BIGINT) AS overlap, CAST(nx AS BIGINT) AS n_prediction, CAST(ny AS BIGINT) AS n_target, round(CASE WHEN coalesce(o, 0) = 0 THEN 0 ELSE 1.25 * (o / nx) * (o / ny) / (0.25 * (o / nx) + o / ny) END, 6) AS fbeta FROM p LEFT JOIN o USING (doc_id)""")
 def f1_word_fbeta(spark, d):
     items = proxies.table(spark, d, "benchmark")
     n = items.agg(F.count("*").alias("n_items"))
@@ -133,10 +136,11 @@ def f7_f8_routed_credit(spark, d):
 # scalar functions over texts
 
 
-@_query("""SELECT p.doc_id, b.item_id, length(b.text) > 0 AND p.n_chars > 0 AND length(b.text) / p.n_chars::DOUBLE BETWEEN 0.75 AND 1.25 AS near FROM documents p JOIN benchmark b ON b.item_id = p.doc_id""")
+@_query("""WITH n AS (SELECT count(*) AS c FROM benchmark) SELECT p.doc_id, b.item_id, length(b.text) > 0 AND p.n_chars > 0 AND length(b.text) / p.n_chars::DOUBLE BETWEEN 0.75 AND 1.25 AS near FROM documents p, n JOIN benchmark b ON b.item_id = p.doc_id % n.c""")
 def f9_near_length(spark, d):
-    rows = proxies.table(spark, d, "documents").join(proxies.table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "item_id", F.length("text").alias("n")), "doc_id")
-    return rows.select("doc_id", "item_id", scalars.near_length(F.col("n_chars"), F.col("n")).alias("near"))
+    items = proxies.table(spark, d, "benchmark").select("item_id", F.length("text").alias("n"))
+    docs = proxies.table(spark, d, "documents").select("doc_id", "n_chars").join(F.broadcast(items.agg(F.count("*").alias("c"))))  # one row
+    return docs.withColumn("item_id", F.pmod("doc_id", "c")).join(items, "item_id").select("doc_id", "item_id", scalars.near_length(F.col("n_chars"), F.col("n")).alias("near"))
 
 
 @_query(r"""WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS p FROM conversations),
@@ -149,10 +153,16 @@ def f10_j9_exact_repeat(spark, d):
     return both.select("conv_id", "turn", scalars.exact_repeat(F.col("p"), F.col("q")).alias("repeat"))
 
 
-@_query(r"""WITH p AS (SELECT page_id, regexp_extract_all(html, '(?is)<p.*?</p>') AS b FROM pages) SELECT page_id, CAST(len(b) AS INTEGER) AS blocks, sha256(array_to_string(b, '|')) AS digest FROM p""")
-def f11_blocks(spark, d):
-    b = F.regexp_extract_all("html", F.lit(r"(?is)<p.*?</p>"), F.lit(0))
-    return proxies.table(spark, d, "pages").select("page_id", b.alias("b")).select("page_id", F.size("b").alias("blocks"), F.sha2(F.array_join("b", "|"), 256).alias("digest"))
+@_query(r"""WITH w AS (SELECT page_id, regexp_replace(html, '(?is)<p[^>]*>(.*?)</p>', chr(10) || '<documents>' || chr(10) || 'Doc 1: \1' || chr(10) || 'Doc 2: x' || chr(10) || '</documents>', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_extract_all(t, '(?is)<documents>.*?</documents>') AS b FROM w),
+e AS (SELECT page_id, list_transform(b, lambda x: (string_split_regex(chr(10) || regexp_replace(x, '(?i)</?documents>', '', 'g'), '\n\s*Doc [0-9]+:'))[2:]) AS e, len(b) AS n FROM b),
+q AS (SELECT page_id, n, list_filter(list_transform(flatten(e), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS q FROM e)
+SELECT page_id, CAST(n AS INTEGER) AS blocks, CAST(len(q) AS INTEGER) AS passages, sha256(array_to_string(q, '|')) AS digest FROM q""")
+def f11_j9_blocks(spark, d):
+    text = F.regexp_replace("html", r"(?is)<p[^>]*>(.*?)</p>", "\n<documents>\nDoc 1: $1\nDoc 2: x\n</documents>")
+    rows = proxies.table(spark, d, "pages").select("page_id", text.alias("t"))
+    rows = rows.select("page_id", scalars.document_blocks(F.col("t")).alias("b"), scalars.visible_passages(F.col("t")).alias("q"))
+    return rows.select("page_id", F.size("b").alias("blocks"), F.size("q").alias("passages"), F.sha2(F.array_join("q", "|"), 256).alias("digest"))
 
 
 @_query("""SELECT conv_id, turn, sha256(CASE WHEN trim(text) = '' THEN '<documents></documents>' WHEN lower(trim(text)) LIKE '<documents>%' AND lower(trim(text)) LIKE '%</documents>' THEN trim(text) ELSE '<documents>' || trim(text) || '</documents>' END) AS slot FROM conversations""")
@@ -165,9 +175,15 @@ def f13_question_id(spark, d):
     return proxies.table(spark, d, "documents").select("doc_id", scalars.question_id(F.col("source"), F.col("lang"), F.col("doc_id")).alias("question_id"))
 
 
-@_query()
+_KEYED = "SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS request_id, CAST(conv_id AS VARCHAR) AS g, length(text) % 5 + 2 AS c, length(text) % 3 + 1 AS t FROM conversations"
+
+
+@_query(f"""WITH k AS ({_KEYED}), f AS (SELECT *, c + 1 + t AS n, '[' || array_to_string(range(1, c + 1), ',') || ',9]' AS prefix, '[' || array_to_string(range(1, t + 1), ',') || ']' AS target FROM k)
+SELECT request_id, sha256('{{"actor_snapshot_id":"a","attention_mask":[' || array_to_string(list_transform(range(n), lambda i: 1), ',') || '],"blocked_key_positions":[0,1],"comparison_group_id":"' || g || '","position_ids":[' || array_to_string(range(n), ',')
+  || '],"predictor_positions":[' || array_to_string(range(c, n - 1), ',') || '],"prefix_ids":' || prefix || ',"probe_version":"{PROBE_VERSION}","target_ids":' || target || ',"target_positions":[' || array_to_string(range(c + 1, n), ',') || ']}}') AS cache_key FROM f""")
 def f14_request_key(spark, d):
-    return proxies.scores(spark, d).select("request_id", scalars.request_key({"group": F.col("turn_id"), "view": F.col("view"), "score": F.col("score")}).alias("cache_key"))
+    rows = _forced(spark, d).withColumn("comparison_group_id", F.col("batch_id"))
+    return rows.select("request_id", scalars.scorer_key({"actor_snapshot_id": F.lit("a"), "probe_version": F.lit(PROBE_VERSION)}).alias("cache_key"))
 
 
 @_query("""SELECT event_id, round(0.12 * least(user_id / 30.0::DOUBLE, 1.0), 6) AS lambda_now FROM events""")
@@ -340,11 +356,12 @@ def t7_active_then_shadow(spark, d):
     return sampling.active_then_shadow(proxies.turns(spark, d), 64).select("turn_id", "action_type", "is_zero_utility_shadow")
 
 
-@_query("""WITH r AS (SELECT p_partkey AS row_index, row_number() OVER (ORDER BY p_partkey) - 1 AS o FROM part WHERE p_partkey < 100), d AS (SELECT row_index, o % 16 AS block, o // 16 AS place FROM r), h AS (SELECT block, count(*) AS n, min_by(row_index, place) AS row_index FROM d GROUP BY block)
+@_query("""WITH r AS (SELECT p_partkey AS row_index, row_number() OVER (ORDER BY p_partkey) - 1 AS o, (count(*) OVER () + 7) // 8 AS blocks FROM part), d AS (SELECT row_index, o % blocks AS block, o // blocks AS place FROM r), h AS (SELECT block, count(*) AS n, min_by(row_index, place) AS row_index FROM d GROUP BY block)
 SELECT CAST(block AS INTEGER) AS block, CAST(place AS INTEGER) AS place, row_index, TRUE AS is_original FROM d UNION ALL SELECT CAST(block AS INTEGER), CAST(unnest(range(n, 8)) AS INTEGER), row_index, FALSE FROM h WHERE n < 8""")
 def t10_interleaved_layout(spark, d):
-    rows = proxies.table(spark, d, "part").where("p_partkey < 100").select(F.col("p_partkey").alias("row_index"), F.col("p_partkey").alias("ordinal"))
-    return sampling.interleaved_layout(rows, 128, 8)
+    parts = proxies.table(spark, d, "part").select(F.col("p_partkey").alias("row_index"))
+    first = parts.agg(F.min("row_index")).first()[0]  # keys are consecutive
+    return sampling.interleaved_layout(parts.withColumn("ordinal", F.col("row_index") - first), -(-parts.count() // 8) * 8, 8)
 
 
 @_query("""WITH n AS (SELECT count(*) AS c FROM supplier) SELECT s_suppkey, FALSE AS is_adjustment_copy FROM supplier UNION ALL
@@ -361,9 +378,7 @@ def t12_take_rows(spark, d):
 
 @_query("SELECT turn_id FROM (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS turn_id FROM conversations) ORDER BY sha256('turn-sample|' || turn_id) LIMIT 8")
 def s7_sampled_turns(spark, d):
-    from turnledger.sources.tables import sampled_turns
-
-    return sampled_turns(proxies.turns(spark, d).select("turn_id"), 3, (1, 2))
+    return tables.sampled_turns(proxies.turns(spark, d).select("turn_id"), 3, (1, 2))
 
 
 # requests
@@ -384,13 +399,13 @@ def w6_j8_first_wins(spark, d):
     return out.join(keyed.select("request_id", "representative_request_id"), "request_id").select("request_id", "representative_request_id", "score")
 
 
-@_query("""WITH g AS (SELECT CAST(l_orderkey % 10 AS VARCHAR) AS queue, l_orderkey AS g, CAST(max(l_quantity) AS BIGINT) AS width, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS tokens FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY ALL) SELECT queue, CAST(g AS VARCHAR) AS comparison_group_id, width, n, tokens, CAST(row_number() OVER (PARTITION BY queue ORDER BY width DESC, CAST(g AS VARCHAR)) - 1 AS INTEGER) AS position FROM g""")
+@_query("""WITH g AS (SELECT CAST(l_orderkey % 10 AS VARCHAR) AS queue, l_orderkey AS g, CAST(max(l_quantity) AS BIGINT) AS width, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS tokens FROM lineitem GROUP BY ALL) SELECT queue, CAST(g AS VARCHAR) AS comparison_group_id, width, n, tokens, CAST(row_number() OVER (PARTITION BY queue ORDER BY width DESC, CAST(g AS VARCHAR)) - 1 AS INTEGER) AS position FROM g""")
 def t8_length_buckets(spark, d):
-    return requests.length_buckets(_items(spark, d, "l_orderkey % 5 = 0")).select("queue", "comparison_group_id", "width", "n", "tokens", "position")
+    return requests.length_buckets(_items(spark, d)).select("queue", "comparison_group_id", "width", "n", "tokens", "position")
 
 
-def _items(spark: SparkSession, d: str, chosen: str = "true") -> DataFrame:
-    rows = proxies.table(spark, d, "lineitem").where(chosen)
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    rows = proxies.table(spark, d, "lineitem")
     return rows.select((F.col("l_orderkey") % 10).cast("string").alias("queue"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("request_id"), F.col("l_orderkey").cast("string").alias("comparison_group_id"), F.col("l_quantity").cast("long").alias("length"))
 
 
@@ -592,9 +607,9 @@ def a15_cost_summary(spark, d):
     return calibration.cost_summary(proxies.table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"]).select("key", "n", _r("total", 1).alias("total"), _r("median", 3).alias("median"), _r("p95", 3).alias("p95"))
 
 
-@_query("SELECT source AS data_source, count(*) AS count FROM documents GROUP BY source HAVING count(*) <> 50")
+@_query("SELECT lang AS data_source, count(*) AS count FROM documents GROUP BY lang HAVING count(*) <> 150")
 def a20_unbalanced(spark, d):
-    return checks.unbalanced(proxies.table(spark, d, "documents").select(F.col("source").alias("data_source")), 50)
+    return checks.unbalanced(proxies.table(spark, d, "documents").select(F.col("lang").alias("data_source")), 150)
 
 
 # sets
@@ -610,9 +625,9 @@ def u2_shared_rows(spark, d):
     return checks.shared_rows(proxies.table(spark, d, "events"), ["user_id"], "event_type")
 
 
-@_query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@_query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def u3_p15_not_contained(spark, d):
-    return checks.not_contained(proxies.table(spark, d, "customer"), proxies.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return checks.not_contained(proxies.table(spark, d, "documents").select("doc_id"), proxies.table(spark, d, "labels"), ["doc_id"])
 
 
 @_query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
@@ -728,14 +743,172 @@ def p2_p13_p14_forbidden_fields(spark, d):
     return spark.createDataFrame([(name, len(checks.forbidden_paths(kind))) for name, kind in kinds.items()], "name string, forbidden int")
 
 
-@_query("""SELECT doc_id, text IS NULL AS gone FROM documents""")
-def s1_s2_parquet_round_trip(spark, d):
+# sources
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; only a local master has one of its own."""
     import tempfile
     import uuid
 
-    from turnledger.sources import tables
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a shared folder")
+        root = f"file://{tempfile.mkdtemp()}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    path = f"{root.rstrip('/')}/round-trip-{uuid.uuid4().hex}"
+@_query("""SELECT doc_id, text IS NULL AS gone FROM documents""")
+def s1_s2_parquet_round_trip(spark, d):
+    path = _folder(spark, "round-trip")
     tables.write_parquet(proxies.table(spark, d, "documents").select("doc_id", F.col("text").isNull().alias("gone")), path)
     return tables.read_parquet(spark, path)
+
+
+@_query("SELECT lang, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents GROUP BY lang")
+def s8_partitioned_files(spark, d):
+    path = _folder(spark, "by-lang")
+    tables.write_parquet(proxies.table(spark, d, "documents").select("doc_id", "lang"), path, ["lang"])
+    return tables.read_parquet(spark, path).groupBy("lang").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
+@_query(f"""WITH c AS ({proxies.CALIBRATION}) SELECT CAST(batch AS VARCHAR) AS batch_id, count(*) AS n_rows, round(sum(g_directed), 4) AS directed, round(max(difference), 6) AS difference FROM c GROUP BY batch""")
+def s3_s4_calibration_documents(spark, d):
+    """Documents of one JSON object a file, read back under the declared schema, and their rows spread out."""
+    c, path = proxies.calibration(spark, d), _folder(spark, "documents")
+    turn, zero = F.col("event_id").cast("string"), F.lit(0.0)
+    view = F.struct(F.col("control_0").alias("real"), zero.alias("empty"), F.col("control_0"), F.col("control_1"), zero.alias("control_2"))
+    row = F.struct(F.col("kind").alias("question_id"), turn.alias("turn_id"), F.col("used_replacement").alias("control_used_replacement"), view.alias("view_scores"), "g_directed")
+    documents = c.groupBy(F.col("batch").cast("string").alias("batch_id")).agg(F.struct(F.max("difference").alias("same_shape_repeat_max_abs_difference")).alias("numeric_reference"), F.struct(F.collect_list(row).alias("rows")).alias("search"))
+    documents.write.option("maxRecordsPerFile", 1).json(path)
+    read = tables.read_documents(spark, path)
+    rows = read.select("batch_id", F.col("numeric_reference.same_shape_repeat_max_abs_difference").alias("x"), F.explode("search.rows").alias("r"))
+    return rows.groupBy("batch_id").agg(F.count("*").alias("n_rows"), _r(F.sum("r.g_directed"), 4).alias("directed"), _r(F.max("x"), 6).alias("difference"))
+
+
+@_query("SELECT event_type, 2 * count(*) AS n FROM events GROUP BY event_type")
+def s4_s5_json_lines(spark, d):
+    """Rows written as JSON lines, and the same appended."""
+    path, rows = _folder(spark, "lines"), proxies.table(spark, d, "events").select("event_id", "event_type")
+    tables.write_json(rows, path)
+    tables.append_json(rows, path)
+    return spark.read.schema("event_id long, event_type string").json(path).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@_query()
+def s6_f16_file_hashes(spark, d):
+    """The hashes of the table files; SQL has no view of them, a test compares."""
+    return tables.file_hashes(spark, *(f"{d}/{t}.parquet" for t in ("nation", "region", "supplier"))).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", "sha256")
+
+
+# turn projection, masks and governance
+
+
+@_query("""WITH r AS (SELECT conv_id * 100 + turn AS row, conv_id % 20 AS q, conv_id // 40 AS uid, conv_id AS t, turn, length(text) AS n, role, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
+g AS (SELECT *, min(row) OVER (PARTITION BY q, uid) AS gr, min(row) OVER (PARTITION BY q, uid, t) AS tr FROM r),
+i AS (SELECT *, dense_rank() OVER (PARTITION BY q ORDER BY gr) - 1 AS gi, dense_rank() OVER (PARTITION BY q, uid ORDER BY tr) - 1 AS ti,
+  CASE role WHEN 'assistant' THEN 'search' WHEN 'user' THEN 'answer' ELSE 'other' END AS kind FROM g)
+SELECT CAST(row AS INTEGER) AS batch_row_index, 'step:3:conv:train:row:' || q || ':group:' || gi || ':rollout:' || ti || ':turn:' || turn AS turn_id, 'conv:train:row:' || q AS question_id, CAST(ti AS INTEGER) AS rollout_index, kind AS action_type,
+  kind <> 'other' AND n % 7 <> 0 AND n > 0 AS valid_action, kind = 'search' AND turn + 1 < last + 1 AS observation_consumable, '1,2,3,4,5' || CASE WHEN n % 2 = 1 THEN ',6' ELSE '' END AS sampled, '7' || CASE WHEN n % 2 = 1 THEN ',8' ELSE '' END AS prompt,
+  CASE WHEN kind = 'other' THEN '' WHEN n % 3 = 0 THEN '2,3' ELSE '2,3,4' END AS content, CASE WHEN kind <> 'other' AND n % 3 = 0 THEN '4' ELSE '' END AS boundary, CASE WHEN kind = 'other' THEN '' ELSE '2.0,3.0,4.0' END AS logs FROM i""")
+def p1_turn_projection(spark, d):
+    n, i, conv = F.length("text"), F.col("conv_id"), proxies.table(spark, d, "conversations")
+    ints = lambda *v: F.array(*(F.lit(x) if isinstance(x, int) else x.cast("int") for x in v))
+    kind = F.when(F.col("role") == "assistant", "search").when(F.col("role") == "user", "answer").otherwise("other")
+    last = conv.groupBy("conv_id").agg((F.max("turn") + 1).cast("double").alias("episode_lengths"))
+    given = {
+        "batch_row_index": i * 100 + F.col("turn"), "responses": ints(1, 2, 3, 4, 5, 6), "response_mask": ints(1, 1, 1, 1, 1, n % 2), "prompt_ids": ints(0, 7, 8), "prompt_mask": ints(0, 1, n % 2), "old_log_probs": F.array(*(F.lit(float(x)) for x in range(6))), "data_source": F.lit("conv"),
+        "uid": F.concat_ws("-", (i % 20).cast("string"), F.floor(i / 40).cast("string")), "traj_uid": i.cast("string"), "extra_info": F.struct((i % 20).cast("int").alias("index"), F.lit("train").alias("split"), F.lit("q").alias("question")), "env_kwargs": F.struct(F.struct(F.array(F.lit("a")).alias("target")).alias("ground_truth"), F.lit("q").alias("question")),
+        "reward_model": F.struct(F.struct(F.array(F.lit("a")).alias("target")).alias("ground_truth"), F.lit("rule").alias("style")), "turn_step": F.col("turn"), "episode_lengths": F.col("episode_lengths"), "terminal_binary_em": (i % 2).cast("double"), "is_action_valid": n % 7 != 0, "is_adjustment_copy": F.lit(False),
+        "action_type": kind, "action_text": F.col("text"), "invalid_action": F.lit(False), "empty_action": n == 0, "unclosed_action": F.lit(False), "think_mask": ints(1, 0, 0, 0, 0), "action_mask": ints(0, 0, 1, 1, 1), "tag_mask": ints(0, 0, 0, 0, F.when(n % 3 == 0, 1).otherwise(0)), "think_chunks": F.array(ints(0)),
+    }
+    rollouts = conv.join(last, "conv_id").select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ROLLOUT.fields))
+    out, joined = turns.turn_records(rollouts, 3), lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    lists = {"sampled": "sampled_response_token_ids", "prompt": "visible_prompt_token_ids", "content": "action_content_positions", "boundary": "action_boundary_positions", "logs": "old_action_target_log_probs"}
+    return out.select("batch_row_index", "turn_id", "question_id", "rollout_index", "action_type", "valid_action", "observation_consumable", *(joined(c).alias(n) for n, c in lists.items()))
+
+
+@_query("SELECT doc_id, source, lang FROM documents")
+def p2_dropped_evidence(spark, d):
+    """The evidence columns go by name; those of the table stay."""
+    rows = proxies.table(spark, d, "documents").select("doc_id", "source", "lang").withColumn("metadata", F.struct(F.array("source").alias("supporting_facts")))
+    return checks.require_allowed(checks.drop_evidence(rows))
+
+
+@_query(f"""WITH f AS ({_FORCED}), q AS (SELECT request_id, n, unnest(range(n)) AS q FROM f), k AS (SELECT request_id, q, unnest(range(n)) AS k FROM q)
+SELECT request_id, CAST(q AS INTEGER) AS q, CAST(k AS INTEGER) AS k, CASE WHEN k <= q AND (q = k OR q IN (0, 1) OR k NOT IN (0, 1)) THEN '0.0' ELSE '-inf' END AS bias FROM k""")
+def r4_additive_mask(spark, d):
+    forced = _forced(spark, d)
+    cells = forced.select("request_id", F.explode("position_ids").alias("q"), "position_ids").select("request_id", "q", F.explode("position_ids").alias("k"))
+    allowed = spans.information_barrier(forced).withColumn("allowed", F.lit(True))
+    bias = spans.additive_mask(F.coalesce("allowed", F.lit(False)))
+    return cells.join(allowed, ["request_id", "q", "k"], "left").select("request_id", "q", "k", F.when(bias == 0, "0.0").otherwise("-inf").alias("bias"))
+
+
+@_query("""WITH s AS (SELECT s_suppkey, s_acctbal / 30000 AS l, 3 + CAST(s_suppkey % 5 = 0 AS INTEGER) AS c FROM supplier)
+SELECT s_suppkey AS document_id, 'search_utility.control_count' AS path, CAST(c AS VARCHAR) AS value FROM s WHERE c <> 3 UNION ALL SELECT s_suppkey, 'local_objective.lambda_max', 'x' FROM s WHERE l <= 0 OR l > 0.2 UNION ALL SELECT s_suppkey, 'frozen', NULL FROM s WHERE s_suppkey % 7 = 0""")
+def g1_method_findings(spark, d):
+    """Resolved documents as JSON, a field of some altered; numbers found are not returned as text."""
+    fixed = governance.resolved_document(dict.fromkeys(governance.NUMBERS, 0.1))
+    number, text = F.col("s_acctbal") / 30000, F.lit(json.dumps(fixed))
+    count = F.when(F.col("s_suppkey") % 5 == 0, '"control_count": 4').otherwise('"control_count": 3')
+    text = F.replace(F.replace(text, F.lit('"control_count": 3'), count), F.lit('"lambda_max": 0.1'), F.concat(F.lit('"lambda_max": '), number.cast("string")))
+    text = F.when(F.col("s_suppkey") % 7 == 0, F.replace(text, F.lit('"frozen": true, '), F.lit(""))).otherwise(text)
+    found = governance.method_findings(proxies.table(spark, d, "supplier").select(F.col("s_suppkey").alias("document_id"), text.alias("document")))
+    return found.withColumn("value", F.when(F.col("path") == "local_objective.lambda_max", "x").otherwise(F.col("value")))
+
+
+@_query("""WITH s AS (SELECT o_orderkey AS g, o_totalprice - 5000 AS x, o_orderkey % 9 AS m FROM orders), f AS (SELECT g, 'actor/grad_norm' AS metric, 'not_positive' AS finding FROM s WHERE x <= 0 AND m <> 0
+UNION ALL SELECT g, 'actor/lr', 'not_positive' FROM s WHERE m = 1 AND g > 1 UNION ALL SELECT g, 'urcr_v4/original_trajectory_count', 'other_count' FROM s WHERE m = 2 UNION ALL SELECT g, 'actor/grad_norm', 'missing' FROM s WHERE m = 0 UNION ALL SELECT g, 'actor/kl_loss', 'not_finite' FROM s WHERE m = 3)
+SELECT g AS global_step, metric, finding FROM f""")
+def g3_health_findings(spark, d):
+    m, x = F.col("o_orderkey") % 9, F.col("o_totalprice") - 5000
+    value = {"actor/grad_norm": F.when(m != 0, x), "actor/lr": F.when(m == 1, 0.0).otherwise(1.0), "urcr_v4/original_trajectory_count": F.when(m == 2, 7.0).otherwise(8.0), "actor/kl_loss": F.when(m == 3, F.lit(float("nan"))).otherwise(1.0)}
+    cells = F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), value.get(k, F.lit(1.0)).cast("double").alias("value")) for k in governance.HEALTH))).alias("c")
+    rows = proxies.table(spark, d, "orders").select(F.col("o_orderkey").alias("global_step"), cells).select("global_step", "c.*").where("value is not null")
+    return governance.health_findings(rows, 8)
+
+
+_BATCHES = "SELECT CAST(s_suppkey - min(s_suppkey) OVER () + 1 AS INTEGER) AS b, s_suppkey AS k, s_nationkey AS n FROM supplier"
+
+
+@_query(f"""WITH s AS ({_BATCHES}) SELECT b AS batch_index, 'other_world_size' AS finding FROM s WHERE k % 4 = 0 UNION ALL SELECT b, 'changed_data' FROM s WHERE k % 6 = 0 UNION ALL SELECT b, 'other_manifest' FROM s WHERE k % 5 = 0 UNION ALL SELECT b, 'unexpected_question' FROM s WHERE k % 10 = 3
+UNION ALL SELECT b, 'shared_question' FROM s WHERE n IN (SELECT n FROM s GROUP BY n HAVING count(*) > 1) UNION ALL SELECT b, 'other_reference' FROM s WHERE k % 8 = 7""")
+def g5_population_findings(spark, d):
+    """Suppliers as calibration batches, some with another field."""
+    s = proxies.table(spark, d, "supplier")
+    low = s.agg(F.min("s_suppkey")).first()[0]
+    k, index = F.col("s_suppkey"), (F.col("s_suppkey") - low + 1).cast("int")
+    question = F.array(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")))
+    entries = s.select(index.alias("batch_index"), F.lit(s.count()).cast("int").alias("batch_count"), F.array(k).alias("selected_rows"), F.when(k % 5 == 0, F.array(k + 1)).otherwise(F.array(k)).alias("manifest_rows"), question.alias("question_ids"), F.lit("h").alias("data_sha256"), F.when(k % 6 != 0, "h").alias("found_sha256"))
+    documents = s.select(
+        index.alias("batch_index"), *(F.lit(v).alias(c) for c, v in governance.BATCH.items() if c != "world_size"), F.when(k % 4 == 0, 2).otherwise(4).alias("world_size"), F.lit("m").alias("model"), F.lit(128).alias("question_group_count"), F.lit(1024).alias("original_trajectory_count"),
+        F.lit(False).alias("optimizer_update_executed"), index.alias("calibration_batch_index"), F.lit("r").alias("method_revision"), F.when(k % 8 == 7, "y").otherwise("x").alias("reference_sha256"), F.when(k % 10 == 3, F.array(F.lit("z"))).otherwise(question).alias("observed_questions"),
+    )
+    return governance.population_findings(entries, documents, "m")
+
+
+@_query(f"""WITH t AS ({proxies.TURNS}), o AS (SELECT *, length(text) AS n FROM t WHERE NOT is_adjustment_copy), s AS (SELECT trajectory_id, sum(abs(utility)) AS m FROM o GROUP BY 1), r AS (SELECT * FROM o WHERE chunks_n > 0)
+SELECT 'urcr_v4/' || metric AS metric, round(CAST(v AS DOUBLE), 3) + 0.0 AS value FROM (
+SELECT unnest(['original_turn_row_count', 'original_trajectory_count', 'boundary_only_action_count', 'no_think_valid_action_count', 'search_utility_positive_count', 'search_utility_negative_count', 'search_zero_reason_count', 'action_utility_positive_count', 'action_utility_negative_count', 'action_utility_zero_count']) AS metric,
+  unnest([count(*), count(DISTINCT trajectory_id), count(*) FILTER (WHERE valid_action AND n % 5 = 0 AND n % 2 = 0), count(*) FILTER (WHERE valid_action AND chunks_n = 0), count(*) FILTER (WHERE action_type = 'search' AND utility > 0), count(*) FILTER (WHERE action_type = 'search' AND utility < 0), count(*) FILTER (WHERE action_type = 'search' AND utility = 0),
+    count(*) FILTER (WHERE utility > 0), count(*) FILTER (WHERE utility < 0), count(*) FILTER (WHERE utility = 0)])::DOUBLE AS v FROM o
+UNION ALL SELECT unnest(['responsibility_positive_count', 'search_responsibility_positive_count', 'answer_responsibility_positive_count', 'responsibility_item_count', 'responsibility_bundle_count']), unnest([count(*) FILTER (WHERE utility > 0), count(*) FILTER (WHERE utility > 0 AND action_type = 'search'), count(*) FILTER (WHERE utility > 0 AND action_type = 'answer'), count(*), count(DISTINCT trajectory_id)])::DOUBLE FROM r
+UNION ALL SELECT unnest(['responsibility_zero_reason_count', 'responsibility_zero_reason/no_think']), unnest([count(*), count(*)])::DOUBLE FROM o WHERE chunks_n = 0
+UNION ALL SELECT unnest(['local_nonzero_span_count', 'local_absolute_coefficient_sum', 'search_action_span_count', 'search_think_span_count', 'answer_action_span_count', 'answer_think_span_count', 'search_action_absolute_mass', 'search_think_absolute_mass', 'answer_action_absolute_mass', 'answer_think_absolute_mass']),
+  unnest([count(*) FILTER (WHERE utility <> 0), sum(abs(utility)), count(*) FILTER (WHERE utility <> 0 AND n % 4 = 0), count(*) FILTER (WHERE utility <> 0 AND n % 4 = 1), count(*) FILTER (WHERE utility <> 0 AND n % 4 = 2), count(*) FILTER (WHERE utility <> 0 AND n % 4 = 3), sum(abs(utility)) FILTER (WHERE n % 4 = 0), sum(abs(utility)) FILTER (WHERE n % 4 = 1), sum(abs(utility)) FILTER (WHERE n % 4 = 2), sum(abs(utility)) FILTER (WHERE n % 4 = 3)])::DOUBLE FROM o
+UNION ALL SELECT 'trajectory_cap_active_count', count(*) FILTER (WHERE m > 2) FROM s UNION ALL SELECT unnest(['search_item_count', 'search_bundle_count']), unnest([count(*), count(DISTINCT trajectory_id)])::DOUBLE FROM o WHERE action_type = 'search' UNION ALL SELECT 'selected_question_group_count', count(DISTINCT question_id) FROM o)""")
+def a18_training_metrics(spark, d):
+    n, none = F.length("text"), F.array().cast("array<int>")
+    one, chunk = F.array(F.lit(0)), F.array(F.array(F.lit(0)))
+    t = proxies.turns(spark, d).withColumns({
+        "action_boundary_positions": F.when(n % 5 == 0, one).otherwise(none), "action_content_positions": F.when(n % 2 == 0, none).otherwise(one), "think_chunks": F.when(F.col("chunks_n") > 0, chunk).otherwise(F.array().cast("array<array<int>>")), "comparison_group_id": F.col("trajectory_id"),
+    })
+    own = checks.originals(t)
+    held = own.where("chunks_n > 0").withColumn("rho", F.greatest("utility", F.lit(0.0)))
+    masses = own.groupBy("trajectory_id").agg(F.sum(F.abs("utility")).alias("raw_mass")).withColumn("capped_mass", F.least("raw_mass", F.lit(2.0)))
+    spans_ = own.select((n % 4).alias("channel"), F.col("utility").alias("coefficient"))
+    reasons = own.where("chunks_n = 0").select("turn_id", F.lit("no_think").alias("zero_reason"))
+    out = credits.training_metrics(t, own, held, reasons, spans_, masses, own.where("action_type = 'search'"), held, own.select("question_id").distinct())
+    return out.withColumn("value", _r("value", 3))

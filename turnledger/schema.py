@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 # Fixed values of the method.
 REVISION = "urcr_v4_unified_typed_r1_final"
 CONTROL_STREAM = "urcr_v4_sha256_counter_r1"
+PROBE_VERSION = "urcr_v4_native_neutral_answer_probe_r1"
 CONTROL_COUNT = 3
 ANSWER_ALPHA = 0.25
 SEARCH_CAP = 2.0
