@@ -31,7 +31,7 @@ _EXACT = byte_table("space")
 _EXACT[65:91] = np.arange(65, 91)
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _M = np.uint64(0xD1342543DE82EF95)
-_GAP = np.array([0, *range(9, 14), 32], np.uint32)
+_GAP = np.isin(np.arange(129), [0, *range(9, 14), 32])
 _MARK = np.array([c < 128 and not chr(c).isalnum() for c in range(129)])
 
 
@@ -52,8 +52,7 @@ def characters(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     """(code points, where each text begins and the end): runs of white space are one space, runs of one ASCII mark one mark, and ORDER - 1 spaces stand before each text."""
     cp = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     at = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][bounds] if len(data) else np.zeros(len(bounds), np.int64)
-    gap = np.isin(cp, _GAP)
-    cp = np.where(gap, np.uint32(32), cp)
+    cp = np.where(_GAP[np.minimum(cp, 128)], np.uint32(32), cp)
     head = np.zeros(len(cp) + 1, bool)
     head[at] = True
     mark = _MARK[np.minimum(cp, 128)]
@@ -72,13 +71,43 @@ def positions(begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(int(n.sum())) + (ORDER - 1) * (text + 1), text
 
 
-def suffixes(c: np.ndarray, at: np.ndarray, start: np.ndarray | np.uint64, order: int) -> Iterator[np.ndarray]:
-    """Hashes of the 0, 1 ... ``order`` characters that end at each place, begun with the language's."""
-    h = np.broadcast_to(np.asarray(start, np.uint64), at.shape).copy()
-    yield h
-    for o in range(order):
-        h = mix(h * _M + c[at - o].astype(np.uint64))
-        yield h
+#: Multipliers of the characters of an n-gram, from the last.
+_R = mix(np.arange(1, ORDER + 1, dtype=np.uint64) * _M) | np.uint64(1)
+
+
+class Suffixes:
+    """Hashes of the last characters at each place, begun with the language's: sums of products with fixed numbers, finalised."""
+
+    def __init__(self, c: np.ndarray, at: np.ndarray, start: np.ndarray | np.uint64, order: int):
+        self.sums = [np.broadcast_to(np.asarray(start, np.uint64), at.shape)]
+        for o in range(order):
+            self.sums.append(self.sums[-1] + (c[at - o].astype(np.uint64) + np.uint64(1)) * _R[o])
+
+    def hashes(self, order: int, which: np.ndarray | slice = slice(None)) -> np.ndarray:
+        return mix(self.sums[order][which])
+
+
+def distinct_grams(c: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of each different n-gram that ends at one of the places, their numbers).
+
+    Characters are numbered, and n-grams packed into 64 bits where that suffices.
+    """
+    known = np.flatnonzero(np.bincount(c))
+    bits = max(1, int(len(known) - 1).bit_length())
+    if bits * ORDER > 64:
+        _, first, n = np.unique(Suffixes(c, at, np.uint64(0), ORDER).hashes(ORDER), return_index=True, return_counts=True)
+        return np.stack([c[at[first] - ORDER + 1 + j] for j in range(ORDER)], 1), n
+    number = np.zeros(int(known[-1]) + 1, np.uint64)
+    number[known] = np.arange(len(known), dtype=np.uint64)
+    number = number[c]
+    key = number[at]
+    for j in range(1, ORDER):
+        key = key | number[at - j] << np.uint64(bits * j)
+    key.sort()
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    key, n = key[start], np.diff(np.r_[start, len(key)])
+    mask = np.uint64((1 << bits) - 1)
+    return np.stack([known[(key >> np.uint64(bits * (ORDER - 1 - j)) & mask).astype(np.int64)] for j in range(ORDER)], 1).astype(np.uint32), n
 
 
 def shard_of(before: np.ndarray, last: np.ndarray, shards: int) -> np.ndarray:
@@ -86,50 +115,50 @@ def shard_of(before: np.ndarray, last: np.ndarray, shards: int) -> np.ndarray:
     return (mix(before.astype(np.uint64) * _M + last.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
 
 
-def count_ngrams(docs: DataFrame, held: int = 1 << 20) -> DataFrame:
+def count_ngrams(docs: DataFrame, held: int = 1 << 19) -> DataFrame:
     """(lang, gram, n) over all texts; a task adds up its own counts, of about ``held`` n-grams at a time."""
 
     def run(batches):
-        parts: list[tuple[np.ndarray, ...]] = []
-        names: dict[str, np.uint64] = {}
+        parts: list[tuple[np.ndarray, ...]] = []  # hash, language, number, characters
+        names: dict[str, int] = {}
 
         def summed():
-            h, lang, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2))
-            c = np.concatenate([p[3] for p in parts])
-            _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-            parts[:] = [(h[first], lang[first], np.bincount(inverse, n).astype(np.int64), c[first])]
+            h, lang, n, c = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            order = np.argsort(h)
+            start = np.flatnonzero(np.r_[True, np.diff(h[order].view(np.int64)) != 0])
+            first = order[start]
+            parts[:] = [(h[first], lang[first], np.add.reduceat(n[order], start), c[first])]
 
-        def batch():
+        def batches_of():
             _, lang, n, c = parts[0]
-            known = list(names)
-            grams = np.ascontiguousarray(c, np.uint32).view(f"<U{ORDER}").ravel().tolist()
-            return pa.RecordBatch.from_pydict({"lang": pa.array([known[i] for i in lang.tolist()], pa.string()), "gram": pa.array(grams, pa.string()), "n": pa.array(n)})
+            known = pa.array(list(names), pa.string())
+            for i in range(0, len(n), 1 << 16):
+                grams = np.ascontiguousarray(c[i : i + (1 << 16)]).view(f"<U{ORDER}").ravel().tolist()
+                yield pa.RecordBatch.from_arrays([known.take(pa.array(lang[i : i + (1 << 16)])), pa.array(grams, pa.string()), pa.array(n[i : i + (1 << 16)])], ["lang", "gram", "n"])
 
         size = 0
         for rows, data, bounds in slices(batches):
-            langs = [named(x) for x in rows.column("lang").to_pylist()]
-            for x in langs:
-                names.setdefault(x, seed(x))
-            number = {x: i for i, x in enumerate(names)}  # names only grow while counts are held
             c, begin = characters(data, bounds)
             at, text = positions(begin)
-            if not len(at):
-                continue
-            *_, h = suffixes(c, at, np.array([names[x] for x in langs], np.uint64)[text], ORDER)
-            _, first, n = np.unique(h, return_index=True, return_counts=True)
-            at = at[first]
-            parts.append((h[first], np.array([number[x] for x in langs], np.int64)[text[first]], n, np.stack([c[at - ORDER + 1 + j] for j in range(ORDER)], 1)))
-            size += len(n)
+            langs = np.array([names.setdefault(x, len(names)) for x in map(named, rows.column("lang").to_pylist())], np.int64)[text]
+            seeds = [seed(x) for x in names]
+            for x in np.unique(langs).tolist():
+                grams, n = distinct_grams(c, at[langs == x])
+                flat = grams.ravel()
+                h = Suffixes(flat, np.arange(len(n)) * ORDER + ORDER - 1, seeds[x], ORDER).hashes(ORDER)
+                parts.append((h, np.full(len(n), x, np.int32), n.astype(np.int64), grams))
+                size += len(n)
             if size > 2 * held:
                 summed()
                 size = len(parts[0][0])
                 if size > held:
-                    yield batch()
-                    parts, size = [], 0
-                    names = {}
+                    yield from batches_of()
+                    parts.clear()
+                    names.clear()
+                    size = 0
         if parts:
             summed()
-            yield batch()
+            yield from batches_of()
 
     return docs.select("text", "lang").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -169,7 +198,7 @@ def train(scratch: Scratch, docs: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """Sorted hashes of the n-grams and histories of a shard, with their values."""
+    """Sorted hashes of the n-grams and histories of a shard, with their values and where each prefix of hashes begins."""
 
     def __init__(self, number: int, shards: int, table: pa.Table):
         self.number, self.shards, self.arrays = number, shards, []
@@ -177,16 +206,25 @@ class Shard:
         for k in (0, 1):
             mine = key[kind == k].view(np.uint64)
             order = np.argsort(mine)
-            self.arrays.append((mine[order], value[kind == k][order].astype(np.float32)))
+            mine, bits = mine[order], max(1, len(mine).bit_length())
+            start = np.searchsorted(mine, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+            self.arrays.append((mine, value[kind == k][order].astype(np.float32), np.r_[start, len(mine)].astype(np.int32), np.uint64(64 - bits)))
 
     def find(self, kind: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(whether each hash is there, its value or 0)."""
-        key, value = self.arrays[kind]
-        if not len(key):
-            return np.zeros(len(h), bool), np.zeros(len(h), np.float32)
-        at = np.minimum(np.searchsorted(key, h), len(key) - 1)
-        hit = key[at] == h
-        return hit, np.where(hit, value[at], np.float32(0))
+        key, value, start, shift = self.arrays[kind]
+        hit, out = np.zeros(len(h), bool), np.zeros(len(h), np.float32)
+        slot = (h >> shift).astype(np.int64)
+        at, end = start[slot], start[slot + 1]
+        todo = np.flatnonzero(at < end)
+        while len(todo):
+            same = key[at[todo]] == h[todo]
+            yes = todo[same]
+            hit[yes], out[yes] = True, value[at[yes]]
+            todo = todo[~same]
+            at[todo] += 1
+            todo = todo[at[todo] < end[todo]]
+        return hit, out
 
     def mine(self, c: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The places that this shard answers for."""
@@ -194,19 +232,16 @@ class Shard:
 
     def score(self, c: np.ndarray, at: np.ndarray, start: np.ndarray | np.uint64) -> np.ndarray:
         """The log-probability of the character at each of its places, backing off where an n-gram wasn't seen."""
-        out = np.zeros(len(at), np.float64)
-        todo, start = np.arange(len(at)), np.broadcast_to(np.asarray(start, np.uint64), at.shape)
-        grams = list(suffixes(c, at, start, ORDER))
-        before = None
+        out, todo = np.zeros(len(at), np.float64), np.arange(len(at))
+        grams, before = Suffixes(c, at, start, ORDER), None
         for o in range(ORDER, -1, -1):
             if o < ORDER:
-                before = before or list(suffixes(c, at - 1, start, ORDER - 1))
-                out[todo] += self.find(1, before[o][todo])[1]
-            if not o:
-                break
-            hit, value = self.find(0, grams[o][todo])
-            out[todo] += value
-            todo = todo[~hit]
+                before = before or Suffixes(c, at - 1, start, ORDER - 1)
+                out[todo] += self.find(1, before.hashes(o, todo))[1]
+            if o:
+                hit, value = self.find(0, grams.hashes(o, todo))
+                out[todo] += value
+                todo = todo[~hit]
             if not len(todo):
                 break
         return out
@@ -237,7 +272,7 @@ def sharded(scratch: Scratch, model: DataFrame) -> tuple[DataFrame, int]:
                     c = np.frombuffer("".join(grams[i] for i in pick).encode("utf-32-le"), np.uint32).reshape(len(pick), n)
                     flat = c.ravel()
                     last = np.arange(len(pick)) * n + n - 1
-                    *_, key[pick] = suffixes(flat, last, np.array([seeds[langs[i]] for i in pick], np.uint64), n)
+                    key[pick] = Suffixes(flat, last, np.array([seeds[langs[i]] for i in pick], np.uint64), n).hashes(n)
                     if n - 1 + k >= 2:
                         shard[pick] = shard_of(c[:, n - 3 + k], c[:, n - 2 + k], shards)
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), batch.column("kind"), pa.array(key.view(np.int64)), batch.column("value")], ["shard", "kind", "key", "value"])
@@ -319,28 +354,35 @@ def _own(scratch: Scratch, docs: DataFrame, shards: list) -> DataFrame:
     return _passes(scratch, rows, shards, scan).drop("text")
 
 
+def _best(cell: np.ndarray, share: float) -> float:
+    """The negative sum of a text's windows, in rows with the own language first, with up to ``share`` of them under their best one."""
+    gain = np.sort(cell.max(1) - cell[:, 0])[::-1][: int(share * len(cell))]
+    return -float(cell[:, 0].sum() + gain.sum())
+
+
 def _mixed(scratch: Scratch, docs: DataFrame, shards: list, langs: list[str], window: int, share: float) -> DataFrame:
     """(h, best): the mean of -log-probability with at most ``share`` of a text's windows, those that gain most, under the one of ``langs`` that suits them best."""
 
     def scan(shared):
         def run(batches):
-            shard = shared.value
+            shard, seeds = shared.value, [seed(x) for x in langs]
             for rows, data, bounds in slices(batches):
                 c, begin = characters(data, bounds)
-                sums = []
-                for i, (own, old) in enumerate(zip(rows.column("lang").to_pylist(), rows.column("sums").to_pylist(), strict=True)):
-                    at = np.arange(begin[i] + ORDER - 1, begin[i + 1])
-                    cell = np.frombuffer(old, np.float32).reshape(-1, len(langs) + 1).copy() if old else np.zeros((-(-len(at) // window), len(langs) + 1), np.float32)
-                    mine = shard.mine(c, at)
-                    for j, lang in enumerate((own, *langs)):
-                        cell[:, j] += np.bincount((mine - at[0]) // window, shard.score(c, mine, seed(lang)), len(cell))
-                    if shard.number < shard.shards - 1:
-                        sums.append(cell.tobytes())
-                        continue
-                    home = cell[:, 0].astype(np.float64)
-                    gain = np.sort(cell.max(1) - home)[::-1][: int(share * len(cell))]
-                    sums.append(np.float64(-(home.sum() + gain.sum()) / len(at)).tobytes())
-                yield rows.set_column(rows.schema.get_field_index("sums"), "sums", pa.array(sums, pa.binary()))
+                at, text = positions(begin)
+                own = np.array([seed(x) for x in rows.column("lang").to_pylist()], np.uint64)
+                n = np.diff(begin) - (ORDER - 1)
+                first = np.r_[0, np.cumsum(-(-n // window))]
+                old = [np.frombuffer(x, np.float32) for x in rows.column("sums").to_pylist() if x]
+                cell = np.concatenate(old).reshape(-1, len(langs) + 1).copy() if old else np.zeros((int(first[-1]), len(langs) + 1), np.float32)
+                mine = shard.mine(c, at)
+                whose = text if len(mine) == len(at) else text[np.searchsorted(at, mine)]
+                where = first[whose] + (mine - begin[whose] - ORDER + 1) // window
+                for j, start in enumerate((own[whose], *seeds)):
+                    cell[:, j] += np.bincount(where, shard.score(c, mine, start), len(cell))
+                parts = [cell[i:j] for i, j in zip(first[:-1], first[1:], strict=True)]
+                if shard.number == shard.shards - 1:
+                    parts = [np.array([_best(x.astype(np.float64), share) / m]) for x, m in zip(parts, n, strict=True)]
+                yield rows.set_column(rows.schema.get_field_index("sums"), "sums", pa.array([x.tobytes() for x in parts], pa.binary()))
 
         return run
 
