@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -21,10 +22,13 @@ ARROW_ROWS, ARROW_BYTES = 1_000, 16 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, local mode) a folder is made and set.
+    Where a local session (tests) names none a folder is made and set; on a cluster
+    a folder of one machine would lose its tables to the others, so it raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="turnledger-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -57,17 +57,6 @@ def dense(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def with_features(docs: DataFrame) -> DataFrame:
-    """(doc_id, x) with x the dense features of the whole text; null is empty."""
-
-    def run(batches):
-        for rows, data, bounds in slices(batches):
-            x = dense(data, bounds)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
-
-    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, x array<double>")
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, bound: int) -> DataFrame:
     """(doc_id, text, y) of at most ``bound`` labelled rows outside the held-out fold.
 
