@@ -4,7 +4,8 @@ A flat file is a run of fixed-width token identifiers, with an end-of-document
 identifier after each document and no index.  It is read in blocks of bytes;
 each block is searched for the separator in one vectorised comparison, and a
 prefix scan over the blocks' summaries, a few numbers a block, stitches the
-documents that cross block boundaries.
+documents that cross block boundaries: within chunks of blocks side by side, then
+over the chunks of a file.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from turnledger.llm.words import pieces
 
 #: The pre-tokenisation pattern of the public byte-level vocabulary, a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-END = 50256
 BLOCKS = "file string, block long, data binary"
 
 
@@ -40,15 +40,26 @@ def load_ranks(path: str) -> list[tuple[bytes, int]]:
         return [(base64.b64decode(a), int(b)) for a, b in (line.split() for line in f if line.strip())]
 
 
+def layout(ranks: list[tuple[bytes, int]]) -> tuple[int, int]:
+    """(end-of-document identifier, bytes of an identifier): the first number that the vocabulary leaves free, and as many bytes as it needs, two or four."""
+    end = max((r for _, r in ranks), default=-1) + 1
+    return end, 2 if end < 1 << 16 else 4
+
+
 def flat_blocks(docs: DataFrame, vocabulary: str, block_bytes: int = 1 << 20) -> DataFrame:
-    """(file, block, data, ids): the documents as flat files of 16-bit identifiers, in blocks.
+    """(file, block, data, ids): the documents as flat files of identifiers of the vocabulary's :func:`layout`, in blocks.
 
     One file for each task, in the order of its rows.  ``ids`` is the file's table
     of contents, kept beside the flat data and never read by the scan: the doc_ids
     whose separators lie in the block, in order.  Null and empty texts are a
     separator alone.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
+    listed = load_ranks(vocabulary)
+    end, width = layout(listed)
+    if block_bytes % width:
+        raise ValueError("a block has to hold whole identifiers")
+    ranks = docs.sparkSession.sparkContext.broadcast(listed)
+    kind = {2: np.uint16, 4: np.uint32}[width]
 
     def run(batches):
         encode = encoder(ranks.value).encode_ordinary
@@ -58,7 +69,7 @@ def flat_blocks(docs: DataFrame, vocabulary: str, block_bytes: int = 1 << 20) ->
         done = 0
         for batch in pieces(batches):
             for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                rest += np.array([*encode(text or ""), END], np.uint16).tobytes()
+                rest += np.array([*encode(text or ""), end], kind).tobytes()
                 waiting.append((done + len(rest), d))
                 while len(rest) >= block_bytes:
                     done += block_bytes
@@ -77,15 +88,25 @@ def _block(file: str, block: int, data: bytes, ids: list[int]) -> pa.RecordBatch
     return pa.RecordBatch.from_pydict({"file": pa.array([file]), "block": pa.array([block], pa.int64()), "data": pa.array([data], pa.binary()), "ids": pa.array([ids], pa.list_(pa.int64()))})
 
 
-def read_flat_files(spark: SparkSession, path: str, block_bytes: int = 1 << 20) -> DataFrame:
-    """(file, block, data) of the flat files under a path that all executors can open.
+def read_flat_files(spark: SparkSession, path: str, block_bytes: int = 1 << 20, whole_bytes: int = 1 << 28) -> DataFrame:
+    """(file, block, data) of the flat files under a path.
 
-    Only byte ranges are dealt out, so a file of any size is read in parallel.
+    Files of at most ``whole_bytes`` are read through Hadoop's file system, so from
+    any store, and cut into blocks.  Of larger ones byte ranges are dealt out, which
+    needs a path that the executors' Python opens; raises for any other.
     """
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    found = [(str(s.getPath().toUri().getPath()), int(s.getLen())) for s in system.listStatus(hadoop) if s.isFile()]
-    listed = spark.createDataFrame(found, "file string, size long").where("size > 0")
+    found = [(s.getPath().toUri(), int(s.getLen())) for s in system.listStatus(hadoop) if s.isFile()]
+    large = [(str(u.getPath()), n) for u, n in found if n > whole_bytes]
+    if large and any(u.getScheme() not in (None, "file") for u, n in found if n > whole_bytes):
+        raise ValueError(f"files over {whole_bytes} bytes have to lie where the executors' Python opens them")
+    at = F.posexplode(F.sequence(F.lit(1), F.length("content"), F.lit(block_bytes))).alias("block", "at")
+    small = spark.read.format("binaryFile").load(path).where((F.col("length") > 0) & (F.col("length") <= whole_bytes)).select(F.regexp_replace("path", "^[a-z]+:/*", "/").alias("file"), at, "content")
+    small = small.select("file", F.col("block").cast("long").alias("block"), F.expr(f"substring(content, at, {block_bytes})").alias("data"))
+    if not large:
+        return small
+    listed = spark.createDataFrame(large, "file string, size long")
     ranges = listed.select("file", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / block_bytes))).alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -96,17 +117,18 @@ def read_flat_files(spark: SparkSession, path: str, block_bytes: int = 1 << 20)
                     data = f.read(block_bytes)
                 yield pa.RecordBatch.from_pydict({"file": pa.array([file]), "block": pa.array([block], pa.int64()), "data": pa.array([data], pa.binary())})
 
-    return ranges.repartition(spark.sparkContext.defaultParallelism * 2).mapInArrow(run, BLOCKS)
+    return small.unionByName(ranges.repartition(spark.sparkContext.defaultParallelism * 2).mapInArrow(run, BLOCKS))
 
 
-def scan_separators(blocks: DataFrame, end: int = END, width: int = 2) -> DataFrame:
+def scan_separators(blocks: DataFrame, end: int, width: int = 2, chunk: int = 1024) -> DataFrame:
     """(file, ordinal, block, place, n_tokens): the documents of flat files, in order.
 
     blocks: file, block and data, the blocks of a file numbered from 0, each but the
     last a multiple of ``width`` bytes; other columns are ignored.  ordinal numbers
     a file's documents from 0, place those that end in a block.  n_tokens leaves
     the separator out.  Tokens after the last separator are a document too, with
-    a null place.  Empty blocks and empty files have no documents.
+    a null place.  Empty blocks and empty files have no documents.  ``chunk`` blocks
+    are scanned by one task, and then the chunks of a file.
     """
     kind = {2: np.uint16, 4: np.uint32}[width]
 
@@ -120,27 +142,36 @@ def scan_separators(blocks: DataFrame, end: int = END, width: int = 2) -> DataFr
 
     found = blocks.select("file", "block", "data").mapInArrow(run, "file string, block long, n long, ends array<long>")
     found = Scratch(blocks.sparkSession, "separators").write(found, "ends")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("n").over(before), F.lit(0))
-    summary = found.select("file", "block", "n", F.size("ends").alias("count"), F.array_max("ends").alias("top"))
-    summary = summary.withColumn("start", start).withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    open_ = F.coalesce(F.max(F.col("start") + F.col("top") + 1).over(before), F.lit(0))
-    summary = summary.withColumn("open", open_)
-    last = Window.partitionBy("file")
-    tail = summary.withColumn("all", F.max(F.col("start") + F.col("n")).over(last)).withColumn("closed", F.max(F.col("start") + F.col("top") + 1).over(last)).withColumn("docs", F.sum("count").over(last))
-    tail = tail.groupBy("file").agg(F.max("all").alias("all"), F.max(F.coalesce("closed", F.lit(0))).alias("closed"), F.max("docs").alias("docs"), F.max("block").alias("block")).where("all > closed")
+    own = Window.partitionBy("file", "chunk").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    summary = found.select("file", "block", F.floor(F.col("block") / chunk).alias("chunk"), "n", F.size("ends").alias("count"), F.array_max("ends").alias("top"))
+    summary = summary.withColumn("start", zero(F.sum("n").over(own))).withColumn("first", zero(F.sum("count").over(own)))
+    summary = summary.withColumn("open", F.max(F.col("start") + F.col("top") + 1).over(own))
+    chunks = summary.groupBy("file", "chunk").agg(F.sum("n").alias("all"), F.sum("count").alias("docs"), F.max(F.col("start") + F.col("top") + 1).alias("top"), F.max("block").alias("last"))
+    before = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("from", zero(F.sum("all").over(before))).withColumn("number", zero(F.sum("docs").over(before)))
+    chunks = chunks.withColumn("closed", F.max(F.col("from") + F.col("top")).over(before))
+    tail = chunks.groupBy("file").agg(F.sum("all").alias("all"), zero(F.max(F.col("from") + F.col("top"))).alias("closed"), F.sum("docs").alias("docs"), F.max("last").alias("block")).where("all > closed")
     tail = tail.select("file", F.col("docs").alias("ordinal"), "block", F.lit(None).cast("int").alias("place"), (F.col("all") - F.col("closed")).alias("n_tokens"))
-    each = found.join(summary.select("file", "block", "start", "first", "open"), ["file", "block"]).select("file", "block", "start", "first", "open", "ends", F.posexplode("ends").alias("place", "at"))
+    summary = summary.join(chunks.select("file", "chunk", "from", "number", "closed"), ["file", "chunk"])
+    summary = summary.select("file", "block", (F.col("from") + F.col("start")).alias("start"), (F.col("number") + F.col("first")).alias("first"), zero(F.greatest(F.col("from") + F.col("open"), "closed")).alias("open"))
+    each = found.join(summary, ["file", "block"]).select("file", "block", "start", "first", "open", "ends", F.posexplode("ends").alias("place", "at"))
     begin = F.when(F.col("place") > 0, F.col("start") + F.get("ends", F.col("place") - 1) + 1).otherwise(F.col("open"))
     each = each.select("file", (F.col("first") + F.col("place")).alias("ordinal"), "block", "place", (F.col("start") + F.col("at") - begin).alias("n_tokens"))
     return each.unionByName(tail)
 
 
 def document_token_counts(docs: DataFrame, vocabulary: str, block_bytes: int = 1 << 20) -> DataFrame:
-    """(doc_id, n_tokens) for each row of docs, through flat files in the shared folder."""
+    """(doc_id, n_tokens) for each row of docs, through flat files in the shared folder.
+
+    docs: doc_id and text; other columns are ignored.  Null and empty texts have no
+    tokens.  Repeated rows are counted each for itself, rows without an id too.  An
+    empty table gives no rows.
+    """
     spark = docs.sparkSession
+    end, width = layout(load_ranks(vocabulary))
     path = f"{shared_dir(spark)}/flat-{uuid.uuid4().hex}"
     flat_blocks(docs, vocabulary, block_bytes).write.option("compression", "zstd").parquet(path)
     blocks = spark.read.schema(f"{BLOCKS}, ids array<long>").parquet(path)
     ids = blocks.select("file", "block", F.posexplode("ids").alias("place", "doc_id"))
-    return scan_separators(blocks).join(ids, ["file", "block", "place"]).select("doc_id", "n_tokens")
+    return scan_separators(blocks, end, width).join(ids, ["file", "block", "place"]).select("doc_id", "n_tokens")
