@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnledger.llm.common import only
+from turnledger.llm.common import Scratch, keep_ids, only
 from turnledger.llm.words import pieces
 
 #: ISO 639-1 codes by family; a code that isn't here is a family of its own.
@@ -109,16 +109,22 @@ def detect_language(docs: DataFrame, modulus: int = 3, held: int = 1, per_langua
     most ``per_language`` texts, the smallest by a hash of doc_id, for each
     non-null value of lang among rows whose crc32(doc_id) modulo ``modulus`` isn't
     ``held``.  With many languages each has fewer texts, ``sample`` in all, but never
-    a bound under ``least``: the documented bound of the fit; no language is left out.  Every row is predicted from its whole text.  ``und`` with score 0
-    for a null text, one without a letter, or when nothing could be learned.
+    a bound under ``least``: the documented bound of the fit; no language is left out.
+    Every row is predicted from its whole text.  ``und`` with score 0 for a null
+    text, one without a letter, or when nothing could be learned.  Repeated rows
+    are predicted alike.  An empty table gives no rows.
     """
     docs = only(docs, doc_id="long", text="string", lang="string")
     fold = F.crc32(F.col("doc_id").cast("string")) % modulus == held
     known = docs.where("lang is not null").where(~fold)
-    languages = known.select("lang").distinct().count()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
     each = min(per_language, max(least, sample // max(1, languages)))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # the planner keeps the first of each task before the shuffle
-    picked = known.select("doc_id", "lang").withColumn("k", F.row_number().over(first)).where(F.col("k") <= each) if languages else None
+    # three times as many as are wanted lie under a hash threshold of their language, so its window is small whatever its rows
+    even = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    near = known.select("doc_id", "lang").join(counts, "lang").where(even * F.col("n") <= 3.0 * each + 60).select("doc_id", "lang").distinct()
+    first = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id")
+    picked = near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= each) if languages else None
 
     def gather(batches):
         for batch in pieces(batches):
@@ -128,8 +134,8 @@ def detect_language(docs: DataFrame, modulus: int = 3, held: int = 1, per_langua
     if picked is None:
         model = Hierarchy(np.zeros((0, WIDTH), np.float32), [])
     else:
-        ids = F.broadcast(picked.select("doc_id").distinct())  # at most ``sample`` ids, or ``least`` a language
-        t = known.join(ids, "doc_id").where(F.rlike("text", F.lit(r"\p{L}"))).mapInArrow(gather, "doc_id long, lang string, x binary").toArrow().sort_by("doc_id")
+        ids = Scratch(docs.sparkSession, "language").write(picked.select("doc_id").distinct(), "ids")  # at most ``sample``, or ``least`` a language
+        t = keep_ids(known, ids).where(F.rlike("text", F.lit(r"\p{L}"))).mapInArrow(gather, "doc_id long, lang string, x binary").toArrow().sort_by("doc_id")
         model = Hierarchy(np.frombuffer(b"".join(t.column("x").to_pylist()), np.float32).reshape(-1, WIDTH), t.column("lang").to_pylist())
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
