@@ -8,7 +8,7 @@ compared word by word.  Unknown blocks shift by the whole pattern less one.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -59,6 +59,18 @@ class WuManber:
             at += 1
 
 
+_TABLES: dict[str, list[WuManber]] = {}
+
+
+def _built(name: str, patterns: list[dict]) -> list[WuManber]:
+    """The tables of a block of the benchmark, made once in a worker; it holds those of two blocks at most."""
+    if name not in _TABLES:
+        while len(_TABLES) > 1:
+            _TABLES.pop(next(iter(_TABLES)))
+        _TABLES[name] = [WuManber(p) for p in patterns]
+    return _TABLES[name]
+
+
 def windows(text: str | None, window: int) -> set[tuple[bytes, ...]]:
     w = split_words(text)
     return {tuple(w[i : i + window]) for i in range(max(1, len(w) - window + 1))} if w else set()
@@ -85,7 +97,7 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int,
         yield part
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_chars: int = 8_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_chars: int = 1_000_000) -> DataFrame:
     """(doc_id, n_words, n_hit, items, contaminated) for each row of docs.
 
     docs: doc_id and text; benchmark: item_id and text; other columns are
@@ -96,14 +108,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
     and empty items have no windows; repeated rows give repeated rows; with an
     empty benchmark nothing is hit.  The benchmark is a query set: it is taken in
     blocks of ``block_chars`` characters, each of which passes over all rows, so
-    no executor holds more than one block for each pass.
+    no worker holds more than a block's windows and tables, some 130 MB for a
+    million characters.
     """
     spark = docs.sparkSession
     out = only(docs, doc_id="long", text="string").withColumn("items", F.array().cast("array<long>")).withColumn("hits", F.lit(None).cast("binary"))
 
-    def scan(shared):
+    def scan(shared, name):
         def run(batches):
-            found = [WuManber(p) for p in shared.value]
+            found = _built(name, shared.value)
             for batch in pieces(batches):
                 texts, items, hits = (batch.column(c).to_pylist() for c in ("text", "items", "hits"))
                 for i, text in enumerate(texts):
@@ -123,7 +136,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
 
     for block in _blocks(only(benchmark, item_id="long", text="string"), block_chars):
         if patterns := pattern_sets(block, window):
-            out = out.mapInArrow(scan(spark.sparkContext.broadcast(patterns)), "doc_id long, text string, items array<long>, hits binary")
+            out = out.mapInArrow(scan(spark.sparkContext.broadcast(patterns), uuid.uuid4().hex), "doc_id long, text string, items array<long>, hits binary")
 
     def count(batches):
         for batch in pieces(batches):
@@ -135,10 +148,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def items_digest(items: list) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
-
-
 def digest_columns(found: DataFrame) -> DataFrame:
     """The rows of :func:`contamination` with the items as a count and a SHA-256."""
     text = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -146,6 +155,11 @@ def digest_columns(found: DataFrame) -> DataFrame:
 
 
 def decontamination_stage(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the contaminated ones; all columns stay."""
+    """docs without the contaminated ones; all columns stay.
+
+    Of rows with one doc_id all go when one is contaminated; rows without an id
+    stay, as nothing can name them, and so do null and empty texts.  An empty
+    table gives an empty one; with an empty benchmark all stay.
+    """
     bad = contamination(docs, benchmark, **options).where("contaminated").select("doc_id").distinct()
     return keep_ids(docs, Scratch(docs.sparkSession, "contaminated").write(bad, "ids"), "left_anti")
