@@ -121,3 +121,108 @@ def test_mixing_is_the_projected_gradient(spark):
 def test_mixing_stage(docs, labels):
     out = mixing.mixing_stage(docs, mixing.label_domains(labels))
     assert out.where("mix_copies < 1").count() == 0 and set(docs.columns) < set(out.columns)
+
+
+def test_dense_features_against_plain_python():
+    import re
+
+    from turnledger.llm import features
+
+    texts = ["The cat; the CAT!!  the cat\nthe cat\n\nthe cat", "", " \n", "a", "éa b\tc? 12|3 *x* a b c a b c", "x" * 5000 + "\n" + "y z"]
+    raw = [t.encode() for t in texts]
+    data, bounds = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    got = features.dense(data, bounds)
+    for t, b, row in zip(texts, raw, got, strict=True):
+        words = [w.lower() for w in re.findall(r"[^\x20\x09-\x0d]+", t)]
+        n, lines = len(words), [x for x in b.split(b"\n") if x.strip()]
+        grams = [tuple(words[i : i + 3]) for i in range(n - 2)]
+        want = dict.fromkeys(features.NAMES, 0.0)
+        for kind, chars in features._KINDS.items():
+            want[f"{kind}_share"] = sum(c in chars for c in b) / max(1, len(b))
+        want |= {"wide_share": sum(c >= 128 for c in b) / max(1, len(b)), "log_words": np.log1p(n), "log_chars": np.log1p(len(b)), "mean_word": np.log1p(sum(len(w.encode()) for w in words) / max(1, n))}
+        want |= {"distinct": len(set(words)) / np.sqrt(n) if n else 0, "adjacent": sum(x == y for x, y in zip(words, words[1:], strict=False)) / max(1, n), "repeat3": 1 - len(set(grams)) / len(grams) if n > 3 else 0}
+        want["stop_per_word"] = sum(c in b".?" for c in b) / max(1, n)
+        if n and b"\n" in b:
+            want |= {"dup_lines": 1 - len(set(lines)) / len(lines), "longest_run": np.log1p(max(map(len, lines)))}
+        elif n:
+            want["longest_run"] = np.log1p(len(b))
+        assert row == pytest.approx([want[k] for k in features.NAMES])
+
+
+def test_ranker_against_plain_python():
+    """Weights make the mean logistic loss of the drawn pairs' differences smallest; scores follow from them."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(80, 3))
+    y = (x[:, 0] + 0.7 * r.normal(size=80) > 0).astype(int)
+    m = quality_classifier.PairwiseRanker(x, y, pairs=500)
+    z = np.clip((quality_classifier.expand(x) - m.mean) / m.scale, -8, 8)
+    pick = np.random.default_rng(7)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    a, b = pick.choice(good, 500), pick.choice(bad, 500)
+    slope = np.mean([-(z[i] - z[j]) / (1 + np.exp((z[i] - z[j]) @ m.weights)) for i, j in zip(a, b, strict=True)], axis=0) + 1e-3 * m.weights
+    assert np.abs(slope).max() < 1e-5
+    raw = [sum(v * w for v, w in zip(row, m.weights, strict=True)) for row in z]
+    share = np.mean(y == 0)
+    near = 0.05 * min(share, 1 - share)
+    assert m.threshold == pytest.approx((np.quantile(raw, share - near) + np.quantile(raw, share + near)) / 2)
+    cut = quality_classifier.CUT
+    assert m.score(x) == pytest.approx([1 / (1 + (1 - cut) / cut * np.exp(-(v - m.threshold) / m.spread)) for v in raw])
+    assert ((m.score(x) >= cut) == (np.array(raw) >= m.threshold)).all()
+
+
+def test_trees_against_plain_python():
+    r = np.random.default_rng(5)
+    x = r.normal(size=(400, 6))
+    m = toxicity.BoostedTrees(x, (x[:, 0] * x[:, 1] + x[:, 2] > 0.3).astype(int))
+    new = r.normal(size=(50, 6))
+    for row, got in zip(new, m.margin(new), strict=True):
+        want = m.start
+        for tree in m.trees:
+            k = 0
+            while tree[k][0] >= 0:
+                j, last, _ = tree[k]
+                k = 2 * k + 1 + (sum(c < row[j] for c in m.cuts[j]) > last)
+            want += tree[k][2]
+        assert got == pytest.approx(want)
+    assert len(m.trees) == 60 and np.mean((m.margin(x) > 0) == (x[:, 0] * x[:, 1] + x[:, 2] > 0.3)) > 0.9
+
+
+def test_isotonic_against_the_max_min_formula():
+    r = np.random.default_rng(1)
+    y = (r.random(40) < np.linspace(0.1, 0.8, 40)).astype(float)
+    at, to = toxicity.isotonic(np.arange(40.0), y)
+    mean = [max(min(y[a : b + 1].mean() for b in range(i, 40)) for a in range(i + 1)) for i in range(40)]
+    want, i = [], 0
+    while i < 40:
+        n = sum(abs(v - mean[i]) < 1e-12 for v in mean)
+        want += [(n * mean[i] + 0.05) / (n + 0.1)] * n
+        i += n
+    assert np.interp(np.arange(40.0), at, to) == pytest.approx(np.maximum.accumulate(want))
+
+
+def test_language_features_and_duels_against_plain_python():
+    def plain(text):
+        out = [0.0] * language_id.WIDTH
+        cp = [ord(c) if ord(c) >= 65 else 32 for c in text.lower()]
+        for n in range(1, language_id.ORDERS + 1):
+            for i in range(len(cp) - n + 1):
+                h = 0
+                for c in cp[i : i + n]:
+                    h = (h * 0x01000193 + c * 0x9E3779B1) % 2**32
+                h = (h ^ (h >> 15)) * 0x2C1B3C6D % 2**32
+                out[((h >> 17) + n * 911) % language_id.WIDTH] += 1
+        root = [v**0.5 for v in out]
+        return [v / sum(w * w for w in root) ** 0.5 for v in root]
+
+    for t in ("Ein Text, 12 Wörter.", "漢字 and é", "a"):
+        assert language_id.features(t) == pytest.approx(plain(t), abs=1e-6)
+    r = np.random.default_rng(2)
+    x, y = r.normal(size=(90, 5)) + np.repeat(np.eye(5)[:3] * 4, 30, 0), np.repeat(["a", "b", "c"], 30)
+    duels = language_id.Duels(x, y)
+    for row in r.normal(size=(30, 5)) * 3:
+        score = {(a, b): float(row @ w + c) for (a, b), (w, c) in duels.machines.items()}
+        wins = [sum((s >= 0) == (k == a) for (a, b), s in score.items() if k in (a, b)) for k in range(3)]
+        margin = [sum(s if k == a else -s for (a, b), s in score.items() if k in (a, b)) for k in range(3)]
+        best = max(range(3), key=lambda k: (wins[k], margin[k]))
+        least = min(s if best == a else -s for (a, b), s in score.items() if best in (a, b))
+        assert duels.choose(row) == ("abc"[best], pytest.approx(1 / (1 + np.exp(-4 * least))))

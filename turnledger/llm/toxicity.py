@@ -118,6 +118,7 @@ class BoostedTrees:
         self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) if len(c) else np.zeros(0) for c in x.T]
         share = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
         self.start, self.trees = float(np.log(share / (1 - share))), []
+        self._pack(depth)
         if len(y) < 2 * least or len(set(y.tolist())) < 2:
             return
         b = self._binned(x)
@@ -141,6 +142,15 @@ class BoostedTrees:
                         tree[k] = (*best, 0.0)
                         node[rows] = np.where(b[rows, best[0]] <= best[1], 2 * k + 1, 2 * k + 2)
             self.trees.append(tree)
+        self._pack(depth)
+
+    def _pack(self, depth: int) -> None:
+        """The nodes of all trees as arrays of (tree, node): split feature or -1, last bin to the left, value."""
+        self.depth, shape = depth, (len(self.trees), 2 ** (depth + 1) - 1)
+        self.feature, self.cut, self.value = np.full(shape, -1), np.zeros(shape, np.int64), np.zeros(shape)
+        for t, tree in enumerate(self.trees):
+            for k, (j, cut, value) in tree.items():
+                self.feature[t, k], self.cut[t, k], self.value[t, k] = j, cut, value
 
     @staticmethod
     def _split(b, g, h, bins, least):
@@ -159,17 +169,13 @@ class BoostedTrees:
         return np.column_stack([np.searchsorted(c, v, "left") for c, v in zip(self.cuts, x.T, strict=True)]) if len(self.cuts) else np.zeros((len(x), 0), np.int64)
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        b, f = self._binned(x), np.full(len(x), self.start)
-        for tree in self.trees:
-            node = np.zeros(len(x), np.int64)
-            for k in sorted(tree):
-                j, cut, value = tree[k]
-                rows = node == k
-                if j < 0:
-                    f[rows] += value
-                else:
-                    node[rows] = np.where(b[rows, j] <= cut, 2 * k + 1, 2 * k + 2)
-        return f
+        b, tree = self._binned(x), np.arange(len(self.trees))
+        node, row = np.zeros((len(x), len(tree)), np.int64), np.arange(len(x))[:, None]
+        for _ in range(self.depth if len(tree) else 0):
+            j = self.feature[tree, node]
+            right = b[row, np.maximum(j, 0)] > self.cut[tree, node]
+            node = np.where(j < 0, node, 2 * node + 1 + right)
+        return self.start + self.value[tree, node].sum(1)
 
 
 def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,9 +204,7 @@ class ToxicModel:
         self.at, self.to = isotonic(margin, y) if len(y) else (np.zeros(1), np.zeros(1))
 
     def score(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        m = self.trees.margin(toxic_features(data, bounds, self.lexicon, self.second))
-        order = 1 / (1 + np.exp(-m))
-        return np.clip(0.98 * np.interp(m, self.at, self.to) + 0.02 * order, 0, 1)
+        return np.clip(np.interp(self.trees.margin(toxic_features(data, bounds, self.lexicon, self.second)), self.at, self.to), 0, 1)
 
 
 def _learn_lexicon(sample: DataFrame, least: int = 4, sure: float = 0.5) -> list[np.ndarray]:
@@ -248,7 +252,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, held:
     lexicon keeps its 8,000 surest entries.  A row's lexicon features come from the
     other folds' lexicon, and the calibration from trees without its fold, so
     neither is tuned to what it has seen.  Every row is scored by its whole
-    text; null and empty texts have zero features.
+    text, by the isotonic fit at its margin; null and empty texts have zero
+    features.  Without labels every score is that of an empty fit, 0.  Repeated
+    rows get equal scores.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(FOLDS))
