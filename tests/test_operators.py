@@ -300,3 +300,61 @@ def test_packing_queries_cover_the_whole_table(spark):
     items = spark.read.parquet(f"{sf}/lineitem.parquet")
     assert registry.a19_packing_cost(spark, sf).first().item_count == items.count()
     assert {r[0] for r in registry.t9_token_packing(spark, sf).select("comparison_group_id").collect()} == {str(r[0]) for r in items.select("l_orderkey").distinct().collect()}
+
+
+def test_drawn_controls_follow_the_published_stream(spark):
+    import hashlib
+
+    import numpy as np
+
+    kind = "global_step int, anchor_id string, fingerprint string, tier int, observation_id string"
+    best = [(3, "a", f"f{i}", t, f"o{i}") for i, t in enumerate((2, 0, 0, 1, 0))] + [(3, "b", "f", 3, "only"), (4, "c", "f1", 1, "y"), (4, "c", "f2", 1, "x")]
+    got = {(r.anchor_id, r.control_index): (r.observation_id, r.tier, r.used_replacement) for r in controls.drawn_controls(spark.createDataFrame(best, kind)).collect()}
+    want = {}
+    for step, anchor in ((3, "a"), (3, "b"), (4, "c")):
+        rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{schema.CONTROL_STREAM}|{schema.REVISION}|{step}|{anchor}".encode()).digest()[:16], "big"))
+        order = []
+        for tier in range(4):
+            ids = sorted(o for _, a, _, t, o in best if a == anchor and t == tier)
+            if ids:
+                order += [(ids[i], tier) for i in rng.permutation(len(ids))]
+        order, short = order[:3], len(order) < 3
+        n = len(order)
+        order += [order[int(rng.integers(0, n))] for _ in range(3 - n)]
+        want |= {(anchor, i): (*x, short) for i, x in enumerate(order)}
+    assert got == want
+
+
+def test_pools_repeats_and_masked_scores(spark):
+    docs = "<documents>\nDoc 1: T\nbody\nDoc 2: U\nmore\n</documents>"
+    made = [rollout(0, "u", "b", 0, "search", search_feedback=docs, turn_context_text=f"seen {docs}"), rollout(1, "u", "b", 1, "answer"), rollout(2, "u", "c", 0, "search", search_feedback="<documents>Doc 1: new</documents>", turn_context_text=docs), rollout(3, "u", "c", 0, "search", is_adjustment_copy=True)]
+    t = records(spark, made)
+    seen = {r.turn_id[-18:]: r.visible_exact_repeat for r in turns.visible_repeats(checks.originals(t).where("action_type = 'search'")).collect()}
+    assert sorted(seen.values()) == [False, True]
+    pool = turns.observation_pool(t).orderBy("observation_id").collect()
+    assert [(r.document_count, r.valid, r.call_bucket) for r in pool] == [(2, True, "1"), (1, True, "1")] and turns.trajectory_count(t).first()[0] == 2
+    scored = [("t", "whole_mask", -1.0, -2.0), ("t", "chunk_mask_10", -1.0, -0.5), ("t", "chunk_mask_2", -1.0, -0.25), ("s", "whole_mask", 0.0, 0.0)]
+    got = {r.turn_id: (r.full_score, r.whole_masked, r.chunk_masked) for r in credits.masked_scores(spark.createDataFrame(scored, "turn_id string, view string, full_score double, score double")).collect()}
+    assert got == {"t": (-1.0, -2.0, [-0.25, -0.5]), "s": (0.0, 0.0, [])}
+    assert credits.answer_residuals_of(t).select("trajectory_id", "residual").collect()[0].residual == 0.0
+
+
+def test_hooks_and_small_checks(spark):
+    rows = spark.createDataFrame([("a", 2), ("b", 5)], "request_id string, length int")
+    assert sorted(tuple(r) for r in requests.score_with(rows, lambda pdf: -1.0 * pdf["length"]).collect()) == [("a", -2.0), ("b", -5.0)]
+    maps = spark.createDataFrame([({"Metadata": 1, "ok": 2},), ({"fact_1": 1},), ({"x": 1},)], "m map<string,int>")
+    assert {r.key for r in checks.forbidden_keys(maps, "m").collect()} <= {"Metadata", "metadata", "fact_1"} and checks.forbidden_keys(maps, "m").count() >= 1
+    held = spark.createDataFrame([(1, 0, 2.0, [0, 1])], "batch_row_index int, slot int, coefficient double, positions array<int>")
+    logs = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 0.0, 0.0), (1, 2, 0.0, 0.0)], "batch_row_index int, position int, old_log_prob double, log_prob double")
+    assert objective.signed_span_losses(objective.span_tokens(held, logs), 0.2, 0.2).first().loss == -2.0
+    turns_ = spark.createDataFrame([("a",), ("b",)], "traj_uid string")
+    one = spark.createDataFrame([("a", 1), ("b", 0)], "traj_uid string, outcome int")
+    assert sorted(r.terminal_binary_em for r in checks.outcome_joined(turns_, one).collect()) == [0.0, 1.0]
+    for bad in (one.where("outcome = 1"), one.withColumn("outcome", F.lit(2))):
+        with pytest.raises(checks.CheckFailed):
+            checks.outcome_joined(turns_, bad)
+    rows = spark.createDataFrame([(i, i) for i in range(5)], "row_index int, ordinal int")
+    assert sampling.interleaved_layout(rows, 8, 4).count() == 8
+    for target, micro, given in ((4, 4, rows), (24, 4, rows), (8, 4, rows.unionByName(rows.limit(1))), (8, 4, rows.withColumn("row_index", F.col("row_index") - 1))):
+        with pytest.raises(checks.CheckFailed):
+            sampling.interleaved_layout(given, target, micro)

@@ -40,6 +40,27 @@ def test_each_step(spark, tmp_path):
     assert got == {1: 2, 2: 1}
 
 
+def test_windowed_rates(spark, tmp_path):
+    rows = spark.sql("SELECT timestamp'2026-01-01 00:10:00' AS ts, 'search' AS action_type, 1.0D AS utility UNION ALL SELECT timestamp'2026-01-01 00:50:00', 'search', 2.0D UNION ALL SELECT timestamp'2026-01-01 01:10:00', 'answer', 4.0D")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, action_type string, utility double").parquet(str(tmp_path / "in"))
+    q = steps.windowed_rates(stream).writeStream.format("memory").queryName("rates").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.action_type, r.n, r.utility) for r in spark.table("rates").collect()) == [("answer", 1, 4.0), ("search", 2, 3.0)]
+
+
+def test_file_hash_query(spark):
+    import hashlib
+
+    from turnledger.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    for r in registry.s6_f16_file_hashes(spark, sf).collect():
+        raw = open(f"{sf}/{r.name}", "rb").read()
+        assert (r.length, r.sha256) == (len(raw), hashlib.sha256(raw).hexdigest())
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as e
 

@@ -109,10 +109,6 @@ def originals(turns: DataFrame) -> DataFrame:
     return turns.where(~F.coalesce(F.col("is_adjustment_copy"), F.lit(False)))
 
 
-def missing_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    return left.select(key).distinct().join(right, key, "left_anti")
-
-
 def shared_rows(batches: DataFrame, key: list[str], batch: str = "batch_index") -> DataFrame:
     """Keys that occur in more than one batch."""
     return batches.groupBy(*key).agg(F.min(batch).alias("first"), F.max(batch).alias("last")).where("first <> last")
@@ -135,9 +131,7 @@ def over_budget(mass: DataFrame, budget: float, slack: float = 1e-6) -> DataFram
 
 
 def outcome_joined(turns: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Each turn with its trajectory's raw 0/1 outcome; a shaped reward stays apart."""
-    return turns.join(outcomes.select("traj_uid", F.col("outcome").cast("double").alias("terminal_binary_em")), "traj_uid", "left")
-
-
-def value_in(column: Column, values: tuple) -> Column:
-    return column.isin(*values)
+    """Each turn with its trajectory's raw 0/1 outcome; a shaped reward stays apart.  Raises for a missing or another outcome."""
+    out = turns.join(outcomes.select("traj_uid", F.col("outcome").cast("double").alias("terminal_binary_em")), "traj_uid", "left")
+    require_none(not_binary(out).select("traj_uid"), "an outcome other than 0 or 1")
+    return out

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,14 +85,3 @@ def control_failures(anchors: DataFrame, controls: DataFrame) -> DataFrame:
     """(turn_id, control_failure) of anchors without any control."""
     lost = anchors.select(F.col("observation_id").alias("turn_id")).join(controls.select(F.col("anchor_id").alias("turn_id")).distinct(), "turn_id", "left_anti")
     return lost.withColumn("control_failure", F.lit("no_other_question_control"))
-
-
-def stream_numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """mapInPandas body: the first double of each row's stream, for global_step and turn_id."""
-    import hashlib
-
-    import numpy as np
-
-    for pdf in batches:
-        seeds = [int.from_bytes(hashlib.sha256(f"{CONTROL_STREAM}|{REVISION}|{s}|{t}".encode()).digest()[:16], "big") for s, t in zip(pdf["global_step"], pdf["turn_id"], strict=True)]
-        yield pdf[["turn_id"]].assign(draw=[np.random.default_rng(s).random() for s in seeds])

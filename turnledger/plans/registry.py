@@ -287,11 +287,11 @@ def p16_p17_positions(spark, d):
     return t.select("turn_id", F.array_join("s.boundary", ",").alias("boundary"), F.array_join("s.content", ",").alias("content"))
 
 
-@_query("""SELECT c.conv_id, turn, CAST(CASE WHEN quality = 1 THEN 1 ELSE 0 END AS DOUBLE) AS terminal_binary_em FROM conversations c LEFT JOIN labels l ON l.doc_id = c.conv_id""")
+@_query("""SELECT conv_id, turn, CAST(quality AS DOUBLE) AS terminal_binary_em FROM conversations JOIN labels ON doc_id = conv_id""")
 def p18_outcome_joined(spark, d):
     c = proxies.table(spark, d, "conversations").select("conv_id", "turn", F.col("conv_id").alias("traj_uid"))
     outcome = proxies.table(spark, d, "labels").select(F.col("doc_id").alias("traj_uid"), F.col("quality").alias("outcome"))
-    return checks.outcome_joined(c, outcome).select("conv_id", "turn", F.coalesce("terminal_binary_em", F.lit(0.0)).alias("terminal_binary_em"))
+    return checks.outcome_joined(c.join(outcome, "traj_uid", "left_semi"), outcome).select("conv_id", "turn", "terminal_binary_em")
 
 
 # controls
@@ -409,15 +409,24 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return rows.select((F.col("l_orderkey") % 10).cast("string").alias("queue"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("request_id"), F.col("l_orderkey").cast("string").alias("comparison_group_id"), F.col("l_quantity").cast("long").alias("length"))
 
 
-@_query()
+_PACKED = """WITH RECURSIVE q AS MATERIALIZED (SELECT CAST(l_orderkey % 10 AS VARCHAR) AS queue, CAST(l_orderkey AS VARCHAR) AS g, CAST(max(l_quantity) AS BIGINT) AS w, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS tokens FROM lineitem GROUP BY l_orderkey),
+g AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY w DESC, g) AS i FROM q),
+p(queue, g, i, batch, w, c) AS (SELECT queue, g, i, 0, w, n FROM g WHERE i = 1 UNION ALL
+  SELECT queue, g, i, batch + CAST(NOT fits AS INTEGER), CASE WHEN fits THEN wide ELSE w END, CASE WHEN fits THEN many ELSE n END FROM (
+    SELECT g.queue, g.g, g.i, p.batch, g.w, g.n, greatest(p.w, g.w) AS wide, p.c + g.n AS many, p.c + g.n <= 32 AND greatest(p.w, g.w) * ((p.c + g.n + 3) // 4 * 4) <= 1000 AS fits FROM p JOIN g ON g.queue = p.queue AND g.i = p.i + 1)),
+b AS (SELECT queue, batch, max(w) * ((max(c) + 3) // 4 * 4) AS padded FROM p GROUP BY ALL)"""
+
+
+@_query(f"{_PACKED} SELECT queue, g AS comparison_group_id, batch AS batch_id, padded AS padded_tokens FROM p JOIN b USING (queue, batch)")
 def t9_token_packing(spark, d):
     return requests.pack(_items(spark, d), 1000, 32, 4)
 
 
-@_query()
+@_query(f"""{_PACKED}, t AS (SELECT CAST(sum(n) AS BIGINT) AS items, CAST(sum(tokens) AS BIGINT) AS tokens FROM g), c AS (SELECT count(*) AS m, CAST(sum(padded) AS BIGINT) AS padded FROM b)
+SELECT items AS item_count, m AS forward_microbatch_count, tokens AS true_token_count, padded AS padded_token_count, padded - tokens AS padding_token_count, round((padded - tokens) / padded::DOUBLE, 9) AS padding_fraction FROM t, c""")
 def a19_packing_cost(spark, d):
     rows = _items(spark, d)
-    return requests.packing_cost(rows, requests.pack(rows, 1000, 32, 4))
+    return requests.packing_cost(rows, requests.pack(rows, 1000, 32, 4)).withColumn("padding_fraction", _r("padding_fraction", 9))
 
 
 @_query("""WITH c AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS t FROM conversations), v AS (SELECT unnest(['real', 'empty', 'control_0', 'control_1', 'control_2']) AS view), a AS (SELECT unnest(range(2)) AS i) SELECT t || ':' || view || ':alias:' || i AS request_id, t AS comparison_group_id, view FROM c, v, a""")
