@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnledger.llm.common import Scratch, keep_ids, only
+from turnledger.llm.common import Scratch, free_shuffles, keep_ids, only
 from turnledger.llm.components import connected_components
 from turnledger.llm.words import byte_table, hash_words, mix, slices
 
@@ -219,7 +219,7 @@ def _linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     owner = np.repeat(np.arange(n), size)
     keep = count[token] > 1
     token, owner = token[keep], owner[keep]
-    both = np.zeros((n, n), np.float32)
+    both = np.zeros((n, n), np.int64)
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
     starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
@@ -233,7 +233,7 @@ def _linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             pick = dense[which] & (column[which] >= c) & (column[which] < c + width)
             x = np.zeros((n, width), np.float32)
             x[owner[pick], column[which[pick]] - c] = 1
-            both += x @ x.T
+            both += (x @ x.T).astype(np.int64)
     for f in np.unique((ends - starts)[~dense]):
         rows = owner[starts[(ends - starts) == f][:, None] + np.arange(f)]
         for i in range(f):
@@ -326,6 +326,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block_doc
     same = Window.partitionBy("key")
     star = keys.withColumn("hub", F.min("doc_id").over(same)).where("hub <> doc_id").groupBy("hub", "doc_id").agg(F.lit(1).alias("x")).drop("x")
     star = scratch.write(star, "star")
+    free_shuffles(spark)
 
     by = ("hub", "p", "q")
     members = star.select("hub", "doc_id").unionByName(star.select("hub", F.col("hub").alias("doc_id")).distinct())
@@ -333,6 +334,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block_doc
     drawn = _dealt(members, load).join(sized.select("doc_id", "sketch"), "doc_id").repartition(*by).sortWithinPartitions(*by, "doc_id")
     clusters = connected_components(spark, drawn.mapInArrow(_compare("sketch", np.uint16, _possible, percent), "a long, b long"), scratch)
     clusters = scratch.write(clusters.select(F.col("component").alias("hub"), F.col("node").alias("doc_id")), "clusters")
+    scratch.drop("star")
+    free_shuffles(spark)
 
     def kept(batches):
         for ids, sets in _texts(batches, n):
@@ -343,13 +346,19 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block_doc
     sets = keep_ids(docs, clusters.select("doc_id")).mapInArrow(kept, "doc_id long, tokens binary")
     drawn = _dealt(clusters, load).join(sets, "doc_id").repartition(*by).sortWithinPartitions(*by, "doc_id")
     classes = connected_components(spark, drawn.mapInArrow(_compare("tokens", np.uint64, _linked, percent), "a long, b long"), scratch)
+    free_shuffles(spark)
     near = sized.select("doc_id", "n_shingles").join(copies, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = near.join(classes, near.rep == classes.node, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
 def near_duplicate_stage(docs: DataFrame, **options) -> DataFrame:
-    """docs without all but the smallest doc_id of each class; all columns stay."""
+    """docs without all but the smallest doc_id of each class; all columns stay.
+
+    Rows of one doc_id go or stay together.  Null, empty and blank texts are classes
+    of their own and stay, as do rows without an id.  An empty table gives an
+    empty one.
+    """
     spark = docs.sparkSession
     classes = jaccard_components(docs, **options)
     drop = Scratch(spark, "jaccard-drop").write(classes.where("component_id <> doc_id").select("doc_id").distinct(), "drop")
