@@ -13,14 +13,14 @@ log-probabilities of the positions that a shard answers for.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnledger.llm.common import Scratch, keep_ids, only
+from turnledger.llm.common import Scratch, free_shuffles, keep_ids, only
 from turnledger.llm.words import byte_table, hash_words, mix, slices
 
 #: Characters of an n-gram.
@@ -200,15 +200,15 @@ def train(scratch: Scratch, docs: DataFrame) -> DataFrame:
 class Shard:
     """Sorted hashes of the n-grams and histories of a shard, with their values and where each prefix of hashes begins."""
 
-    def __init__(self, number: int, shards: int, table: pa.Table):
+    def __init__(self, number: int, shards: int, tables: Iterable[pa.Table]):
+        """tables: the hashes and values of n-grams, then those of histories."""
         self.number, self.shards, self.arrays = number, shards, []
-        kind, key, value = (table.column(c).to_numpy() for c in ("kind", "key", "value"))
-        for k in (0, 1):
-            mine = key[kind == k].view(np.uint64)
-            order = np.argsort(mine)
-            mine, bits = mine[order], max(1, len(mine).bit_length())
-            start = np.searchsorted(mine, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-            self.arrays.append((mine, value[kind == k][order].astype(np.float32), np.r_[start, len(mine)].astype(np.int32), np.uint64(64 - bits)))
+        for table in tables:
+            key, value = table.column("key").to_numpy().view(np.uint64), table.column("value").to_numpy()
+            order = np.argsort(key)
+            key, value, bits = key[order], value[order], max(1, len(key).bit_length())
+            start = np.searchsorted(key, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+            self.arrays.append((key, value, np.r_[start, len(key)].astype(np.int32), np.uint64(64 - bits)))
 
     def find(self, kind: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(whether each hash is there, its value or 0)."""
@@ -275,14 +275,16 @@ def sharded(scratch: Scratch, model: DataFrame) -> tuple[DataFrame, int]:
                     key[pick] = Suffixes(flat, last, np.array([seeds[langs[i]] for i in pick], np.uint64), n).hashes(n)
                     if n - 1 + k >= 2:
                         shard[pick] = shard_of(c[:, n - 3 + k], c[:, n - 2 + k], shards)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), batch.column("kind"), pa.array(key.view(np.int64)), batch.column("value")], ["shard", "kind", "key", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), batch.column("kind"), pa.array(key.view(np.int64)), batch.column("value").cast(pa.float32())], ["shard", "kind", "key", "value"])
 
-    return scratch.write(model.mapInArrow(run, "shard int, kind int, key long, value double"), "shards"), shards
+    return scratch.write(model.mapInArrow(run, "shard int, kind int, key long, value float"), "shards"), shards
 
 
 def _shards(spark: SparkSession, table: DataFrame, shards: int) -> Iterator:
     for i in range(shards):
-        yield spark.sparkContext.broadcast(Shard(i, shards, table.where(F.col("shard").isin(-1, i)).select("kind", "key", "value").toArrow()))
+        mine = table.where(F.col("shard").isin(-1, i))
+        yield spark.sparkContext.broadcast(Shard(i, shards, (mine.where(F.col("kind") == k).select("key", "value").toArrow() for k in (0, 1))))
+        pa.default_memory_pool().release_unused()
 
 
 def base_counts(data: np.ndarray, bounds: np.ndarray, h: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
@@ -433,6 +435,9 @@ def quality_rules(docs: DataFrame, under: float = 5.0, over: float = 3.0, floor:
     docs = docs.select("doc_id", F.coalesce("lang", F.lit(named(None))).alias("lang"), F.xxhash64("doc_id", "text", "lang").alias("h"), "text")
     model = train(scratch, docs)
     table, count = sharded(scratch, model)
+    for name in [x for x in scratch.paths if x != "shards"]:
+        scratch.drop(name)
+    free_shuffles(docs.sparkSession)
     shards = list(_shards(docs.sparkSession, table, count))
     scored = _own(scratch, docs, shards)
     scored = scored.withColumn("log_ppl", F.when(F.col("n_chars") > 0, -F.col("total") / F.col("n_chars")))
