@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from turnledger.llm.common import Scratch
@@ -33,12 +33,12 @@ def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch
     mark, last, k = None, "edges0", 0
     while True:
         k += 1
-        now = scratch.write(star(star(now, True), False), f"edges{k}")
+        seen = Observation()  # of the edges, as they are written
+        now = scratch.write(star(star(now, True), False).observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.bit_xor(F.xxhash64("b", "a")).alias("y")), f"edges{k}")
         scratch.drop(last)
         last = f"edges{k}"
-        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.countDistinct("a")).first()
-        if seen[0] == 0 or tuple(seen) == mark:
+        if seen.get["n"] == 0 or seen.get == mark:
             break
-        mark = tuple(seen)
+        mark = seen.get
     child = now.groupBy("b").agg(F.min("a").alias("component")).withColumnRenamed("b", "node")
     return child.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -152,7 +152,7 @@ class Bands:
 def _texts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     for rows, data, bounds in slices(batches):
         h, _, _, first = hash_words(data, bounds, _SPACE)
-        yield rows.column("doc_id").to_numpy(zero_copy_only=False), shingles(h, first, n)
+        yield rows.column("doc_id"), shingles(h, first, n)
 
 
 #: Buckets of a sketch.
@@ -289,8 +289,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block_doc
     n-word shingles of the lower-cased text; documents with fewer words have
     one element, the whole sequence.  Null and empty texts have an empty set,
     a class of their own and no links.  Equal sets are one class, of which one
-    representative is compared.  Repeated rows count once for each row.  An
-    empty table gives no rows.  ``block_docs`` and ``block_tokens`` bound what one
+    representative is compared.  Repeated rows give repeated rows; different texts
+    under one doc_id are sets of one document, which has the links of all.  Rows
+    without a doc_id have no links and a null component.  An empty table gives no
+    rows.  ``block_docs`` and ``block_tokens`` bound what one
     task compares in memory; larger groups are dealt out as pairs of blocks.
     """
     spark = docs.sparkSession
@@ -300,13 +302,15 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block_doc
     def sizes(batches):
         for ids, sets in _texts(batches, n):
             who = [identity(s) for s in sets]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "s1": pa.array([x for x, _ in who], pa.int64()), "s2": pa.array([x for _, x in who], pa.int64()), "sketch": pa.array([sketch(s).tobytes() for s in sets], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "s1": pa.array([x for x, _ in who], pa.int64()), "s2": pa.array([x for _, x in who], pa.int64()), "sketch": pa.array([sketch(s).tobytes() for s in sets], pa.binary())})
 
     sized = scratch.write(docs.mapInArrow(sizes, "doc_id long, n_shingles long, s1 long, s2 long, sketch binary"), "sizes")
-    first = sized.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"))
-    copies = scratch.write(
-        sized.join(first.where("top > rep"), ["s1", "s2", "n_shingles"]).where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies"
-    )
+    named = sized.where("n_shingles > 0 and doc_id is not null").select("doc_id", "s1", "s2", "n_shingles")
+    several = named.groupBy("doc_id").agg(F.min(F.struct("s1", "s2", "n_shingles")).alias("a"), F.max(F.struct("s1", "s2", "n_shingles")).alias("b"))
+    several = scratch.write(several.where("a <> b").select("doc_id"), "several")
+    first = named.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"))
+    equal = scratch.write(named.join(first.where("top > rep"), ["s1", "s2", "n_shingles"]).where("doc_id <> rep").select("doc_id", "rep").distinct(), "equal")
+    copies = keep_ids(equal, several, "left_anti")
     histogram = {r[0]: r[1] for r in first.groupBy(F.floor(F.log2("n_shingles") * 4).alias("q")).count().collect()}
     counts: dict[int, int] = {}
     probe = Bands(percent)
@@ -319,8 +323,9 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block_doc
         for ids, sets in _texts(batches, n):
             keys = [bands.keys(s) if len(s) else s for s in sets]
             lengths = [len(k) for k in keys]
-            yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64)), "doc_id": pa.array(np.repeat(ids, lengths), pa.int64())})
+            yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64)), "doc_id": pa.array(np.repeat(ids.to_numpy(), lengths), pa.int64())})
 
+    docs = docs.where("doc_id is not null")
     reps = keep_ids(docs, copies.select("doc_id"), "left_anti")
     keys = reps.mapInArrow(keyed, "key long, doc_id long")
     same = Window.partitionBy("key")
@@ -339,13 +344,15 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block_doc
 
     def kept(batches):
         for ids, sets in _texts(batches, n):
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, "tokens": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     load = clusters.join(sized.select("doc_id", "n_shingles"), "doc_id").groupBy("hub").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("t"))
     load = load.select("hub", F.ceil(F.greatest(F.col("c") / block_docs, F.col("t") / block_tokens)).cast("int").alias("blocks"))
     sets = keep_ids(docs, clusters.select("doc_id")).mapInArrow(kept, "doc_id long, tokens binary")
     drawn = _dealt(clusters, load).join(sets, "doc_id").repartition(*by).sortWithinPartitions(*by, "doc_id")
-    classes = connected_components(spark, drawn.mapInArrow(_compare("tokens", np.uint64, _linked, percent), "a long, b long"), scratch)
+    links = drawn.mapInArrow(_compare("tokens", np.uint64, _linked, percent), "a long, b long")
+    links = links.unionByName(keep_ids(equal, several).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    classes = connected_components(spark, links, scratch)
     free_shuffles(spark)
     near = sized.select("doc_id", "n_shingles").join(copies, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = near.join(classes, near.rep == classes.node, "left")

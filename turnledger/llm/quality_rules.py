@@ -173,7 +173,9 @@ def train(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """
     levels = {ORDER: scratch.write(count_ngrams(docs), f"level-{ORDER}")}
     for o in range(ORDER - 1, 0, -1):
-        levels[o] = scratch.write(levels[o + 1].groupBy("lang", F.substring("gram", 2, o).alias("gram")).agg(F.count("*").alias("n")), f"level-{o}")
+        levels[o] = levels[o + 1].groupBy("lang", F.substring("gram", 2, o).alias("gram")).agg(F.count("*").alias("n"))
+        if o == ORDER - 1:  # the others are made anew from it, as they are far smaller
+            levels[o] = scratch.write(levels[o], f"level-{o}")
     lower, out = None, None
     for o in range(1, ORDER + 1):
         of = [F.greatest(F.lit(1), F.count(F.when(F.col("n") == i, 1))).alias(f"n{i}") for i in range(1, 5)]
@@ -253,7 +255,6 @@ def sharded(scratch: Scratch, model: DataFrame) -> tuple[DataFrame, int]:
     An n-gram of two characters or one and a history of one or none are needed in
     every shard; there are at most as many as pairs of characters in a language.
     """
-    model = scratch.write(model, "model")
     shards = max(1, -(-model.count() // SHARD))
 
     def run(batches):
