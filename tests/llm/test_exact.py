@@ -323,9 +323,13 @@ def spelled(pattern):
 
 
 def test_license_keywords_pass_every_alternative(spark):
+    texts = []
     for label, keywords, pattern, _, _ in licenses.rules():
         for t in spelled(pattern):
             assert re.search(pattern, t) and all(k in f" {t} " for k in keywords), (label, t)
+            texts.append((len(texts), t.upper().replace(" ", "-\n")))
+    assert spark.createDataFrame(texts, "doc_id long, text string").where(~licenses.gate(F.lower("text"))).collect() == []
+    assert len(licenses.rules()) == len({p for _, _, p, _, _ in licenses.rules()}) > 200
     rows = [(1, "Licensed under CDDL 1.0"), (2, "released under the FreeBSD license"), (3, "Licensed under the Common Development and Distribution 1.0 license")]
     assert {r.doc_id: r.labels for r in licenses.license_scan(frame(spark, rows)).collect()} == {1: "cddl-1", 2: "bsd-2-clause", 3: "cddl-1"}
 
@@ -344,11 +348,25 @@ def test_flat_files(spark, tmp_path):
     files = {"a": [5, 6, 0, 0, 7, 0, 8, 9], "b": [0], "c": [1] * 40 + [0], "d": []}
     for name, tokens in files.items():
         (tmp_path / name).write_bytes(np.array(tokens, np.uint16).tobytes())
-    blocks = token_counts.read_flat_files(spark, str(tmp_path), 6)
-    got = {}
-    for r in token_counts.scan_separators(blocks, 0).orderBy("file", "ordinal").collect():
-        got.setdefault(r.file[-1], []).append(r.n_tokens)
-    assert got == {"a": [2, 0, 1, 2], "b": [0], "c": [40]}
+    for whole in (1 << 20, 10):  # through Hadoop's file system, and the larger file by ranges
+        for chunk in (1024, 2):
+            blocks = token_counts.read_flat_files(spark, str(tmp_path), 6, whole)
+            got = {}
+            for r in token_counts.scan_separators(blocks, 0, chunk=chunk).orderBy("file", "ordinal").collect():
+                got.setdefault(r.file[-1], []).append(r.n_tokens)
+            assert got == {"a": [2, 0, 1, 2], "b": [0], "c": [40]}
+
+
+def test_layout_follows_the_vocabulary(spark, docs, tmp_path):
+    import base64
+
+    assert token_counts.layout(token_counts.load_ranks(VOCABULARY)) == (50256, 2)
+    wide = tmp_path / "wide"
+    wide.write_bytes(b"".join(base64.b64encode(bytes([i])) + b" %d\n" % (i if i else 70_000) for i in range(256)))
+    ranks = token_counts.load_ranks(str(wide))
+    assert token_counts.layout(ranks) == (70_001, 4)
+    got = sorted((r.doc_id, r.n_tokens) for r in token_counts.document_token_counts(frame(spark, docs[:20]), str(wide), 64).collect())
+    assert got == sorted((d, len((t or "").encode())) for d, t in docs[:20])
 
 
 def brute_repeats(rows, k):

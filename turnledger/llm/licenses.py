@@ -1,107 +1,52 @@
 """Operator 10: licence detection by ordered signature rules, in DataFrame functions only.
 
-A text is reduced to its words, in lower case and one space apart.  A gate of
-keywords lets through the few texts that can match; rules whose own keyword
-occurs are tried on those.  Detections are word intervals; one that lies inside
+A gate of keywords lets through the few texts that can match.  Those are reduced
+to their words, in lower case and one space apart, and each rule is tried where
+its own keyword occurs.  Detections are word intervals; one that lies inside
 an interval of a rule of equal or higher priority is suppressed.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnledger.llm.common import only
+from turnledger.llm.licence_rules import SIGNATURES
 
 #: The phrases of the base labels.
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
 
-#: Label, keyword and name of each licence, the name as a regular expression over words.
-LICENCES = (
-    ("mit", "mit", "mit( x11)?"),
-    ("apache-1", "apache", "apache( software)?( version| v)? ?1( [01])?"),
-    ("apache-2", "apache", "apache( software)?( version| v)? ?2( 0)?"),
-    ("bsd-2-clause", "bsd", "(bsd 2 clause|simplified bsd|two clause bsd|2 clause bsd)"),
-    ("bsd-2-clause", "freebsd", "freebsd"),
-    ("bsd-3-clause", "bsd", "(bsd 3 clause|new bsd|modified bsd|revised bsd|three clause bsd|3 clause bsd)"),
-    ("bsd-4-clause", "bsd", "(bsd 4 clause|original bsd|four clause bsd)"),
-    ("gpl-1", "gpl", "gpl( version| v)? ?1( 0)?"),
-    ("gpl-2", "gpl", "gpl( version| v)? ?2( 0)?"),
-    ("gpl-3", "gpl", "gpl( version| v)? ?3( 0)?"),
-    ("lgpl-2.1", "lgpl", "lgpl( version| v)? ?2 1"),
-    ("lgpl-3", "lgpl", "lgpl( version| v)? ?3( 0)?"),
-    ("agpl-3", "agpl", "agpl( version| v)? ?3( 0)?"),
-    ("mpl-1.1", "mozilla", "mozilla public( version| v)? ?1 1"),
-    ("mpl-2", "mozilla", "mozilla public( version| v)? ?2( 0)?"),
-    ("epl-1", "eclipse", "eclipse public( version| v)? ?1( 0)?"),
-    ("epl-2", "eclipse", "eclipse public( version| v)? ?2( 0)?"),
-    ("cddl-1", "cddl", "cddl( version| v)? ?1( [01])?"),
-    ("cddl-1", "common development", "common development and distribution( version| v)? ?1( [01])?"),
-    ("isc", "isc", "isc"),
-    ("zlib", "zlib", "zlib( libpng)?"),
-    ("unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl( version| v)?( 2)?"),
-    ("artistic-2", "artistic", "artistic( version| v)? ?2( 0)?"),
-    ("boost-1", "boost", "boost software( version| v)?( 1 0)?"),
-    ("cc0", "cc0", "cc0( 1 0)?"),
-    ("cc-by", "cc by", "cc by( [1-4] [05])?"),
-    ("cc-by-sa", "cc by sa", "cc by sa( [1-4] [05])?"),
-    ("cc-by-nd", "cc by nd", "cc by nd( [1-4] [05])?"),
-    ("cc-by-nc", "cc by nc", "cc by nc( [1-4] [05])?"),
-    ("cc-by-nc-sa", "cc by nc sa", "cc by nc sa( [1-4] [05])?"),
-    ("cc-by-nc-nd", "cc by nc nd", "cc by nc nd( [1-4] [05])?"),
-    ("ofl-1.1", "ofl", "(sil )?ofl( version| v)?( 1 1)?"),
-    ("postgresql", "postgresql", "postgresql"),
-    ("python-2", "python", "python software foundation( version| v)?( 2)?"),
-    ("odbl-1", "odbl", "odbl( version| v)?( 1 0)?"),
-)
-
-#: Templates around a name: the wording, its priority, its weight and its keyword.
-TEMPLATES = (
-    ("licen[sc]ed under (the )?(terms of )?(the )?{n}( licen[sc]e)?", 3, 1.0, "ed under "),
-    ("(released|available|distributed|published|provided) under (the )?(terms (and conditions )?of )?(the )?{n}( licen[sc]e)?", 3, 1.0, " under "),
-    ("under (the )?{n} licen[sc]e", 3, 0.95, " under "),
-    ("subject to (the )?(terms (and conditions )?of )?(the )?{n}( licen[sc]e)?", 3, 0.9, " subject to "),
-    ("governed by (the )?{n}( licen[sc]e)?", 3, 0.9, " governed by "),
-    ("spdx license identifier {n}", 4, 1.0, " spdx license "),
-    ("licen[sc]e {n}", 2, 0.7, " licen"),
-    ("{n} licen[sc]e", 2, 0.7, " licen"),
-)
-
-#: Whole wordings that no template covers: label, keyword, wording, priority, weight.
-WORDINGS = (
-    ("gpl-2", "general public", "(gnu )?general public licen[sc]e( as published by the free software foundation( either)?)? (version|v) ?2( 0)?", 4, 1.0),
-    ("gpl-3", "general public", "(gnu )?general public licen[sc]e( as published by the free software foundation( either)?)? (version|v) ?3( 0)?", 4, 1.0),
-    ("lgpl-2.1", "lesser general", "(gnu )?lesser general public licen[sc]e (version|v) ?2 1", 5, 1.0),
-    ("lgpl-3", "lesser general", "(gnu )?lesser general public licen[sc]e (version|v) ?3( 0)?", 5, 1.0),
-    ("agpl-3", "affero", "(gnu )?affero general public licen[sc]e (version|v) ?3( 0)?", 5, 1.0),
-    ("gpl", "general public", "(gnu )?general public licen[sc]e", 1, 0.6),
-    ("apache-2", "apache", "apache licen[sc]e (version|v) ?2( 0)?", 4, 1.0),
-    ("mit", "permission is hereby", "permission is hereby granted free of charge to any person obtaining a copy", 4, 1.0),
-    ("isc", "permission to use", "permission to use copy modify and or distribute this software for any purpose", 4, 1.0),
-    ("bsd-3-clause", "neither the name", "neither the name of .{1,80} nor the names of its contributors", 4, 0.95),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification", 2, 0.8),
-    ("cc-by", "creative commons", "creative commons attribution( [1-4] [05])?", 2, 0.9),
-    ("cc-by-sa", "creative commons", "creative commons attribution share ?alike( [1-4] [05])?", 4, 0.95),
-    ("cc-by-nc", "creative commons", "creative commons attribution non ?commercial( [1-4] [05])?", 4, 0.95),
-    ("cc-by-nd", "creative commons", "creative commons attribution no ?deriv(s|atives)( [1-4] [05])?", 4, 0.95),
-    ("cc-by-nc-sa", "creative commons", "creative commons attribution non ?commercial share ?alike( [1-4] [05])?", 5, 0.95),
-    ("cc-by-nc-nd", "creative commons", "creative commons attribution non ?commercial no ?deriv(s|atives)( [1-4] [05])?", 5, 0.95),
-    ("public-domain", "public domain", "(dedicated to|released into|in) the public domain", 3, 0.8),
-    ("all-rights-reserved", "rights reserved", "all rights reserved", 3, 0.6),
-    ("proprietary", "proprietary", "(confidential and proprietary|proprietary and confidential)", 3, 0.7),
-)
-
 
 def rules() -> list[tuple[str, list[str], str, int, float]]:
     """(label, keywords, pattern, priority, weight) of every rule; a rule is tried where all its keywords stand."""
-    out = [(label, [f" {k}"], p, n, w) for label, k, p, n, w in WORDINGS]
-    for label, keyword, name in LICENCES:
-        for wording, priority, weight, around in TEMPLATES:
-            out.append((label, [around, f" {keyword}"], wording.format(n=name), priority, weight))
-        if keyword.startswith("cc"):
-            out.append((label, [f" {keyword} "], name, 1, 0.8))
-    return [(a, k, f"(?<![^ ])(?:{p})(?![^ ])", n, w) for a, k, p, n, w in out]
+    return [(label, [keyword], f"(?<![^ ])(?:{wording})(?![^ ])", priority, weight) for label, keyword, wording, priority, weight in SIGNATURES]
+
+
+def gates() -> list[tuple[str, ...]]:
+    """Sets of words of which every text that a rule matches holds one: ``licen`` where the rule always has it, else the words of its keyword."""
+    found = set()
+    for _, keyword, wording, *_ in SIGNATURES:
+        bare, last = wording, ""
+        while bare != last:
+            bare, last = re.sub(r"\([^()]*\)\??", "", bare), bare
+        if "licen" in bare:
+            found.add(("licen",))
+        elif not keyword.startswith("cc by"):
+            found.add(tuple(sorted(set(keyword.split(" ")), key=lambda w: (-len(w), w))))
+    return sorted(g for g in found if not any(o != g and all(any(v in w for w in g) for v in o) for o in found))  # what holds g holds o
+
+
+def gate(low: Column) -> Column:
+    """Whether a text, in lower case, may match a rule: it holds the words of a gate, or ``cc`` and ``by`` with only separators between."""
+    out = F.contains(low, F.lit("cc")) & F.rlike(low, F.lit(r"cc[\x00-/:-`{-\x7f]+by"))
+    for words in gates():
+        out = out | reduce(and_, (F.contains(low, F.lit(w)) for w in words))
+    return out
 
 
 def normal(text: Column) -> Column:
@@ -133,30 +78,29 @@ def _base(norm: Column, n_words: Column, phrase: str) -> tuple[Column, Column, C
 
 
 def detections(docs: DataFrame) -> DataFrame:
-    """(doc_id, label, start_word, end_word, priority, weight) that no other detection suppresses.
+    """(doc_id, text, label, start_word, end_word, priority, weight) that no other detection suppresses; text is a hash.
 
-    docs: doc_id and norm.  The rows come from the texts that pass the gate of
-    keywords.  Matches of one rule are numbered by a window over that rule and
+    docs: doc_id and norm, of the texts that pass the gate of keywords.  Matches of one rule are numbered by a window over that rule and
     text, so that their places are a running sum of the words before them.
     """
     listed = rules()
-    keyed = sorted({k for r in listed for k in r[1]})
-    padded = F.concat(F.lit(" "), "norm", F.lit(" "))
-    present = F.filter(F.array(*map(F.lit, keyed)), lambda k: F.contains("padded", k))
-    array = F.array(*(F.struct(F.lit(i).alias("rule"), F.lit(a).alias("label"), F.array(*map(F.lit, k)).alias("keywords"), F.lit(p).alias("pattern"), F.lit(n).alias("priority"), F.lit(w).alias("weight")) for i, (a, k, p, n, w) in enumerate(listed)))
-    gate = F.exists(F.array(*(F.lit(k) for k in sorted({r[1][0] for r in listed}))), lambda k: F.contains("padded", k))
-    tried = docs.withColumn("padded", padded).where(gate).select("doc_id", "norm", _once(present).alias("present"))
-    tried = tried.withColumn("r", F.explode(F.filter(array, lambda r: F.size(F.array_except(r.keywords, F.col("present"))) == 0)))
-    tried = tried.select("doc_id", "norm", "r.*").where(F.rlike("norm", F.col("pattern")))
+    # every pattern is a literal behind its keyword, so it is compiled once a task and tried on few texts
+    keywords = sorted({k[0] for _, k, *_ in listed})
+    has = F.array(*(F.contains("norm", F.lit(k)) for k in keywords))
+    hits = [F.when(F.get("has", F.lit(keywords.index(k[0]))) & F.rlike("norm", F.lit(p)), F.lit(i)) for i, (_, k, p, _, _) in enumerate(listed)]
+    chosen = F.array(*(F.struct(F.lit(a).alias("label"), F.lit(p).alias("pattern"), F.lit(n).alias("priority"), F.lit(w).alias("weight")) for a, _, p, n, w in listed))
+    tried = docs.select("doc_id", "norm", _once(has).alias("has")).where(F.array_contains("has", True))
+    tried = tried.select("doc_id", "norm", F.explode(F.array_compact(F.array(*hits))).alias("rule"))
+    tried = tried.withColumn("r", F.get(chosen, F.col("rule"))).select("doc_id", "norm", "rule", "r.*")
     marked = F.regexp_replace("norm", F.col("pattern"), F.lit("\u0001$0\u0001"))
     parts = tried.select("doc_id", F.xxhash64("norm").alias("text"), "rule", "label", "priority", "weight", F.posexplode(F.split(marked, "\u0001")).alias("k", "part"))
     spaces = parts.groupBy("doc_id", "text", "rule", "label", "priority", "weight", "k").agg(F.first(_spaces(F.col("part"))).alias("n"))  # repeated rows count once
     each = Window.partitionBy("doc_id", "text", "rule").orderBy("k")
     found = spaces.withColumn("before", F.sum("n").over(each.rowsBetween(Window.unboundedPreceding, -1))).where("k % 2 = 1")
-    found = found.select("doc_id", "label", "priority", "weight", F.coalesce("before", F.lit(0)).alias("start_word"), (F.coalesce("before", F.lit(0)) + F.col("n") + 1).alias("end_word"))
-    found = found.groupBy("doc_id", "label", "priority", "start_word", "end_word").agg(F.max("weight").alias("weight"))
+    found = found.select("doc_id", "text", "label", "priority", "weight", F.coalesce("before", F.lit(0)).alias("start_word"), (F.coalesce("before", F.lit(0)) + F.col("n") + 1).alias("end_word"))
+    found = found.groupBy("doc_id", "text", "label", "priority", "start_word", "end_word").agg(F.max("weight").alias("weight"))
     # by rising start, falling end and priority, whatever holds an interval comes before it
-    order = Window.partitionBy("doc_id").orderBy("start_word", F.desc("end_word"), F.desc("priority"), "label").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("doc_id", "text").orderBy("start_word", F.desc("end_word"), F.desc("priority"), "label").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.lit(False)
     for level in sorted({r[3] for r in listed}):
         reach = F.max(F.when(F.col("priority") >= level, F.col("end_word"))).over(order)
@@ -172,19 +116,22 @@ def license_scan(docs: DataFrame) -> DataFrame:
     greatest of their starts, null without one.  labels adds the labels of the
     detections to the base ones.  score is the largest weight of a detection, 1
     with a base label, else 0.  Null and empty texts have no words and no labels.
-    Rows of equal doc_id share the detections of all of them.
+    Repeated rows, and rows without an id, each have the detections of their own
+    text.  An empty table gives no rows.
     """
     norm = only(docs, doc_id="long", text="string").select("doc_id", _once(normal(F.col("text"))).alias("norm"))
-    found = detections(norm).groupBy("doc_id").agg(F.collect_set("label").alias("found"), F.max("weight").alias("weight"))
+    low = only(docs, doc_id="long", text="string").select("doc_id", "text", _once(F.lower(F.coalesce("text", F.lit("")))).alias("low"))
+    passed = low.where(gate(F.col("low"))).select("doc_id", _once(normal(F.col("text"))).alias("norm"))
+    found = detections(passed).groupBy(F.col("doc_id").alias("id"), F.col("text").alias("hash")).agg(F.collect_set("label").alias("found"), F.max("weight").alias("weight"))
     words = F.when(F.col("norm") == "", 0).otherwise(_spaces(F.col("norm")) + 1)
     places = [_base(F.col("norm"), words, p) for _, p in BASE]
     base = F.array_compact(F.array(*(F.when(n > 0, F.lit(label)) for (label, _), (n, _, _) in zip(BASE, places, strict=True))))
     total = sum((n for n, _, _ in places[1:]), places[0][0])
     rows = norm.select(
-        "doc_id", words.cast("long").alias("n_words"), total.cast("long").alias("n_base"), F.least(*(a for _, a, _ in places)).cast("long").alias("first_word"),
+        "doc_id", F.xxhash64("norm").alias("text"), words.cast("long").alias("n_words"), total.cast("long").alias("n_base"), F.least(*(a for _, a, _ in places)).cast("long").alias("first_word"),
         F.greatest(*(z for _, _, z in places)).cast("long").alias("last_word"), F.array_sort(F.array_distinct(base)).alias("base"),
     )
-    out = rows.join(found, "doc_id", "left")
+    out = rows.join(found, (F.col("text") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
     every = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
     score = F.greatest(F.when(F.size("base") > 0, 1.0).otherwise(0.0), F.coalesce("weight", F.lit(0.0)))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.cast("double").alias("score"))
