@@ -17,13 +17,15 @@ def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch
     grows with the logarithm of the longest path.  Each round is written to the
     shared folder, so a lost executor never costs more than one round.  Minima
     are aggregates, combined on the map side, so a hub of any degree is no
-    more than a row per task before the shuffle.  An empty edge list gives no rows.
+    more than a row per task before the shuffle.  Both sides of a
+    round's join are dealt by the same key, so nothing is broadcast.  An empty edge
+    list gives no rows.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-        out = both.join(least, "a").where("b > a" if large else "b <= a")
+        out = both.join(least.hint("merge"), "a").where("b > a" if large else "b <= a")
         out = out.select(F.col("b").alias("x"), "m")
         if not large:
             out = out.unionByName(least.where("m < a").select(F.col("a").alias("x"), "m"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnledger.llm.common import Scratch, keep_ids, only
+from turnledger.llm.common import Scratch, free_shuffles, keep_ids, only
 from turnledger.llm.words import byte_table, pieces
 
 #: Separators become spaces and A-Z lower case; bytes from 0x80 belong to words.
@@ -62,12 +62,12 @@ class WuManber:
 _TABLES: dict[str, list[WuManber]] = {}
 
 
-def _built(name: str, patterns: list[dict]) -> list[WuManber]:
+def _built(name: str, items: list[tuple[int, str | None]], window: int) -> list[WuManber]:
     """The tables of a block of the benchmark, made once in a worker; it holds those of two blocks at most."""
     if name not in _TABLES:
         while len(_TABLES) > 1:
             _TABLES.pop(next(iter(_TABLES)))
-        _TABLES[name] = [WuManber(p) for p in patterns]
+        _TABLES[name] = [WuManber(p) for p in pattern_sets(items, window)]
     return _TABLES[name]
 
 
@@ -112,11 +112,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
     million characters.
     """
     spark = docs.sparkSession
+    free_shuffles(spark)
     out = only(docs, doc_id="long", text="string").withColumn("items", F.array().cast("array<long>")).withColumn("hits", F.lit(None).cast("binary"))
 
     def scan(shared, name):
         def run(batches):
-            found = _built(name, shared.value)
+            found = _built(name, shared.value, window)
             for batch in pieces(batches):
                 texts, items, hits = (batch.column(c).to_pylist() for c in ("text", "items", "hits"))
                 for i, text in enumerate(texts):
@@ -135,8 +136,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
         return run
 
     for block in _blocks(only(benchmark, item_id="long", text="string"), block_chars):
-        if patterns := pattern_sets(block, window):
-            out = out.mapInArrow(scan(spark.sparkContext.broadcast(patterns), uuid.uuid4().hex), "doc_id long, text string, items array<long>, hits binary")
+        if any(text for _, text in block):
+            out = out.mapInArrow(scan(spark.sparkContext.broadcast(block), uuid.uuid4().hex), "doc_id long, text string, items array<long>, hits binary")
 
     def count(batches):
         for batch in pieces(batches):

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from turnledger.llm.common import Scratch, only
+from turnledger.llm.common import Scratch, free_shuffles, only
 from turnledger.llm.features import dense
 from turnledger.llm.words import byte_table, hash_words, slices
 
@@ -41,19 +41,27 @@ class Posterior:
     WORDS = 1024
 
     def __init__(self, x: np.ndarray, y: np.ndarray, classes: int, ridge: float = 3e-4, steps: int = 150):
-        self.mean, self.scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
-        z = self._scaled(x)
-        self.weights, self.bias = np.zeros((z.shape[1], classes)), np.zeros(classes)
-        if not len(z):
+        """x: 32-bit features, scaled in place; y: classes."""
+        width = x.shape[1]
+        self.mean, self.scale = np.zeros(width, np.float32), np.ones(width, np.float32)
+        self.weights, self.bias = np.zeros((width, classes), np.float32), np.zeros(classes, np.float32)
+        if not len(x):
             return
-        hot = np.eye(classes)[y]
+        self.mean = x.mean(0, dtype=np.float64).astype(np.float32)
+        x -= self.mean
+        self.scale = np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)) + np.float32(1e-6)
+        x /= self.scale
+        np.clip(x, -5, 5, out=x)
+        x /= 4
+        hot = np.eye(classes, dtype=np.float32)[y]
         rate, v, c = 0.5, self.weights.copy(), self.bias.copy()
         for t in range(steps):
-            p = self._soft(z @ v + c) - hot
-            w2, b2 = v - rate * (z.T @ p / len(z) + ridge * v), c - rate * p.mean(0)
+            p = self._soft(x @ v + c) - hot
+            w2, b2 = v - rate * (x.T @ p / len(x) + ridge * v), c - rate * p.mean(0)
             move = t / (t + 3)
             v, c = w2 + move * (w2 - self.weights), b2 + move * (b2 - self.bias)
-            self.weights, self.bias = w2, b2
+            self.weights, self.bias = w2.astype(np.float32), b2.astype(np.float32)
+            v, c = v.astype(np.float32), c.astype(np.float32)
 
     @staticmethod
     def _soft(s: np.ndarray) -> np.ndarray:
@@ -88,10 +96,18 @@ def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], max_lab
             x = rows_of(data, bounds)[0].astype(np.float32)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("domain"), pa.array([v.tobytes() for v in x], pa.binary())], ["doc_id", "domain", "x"])
 
-    t = docs.join(F.broadcast(rows), "doc_id").mapInArrow(gather, "doc_id long, domain string, x binary").toArrow().sort_by("doc_id")
-    x = np.frombuffer(b"".join(t.column("x").to_pylist()), np.float32).reshape(-1, width).astype(np.float64)
-    place = {d: i for i, d in enumerate(domains)}
-    return docs.sparkSession.sparkContext.broadcast(Posterior(x, np.array([place[d] for d in t.column("domain").to_pylist()], np.int64), len(domains)))
+    t = docs.join(F.broadcast(rows), "doc_id").mapInArrow(gather, "doc_id long, domain string, x binary").toArrow()
+    order, place = np.argsort(t.column("doc_id").to_numpy(), kind="stable"), {d: i for i, d in enumerate(domains)}
+    y = np.array([place[d] for d in t.column("domain").to_pylist()], np.int64)[order]
+    x, at = np.empty((t.num_rows, width), np.float32), 0
+    for chunk in t.column("x").chunks:  # the features reach the driver once, and are copied once
+        for v in chunk:
+            x[at] = np.frombuffer(v.as_buffer(), np.float32)
+            at += 1
+    del t
+    x = x[order]
+    pa.default_memory_pool().release_unused()
+    return docs.sparkSession.sparkContext.broadcast(Posterior(x, y, len(domains)))
 
 
 def memberships(docs: DataFrame, model: Broadcast) -> DataFrame:
@@ -192,6 +208,7 @@ def mixing_stage(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     posterior, so the stage joins and shuffles no texts.
     """
     targets = targets or TARGETS
+    free_shuffles(docs.sparkSession)
     model = classifier(docs, labelled, sorted(targets), **options)
     members = memberships(docs, model)
     table = Scratch(docs.sparkSession, "mixing").write(memberships(only(docs, text="string"), model).select("n_tokens", "p"), "members")

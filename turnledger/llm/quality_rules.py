@@ -184,6 +184,7 @@ def train(scratch: Scratch, docs: DataFrame) -> DataFrame:
         discounts = levels[o].groupBy("lang").agg(*of, F.count("*").alias("size")).select("lang", "size", *(x.alias(f"d{i}") for i, x in enumerate(cut, 1)))
         same = Window.partitionBy("lang", "history")
         t = levels[o].join(discounts, "lang").withColumn("history", F.substring("gram", 1, o - 1) if o > 1 else F.lit(""))
+        t = t.repartition("lang", "history")  # or the window would take the join's partitions, a language each
         t = t.withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
         t = t.withColumn("total", F.sum("n").over(same)).withColumn("left", F.sum("d").over(same) / F.col("total"))
         if o > 1:
@@ -450,6 +451,7 @@ def quality_rules(docs: DataFrame, under: float = 5.0, over: float = 3.0, floor:
     chars = scored.groupBy("lang").agg(F.sum("n_chars").alias("n"))
     total = chars.agg(F.sum("n")).first()[0] or 0
     langs = sorted(r[0] for r in chars.where(F.col("n") >= least * total).select("lang").collect())
+    free_shuffles(docs.sparkSession)
     best = scratch.write(_mixed(scratch, keep_ids(docs, above, key="h"), shards, langs, window, share), "best")
     judged = judged.join(best.withColumnRenamed("best", "best_ppl"), "h", "left")
     kept = ~F.col("base_failed") & F.coalesce((F.col("log_ppl") >= F.col("low")) & (F.coalesce("best_ppl", "log_ppl") <= F.col("high")), F.lit(False))
