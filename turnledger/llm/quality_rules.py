@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnledger.llm.common import Scratch, free_shuffles, keep_ids, only
+from turnledger.llm.common import BROADCAST_IDS, Scratch, free_shuffles, keep_ids, only
 from turnledger.llm.words import byte_table, hash_words, mix, slices
 
 #: Characters of an n-gram.
@@ -176,6 +176,7 @@ def train(scratch: Scratch, docs: DataFrame) -> DataFrame:
         levels[o] = levels[o + 1].groupBy("lang", F.substring("gram", 2, o).alias("gram")).agg(F.count("*").alias("n"))
         if o == ORDER - 1:  # the others are made anew from it, as they are far smaller
             levels[o] = scratch.write(levels[o], f"level-{o}")
+    few = levels[ORDER - 1].select("lang").distinct().count() <= BROADCAST_IDS  # rows of a table of discounts
     lower, out = None, None
     for o in range(1, ORDER + 1):
         of = [F.greatest(F.lit(1), F.count(F.when(F.col("n") == i, 1))).alias(f"n{i}") for i in range(1, 5)]
@@ -183,8 +184,8 @@ def train(scratch: Scratch, docs: DataFrame) -> DataFrame:
         cut = [F.least(F.greatest(i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"), F.lit(0.05)), F.lit(float(i))) for i in (1, 2, 3)]
         discounts = levels[o].groupBy("lang").agg(*of, F.count("*").alias("size")).select("lang", "size", *(x.alias(f"d{i}") for i, x in enumerate(cut, 1)))
         same = Window.partitionBy("lang", "history")
-        t = levels[o].join(discounts, "lang").withColumn("history", F.substring("gram", 1, o - 1) if o > 1 else F.lit(""))
-        t = t.repartition("lang", "history")  # or the window would take the join's partitions, a language each
+        t = levels[o].join(F.broadcast(discounts) if few else discounts, "lang").withColumn("history", F.substring("gram", 1, o - 1) if o > 1 else F.lit(""))
+        t = t if few else t.repartition("lang", "history")  # or the window would take the join's partitions, a language each
         t = t.withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
         t = t.withColumn("total", F.sum("n").over(same)).withColumn("left", F.sum("d").over(same) / F.col("total"))
         if o > 1:
