@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnledger.llm import decontaminate, jaccard_join, language_id, licenses, mixing, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
+from turnledger.llm import decontaminate, divergence, jaccard_join, language_id, licenses, mixing, packing, periodic_runs, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
 from turnledger.llm.common import table
 
 #: Where the vocabulary lies unless spark.turnledger.vocabulary names another file.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The same for packing, unless spark.turnledger.packing.vocabulary names another; without it public_tokenizers says where.
+PACKING_VOCABULARY = "word_bpe_49k.json"
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +57,23 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True, texts=False).drop("n_words")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = spark.conf.get("spark.turnledger.packing.vocabulary", public_tokenizers.path(PACKING_VOCABULARY))
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_quality_classifier, op4_mixing, op5_jaccard_join, op6_language_id, op7_toxicity, op8_quality_rules, op9_token_counts, op10_license_scan)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_quality_classifier, op4_mixing, op5_jaccard_join, op6_language_id, op7_toxicity, op8_quality_rules, op9_token_counts, op10_license_scan, op11_source_divergence, op12_periodic_runs, op13_packing)}
 
 
 #: Words of 0-9, a-z and non-ASCII characters, with A-Z lower-cased.
@@ -97,5 +114,26 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM (
 """
 
 
+OP11_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT r, lang, source, w, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS w FROM d) GROUP BY ALL),
+k AS MATERIALIZED (SELECT lang, w, sum(n) AS total FROM t GROUP BY ALL HAVING count(*) >= 30),
+c AS MATERIALIZED (SELECT lang, source, w, sum(n) AS n FROM t JOIN k USING (lang, w) GROUP BY ALL),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+v AS MATERIALIZED (SELECT lang, count(*) AS v, sum(total) AS total FROM k GROUP BY lang),
+s AS MATERIALIZED (SELECT lang, source, coalesce(sum(n), 0) AS size FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS MATERIALIZED (
+  SELECT s.lang, s.source, k.w, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (s.size + 5 * v.v) AS p, 1 + (1000000000 * (k.total + 5)) // (v.total + 5 * v.v) AS q
+  FROM s JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.w = k.w),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.w = b.w AND a.source <> b.source GROUP BY ALL),
+e AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', w, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM e)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op5_jaccard_join": OP5_SQL}
+    return {"op2_decontamination": OP2_SQL, "op5_jaccard_join": OP5_SQL, "op11_source_divergence": OP11_SQL}
