@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnledger.llm.common import Scratch, only
-from turnledger.llm.words import hash_words, mix, slices
+from turnledger.llm.words import SLICE_BYTES, hash_words, mix, slices
 
 _LETTERS = np.zeros(256, np.uint8)
 _LETTERS[65:91] = np.arange(97, 123)
@@ -49,13 +49,12 @@ def count_terms(docs: DataFrame, held: int = 400_000) -> DataFrame:
     def run(batches):
         parts: list[pa.Table] = []
         size = 0
-        for rows, data, bounds in slices(batches):
+        for rows, data, bounds in slices(batches, size=4 * SLICE_BYTES):
             h, s, e, first = hash_words(data, bounds, _LETTERS)
             if not len(h):
                 continue
-            groups = pa.StructArray.from_arrays([rows.column("lang"), rows.column("source")], ["lang", "source"])
             names: dict[tuple, int] = {}
-            group = np.array([names.setdefault((g["lang"], g["source"]), len(names)) for g in groups.to_pylist()], np.uint64)
+            group = np.array([names.setdefault(g, len(names)) for g in zip(rows.column("lang").to_pylist(), rows.column("source").to_pylist(), strict=True)], np.uint64)
             row = np.repeat(np.arange(len(first) - 1), np.diff(first))
             own = mix(h + group[row] * _ODD)
             order = np.argsort(own, kind="stable")  # rows of an equal key stay in order
@@ -63,11 +62,12 @@ def count_terms(docs: DataFrame, held: int = 400_000) -> DataFrame:
             start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
             fresh = np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])]
             w = order[start]
-            low = _LETTERS[data].tobytes()
-            terms = [low[a:b].decode("utf-8", "replace") for a, b in zip(s[w].tolist(), e[w].tolist(), strict=True)]
+            ends = np.r_[0, np.cumsum(e[w] - s[w])]
+            letters = _LETTERS[data[np.repeat(s[w] - ends[:-1], e[w] - s[w]) + np.arange(ends[-1])]]
+            terms = pa.Array.from_buffers(pa.large_string(), len(w), [None, pa.py_buffer(ends), pa.py_buffer(letters)])
             at = pa.array(r[start])
             n = np.diff(np.r_[start, len(k)])
-            parts.append(pa.table({"lang": rows.column("lang").take(at), "source": rows.column("source").take(at), "term": terms, "n": n, "df": np.add.reduceat(fresh.astype(np.int64), start)}))
+            parts.append(pa.table({"lang": rows.column("lang").take(at), "source": rows.column("source").take(at), "term": terms.cast(pa.string()), "n": n, "df": np.add.reduceat(fresh.astype(np.int64), start)}))
             size += len(start)
             if size > 2 * held:
                 parts = [summed(parts)]
