@@ -28,6 +28,8 @@ from turnledger.llm.words import SLICE_BYTES, slices
 TOKENS, END = 4096, 1
 #: Words whose identifiers a worker keeps; beyond it the cache begins anew.
 CACHE = 400_000
+#: Rows of a part in which pieces are numbered.
+RANGE_ROWS = 500_000
 #: Bytes by class: 0 white space, 1 letters, 2 digits, 3 other marks, 4 those that never stand at a cut (the apostrophe, all from U+0080).
 _CLASS = np.full(256, 3, np.uint8)
 _CLASS[[32, *range(9, 14)]] = 0
@@ -301,7 +303,7 @@ def packed(docs: DataFrame, vocabulary: str, tokens: int = TOKENS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part), pa.int32()), pa.array(nth)], [*batch.schema.names, "part", "nth"])
 
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    parts = max(1, int(histogram.sum()) // 500_000)
+    parts = max(1, int(histogram.sum()) // RANGE_ROWS)
     dealt = pieces.repartitionByRange(parts, "length", "ids_crc32", "doc_id", "piece") if parts > 1 else pieces
     numbered = scratch.write(dealt.mapInArrow(number, f"{kind}, part int, nth long"), "numbered")
     counts = numbered.groupBy("length", "part").agg(F.count("*").alias("n"))  # a range of lengths lies in one part, a frequent length in several
