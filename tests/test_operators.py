@@ -1,12 +1,15 @@
 """Operators against hand-made rows and the reference's invariants."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnledger import schema
-from turnledger.functions import spans
+from turnledger.functions import actions, spans
 from turnledger.operators import answers, calibration, checks, controls, credits, governance, objective, requests, sampling, turns
 
 
@@ -358,3 +361,110 @@ def test_hooks_and_small_checks(spark):
     for target, micro, given in ((4, 4, rows), (24, 4, rows), (8, 4, rows.unionByName(rows.limit(1))), (8, 4, rows.withColumn("row_index", F.col("row_index") - 1))):
         with pytest.raises(checks.CheckFailed):
             sampling.interleaved_layout(given, target, micro)
+
+
+PIECES = {2: "<think>", 3: "reason", 4: "</think>", 5: "<search>", 6: "query", 7: "</search>", 8: "<answer>", 9: "Paris", 10: "</answer>", 11: "No</answer>", 0: ""}
+
+
+def brute_spans(pieces):
+    """Tags by a scan of characters, tokens by the characters that they hold."""
+    text, owner = "".join(pieces), [i for i, p in enumerate(pieces) for _ in p]
+    mode, begin, act, think, tags, invalid, closed = "out", 0, None, set(), set(), False, False
+    n = len(text)
+    tagged = {c for m in re.finditer(r"</?(?:think|search|answer)>", text) for c in range(*m.span())}
+    of = lambda a, b: {owner[c] for c in range(a, b)}
+
+    def thought(a, b, edges):
+        return {t for t in of(a, b) if not any(owner[c] == t for c in edges)}
+
+    for m in re.finditer(r"</?(?:think|search|answer)>", text):
+        name, end = m.group().strip("</>"), m.group().startswith("</")
+        if mode == "out":
+            if end:
+                invalid = True
+            elif name == "think":
+                mode, begin, opened = "think", m.end(), m.span()
+            elif act is None:
+                mode, begin, act = name, m.end(), [name, m.end(), n]
+                tags |= of(*m.span())
+            else:
+                invalid = True
+        elif mode == "think":
+            if end and name == "think":
+                think |= thought(begin, m.start(), [*range(*opened), *range(*m.span())])
+                mode = "out"
+        elif end and name == mode:
+            act[2], closed, mode = m.start(), True, "out"
+            tags |= of(*m.span())
+        else:
+            invalid = True
+    if mode == "think":
+        think |= thought(begin, n, range(*opened))
+    kind, core, target = "other", None, set()
+    if act:
+        kind, core = act[0], text[act[1] : act[2]].strip()
+        lead = act[1] + len(text[act[1] : act[2]]) - len(text[act[1] : act[2]].lstrip())
+        target = of(lead, lead + len(core))
+    assert tagged or not act
+    return kind, core, invalid, act is not None and not core, act is not None and not closed, sorted(think), sorted(target), sorted(tags)
+
+
+def test_action_spans_against_a_scan_of_characters(spark):
+    r = random.Random(6)
+    tags = [f"<{e}{t}>" for t in ("think", "search", "answer") for e in ("", "/")]
+    rows = []
+    for _ in range(600):
+        text = "".join(r.choice([*tags, *tags, "a b", " ", "\n", "x.", "</thin", "<", "éß"]) for _ in range(r.randint(0, 9)))
+        if r.random() < 0.5:
+            kind = r.choice(["search", "answer"])
+            text = f"<think>{r.choice(['', 'why ', 'a. b'])}</think>{r.choice(['', ' '])}<{kind}>{r.choice(['', ' ', 'x', ' two words '])}</{kind}>{text[: r.choice([0, 9])]}"
+        cuts = sorted({0, len(text), *(r.randrange(len(text) + 1) for _ in range(r.choice([0, 3, 40])))})
+        rows.append([text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+    rows += [[], ["no tag"], ["<think>", "a" * 3000]]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, p array<string>").repartition(4)
+    got = {x.id: x.a for x in df.select("id", actions.action_spans(F.col("p")).alias("a")).collect()}
+    for i, pieces in enumerate(rows):
+        a = got[i]
+        assert (a.action_type, a.action_text, a.invalid_action, a.empty_action, a.unclosed_action, a.think, sorted(a.search + a.answer), a.tags) == brute_spans(pieces), pieces
+    assert len({(x.action_type, x.invalid_action, x.empty_action, x.unclosed_action) for x in got.values()}) >= 10
+
+
+def brute_chunks(words, positions, least=8, aim=64, most=6):
+    chunks, now = [], []
+    for p in positions:
+        now.append(p)
+        if (len(now) >= least and words[p].rstrip(" ")[-1:] in actions.STOPS and words[p].rstrip(" ")) or len(now) >= aim:
+            chunks, now = [*chunks, now], []
+    if now:
+        chunks = [*chunks[:-1], chunks[-1] + now] if chunks and len(now) < least else [*chunks, now]
+    while len(chunks) > most:
+        i = min(range(len(chunks) - 1), key=lambda k: (len(chunks[k]) + len(chunks[k + 1]), k))
+        chunks[i : i + 2] = [chunks[i] + chunks[i + 1]]
+    return chunks
+
+
+def test_chunks_cover_all_thinking(spark):
+    r = random.Random(3)
+    rows = [(i, [r.choice(["a ", "b", "c. ", "d,", "\n", "", "？"] + ["w "] * r.choice([0, 30])) for _ in range(r.choice([0, 5, 40, 400, 900]))]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, p array<string>").repartition(4)
+    every = F.when(F.size("p") > 0, F.sequence(F.lit(0), F.greatest(F.size("p") - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    for x in df.select("id", "p", every.alias("t"), actions.think_chunks(F.col("p"), every).alias("c")).collect():
+        assert x.c == brute_chunks(x.p, x.t) and [p for c in x.c for p in c] == x.t and len(x.c) <= 6
+        assert all(len(c) >= 8 for c in x.c) or len(x.t) < 8
+
+
+def test_turn_records_from_pieces(spark):
+    """Rollouts without parsed columns: the published case, and one token that holds an answer and its end."""
+    raw = [f for f in schema.ROLLOUT.fields if f.name not in ("action_type", "action_text", "invalid_action", "empty_action", "unclosed_action", "think_mask", "action_mask", "tag_mask", "think_chunks")]
+    ids = [[2, 3, 4, 5, 6, 7], [2, 3, 4, 8, 9, 10], [2, 3, 4, 8, 11, 0]]
+    names, rows = [f.name for f in schema.ROLLOUT.fields], []
+    for i, (traj, turn, em) in enumerate((("traj-a", 0, 1.0), ("traj-a", 1, 1.0), ("traj-b", 0, 0.0))):
+        full = dict(zip(names, rollout(i, "group", traj, turn, "x", em, responses=ids[i], response_mask=[1, 1, 1, 1, 1, int(i < 2)], old_log_probs=[float(6 * i + k) for k in range(6)]), strict=True))
+        rows.append((*(full[f.name] for f in raw), [PIECES[t] for t in ids[i]]))
+    kind = T.StructType([*raw, T.StructField("response_pieces", T.ArrayType(T.StringType()))])
+    search, first, short = turns.turn_records(spark.createDataFrame(rows, kind), 4, rollouts_per_group=2).orderBy("batch_row_index").collect()
+    assert (search.action_type, search.think_content_positions, search.action_target_positions, search.action_content_positions, search.action_boundary_positions, search.old_action_target_log_probs) == ("search", [1], [4], [4], [], [4.0])
+    assert search.observation_consumable and search.valid_action and first.action_type == "answer" and first.action_text == "Paris" and first.think_chunks == [[1]]
+    assert (short.valid_action, short.action_text, short.action_target_positions, short.action_content_positions, short.action_boundary_positions, short.old_action_target_log_probs) == (True, "No", [4], [], [4], [16.0])
+    made = requests.responsibility_requests(spark.createDataFrame([search], schema.TURN)).collect()
+    assert {x.view: x.blocked_key_positions for x in made} == {"whole_mask": [2], "chunk_mask_0": [2]}

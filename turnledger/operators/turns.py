@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnledger.functions import scalars, spans
+from turnledger.functions import actions, scalars, spans
 from turnledger.operators import checks
 from turnledger.schema import TURN
 
@@ -37,14 +37,28 @@ def consumable() -> Column:
     return (F.col("action_type") == "search") & (F.col("turn_step") + 1 < F.floor(F.coalesce("episode_lengths", F.lit(0.0))))
 
 
+def parsed(rollouts: DataFrame) -> DataFrame:
+    """Rollout rows with the texts of their response tokens, response_pieces, as rows with spans parsed (schema.ROLLOUT).
+
+    Only pieces that response_mask keeps are read, and masks are of those.
+    """
+    rows = rollouts.withColumn("__p", spans.masked(F.col("response_pieces"), F.col("response_mask"))).withColumn("__a", actions.action_spans(F.col("__p")))
+    mask = lambda c: actions.mask_of(c, F.size("__p"))
+    found = {c: F.col("__a")[c] for c in ("action_type", "action_text", "invalid_action", "empty_action", "unclosed_action")}
+    found |= {"think_mask": mask(F.col("__a.think")), "action_mask": mask(F.concat("__a.search", "__a.answer")), "tag_mask": mask(F.col("__a.tags")), "think_chunks": actions.think_chunks(F.col("__p"), F.col("__a.think"))}
+    return rows.withColumns(found).drop("__p", "__a", "response_pieces")
+
+
 def turn_records(rollouts: DataFrame, global_step: int, rollouts_per_group: int | None = None, check: bool = True) -> DataFrame:
-    """Rollout rows, with their spans parsed, as turn records; see schema.ROLLOUT and schema.TURN.
+    """Rollout rows as turn records; see schema.ROLLOUT and schema.TURN.
 
+    Spans are columns of the rows, or are parsed from response_pieces where they have that instead.
     Raises for an evidence column, an outcome other than 0 or 1, a negative turn,
     a missing alias, overlapping action and think tokens, a group of two questions,
     a repeated original turn, mixed outcomes or a group of the wrong size.
     """
     checks.require_allowed(rollouts)
+    rollouts = parsed(rollouts) if "response_pieces" in rollouts.columns else rollouts
     env, reward = F.col("env_kwargs.ground_truth.target"), F.col("reward_model.ground_truth.target")
     rows = appearance_ids(rollouts, global_step)
     rows = rows.select(

@@ -85,3 +85,27 @@ def calibration(spark: SparkSession, d: str) -> DataFrame:
 
 CALIBRATION = """SELECT event_id, event_type AS kind, CAST(user_id % 10 AS INTEGER) AS batch, value / 100 AS control_0, (user_id % 50) / 100.0::DOUBLE AS control_1, event_id % 9 = 0 AS used_replacement, value / 100 - 1 AS g_directed, (event_id % 100) / 10000.0::DOUBLE AS difference,
   CASE WHEN event_id % 2 = 0 THEN 'search' ELSE 'answer' END AS action_type, value / 100 AS old_full, value / 100 + (event_id % 7) / 10000.0::DOUBLE AS plain, (user_id % 10) / 10.0::DOUBLE AS whole_masked, 0.001::DOUBLE AS repeat_error, value + 1 AS global_norm, CAST(user_id + 1 AS DOUBLE) AS local_norm FROM events"""
+
+
+def sampled(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as sampled tokens: half of a turn's words as thinking, half as an action of its role, in four forms.
+
+    Tags are one token or three, the end of the action is one with its last word, or it lacks.
+    """
+    w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", w.alias("w"), F.when(F.col("role") == "assistant", "search").when(F.col("role") == "user", "answer").otherwise("other").alias("kind"), ((F.col("conv_id") * 7 + F.col("turn")) % 4).cast("int").alias("form"))
+    n = F.size("w")
+    half, form, kind = F.floor(n / 2).cast("int"), F.col("form"), F.col("kind")
+    tag = lambda name, end="": F.when(form == 1, F.array(F.lit(f"<{end}"), name, F.lit(">"))).otherwise(F.array(F.concat(F.lit(f"<{end}"), name, F.lit(">"))))
+    word = lambda a: F.transform(a, lambda x: F.concat(x, F.lit(" ")))
+    first, second = F.slice("w", F.lit(1), half), F.slice("w", half + 1, n - half)
+    last = F.concat(F.element_at("w", F.when(n > 0, F.lit(-1))), F.lit("</"), kind, F.lit(">"))
+    merged = F.concat(word(F.slice(second, F.lit(1), n - half - 1)), F.array(last))
+    act = F.when(form == 3, word(second)).when((form == 2) & (n > 0), merged).otherwise(F.concat(word(second), tag(kind, "/")))
+    pieces = F.when(kind == "other", word(F.col("w"))).otherwise(F.concat(tag(F.lit("think")), word(first), tag(F.lit("think"), "/"), tag(kind), act))
+    return rows.select("conv_id", "turn", "kind", "form", pieces.alias("response_pieces"))
+
+
+SAMPLED = r"""SELECT conv_id, turn, kind, form, w, n, k, n - k AS m, t, 3 * t + k AS first FROM (
+  SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'search' WHEN 'user' THEN 'answer' ELSE 'other' END AS kind, (conv_id * 7 + turn) % 4 AS form, w, len(w) AS n, len(w) // 2 AS k, CASE (conv_id * 7 + turn) % 4 WHEN 1 THEN 3 ELSE 1 END AS t
+  FROM (SELECT *, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM conversations))"""

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnledger.functions import scalars, spans
+from turnledger.functions import actions, scalars, spans
 from turnledger.operators import answers, calibration, checks, controls, credits, governance, objective, requests, sampling, turns
 from turnledger.plans import proxies
 from turnledger.schema import PROBE_VERSION, REVISION, ROLLOUT
@@ -437,6 +437,32 @@ def r7_search_requests(spark, d):
     return requests.search_requests(t, ctl, names).select("request_id", "comparison_group_id", "view")
 
 
+# sampled tokens
+
+
+@_query(f"""WITH s AS ({proxies.SAMPLED}) SELECT conv_id, turn, kind AS action_type, CASE WHEN kind <> 'other' THEN array_to_string(w[k + 1:], ' ') END AS action_text, FALSE AS invalid_action, kind <> 'other' AND n = 0 AS empty_action, kind <> 'other' AND form = 3 AS unclosed_action,
+  CASE WHEN kind = 'other' THEN '' ELSE array_to_string(range(t, t + k), ',') END AS think, CASE WHEN kind = 'other' THEN '' ELSE array_to_string(range(first, first + m), ',') END AS target,
+  CASE WHEN kind = 'other' THEN '' ELSE array_to_string(list_concat(range(2 * t + k, first), CASE WHEN form = 3 THEN [] WHEN form = 2 AND n > 0 THEN [first + m - 1] ELSE range(first + m, first + m + t) END), ',') END AS tags FROM s""")
+def o1_action_spans(spark, d):
+    rows = proxies.sampled(spark, d).select("conv_id", "turn", actions.action_spans(F.col("response_pieces")).alias("a")).select("conv_id", "turn", "a.*")
+    joined = lambda c: F.array_join(c, ",")
+    return rows.select("conv_id", "turn", "action_type", "action_text", "invalid_action", "empty_action", "unclosed_action", joined("think").alias("think"), joined(F.concat("search", "answer")).alias("target"), joined("tags").alias("tags"))
+
+
+@_query(rf"""WITH RECURSIVE s AS MATERIALIZED (SELECT conv_id, turn, t, k, list_transform(w[:k], lambda x: regexp_matches(x, '[.!?;:,…。！？；，]$')) AS stops FROM ({proxies.SAMPLED}) WHERE kind <> 'other'),
+f(conv_id, turn, i, sizes, n) AS (SELECT conv_id, turn, 0, CAST([] AS BIGINT[]), 0 FROM s UNION ALL
+  SELECT conv_id, turn, i + 1, CASE WHEN (stops[i + 1] AND n >= 7) OR n >= 63 THEN list_append(sizes, n + 1) ELSE sizes END, CASE WHEN (stops[i + 1] AND n >= 7) OR n >= 63 THEN 0 ELSE n + 1 END FROM f JOIN s USING (conv_id, turn) WHERE i < k),
+e AS (SELECT conv_id, turn, CASE WHEN n = 0 THEN sizes WHEN n >= 8 OR len(sizes) = 0 THEN list_append(sizes, n) ELSE list_append(sizes[:len(sizes) - 1], sizes[-1] + n) END AS sizes FROM f JOIN s USING (conv_id, turn) WHERE i = k),
+m(conv_id, turn, sizes) AS (SELECT conv_id, turn, sizes FROM e UNION ALL
+  SELECT conv_id, turn, list_concat(list_append(sizes[:j - 1], pairs[j]), sizes[j + 2:]) FROM (SELECT *, list_position(pairs, list_min(pairs)) AS j FROM (SELECT *, list_transform(range(1, len(sizes)), lambda i: sizes[i] + sizes[i + 1]) AS pairs FROM m WHERE len(sizes) > 6)))
+SELECT conv_id, turn, CAST(len(sizes) AS INTEGER) AS n_chunks, array_to_string(sizes, ',') AS sizes, CASE WHEN k > 0 THEN t END AS first, CASE WHEN k > 0 THEN t + k - 1 END AS last FROM m JOIN s USING (conv_id, turn) WHERE len(sizes) <= 6""")
+def o2_think_chunks(spark, d):
+    rows = proxies.sampled(spark, d).where("kind <> 'other'")
+    rows = rows.select("conv_id", "turn", actions.think_chunks(F.col("response_pieces"), actions.action_spans(F.col("response_pieces"))["think"]).alias("c"))
+    flat = F.flatten("c")
+    return rows.select("conv_id", "turn", F.size("c").alias("n_chunks"), F.array_join(F.transform("c", lambda x: F.size(x)), ",").alias("sizes"), F.array_min(flat).alias("first"), F.array_max(flat).alias("last"))
+
+
 # credits
 
 
