@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnledger.functions import scalars
 from turnledger.operators import checks
-
-
-def quantile(column: Column, q: float) -> Column:
-    """The exact quantile with linear interpolation."""
-    return F.percentile(column, F.lit(q))
+from turnledger.operators.quantiles import BROADCAST_GROUPS, exact_quantiles, few, matched, ranks_of, select_ranks, spread_out
 
 
 def clip(x: Column, low: float, high: float) -> Column:
@@ -22,8 +18,7 @@ def summary(df: DataFrame, column: str, by: list[str] | None = None, check: bool
     """count, min, p25, median, p75, p95 and max; nulls but for the count of an empty group."""
     if check:
         checks.require_none(checks.not_finite(df.where(F.col(column).isNotNull()), column), f"{column} isn't finite")
-    c = F.col(column).cast("double")
-    return df.groupBy(*(by or [])).agg(F.count(c).alias("n"), F.min(c).alias("low"), quantile(c, 0.25).alias("p25"), quantile(c, 0.5).alias("median"), quantile(c, 0.75).alias("p75"), quantile(c, 0.95).alias("p95"), F.max(c).alias("high"))
+    return exact_quantiles(df, by or [], column, {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}).select(*(by or []), "n", "low", "p25", "median", "p75", "p95", "high")
 
 
 def search_scale(rows: DataFrame, numeric: DataFrame, by: list[str]) -> DataFrame:
@@ -35,14 +30,72 @@ def search_scale(rows: DataFrame, numeric: DataFrame, by: list[str]) -> DataFram
     differences, of turns without replacement.  The scale is the clipped 75th
     percentile of the gaps beyond delta, 1 with fewer than eight.
     """
+    small = few(rows, by)
     pair = F.when(~F.col("used_replacement"), F.abs(F.col("control_0") - F.col("control_1")))
-    first = rows.groupBy(*by).agg(quantile(pair, 0.75).alias("control_p75"))
-    error = numeric.groupBy(*by).agg(quantile(F.abs("difference"), 0.95).alias("numeric_p95"))
-    delta = first.join(error, by, "left").withColumn("numeric_p95", F.coalesce("numeric_p95", F.lit(0.0)))
-    delta = delta.withColumn("delta", F.greatest(3 * F.col("numeric_p95"), clip(F.col("control_p75"), 0.05, 0.5)))
+    first = _wide(_series(rows, by, {"control_p75": pair}).unionByName(_series(numeric, by, {"numeric_p95": F.abs("difference")})), by, {"control_p75": 0.75, "numeric_p95": 0.95}, small)
+    delta = _search_delta(matched(rows.select(*by).distinct(), first, by, "left"))
     gap = F.when(F.abs("g_directed") > F.col("delta"), F.abs("g_directed") - F.col("delta"))
-    out = rows.join(delta, by).groupBy(*by, "delta", "numeric_p95", "control_p75").agg(F.count(gap).alias("active"), quantile(gap, 0.75).alias("q"))
-    return out.select(*by, "delta", F.when(F.col("active") < 8, 1.0).otherwise(clip(F.col("q"), 0.25, 2.0)).alias("scale"), "numeric_p95", "control_p75", "active", (F.col("active") < 8).alias("limited"))
+    over = matched(rows, F.broadcast(delta) if small else delta, by).select(*by, gap.alias("gap"))
+    return _search_scale(matched(delta, exact_quantiles(over, by, "gap", {"q": 0.75}, small).withColumnRenamed("n", "active"), by), by)
+
+
+def _series(rows: DataFrame, by: list[str], columns: dict[str, Column]) -> DataFrame:
+    """(by, series, value): several columns one below the other."""
+    return rows.select(*by, F.explode(F.array(*(F.struct(F.lit(k).alias("series"), c.cast("double").alias("value")) for k, c in columns.items()))).alias("x")).select(*by, "x.*")
+
+
+def _wide(series: DataFrame, by: list[str], qs: dict[str, float], small: bool) -> DataFrame:
+    """(by, one column a series): the quantile of each series."""
+    every = exact_quantiles(series, [*by, "series"], "value", {str(q): q for q in sorted(set(qs.values()))}, small)
+    return every.groupBy(*by).agg(*(F.max(F.when(F.col("series") == k, F.col(f"`{q}`"))).alias(k) for k, q in qs.items()))
+
+
+def _search_delta(first: DataFrame) -> DataFrame:
+    first = first.withColumn("numeric_p95", F.coalesce("numeric_p95", F.lit(0.0)))
+    return first.withColumn("delta", F.greatest(3 * F.col("numeric_p95"), clip(F.col("control_p75"), 0.05, 0.5)))
+
+
+def _search_scale(rows: DataFrame, by: list[str]) -> DataFrame:
+    limited = F.col("active") < 8
+    return rows.select(*by, "delta", F.when(limited, 1.0).otherwise(clip(F.col("q"), 0.25, 2.0)).alias("scale"), "numeric_p95", "control_p75", "active", limited.alias("limited"))
+
+
+def prefix_search_scales(rows: DataFrame, batch: str = "batch") -> DataFrame:
+    """(prefix, delta, scale, numeric_p95, control_p75, active, limited): search_scale of the first batches, for each number of them.
+
+    rows: batch, control_0, control_1, used_replacement, g_directed and difference.
+    Prefix k has the batches up to the k-th.  A row is counted once, in its batch;
+    what is added up over the batches of a prefix are counts of values.  The number
+    of batches is that of a calibration, and its square bounds the summaries.
+    """
+    prefixes = rows.select(F.col(batch).alias("prefix")).where("prefix is not null").distinct()
+    small = prefixes.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    held = prefixes.select(F.col("prefix").alias(batch)).join(F.broadcast(prefixes) if small else prefixes, F.col(batch) <= F.col("prefix"))
+
+    def of_prefixes(series: DataFrame, qs: dict[str, float], below: DataFrame | None = None) -> DataFrame:
+        def wanted(total: DataFrame) -> DataFrame:
+            under = F.lit(0)
+            if below is not None:
+                total, under = matched(total, below, ["prefix"]).withColumn("n", F.col("n") - F.col("below")), F.col("below")
+            return total.withColumn("ranks", ranks_of(F.col("n"), list(qs.values()), under))
+
+        units = [batch, "series"]
+        members = series.select("series").distinct().join(held)  # a few series
+        found = select_ranks(series, units, "value", wanted, members, ["prefix", "series"], small)
+        return spread_out(found, ["prefix", "series"], list(qs.values()), list(qs))
+
+    pair = F.when(~F.col("used_replacement"), F.abs(F.col("control_0") - F.col("control_1")))
+    both = of_prefixes(_series(rows, [batch], {"control_p75": pair, "numeric_p95": F.abs("difference")}), {"a": 0.75, "b": 0.95})
+    first = both.groupBy("prefix").agg(F.max(F.when(F.col("series") == "control_p75", F.col("a"))).alias("control_p75"), F.max(F.when(F.col("series") == "numeric_p95", F.col("b"))).alias("numeric_p95"))
+    delta = _search_delta(first)
+    gaps = _series(rows, [batch], {"gap": F.abs("g_directed")})
+    cuts = delta.agg(F.array_sort(F.collect_set("delta")).alias("cuts"))  # at most one a prefix
+    part = gaps.where("value is not null").join(F.broadcast(cuts) if small else cuts).groupBy(batch, F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("cut")).agg(F.count("*").alias("m"), F.max("cuts").alias("cuts"))
+    at = matched(part.join(held, batch), delta, ["prefix"])
+    below = at.groupBy("prefix").agg(F.coalesce(F.sum(F.when(F.col("cut") < F.array_position("cuts", F.col("delta")), F.col("m"))), F.lit(0)).alias("below"))
+    over = of_prefixes(gaps, {"q": 0.75}, below)
+    out = matched(delta, over.select("prefix", F.col("n").alias("active"), (F.col("q")).alias("at")), ["prefix"])
+    return _search_scale(out.withColumn("q", F.col("at") - F.col("delta")), ["prefix"])
 
 
 def responsibility_scale(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -52,12 +105,15 @@ def responsibility_scale(rows: DataFrame, by: list[str]) -> DataFrame:
     numeric error of an action type is the larger 95th percentile of the repeat
     errors and of |old_full - plain|; a dependency is old_full - whole_masked.
     """
-    key = [*by, "action_type"]
-    error = rows.groupBy(*key).agg(F.coalesce(F.greatest(quantile(F.abs("repeat_error"), 0.95), quantile(F.abs(F.col("old_full") - F.col("plain")), 0.95)), F.lit(0.0)).alias("numeric_p95"))
+    key, small = [*by, "action_type"], few(rows, by)
+    errors = {"repeat": F.abs("repeat_error"), "apart": F.abs(F.col("old_full") - F.col("plain"))}
+    error = _wide(_series(rows, key, errors), key, dict.fromkeys(errors, 0.95), small)
+    error = error.select(*key, F.coalesce(F.greatest("repeat", "apart"), F.lit(0.0)).alias("numeric_p95"))
     delta = error.withColumn("delta", F.greatest(F.lit(0.01), 3 * F.col("numeric_p95")))
     dependency = F.col("old_full") - F.col("whole_masked")
     over = F.when(dependency > F.col("delta"), dependency - F.col("delta"))
-    out = rows.join(delta, key).groupBy(*key, "delta", "numeric_p95").agg(F.count(over).alias("active"), quantile(over, 0.5).alias("q"))
+    over = matched(rows, F.broadcast(delta) if small else delta, key).select(*key, over.alias("over"))
+    out = matched(delta, exact_quantiles(over, key, "over", {"q": 0.5}, small).withColumnRenamed("n", "active"), key)
     fallback = F.when(F.col("action_type") == "search", 0.6201).otherwise(0.2)
     return out.select(*key, "delta", F.when(F.col("active") < 8, fallback).otherwise(clip(F.col("q"), 0.1, 2.0)).alias("scale"), "numeric_p95", "active", (F.col("active") < 8).alias("limited"))
 
@@ -68,8 +124,9 @@ def gradient_scale(rows: DataFrame, by: list[str], check: bool = True) -> DataFr
         checks.require_none(rows.where("not (global_norm > 0 and local_norm > 0)"), "a norm that isn't positive")
         checks.require_none(rows.groupBy(*by).count().where("count < 2"), "fewer than two subbatches")
     ratio = F.col("global_norm") / F.col("local_norm")
-    out = rows.groupBy(*by).agg(clip(0.1 * quantile(ratio, 0.5), 1e-4, 0.2).alias("lambda_0"), F.min(ratio).alias("least"))
-    return out.select(*by, "lambda_0", F.least("lambda_0", 0.3 * F.col("least")).alias("lambda_max"))
+    out = exact_quantiles(rows.select(*by, ratio.alias("ratio")), by, "ratio", {"median": 0.5})
+    lambda_0 = clip(0.1 * F.col("median"), 1e-4, 0.2)
+    return out.select(*by, lambda_0.alias("lambda_0"), F.least(lambda_0, 0.3 * F.col("low")).alias("lambda_max"))
 
 
 def shadow_ceiling(lambda_max: Column, global_norm: Column, local_norm: Column) -> Column:
@@ -119,16 +176,6 @@ def numeric_rows(documents: DataFrame) -> DataFrame:
     return documents.select("batch_id", F.col("numeric_reference.same_shape_repeat_max_abs_difference").alias("difference"))
 
 
-def prefixes(rows: DataFrame, batches: DataFrame, batch: str = "batch") -> DataFrame:
-    """rows once for each prefix that holds their batch: prefix k has the batches up to the k-th.
-
-    batches: one column of batch numbers, as many as the calibration has batches;
-    each row is taken once for every later batch.
-    """
-    later = batches.select(F.col(batch).alias("prefix")).distinct()
-    return rows.join(F.broadcast(later), F.col(batch) <= F.col("prefix")) if later.limit(10_001).count() <= 10_000 else rows.join(later, F.col(batch) <= F.col("prefix"))
-
-
 def last_range(scales: DataFrame, column: str, order: str = "prefix", n: int = 3) -> DataFrame:
     """(spread, ratio): the range of the last n values, and its share of the last one's magnitude."""
     last = scales.orderBy(F.desc(order)).limit(n)
@@ -139,7 +186,7 @@ def last_range(scales: DataFrame, column: str, order: str = "prefix", n: int = 3
 def cost_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(key, total, ...): the sum and distribution of each cost; a missing one counts as 0."""
     long = rows.select(F.explode(F.create_map(*(x for k in keys for x in (F.lit(k), F.coalesce(F.col(k).cast("double"), F.lit(0.0)))))).alias("key", "value"))
-    return summary(long, "value", ["key"]).join(long.groupBy("key").agg(F.sum("value").alias("total")), "key")
+    return summary(long, "value", ["key"]).join(long.groupBy("key").agg(F.sum("value").alias("total")), "key")  # a row a key
 
 
 def finalize(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -622,9 +622,7 @@ _PREFIXED = f"SELECT a.*, p.batch AS prefix FROM ({proxies.CALIBRATION}) a JOIN
 
 
 def _prefix_scales(spark: SparkSession, d: str) -> DataFrame:
-    rows = proxies.calibration(spark, d)
-    every = calibration.prefixes(rows, rows.select("batch").distinct())
-    return calibration.search_scale(every, every, ["prefix"])
+    return calibration.prefix_search_scales(proxies.calibration(spark, d))
 
 
 @_query(_scale_sql(_PREFIXED, "prefix"))
