@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,13 +39,29 @@ def fbeta_scores(pairs: DataFrame, key: str, prediction: str, target: str, beta:
     """(key, overlap, n_prediction, n_target, fbeta) of two text columns, by counts of each word; key names a pair.
 
     The overlap is that of multisets: a word counts as often as on the side with
-    fewer.  Both texts are split and spread out once, and words are counted before
-    the shuffle, so a long text is a row for each different word.
+    fewer.  Both sides are split and hashed in the JVM; each pair is a row, and its
+    hashes are sorted and merged within a batch, so no word is ever shuffled.
     """
-    side = lambda c, p, t: F.transform(answer_words(F.col(c)), lambda w: F.struct(w.alias("w"), F.lit(p).alias("p"), F.lit(t).alias("t")))
-    words = pairs.select(key, F.explode_outer(F.concat(side(prediction, 1, 0), side(target, 0, 1))).alias("x"))
-    words = words.groupBy(key, "x.w").agg(F.sum("x.p").alias("p"), F.sum("x.t").alias("t"))
-    found = words.groupBy(key).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in ((F.least("p", "t"), "overlap"), ("p", "n_prediction"), ("t", "n_target"))))
+    hashed = lambda c: F.transform(answer_words(F.col(c)), lambda w: F.xxhash64(w))
+    kind = pairs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            row, side, word = [], [], []
+            for i, c in enumerate(("p", "t")):
+                size = pc.list_value_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64)
+                row.append(np.repeat(np.arange(len(size)), size))
+                side.append(np.full(len(row[-1]), i))
+                word.append(batch.column(c).flatten().to_numpy())
+            row, side, word = (np.concatenate(x) for x in (row, side, word))
+            n = [np.bincount(row[side == i], minlength=batch.num_rows) for i in (0, 1)]
+            order = np.lexsort((word, row))
+            start = np.flatnonzero(np.r_[True, (np.diff(row[order]) != 0) | (np.diff(word[order].view(np.uint64)) != 0)][: len(order)])
+            both = [np.add.reduceat(side[order] == i, start, dtype=np.int64) for i in (0, 1)] if len(start) else [np.zeros(0, np.int64)] * 2
+            overlap = np.bincount(row[order][start], np.minimum(*both), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(x.astype(np.int64)) for x in (overlap, *n))], [key, "overlap", "n_prediction", "n_target"])
+
+    found = pairs.select(key, hashed(prediction).alias("p"), hashed(target).alias("t")).mapInArrow(run, f"{key} {kind}, overlap long, n_prediction long, n_target long")
     return found.withColumn("fbeta", fbeta(F.col("overlap"), F.col("n_prediction"), F.col("n_target"), beta))
 
 

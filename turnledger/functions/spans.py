@@ -113,11 +113,6 @@ def spans_outside(spans: DataFrame, lengths: DataFrame) -> DataFrame:
     return spans.join(lengths, "batch_row_index").where((F.array_min("positions") < 0) | (F.array_max("positions") >= F.col("n_valid")))
 
 
-def request_slices(requests: DataFrame, size: int, order: str = "request_id") -> DataFrame:
-    """Rows with the number of the contiguous slice of ``size`` requests they fall in, within their batch."""
-    return requests.withColumn("slice", F.floor((F.row_number().over(Window.partitionBy("batch_id").orderBy(order)) - 1) / size).cast("int"))
-
-
 def split_by_offsets(ids: Column, starts: Column, ends: Column, cut: Column) -> Column:
     """struct(prefix, target, crossing) of tokens about a character: those that end by it, those that start at it or later.
 

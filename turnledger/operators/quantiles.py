@@ -20,6 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnledger.operators.stages import written
+
 #: Groups of which a table of wanted buckets is broadcast; beyond it the join is shuffled.
 BROADCAST_GROUPS = 20_000
 #: Bits below the first and the second histogram.
@@ -51,7 +53,7 @@ def few(df: DataFrame, by: list[str]) -> bool:
 
 def kept(df: DataFrame, small: bool) -> DataFrame:
     """A table that several steps use, made once: a few rows for each of a counted number of groups by way of the driver, more in the checkpoint folder."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema) if small else df.checkpoint()
+    return df.sparkSession.createDataFrame(df.collect(), df.schema) if small else written(df)
 
 
 def select_ranks(rows: DataFrame, unit: list[str], value: str, wanted: Callable[[DataFrame], DataFrame], members: DataFrame | None = None, group: list[str] | None = None, small: bool | None = None) -> DataFrame:

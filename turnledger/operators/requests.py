@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnledger.functions import scalars, spans
-from turnledger.operators import checks
+from turnledger.operators import checks, ordinals
+from turnledger.operators.stages import written
 from turnledger.schema import EMPTY_SLOT
 
 
@@ -97,37 +99,88 @@ def scored(requests: DataFrame, scores: DataFrame, check: bool = True) -> DataFr
 
 
 def length_buckets(requests: DataFrame) -> DataFrame:
-    """(queue, comparison_group_id, width, n, position): complete groups, longest first, then by id."""
+    """(queue, comparison_group_id, width, n, tokens, position): complete groups, longest first, then by id."""
     groups = requests.groupBy("queue", "comparison_group_id").agg(F.max("length").alias("width"), F.count("*").alias("n"), F.sum("length").alias("tokens"))
-    return groups.withColumn("position", F.row_number().over(Window.partitionBy("queue").orderBy(F.desc("width"), "comparison_group_id")) - 1)
+    return ordinals.numbered(groups, ["queue"], [F.desc("width"), F.asc("comparison_group_id")])
+
+
+#: Positions of a block, within which starts of batches are followed in one step.
+BLOCK = 1024
+
+
+def _exits(table: pa.Table) -> pa.Table:
+    """For each position of a block the first start of a batch beyond it, if a batch starts there."""
+    table = table.sort_by("position")
+    position, follow = table.column("position").to_numpy(), table.column("follow").to_numpy()
+    first, n = int(position[0]), len(position)
+    leaves = follow.copy()
+    for i in range(n - 1, -1, -1):
+        if follow[i] - first < n:
+            leaves[i] = leaves[follow[i] - first]
+    return pa.table({"queue": table.column("queue"), "position": position, "leaves": leaves})
+
+
+def _walk(table: pa.Table) -> pa.Table:
+    """The starts of batches in a block from the one at which it is entered."""
+    table = table.sort_by("position")
+    position, follow, entry = table.column("position").to_numpy(), table.column("follow").to_numpy(), table.column("entry")[0].as_py()
+    first, at, starts = int(position[0]), entry, []
+    while at - first < len(position):
+        starts.append(at - first)
+        at = int(follow[at - first])
+    return table.select(["queue", "position", "follow"]).take(pa.array(starts, pa.int64()))
 
 
 def pack(requests: DataFrame, token_budget: int, max_items: int | None = None, divisor: int = 1) -> DataFrame:
-    """(queue, comparison_group_id, batch_id, padded_tokens): groups packed greedily under a token budget.
+    """(queue, comparison_group_id, batch_id, padded_tokens): groups packed greedily, longest first, under a token budget.
 
     requests: queue, request_id, comparison_group_id and length.  A batch costs its
     width times its number of requests, rounded up to ``divisor``; a group is never
-    split, and one that fits no batch raises.  Packing is sequential in a queue, so
-    a queue, the requests of one step, is a group; its rows are groups, not tokens.
-    """
+    split, and one that fits no batch raises.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        up = lambda c: -(-c // divisor) * divisor
-        pdf = pdf.sort_values("position")
-        ids, width, count, batch = [], 0, 0, 0
-        cost: dict[int, int] = {}
-        for g, w, n in zip(pdf["comparison_group_id"], pdf["width"], pdf["n"], strict=True):
-            if (max_items is not None and n > max_items) or w * up(n) > token_budget:
-                raise ValueError(f"group {g} fits no batch")
-            wide, many = max(width, w), count + n
-            if count and ((max_items is not None and many > max_items) or wide * up(many) > token_budget):
-                batch, wide, many = batch + 1, w, n
-            width, count = wide, many
-            cost[batch] = width * up(count)
-            ids.append(batch)
-        return pdf[["queue", "comparison_group_id"]].assign(batch_id=ids, padded_tokens=[cost[b] for b in ids])
-
-    return length_buckets(requests).groupBy("queue").applyInPandas(fold, "queue string, comparison_group_id string, batch_id int, padded_tokens long")
+    The widest group of a batch is its first, so where the next batch begins follows
+    from the running number of requests, by a search among these.  Which groups
+    begin a batch then is a walk along these links from the first group: links are
+    followed within blocks of positions, and from block to block by doubling.  A
+    queue may have any length.
+    """
+    groups = length_buckets(requests)
+    limit = F.floor(F.lit(token_budget) / F.col("width") / divisor) * divisor
+    limit = limit if max_items is None else F.least(limit, F.lit(max_items))
+    groups = written(groups.withColumn("limit", F.when(F.col("width") > 0, limit).otherwise(F.lit(max_items if max_items is not None else 2**62)).cast("long")))
+    checks.require_none(groups.where(F.col("n") > F.col("limit")).select("comparison_group_id"), "a group that fits no batch")
+    rows = ordinals.running(groups, ["queue"], ["position"], {"before": "n"})
+    ends = rows.select("queue", (F.col("before") + F.col("n")).alias("value"), F.lit(1).alias("group"), *(F.lit(None).cast("long").alias(c) for c in ("position", "before", "width")))
+    asked = rows.select("queue", (F.col("before") + F.col("limit")).alias("value"), F.lit(0).alias("group"), F.col("position").cast("long"), F.col("before").cast("long"), F.col("width").cast("long"))
+    links = ordinals.running(ends.unionByName(asked), ["queue"], [F.col("value"), F.desc("group")], {"follow": "group"}).where("group = 0")
+    links = written(links.select("queue", "position", F.col("follow").cast("long").alias("follow"), "before", "width").withColumn("block", F.floor(F.col("position") / BLOCK)))
+    kind = links.schema["queue"].dataType.simpleString()
+    jumps = written(links.select("queue", "block", "position", "follow").groupBy("queue", "block").applyInArrow(_exits, f"queue {kind}, position long, leaves long"))
+    blocks = int(links.agg(F.max("block")).first()[0] or 0) + 1
+    entered, levels = links.where("position = 0").select("queue", "position"), [jumps]
+    for _ in range(max(0, (blocks - 1).bit_length() - 1)):
+        far = jumps.select("queue", F.col("position").alias("leaves"), F.col("leaves").alias("far"))
+        jumps = written(jumps.join(far, ["queue", "leaves"]).select("queue", "position", F.col("far").alias("leaves")))
+        levels.append(jumps)
+    for jumps in reversed(levels if blocks > 1 else []):
+        there = entered.join(jumps, ["queue", "position"]).select("queue", F.col("leaves").alias("position"))
+        entered = written(entered.unionByName(there))
+    entered = entered.join(links.select("queue", "position"), ["queue", "position"])  # without the end of a queue
+    entries = entered.select("queue", F.floor(F.col("position") / BLOCK).alias("block"), F.col("position").alias("entry"))
+    walked = links.join(entries, ["queue", "block"]).select("queue", "block", "position", "follow", "entry").groupBy("queue", "block").applyInArrow(_walk, f"queue {kind}, position long, follow long")
+    starts = ordinals.numbered(walked, ["queue"], ["position"], "batch_id")
+    held = links.select("queue", F.col("position").alias("follow"), F.col("before").alias("after"))
+    total = groups.groupBy("queue").agg(F.sum("n").alias("total"))
+    starts = starts.join(links.select("queue", "position", "before", "width"), ["queue", "position"]).join(held, ["queue", "follow"], "left").join(total, "queue")
+    count = F.coalesce("after", "total") - F.col("before")
+    batches = starts.select("queue", F.col("batch_id").cast("int").alias("batch_id"), (F.col("width") * F.ceil(count / divisor) * divisor).cast("long").alias("padded_tokens"), F.explode(F.sequence("position", F.col("follow") - 1)).alias("position"))
+    return groups.select("queue", "comparison_group_id", "position").join(batches, ["queue", "position"]).select("queue", "comparison_group_id", "batch_id", "padded_tokens")
+
+
+def request_slices(requests: DataFrame, size: int, order: str = "request_id") -> DataFrame:
+    """Rows with the number of the contiguous slice of ``size`` requests they fall in, within their batch."""
+    rows = ordinals.numbered(requests, ["batch_id"], [order], "__at")
+    return rows.withColumn("slice", F.floor(F.col("__at") / size).cast("int")).drop("__at")
 
 
 def packing_cost(requests: DataFrame, packed: DataFrame) -> DataFrame:

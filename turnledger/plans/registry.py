@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnledger.functions import actions, scalars, spans
-from turnledger.operators import answers, calibration, checks, controls, credits, governance, objective, requests, sampling, turns
+from turnledger.operators import answers, calibration, checks, controls, credits, governance, objective, ordinals, requests, sampling, turns
 from turnledger.plans import proxies
 from turnledger.schema import PROBE_VERSION, REVISION, ROLLOUT
 from turnledger.sources import tables
@@ -325,6 +325,19 @@ def t4_drawn_controls(spark, d):
     return controls.drawn_controls(_best(spark, d))
 
 
+@_query(f"""WITH p AS (SELECT *, sha256('serialized|' || text) AS fp, CAST('0x' || substr(sha256(sha256('serialized|' || text)), 1, 15) AS BIGINT) AS pt, CAST('0x' || substr(sha256('{REVISION}|anchor|' || observation_id), 1, 15) AS BIGINT) AS own FROM ({proxies.POOL})),
+c AS (SELECT a.observation_id AS anchor_id, b.observation_id, b.fp, (b.pt - a.own + {controls.CIRCLE}) % {controls.CIRCLE} AS away,
+  CASE WHEN a.token_length > 0 AND b.token_length > 0 AND b.token_length / a.token_length::DOUBLE BETWEEN 0.75 AND 1.25 THEN CASE WHEN a.data_source = b.data_source AND a.call_bucket = b.call_bucket THEN 0 WHEN a.data_source = b.data_source THEN 1 ELSE 2 END ELSE 3 END AS tier
+  FROM p a JOIN p b ON a.global_step = b.global_step AND a.document_count = b.document_count AND a.question_id <> b.question_id AND a.text <> b.text WHERE b.valid AND trim(b.text) <> ''),
+f AS (SELECT *, row_number() OVER (PARTITION BY anchor_id, fp ORDER BY tier, observation_id) AS r FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY tier, away, fp) - 1 AS k FROM f WHERE r = 1),
+s AS (SELECT *, count(*) OVER (PARTITION BY anchor_id) AS n FROM k WHERE k < 3), x AS (SELECT *, unnest(range(k, 3, n)) AS i FROM s)
+SELECT anchor_id, CAST(i AS INTEGER) AS control_index, observation_id, CAST(tier AS INTEGER) AS tier, n < 3 AS used_replacement FROM x""")
+def j5_t3_next_controls(spark, d):
+    """Controls of all anchors, through the index of tiers."""
+    p = proxies.pool(spark, d)
+    return controls.next_controls(p, p)
+
+
 # samples and layouts
 
 
@@ -360,8 +373,7 @@ def t7_active_then_shadow(spark, d):
 SELECT CAST(block AS INTEGER) AS block, CAST(place AS INTEGER) AS place, row_index, TRUE AS is_original FROM d UNION ALL SELECT CAST(block AS INTEGER), CAST(unnest(range(n, 8)) AS INTEGER), row_index, FALSE FROM h WHERE n < 8""")
 def t10_interleaved_layout(spark, d):
     parts = proxies.table(spark, d, "part").select(F.col("p_partkey").alias("row_index"))
-    first = parts.agg(F.min("row_index")).first()[0]  # keys are consecutive
-    return sampling.interleaved_layout(parts.withColumn("ordinal", F.col("row_index") - first), -(-parts.count() // 8) * 8, 8)
+    return sampling.interleaved_layout(ordinals.numbered(parts, [], ["row_index"], "ordinal"), -(-parts.count() // 8) * 8, 8)
 
 
 @_query("""WITH n AS (SELECT count(*) AS c FROM supplier) SELECT s_suppkey, FALSE AS is_adjustment_copy FROM supplier UNION ALL
@@ -401,7 +413,7 @@ def w6_j8_first_wins(spark, d):
 
 @_query("""WITH g AS (SELECT CAST(l_orderkey % 10 AS VARCHAR) AS queue, l_orderkey AS g, CAST(max(l_quantity) AS BIGINT) AS width, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS tokens FROM lineitem GROUP BY ALL) SELECT queue, CAST(g AS VARCHAR) AS comparison_group_id, width, n, tokens, CAST(row_number() OVER (PARTITION BY queue ORDER BY width DESC, CAST(g AS VARCHAR)) - 1 AS INTEGER) AS position FROM g""")
 def t8_length_buckets(spark, d):
-    return requests.length_buckets(_items(spark, d)).select("queue", "comparison_group_id", "width", "n", "tokens", "position")
+    return requests.length_buckets(_items(spark, d)).select("queue", "comparison_group_id", "width", "n", "tokens", F.col("position").cast("int").alias("position"))
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -755,7 +767,7 @@ def r16_dot_products(spark, d):
 
 @_query(f"WITH f AS ({_FORCED}) SELECT request_id, CAST((row_number() OVER (PARTITION BY batch_id ORDER BY request_id) - 1) // 3 AS INTEGER) AS slice FROM f")
 def r20_request_slices(spark, d):
-    return spans.request_slices(_forced(spark, d), 3).select("request_id", "slice")
+    return requests.request_slices(_forced(spark, d), 3).select("request_id", "slice")
 
 
 @_query("""WITH c AS (SELECT conv_id, turn, length(text) AS n, length(text) // 2 AS cut FROM conversations WHERE length(text) > 0), p AS (SELECT *, list_filter(range(0, (n + 3) // 4), lambda i: least(4 * i + 4, n) <= cut) AS a, list_filter(range(0, (n + 3) // 4), lambda i: 4 * i >= cut) AS b FROM c)
