@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnledger import schema
+from turnledger.functions import spans
 from turnledger.operators import checks, controls, ordinals, requests
 
 
@@ -121,3 +122,18 @@ def test_controls_by_index_are_those_of_all_pairs(spark, window, n):
     for anchor in pool:
         assert sorted(got[anchor[1]]) == brute_controls(anchor, pool), anchor
     assert {t for v in got.values() for _, _, t, _ in v} == {0, 1, 2, 3}
+
+
+def test_barrier_runs_answer_for_every_cell(spark):
+    r = random.Random(8)
+    rows = [(i, [int(r.random() < 0.8) for _ in range(n)], [k for k in range(n) if r.random() < r.choice([0, 0.3, 0.9])]) for i, n in enumerate([1, 2, 5, 5, 9, 20, 40] * 4)] + [(99, [1, 1, 1, 1, 0], [1]), (100, [0, 1, 1, 1, 1], [2])]
+    df = spark.createDataFrame(rows, "request_id long, attention_mask array<int>, blocked_key_positions array<int>")
+    runs = spans.barrier_runs(F.col("attention_mask"), F.col("blocked_key_positions"))
+    pairs = collections.defaultdict(set)
+    for x in spans.information_barrier(df).collect():
+        pairs[x.request_id].add((x.q, x.k))
+    for x in df.select("request_id", runs.alias("runs"), spans.barrier_sums(runs).alias("s")).collect():
+        mask, blocked = next((m, set(b)) for i, m, b in rows if i == x.request_id)
+        want = {(q, k) for q in range(len(mask)) for k in range(q + 1) if mask[q] and mask[k] and (q == k or q in blocked or k not in blocked)}
+        assert pairs[x.request_id] == want and (x.s.pairs, x.s.q, x.s.k) == (len(want), sum(q for q, _ in want), sum(k for _, k in want))
+        assert len(x.runs) <= 2 * len(blocked) + mask.count(0) + 1

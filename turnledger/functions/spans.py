@@ -48,17 +48,65 @@ def request_problem(context: Column, prefix: Column, target: Column, blocked: Co
     )
 
 
+def barrier_runs(mask: Column, blocked: Column) -> Column:
+    """array<struct<first,last,blocked>>: the barrier as runs of valid positions that are all blocked or all not.
+
+    A position reads itself and what comes before it: all valid positions if it is
+    blocked, else those that aren't.  Runs are as many as blocked spans and gaps of
+    the mask, not as positions, and answer for every cell of the square mask.
+    """
+    kind = lambda i: F.when(F.coalesce(F.get(mask, i) != 0, F.lit(False)), F.array_contains(blocked, i).cast("int")).otherwise(-1)
+    run = lambda s, last: F.array(F.named_struct(F.lit("first"), s["first"], F.lit("last"), last.cast("int"), F.lit("blocked"), s["kind"] == 1))
+
+    def step(s: Column, i: Column) -> Column:
+        now = kind(i)
+        ends = (now != s["kind"]) & (s["kind"] >= 0)
+        return F.struct(F.when(ends, F.concat(s["runs"], run(s, i - 1))).otherwise(s["runs"]).alias("runs"), F.when(now != s["kind"], i).otherwise(s["first"]).alias("first"), now.alias("kind"))
+
+    n = F.size(mask)
+    start = F.struct(F.array().cast("array<struct<first:int,last:int,blocked:boolean>>").alias("runs"), F.lit(0).alias("first"), F.lit(-1).alias("kind"))
+    places = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, start, step, lambda s: F.when(s["kind"] >= 0, F.concat(s["runs"], run(s, n - 1))).otherwise(s["runs"]))
+
+
+def barrier_ranges(runs: Column, q: Column) -> Column:
+    """array<struct<first,last>>: what position q may read; nothing for one that isn't valid."""
+    own = F.filter(runs, lambda r: (r["first"] <= q) & (r["last"] >= q))
+    seen = F.filter(runs, lambda r: (F.size(own) > 0) & (r["first"] <= q) & (F.get(own, F.lit(0))["blocked"] | ~r["blocked"]))
+    return F.transform(seen, lambda r: F.named_struct(F.lit("first"), r["first"], F.lit("last"), F.least(r["last"], q)))
+
+
+def barrier_sums(runs: Column) -> Column:
+    """struct(pairs, q, k): how many cells are allowed, and the sums of their query and key positions, in one pass over the runs."""
+    long = lambda c: c.cast("long")
+    half = lambda x: F.shiftright(x, 1)
+    sixth = lambda x: F.call_function("div", x, F.lit(6))
+
+    def step(s: Column, r: Column) -> Column:
+        a, m = long(r["first"]), long(r["last"] - r["first"] + 1)
+        c, t = F.when(r["blocked"], s["n"]).otherwise(s["open_n"]), F.when(r["blocked"], s["t"]).otherwise(s["open_t"])
+        own = m * a + half(m * (m - 1))
+        pairs = m * c + half(m * (m + 1))
+        q = m * a * (c + 1) + (a + c + 1) * half(m * (m - 1)) + sixth((m - 1) * m * (2 * m - 1))
+        k = m * t + a * half(m * (m + 1)) + sixth((m - 1) * m * (m + 1))
+        return F.struct(
+            (s["n"] + m).alias("n"), (s["t"] + own).alias("t"), F.when(r["blocked"], s["open_n"]).otherwise(s["open_n"] + m).alias("open_n"), F.when(r["blocked"], s["open_t"]).otherwise(s["open_t"] + own).alias("open_t"),
+            (s["pairs"] + pairs).alias("pairs"), (s["q"] + q).alias("q"), (s["k"] + k).alias("k"),
+        )
+
+    zero = F.struct(*(F.lit(0).cast("long").alias(c) for c in ("n", "t", "open_n", "open_t", "pairs", "q", "k")))
+    return F.aggregate(runs, zero, step, lambda s: F.struct(s["pairs"].alias("pairs"), s["q"].alias("q"), s["k"].alias("k")))
+
+
 def information_barrier(requests: DataFrame) -> DataFrame:
     """(request_id, q, k): the pairs in which position q may look at k, in long form.
 
-    Causal and valid on both sides, and not from an unblocked position back to a
-    blocked one.  Rows grow with the square of a request's length, as the mask does.
+    Only allowed pairs are made, from the runs; they grow with the square of a
+    request, so take barrier_sums and barrier_ranges where the pairs aren't wanted.
     """
-    at = lambda m, i: F.coalesce(F.get(m, i) != 0, F.lit(False))
-    rows = requests.select("request_id", "attention_mask", "blocked_key_positions", F.posexplode("attention_mask").alias("q", "valid")).where("valid <> 0")
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("q")))).where(at(F.col("attention_mask"), F.col("k")))
-    blocked = lambda i: F.array_contains("blocked_key_positions", i)
-    return rows.where((F.col("k") == F.col("q")) | blocked(F.col("q")) | ~blocked(F.col("k"))).select("request_id", "q", "k")
+    rows = requests.select("request_id", barrier_runs(F.col("attention_mask"), F.col("blocked_key_positions")).alias("runs"), F.explode(F.sequence(F.lit(0), F.size("attention_mask") - 1)).alias("q"))
+    rows = rows.select("request_id", "q", F.explode(barrier_ranges(F.col("runs"), F.col("q"))).alias("r"))
+    return rows.select("request_id", "q", F.explode(F.sequence("r.first", "r.last")).alias("k"))
 
 
 def additive_mask(allowed: Column) -> Column:

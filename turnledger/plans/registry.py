@@ -706,8 +706,8 @@ def r1_teacher_forced(spark, d):
 
 @_query(f"""WITH f AS ({_FORCED}), q AS (SELECT request_id, n, unnest(range(n)) AS q FROM f), k AS (SELECT request_id, q, unnest(range(q + 1)) AS k FROM q) SELECT request_id, count(*) AS pairs, CAST(sum(q * 100 + k) AS BIGINT) AS digest FROM k WHERE q = k OR q IN (0, 1) OR k NOT IN (0, 1) GROUP BY request_id""")
 def r2_r3_barrier(spark, d):
-    pairs = spans.information_barrier(_forced(spark, d))
-    return pairs.groupBy("request_id").agg(F.count("*").alias("pairs"), F.sum(F.col("q") * 100 + F.col("k")).alias("digest"))
+    rows = _forced(spark, d).select("request_id", spans.barrier_sums(spans.barrier_runs(F.col("attention_mask"), F.col("blocked_key_positions"))).alias("s"))
+    return rows.select("request_id", "s.pairs", (F.col("s.q") * 100 + F.col("s.k")).alias("digest"))
 
 
 @_query(f"""WITH f AS ({_FORCED}), w AS (SELECT *, max(n) OVER (PARTITION BY batch_id) AS m, max(t) OVER (PARTITION BY batch_id) AS mt FROM f) SELECT request_id, CAST(m AS INTEGER) AS width, CAST(n AS INTEGER) AS attended, CAST(mt AS INTEGER) AS target_width, CAST(t AS INTEGER) AS scored FROM w""")
@@ -884,11 +884,10 @@ def p2_dropped_evidence(spark, d):
 @_query(f"""WITH f AS ({_FORCED}), q AS (SELECT request_id, n, unnest(range(n)) AS q FROM f), k AS (SELECT request_id, q, unnest(range(n)) AS k FROM q)
 SELECT request_id, CAST(q AS INTEGER) AS q, CAST(k AS INTEGER) AS k, CASE WHEN k <= q AND (q = k OR q IN (0, 1) OR k NOT IN (0, 1)) THEN '0.0' ELSE '-inf' END AS bias FROM k""")
 def r4_additive_mask(spark, d):
-    forced = _forced(spark, d)
-    cells = forced.select("request_id", F.explode("position_ids").alias("q"), "position_ids").select("request_id", "q", F.explode("position_ids").alias("k"))
-    allowed = spans.information_barrier(forced).withColumn("allowed", F.lit(True))
-    bias = spans.additive_mask(F.coalesce("allowed", F.lit(False)))
-    return cells.join(allowed, ["request_id", "q", "k"], "left").select("request_id", "q", "k", F.when(bias == 0, "0.0").otherwise("-inf").alias("bias"))
+    rows = _forced(spark, d).select("request_id", spans.barrier_runs(F.col("attention_mask"), F.col("blocked_key_positions")).alias("runs"), "position_ids", F.explode("position_ids").alias("q"))
+    rows = rows.select("request_id", "q", spans.barrier_ranges(F.col("runs"), F.col("q")).alias("ranges"), F.explode("position_ids").alias("k"))
+    bias = spans.additive_mask(F.exists("ranges", lambda r: (r["first"] <= F.col("k")) & (r["last"] >= F.col("k"))))
+    return rows.select("request_id", "q", "k", F.when(bias == 0, "0.0").otherwise("-inf").alias("bias"))
 
 
 @_query("""WITH s AS (SELECT s_suppkey, s_acctbal / 30000 AS l, 3 + CAST(s_suppkey % 5 = 0 AS INTEGER) AS c FROM supplier)
