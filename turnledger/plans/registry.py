@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from turnledger.functions import actions, scalars, spans
 from turnledger.operators import answers, calibration, checks, controls, credits, governance, objective, ordinals, requests, sampling, turns
 from turnledger.plans import proxies
 from turnledger.schema import PROBE_VERSION, REVISION, ROLLOUT
-from turnledger.sources import tables
+from turnledger.sources import documents, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -825,8 +826,9 @@ def s3_s4_calibration_documents(spark, d):
     turn, zero = F.col("event_id").cast("string"), F.lit(0.0)
     view = F.struct(F.col("control_0").alias("real"), zero.alias("empty"), F.col("control_0"), F.col("control_1"), zero.alias("control_2"))
     row = F.struct(F.col("kind").alias("question_id"), turn.alias("turn_id"), F.col("used_replacement").alias("control_used_replacement"), view.alias("view_scores"), "g_directed")
-    documents = c.groupBy(F.col("batch").cast("string").alias("batch_id")).agg(F.struct(F.max("difference").alias("same_shape_repeat_max_abs_difference")).alias("numeric_reference"), F.struct(F.collect_list(row).alias("rows")).alias("search"))
-    documents.write.option("maxRecordsPerFile", 1).json(path)
+    c = c.withColumn("batch_id", F.col("batch").cast("string"))
+    heads = c.groupBy("batch_id").agg(F.struct(F.max("difference").alias("same_shape_repeat_max_abs_difference")).alias("numeric_reference"))
+    documents.write_batch_documents(heads, {"search": c.select("batch_id", row.alias("r")).select("batch_id", "r.*")}, path)
     read = tables.read_documents(spark, path)
     rows = read.select("batch_id", F.col("numeric_reference.same_shape_repeat_max_abs_difference").alias("x"), F.explode("search.rows").alias("r"))
     return rows.groupBy("batch_id").agg(F.count("*").alias("n_rows"), _r(F.sum("r.g_directed"), 4).alias("directed"), _r(F.max("x"), 6).alias("difference"))
@@ -841,6 +843,36 @@ def s4_s5_json_lines(spark, d):
     return spark.read.schema("event_id long, event_type string").json(path).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@_query("SELECT CAST(user_id AS INTEGER) AS global_step, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
+def s5_step_log(spark, d):
+    """Users as steps: a summary of each is appended to the log, half of them a second time."""
+    path = _folder(spark, "steps")
+    e = proxies.table(spark, d, "events").groupBy(F.col("user_id").alias("global_step")).agg(F.count("*").alias("n"), _r(F.sum("value"), 4).alias("total"))
+    steps = e.select("global_step", F.to_json(F.struct("n", "total")).alias("payload")).coalesce(8)
+    documents.append_steps(steps, path)
+    documents.append_steps(steps.where("global_step % 2 = 0"), path)
+    return documents.read_steps(spark, path).select("global_step", F.from_json("payload", "n long, total double").alias("p")).select("global_step", "p.*")
+
+
+@_query("SELECT 'parquet' AS kind, TRUE AS refused, count(*) AS kept FROM supplier UNION ALL SELECT 'json', TRUE, count(*) FROM supplier UNION ALL SELECT 'documents', TRUE, count(*) FROM supplier")
+def s6_refuse_overwrite(spark, d):
+    """Each writer called twice on one path: the second raises, and the first one's rows stay."""
+    rows, out = proxies.table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), None
+    heads = rows.select(F.col("s_suppkey").cast("string").alias("batch_id")).coalesce(4)
+    writers = {"parquet": lambda p: tables.write_parquet(rows, p), "json": lambda p: tables.write_json(rows, p), "documents": lambda p: documents.write_batch_documents(heads, {}, p)}
+    readers = {"parquet": spark.read.parquet, "json": spark.read.json, "documents": lambda p: tables.read_documents(spark, p)}
+    for kind, write in writers.items():
+        path, refused = _folder(spark, f"once-{kind}"), False
+        write(path)
+        try:
+            write(path)
+        except (AnalysisException, FileExistsError, PySparkException):
+            refused = True
+        one = readers[kind](path).agg(F.count("*").alias("kept")).select(F.lit(kind).alias("kind"), F.lit(refused).alias("refused"), "kept")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @_query()
 def s6_f16_file_hashes(spark, d):
     """The hashes of the table files; SQL has no view of them, a test compares."""
