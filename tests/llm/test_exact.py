@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -203,7 +204,7 @@ def test_kneser_ney_against_plain_python(spark, monkeypatch, tmp_path):
     """Scores under the own and another language's model, with one shard and with several."""
     import numpy as np
 
-    texts = {"en": ["the cat sat on the mat. the cat!!!", "a dog sat\n\n\tdown", "Été 漢字 the"], "xx": ["zz the zaz zzz", "", "mat 漢"]}
+    texts = {"en": ["the cat sat on the mat. the cat!!!", "a dog sat\n\n\tdown", "Été 漢字 the", "the cat sat on the mat. the cat!!!"], "xx": ["zz the zaz zzz", "", "mat 漢"]}
     rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in texts.items() for t in ts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     for size in (4_000_000, 60):
@@ -226,9 +227,67 @@ def test_kneser_ney_against_plain_python(spark, monkeypatch, tmp_path):
                 assert got == pytest.approx(sum(np.log(p(padded[i : i + 5])) for i in range(len(chars))), abs=1e-3)
         out = {r.doc_id: r.log_ppl for r in quality_rules.quality_rules(docs).collect()}
         for d, t, lang in rows:
-            p, padded = plain_kneser_ney(texts[lang]), " " * 4 + plain_characters(t)
+            half = lambda x: zlib.crc32(x.encode()) % 2
+            others = sorted({x for x in texts[lang] if half(x) != half(t) and x})
+            p, padded = plain_kneser_ney(others), " " * 4 + plain_characters(t)
             n = len(padded) - 4
-            assert out[d] is None if not n else out[d] == pytest.approx(-sum(np.log(p(padded[i : i + 5])) for i in range(n)) / n, abs=1e-4)
+            assert out[d] is None if not n or not others else out[d] == pytest.approx(-sum(np.log(p(padded[i : i + 5])) for i in range(n)) / n, abs=1e-4)
+
+
+@pytest.mark.parametrize("copies", [1, 3, 20, 200])
+def test_copies_do_not_speak_for_a_text(spark, copies):
+    """The verdict on noise, on a clean text and on all others is the same with any number of copies."""
+    r = random.Random(15)
+    words = [f"{a}{b}{c}" for a in ("the", "con", "re", "in") for b in ("ta", "mi", "lo") for c in ("n", "tion", "s")]
+    texts = [" ".join(r.choice(words) for _ in range(120)) for _ in range(60)]
+    noise = [" ".join("".join(chr(97 + r.randrange(26)) for _ in range(6)) for _ in range(300)) for _ in range(2)]
+    rows = list(enumerate(texts)) + [(1000 + i, noise[0]) for i in range(copies)] + [(2000, noise[1])] + [(3000 + i, texts[5]) for i in range(copies)]
+    kept = {x.doc_id: x.kept for x in quality_rules.quality_rules(frame(spark, rows)).collect()}
+    assert not any(kept[1000 + i] for i in range(copies)) and not kept[2000]
+    assert all(kept[3000 + i] for i in range(copies)) and all(kept[i] for i in range(60))
+
+
+def brute_verdicts(rows, langs_of, under=5.0, over=3.0, floor=0.02):
+    """kept by plain Python where no text is over its band: halves, bands over different texts, widths by words."""
+    import numpy as np
+
+    half = lambda x: zlib.crc32((x or "").encode()) % 2
+    ppl, base, models = {}, {}, {}
+    for d, t in rows:
+        w = W5.findall(t or "")
+        count = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        mark = {i + k for i in range(len(w) - 2) if count[tuple(w[i : i + 3])] > 1 for k in range(3)}
+        base[d] = len(w) < 50 or 100 * len(mark) > 50 * len(w)
+        key = langs_of[d], half(t)
+        if key not in models:
+            models[key] = plain_kneser_ney(sorted({x for e, x in rows if x and langs_of[e] == key[0] and half(x) != key[1]}))
+        padded = " " * 4 + plain_characters(t or "")
+        n = len(padded) - 4
+        ppl[d] = -sum(np.log(models[key](padded[i : i + 5])) for i in range(n)) / n if n else None
+    out = {}
+    for lang in set(langs_of.values()):
+        different = {t: ppl[d] for d, t in rows if langs_of[d] == lang and not base[d] and ppl[d] is not None}
+        q = sorted(round(v * 1000) for v in different.values())
+        lower = lambda x: x[(len(x) - 1) // 2] if x else 0
+        mid = lower(q)
+        spread = max(floor, 1.4826 * lower(sorted(abs(x - mid) for x in q)) / 1000)
+        for d, t in rows:
+            if langs_of[d] == lang:
+                wide = (1 + 60 / max(1, len(W5.findall(t or "")))) ** 0.5 * spread
+                out[d] = not base[d] and (ppl[d] is None or mid / 1000 - under * wide <= ppl[d] <= mid / 1000 + over * wide)
+    return out
+
+
+def test_verdicts_against_plain_python(spark):
+    """One language, so that no window can be read under another; bands, widths and verdicts of all rows."""
+    r = random.Random(21)
+    parts = ("ta", "mi", "lo", "ne", "ru", "ka")
+    texts = [" ".join("".join(r.choice(parts) for _ in range(r.randint(1, 3))) for _ in range(r.choice([20, 60, 150]))) for _ in range(70)]
+    texts += [" ".join("".join(r.choice("qzxjwv") for _ in range(5)) for _ in range(90)), " ".join(["tami lone"] * 3 + [f"ka{i}" for i in range(60)]), texts[3], texts[3], None, "", "ta " * 80]
+    rows = list(enumerate(texts))
+    kept = {x.doc_id: x.kept for x in quality_rules.quality_rules(frame(spark, rows)).collect()}
+    want = brute_verdicts(rows, dict.fromkeys(range(len(rows)), "en"))
+    assert kept == want and 20 < sum(want.values()) < len(rows) - 5
 
 
 def test_perplexity_band_rejects_noise(spark):

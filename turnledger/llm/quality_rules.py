@@ -1,7 +1,8 @@
 """Operator 8: quality rules with an n-gram perplexity band for each language.
 
 The language model is a modified Kneser-Ney model over the characters themselves,
-one for each value of lang.  Spark counts the n-grams of the whole corpus and
+two for each value of lang, of one half of its different texts each; a text is
+scored by the half that it isn't in.  Spark counts the n-grams of the whole corpus and
 derives continuation counts, discounts and probabilities by aggregates and joins
 over (lang, n-gram), so the model grows with the corpus and never meets in one
 place.  It is kept in the shared folder as hashes of n-grams with their values,
@@ -17,7 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnledger.llm.common import BROADCAST_IDS, Scratch, free_shuffles, keep_ids, only
@@ -332,8 +333,22 @@ def _passes(scratch: Scratch, rows: DataFrame, shards: list, scan) -> DataFrame:
     return rows
 
 
+def distinct_texts(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """docs with each text of a language once; c is the hash of both.
+
+    Texts without a copy stay where they are; only those with copies are shuffled.
+    """
+    many = scratch.write(docs.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c"), "copies")
+    return keep_ids(docs, many, "left_anti", "c").unionByName(keep_ids(docs, many, key="c").dropDuplicates(["c"]))
+
+
+def _model_of(lang: Column, fold: Column) -> Column:
+    """The key of the model of a half of a language's texts."""
+    return F.concat(lang, F.lit("|"), fold.cast("string"))
+
+
 def _own(scratch: Scratch, docs: DataFrame, shards: list) -> DataFrame:
-    """doc_id, lang, h, the base counts, n_chars and total, the summed log-probabilities under the model of each text's own language."""
+    """docs' columns without the text, the base counts, n_chars and total, the summed log-probabilities under the model that lang names."""
 
     def scan(shared):
         def run(batches):
@@ -366,15 +381,16 @@ def _best(cell: np.ndarray, share: float) -> float:
 
 
 def _mixed(scratch: Scratch, docs: DataFrame, shards: list, langs: list[str], window: int, share: float) -> DataFrame:
-    """(h, best): the mean of -log-probability with at most ``share`` of a text's windows, those that gain most, under the one of ``langs`` that suits them best."""
+    """(h, best): the mean of -log-probability with at most ``share`` of a text's windows, those that gain most, under the one of ``langs`` that suits them best, each by the half that a text's own model is of."""
 
     def scan(shared):
         def run(batches):
-            shard, seeds = shared.value, [seed(x) for x in langs]
+            shard, seeds = shared.value, np.array([[seed(f"{x}|{fold}") for fold in (0, 1)] for x in langs], np.uint64).reshape(-1, 2)
             for rows, data, bounds in slices(batches):
                 c, begin = characters(data, bounds)
                 at, text = positions(begin)
                 own = np.array([seed(x) for x in rows.column("lang").to_pylist()], np.uint64)
+                fold = np.array([int(x[-1]) for x in rows.column("lang").to_pylist()], np.int64)
                 n = np.diff(begin) - (ORDER - 1)
                 first = np.r_[0, np.cumsum(-(-n // window))]
                 old = [np.frombuffer(x, np.float32) for x in rows.column("sums").to_pylist() if x]
@@ -382,7 +398,7 @@ def _mixed(scratch: Scratch, docs: DataFrame, shards: list, langs: list[str], wi
                 mine = shard.mine(c, at)
                 whose = text if len(mine) == len(at) else text[np.searchsorted(at, mine)]
                 where = first[whose] + (mine - begin[whose] - ORDER + 1) // window
-                for j, start in enumerate((own[whose], *seeds)):
+                for j, start in enumerate((own[whose], *(x[fold[whose]] for x in seeds))):
                     cell[:, j] += np.bincount(where, shard.score(c, mine, start), len(cell))
                 parts = [cell[i:j] for i, j in zip(first[:-1], first[1:], strict=True)]
                 if shard.number == shard.shards - 1:
@@ -400,18 +416,19 @@ def _mixed(scratch: Scratch, docs: DataFrame, shards: list, langs: list[str], wi
 
 
 def _bands(scored: DataFrame, floor: float) -> DataFrame:
-    """(lang, mid, spread): the median log_ppl of the documents that pass the base rules, and 1.4826 times the median distance from it, at least ``floor``."""
+    """(of, mid, spread): the median log_ppl of a language's different texts that pass the base rules, and 1.4826 times the median distance from it, at least ``floor``."""
 
     def median(rows: DataFrame, value: str) -> DataFrame:
-        same = Window.partitionBy("lang")
+        same = Window.partitionBy("of")
         rows = rows.withColumn("up", F.sum("n").over(same.orderBy(value))).withColumn("all", F.sum("n").over(same))
-        return rows.where(2 * F.col("up") >= F.col("all")).groupBy("lang").agg(F.min(value).alias("mid"))
+        return rows.where(2 * F.col("up") >= F.col("all")).groupBy("of").agg(F.min(value).alias("mid"))
 
-    rows = scored.where("not base_failed and log_ppl is not null").groupBy("lang", F.round(F.col("log_ppl") * 1000).cast("long").alias("q")).agg(F.count("*").alias("n"))
+    each = scored.where("not base_failed and log_ppl is not null").groupBy("of", "c").agg(F.min("log_ppl").alias("log_ppl"))
+    rows = each.groupBy("of", F.round(F.col("log_ppl") * 1000).cast("long").alias("q")).agg(F.count("*").alias("n"))
     mid = median(rows, "q")
-    apart = rows.join(mid, "lang").groupBy("lang", F.abs(F.col("q") - F.col("mid")).alias("a")).agg(F.sum("n").alias("n"))
-    spread = median(apart, "a").select("lang", F.greatest(F.lit(floor), 1.4826 * F.col("mid") / 1000).alias("spread"))
-    return mid.join(spread, "lang").select("lang", (F.col("mid") / 1000).alias("mid"), "spread")
+    apart = rows.join(mid, "of").groupBy("of", F.abs(F.col("q") - F.col("mid")).alias("a")).agg(F.sum("n").alias("n"))
+    spread = median(apart, "a").select("of", F.greatest(F.lit(floor), 1.4826 * F.col("mid") / 1000).alias("spread"))
+    return mid.join(spread, "of").select("of", (F.col("mid") / 1000).alias("mid"), "spread")
 
 
 def quality_rules(docs: DataFrame, under: float = 5.0, over: float = 3.0, floor: float = 0.02, window: int = 64, share: float = 0.5, least: float = 0.001) -> DataFrame:
@@ -419,43 +436,51 @@ def quality_rules(docs: DataFrame, under: float = 5.0, over: float = 3.0, floor:
 
     docs: doc_id, text and lang; other columns are ignored.  base_failed: fewer
     than 50 words, or more than half of the words in repeated 3-word windows.
-    log_ppl is the mean negative log-probability of a character under the model
-    of the document's language, trained on all texts of that language; null
-    languages share the model of ``und``.  The band of a language reaches from
+    log_ppl is the mean negative log-probability of a character under a model of
+    the document's language that hasn't seen its text: the different texts of a
+    language fall into two halves by a hash of the text, and each half is scored by
+    the model of the other, so that neither a text nor its copies, of any number,
+    speak for it.  Null languages share the models of ``und``.  Where the other half
+    has no text log_ppl is null and the base rules decide.  The band of a language reaches from
     ``under`` robust deviations under its median to ``over`` above it (1.4826 times the
-    median absolute deviation, at least ``floor``), from all documents that pass the
-    base rules; a text of n words gets sqrt(1 + 60 / n) of that width.  A text over
+    median absolute deviation, at least ``floor``), from all different texts that pass
+    the base rules; a text of n words gets sqrt(1 + 60 / n) of that width.  A text over
     its band may quote other languages: best_ppl then has the mean with up to
     ``share`` of its windows of ``window`` characters, those that gain most, under the
     model that suits them best of the languages with at least ``least`` of all
     characters, and is null for other texts.  kept: not base_failed, log_ppl not
     under the band, and log_ppl or best_ppl not over it.  Null and empty texts have
-    no words, a null log_ppl and are not kept.  Repeated rows count as often as
-    they occur.  An empty table gives no rows.
+    no words, a null log_ppl and are not kept.  Repeated rows are judged alike and
+    count once.  Very long texts are read whole.  An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     docs = only(docs, doc_id="long", text="string", lang="string")
-    docs = docs.select("doc_id", F.coalesce("lang", F.lit(named(None))).alias("lang"), F.xxhash64("doc_id", "text", "lang").alias("h"), "text")
-    model = train(scratch, docs)
+    of, fold = F.coalesce("lang", F.lit(named(None))), F.crc32(F.coalesce("text", F.lit(""))) % 2
+    docs = docs.select("doc_id", of.alias("of"), _model_of(of, 1 - fold).alias("lang"), F.xxhash64("doc_id", "text", "lang").alias("h"), F.xxhash64("text", of).alias("c"), "text")
+    model = train(scratch, distinct_texts(scratch, docs).select("text", _model_of(F.col("of"), F.crc32(F.coalesce("text", F.lit(""))) % 2).alias("lang")))
+    trained = scratch.write(model.select("lang").distinct(), "trained")
     table, count = sharded(scratch, model)
-    for name in [x for x in scratch.paths if x != "shards"]:
+    for name in [x for x in scratch.paths if x not in ("shards", "trained", "copies")]:
         scratch.drop(name)
     free_shuffles(docs.sparkSession)
     shards = list(_shards(docs.sparkSession, table, count))
     scored = _own(scratch, docs, shards)
-    scored = scored.withColumn("log_ppl", F.when(F.col("n_chars") > 0, -F.col("total") / F.col("n_chars")))
+    scored = scored.join(trained.withColumn("seen", F.lit(True)), "lang", "left")
+    scored = scored.withColumn("log_ppl", F.when(F.col("seen") & (F.col("n_chars") > 0), -F.col("total") / F.col("n_chars"))).drop("seen")
     scored = scratch.write(scored.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")), "scored")
     bands = scratch.write(_bands(scored, floor), "bands")
     wide = F.sqrt(1 + 60 / F.greatest(F.col("n_words"), F.lit(1))) * F.col("spread")
-    judged = scored.join(bands, "lang", "left").withColumns({"low": F.col("mid") - under * wide, "high": F.col("mid") + over * wide})
+    judged = scored.join(bands, "of", "left").withColumns({"low": F.col("mid") - under * wide, "high": F.col("mid") + over * wide})
     above = scratch.write(judged.where("not base_failed and log_ppl > high").select("h").distinct(), "above")
-    chars = scored.groupBy("lang").agg(F.sum("n_chars").alias("n"))
+    chars = scored.groupBy("of").agg(F.sum("n_chars").alias("n"))
     total = chars.agg(F.sum("n")).first()[0] or 0
-    langs = sorted(r[0] for r in chars.where(F.col("n") >= least * total).select("lang").collect())
+    frequent = chars.where(F.col("n") >= least * total).select("of")  # at most 1 / least
+    both = trained.select(F.expr("substring(lang, 1, length(lang) - 2)").alias("of")).groupBy("of").count().where("count = 2")
+    langs = sorted(r[0] for r in frequent.join(both, "of").select("of").collect())
     free_shuffles(docs.sparkSession)
     best = scratch.write(_mixed(scratch, keep_ids(docs, above, key="h"), shards, langs, window, share), "best")
     judged = judged.join(best.withColumnRenamed("best", "best_ppl"), "h", "left")
-    kept = ~F.col("base_failed") & F.coalesce((F.col("log_ppl") >= F.col("low")) & (F.coalesce("best_ppl", "log_ppl") <= F.col("high")), F.lit(False))
+    kept = ~F.col("base_failed") & F.coalesce((F.col("log_ppl") >= F.col("low")) & (F.coalesce("best_ppl", "log_ppl") <= F.col("high")), F.lit(True))
     return judged.select("doc_id", *_COUNTS, "base_failed", kept.alias("kept"), "log_ppl", "best_ppl")
 
 
