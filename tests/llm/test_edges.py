@@ -97,3 +97,22 @@ def test_stages_keep_columns_and_rows_without_an_id(spark, docs, labels, name):
         assert 2 not in {r.doc_id for r in rows}
     if name == "mix":
         assert all(r.mix_copies >= 1 for r in rows)
+
+
+def test_benchmark_items_without_an_id(spark, docs):
+    """Items of a null id hit words, beside others and alone."""
+    rows = [(1, "a b c d e"), (2, "x y z"), (3, "nothing here")]
+    items = spark.createDataFrame([(None, "a b c"), (7, "b c d"), (None, "x y"), (None, "q")], "item_id long, text string")
+    found = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    assert {r.doc_id: (r.items, r.n_hit) for r in found.collect()} == {1: ([7, None], 4), 2: ([None], 2), 3: ([], 0)}
+    digest = {r.doc_id: r.n_items for r in decontaminate.digest_columns(found).collect()}
+    assert digest == {1: 2, 2: 1, 3: 0}
+
+
+def test_many_benchmark_blocks_share_no_task(spark):
+    """A benchmark of 7 blocks: no plan holds more than two searches and the count, and nothing is lost."""
+    rows = [(i, f"w{i} only{i} " + " ".join(f"c{k}" for k in range(5))) for i in range(10)]
+    items = spark.createDataFrame([(i, f"w{i} only{i}") for i in range(7)], "item_id long, text string").coalesce(1)
+    found = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), items, block_chars=1)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 3
+    assert {r.doc_id: r.items for r in found.collect()} == {i: [i] if i < 7 else [] for i in range(10)}

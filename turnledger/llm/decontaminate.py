@@ -105,11 +105,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
     words, but not none, is one window.  Items are the distinct ids with an
     occurring window, in order.  contaminated: n_hit > 0 and
     20 * n_hit >= n_words.  Null and empty texts have no words and no hits; null
-    and empty items have no windows; repeated rows give repeated rows; with an
-    empty benchmark nothing is hit.  The benchmark is a query set: it is taken in
+    and empty items have no windows; items of a null id hit words and come last among
+    items, together as one null; repeated rows give repeated rows; an empty table
+    gives no rows, and with an empty benchmark nothing is hit.  Very long texts are
+    searched whole.  The benchmark is a query set: it is taken in
     blocks of ``block_chars`` characters, each of which passes over all rows, so
     no worker holds more than a block's windows and tables, some 130 MB for a
-    million characters.
+    million characters.  After every second block the rows are written to the shared
+    folder.
     """
     spark = docs.sparkSession
     free_shuffles(spark)
@@ -130,13 +133,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
                             mask[start:end] = True
                             seen.update(ids)
                     if mask is not None:
-                        hits[i], items[i] = mask.tobytes(), sorted({*items[i], *seen})
+                        hits[i], items[i] = mask.tobytes(), sorted({*items[i], *seen}, key=lambda x: (x is None, x or 0))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(items, pa.list_(pa.int64())), pa.array(hits, pa.binary())], ["doc_id", "text", "items", "hits"])
 
         return run
 
+    scratch, taken = Scratch(spark, "contamination"), 0
     for block in _blocks(only(benchmark, item_id="long", text="string"), block_chars):
         if any(text for _, text in block):
+            if taken and taken % 2 == 0:  # so that a task never holds more than two blocks' tables
+                out = scratch.write(out, f"blocks-{taken}")
+                if taken > 2:
+                    scratch.drop(f"blocks-{taken - 2}")
+            taken += 1
             out = out.mapInArrow(scan(spark.sparkContext.broadcast(block), uuid.uuid4().hex), "doc_id long, text string, items array<long>, hits binary")
 
     def count(batches):
