@@ -27,7 +27,7 @@ from turnledger.llm.words import byte_table, hash_words, mix, slices
 #: Characters of an n-gram.
 ORDER = 5
 #: Entries of the model that a shard holds, 12 bytes each.
-SHARD = 4_000_000
+SHARD = 8_000_000
 _EXACT = byte_table("space")
 _EXACT[65:91] = np.arange(65, 91)
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -88,27 +88,32 @@ class Suffixes:
         return mix(self.sums[order][which])
 
 
-def distinct_grams(c: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(code points of each different n-gram that ends at one of the places, their numbers).
+def distinct_grams(c: np.ndarray, at: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points of each different n-gram that ends at one of the places, their numbers, those of fold 1).
 
-    Characters are numbered, and n-grams packed into 64 bits where that suffices.
+    Characters are numbered, and n-grams packed into 64 bits, the last of them the
+    fold, where that suffices.
     """
     known = np.flatnonzero(np.bincount(c))
     bits = max(1, int(len(known) - 1).bit_length())
-    if bits * ORDER > 64:
-        _, first, n = np.unique(Suffixes(c, at, np.uint64(0), ORDER).hashes(ORDER), return_index=True, return_counts=True)
-        return np.stack([c[at[first] - ORDER + 1 + j] for j in range(ORDER)], 1), n
+    if bits * ORDER > 63:
+        _, first, which = np.unique(Suffixes(c, at, np.uint64(0), ORDER).hashes(ORDER), return_index=True, return_inverse=True)
+        return np.stack([c[at[first] - ORDER + 1 + j] for j in range(ORDER)], 1), np.bincount(which, minlength=len(first)), np.bincount(which[fold == 1], minlength=len(first))
     number = np.zeros(int(known[-1]) + 1, np.uint64)
     number[known] = np.arange(len(known), dtype=np.uint64)
     number = number[c]
     key = number[at]
     for j in range(1, ORDER):
         key = key | number[at - j] << np.uint64(bits * j)
+    key = key << np.uint64(1) | fold.astype(np.uint64)
     key.sort()
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    key, n = key[start], np.diff(np.r_[start, len(key)])
+    gram = key >> np.uint64(1)
+    start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    ones = np.r_[0, np.cumsum((key & np.uint64(1)).astype(np.int64))]
+    end = np.r_[start[1:], len(key)]
+    gram = gram[start]
     mask = np.uint64((1 << bits) - 1)
-    return np.stack([known[(key >> np.uint64(bits * (ORDER - 1 - j)) & mask).astype(np.int64)] for j in range(ORDER)], 1).astype(np.uint32), n
+    return np.stack([known[(gram >> np.uint64(bits * (ORDER - 1 - j)) & mask).astype(np.int64)] for j in range(ORDER)], 1).astype(np.uint32), end - start, ones[end] - ones[start]
 
 
 def shard_of(before: np.ndarray, last: np.ndarray, shards: int) -> np.ndarray:
@@ -117,25 +122,25 @@ def shard_of(before: np.ndarray, last: np.ndarray, shards: int) -> np.ndarray:
 
 
 def count_ngrams(docs: DataFrame, held: int = 1 << 19) -> DataFrame:
-    """(lang, gram, n) over all texts; a task adds up its own counts, of about ``held`` n-grams at a time."""
+    """(lang, gram, n0, n1) over all texts, by fold; a task adds up its own counts, of about ``held`` n-grams at a time."""
 
     def run(batches):
-        parts: list[tuple[np.ndarray, ...]] = []  # hash, language, number, characters
+        parts: list[tuple[np.ndarray, ...]] = []  # hash, language, numbers, characters
         names: dict[str, int] = {}
 
         def summed():
-            h, lang, n, c = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            h, lang, n, c = (np.concatenate([p[i] for p in parts]) for i in range(4))  # n: a column a fold
             order = np.argsort(h)
             start = np.flatnonzero(np.r_[True, np.diff(h[order].view(np.int64)) != 0])
             first = order[start]
-            parts[:] = [(h[first], lang[first], np.add.reduceat(n[order], start), c[first])]
+            parts[:] = [(h[first], lang[first], np.add.reduceat(n[order], start, axis=0), c[first])]
 
         def batches_of():
             _, lang, n, c = parts[0]
             known = pa.array(list(names), pa.string())
             for i in range(0, len(n), 1 << 16):
                 grams = np.ascontiguousarray(c[i : i + (1 << 16)]).view(f"<U{ORDER}").ravel().tolist()
-                yield pa.RecordBatch.from_arrays([known.take(pa.array(lang[i : i + (1 << 16)])), pa.array(grams, pa.string()), pa.array(n[i : i + (1 << 16)])], ["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([known.take(pa.array(lang[i : i + (1 << 16)])), pa.array(grams, pa.string()), *(pa.array(n[i : i + (1 << 16), k]) for k in (0, 1))], ["lang", "gram", "n0", "n1"])
 
         size = 0
         for rows, data, bounds in slices(batches):
@@ -143,11 +148,12 @@ def count_ngrams(docs: DataFrame, held: int = 1 << 19) -> DataFrame:
             at, text = positions(begin)
             langs = np.array([names.setdefault(x, len(names)) for x in map(named, rows.column("lang").to_pylist())], np.int64)[text]
             seeds = [seed(x) for x in names]
+            folds = rows.column("fold").to_numpy()[text]
             for x in np.unique(langs).tolist():
-                grams, n = distinct_grams(c, at[langs == x])
+                grams, n, ones = distinct_grams(c, at[langs == x], folds[langs == x])
                 flat = grams.ravel()
                 h = Suffixes(flat, np.arange(len(n)) * ORDER + ORDER - 1, seeds[x], ORDER).hashes(ORDER)
-                parts.append((h, np.full(len(n), x, np.int32), n.astype(np.int64), grams))
+                parts.append((h, np.full(len(n), x, np.int32), np.stack([n - ones, ones], 1).astype(np.int64), grams))
                 size += len(n)
             if size > 2 * held:
                 summed()
@@ -161,18 +167,26 @@ def count_ngrams(docs: DataFrame, held: int = 1 << 19) -> DataFrame:
             summed()
             yield from batches_of()
 
-    return docs.select("text", "lang").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("text", "lang", "fold").mapInArrow(run, "lang string, gram string, n0 long, n1 long").groupBy("lang", "gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def _model_of(lang: Column, fold: Column) -> Column:
+    """The key of the model of a half of a language's texts."""
+    return F.concat(lang, F.lit("|"), fold.cast("string"))
 
 
 def train(scratch: Scratch, docs: DataFrame) -> DataFrame:
-    """(lang, gram, kind, value): for kind 0 the log-probability of an n-gram's last character after the others, for kind 1 the log of the weight that a history leaves to the shorter one.
+    """(lang, gram, kind, value) of a model for each lang, and for each fold of it where docs have one, 0 or 1: for kind 0 the log-probability of an n-gram's last character after the others, for kind 1 the log of the weight that a history leaves to the shorter one.
 
     Discounts are those of modified Kneser-Ney, by language and order; shorter
     n-grams count the distinct characters before them.  Below the single
     characters all of a language's characters, and one for the unseen, are equal:
     the empty history's value is the log-probability of an unseen character.
     """
-    levels = {ORDER: scratch.write(count_ngrams(docs), f"level-{ORDER}")}
+    folded = "fold" in docs.columns
+    counts = scratch.write(count_ngrams(docs if folded else docs.withColumn("fold", F.lit(0).cast("long"))), f"level-{ORDER}")
+    half = lambda k: counts.where(f"n{k} > 0").select(_model_of(F.col("lang"), F.lit(k)).alias("lang"), "gram", F.col(f"n{k}").alias("n"))
+    levels = {ORDER: half(0).unionByName(half(1)) if folded else counts.select("lang", "gram", F.col("n0").alias("n"))}
     for o in range(ORDER - 1, 0, -1):
         levels[o] = levels[o + 1].groupBy("lang", F.substring("gram", 2, o).alias("gram")).agg(F.count("*").alias("n"))
         if o == ORDER - 1:  # the others are made anew from it, as they are far smaller
@@ -342,11 +356,6 @@ def distinct_texts(scratch: Scratch, docs: DataFrame) -> DataFrame:
     return keep_ids(docs, many, "left_anti", "c").unionByName(keep_ids(docs, many, key="c").dropDuplicates(["c"]))
 
 
-def _model_of(lang: Column, fold: Column) -> Column:
-    """The key of the model of a half of a language's texts."""
-    return F.concat(lang, F.lit("|"), fold.cast("string"))
-
-
 def _own(scratch: Scratch, docs: DataFrame, shards: list) -> DataFrame:
     """docs' columns without the text, the base counts, n_chars and total, the summed log-probabilities under the model that lang names."""
 
@@ -457,7 +466,7 @@ def quality_rules(docs: DataFrame, under: float = 5.0, over: float = 3.0, floor:
     docs = only(docs, doc_id="long", text="string", lang="string")
     of, fold = F.coalesce("lang", F.lit(named(None))), F.crc32(F.coalesce("text", F.lit(""))) % 2
     docs = docs.select("doc_id", of.alias("of"), _model_of(of, 1 - fold).alias("lang"), F.xxhash64("doc_id", "text", "lang").alias("h"), F.xxhash64("text", of).alias("c"), "text")
-    model = train(scratch, distinct_texts(scratch, docs).select("text", _model_of(F.col("of"), F.crc32(F.coalesce("text", F.lit(""))) % 2).alias("lang")))
+    model = train(scratch, distinct_texts(scratch, docs).select("text", F.col("of").alias("lang"), (F.crc32(F.coalesce("text", F.lit(""))) % 2).alias("fold")))
     trained = scratch.write(model.select("lang").distinct(), "trained")
     table, count = sharded(scratch, model)
     for name in [x for x in scratch.paths if x not in ("shards", "trained", "copies")]:
