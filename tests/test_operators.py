@@ -468,3 +468,23 @@ def test_turn_records_from_pieces(spark):
     assert (short.valid_action, short.action_text, short.action_target_positions, short.action_content_positions, short.action_boundary_positions, short.old_action_target_log_probs) == (True, "No", [4], [], [4], [16.0])
     made = requests.responsibility_requests(spark.createDataFrame([search], schema.TURN)).collect()
     assert {x.view: x.blocked_key_positions for x in made} == {"whole_mask": [2], "chunk_mask_0": [2]}
+
+
+def test_a_manifest_goes_by_relative_paths(spark, tmp_path):
+    """a/b isn't x/a/b, in whatever order they are listed."""
+    import hashlib
+
+    files = {"a/b": b"one", "x/a/b": b"two", "b": b"three"}
+    for name, data in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    hashes = {n: hashlib.sha256(d).hexdigest() for n, d in files.items()}
+    assert {tuple(r) for r in governance.verify_manifest(spark, str(tmp_path), {"files": hashes}).collect()} == set(hashes.items())
+    with pytest.raises(checks.CheckFailed):
+        governance.verify_manifest(spark, str(tmp_path), {"files": hashes | {"a/b": hashes["x/a/b"]}})
+
+
+def test_evidence_in_documents(spark):
+    rows = [(1, '{"a": [{"METADATA": {"context": 1}}, [{"doc_only_x": 2}]], "ok": "metadata"}'), (2, None), (3, "5"), (4, '{"gold_evidence": null}')]
+    got = checks.forbidden_document_paths(spark.createDataFrame(rows, "id int, j string"), "id", "j").collect()
+    assert sorted(tuple(r) for r in got) == [(1, "a.element.METADATA"), (1, "a.element.METADATA.context"), (1, "a.element.element.doc_only_x"), (4, "gold_evidence")]

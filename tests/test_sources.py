@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from turnledger.sources import tables
+from turnledger.sources import documents, tables
 from turnledger.streaming import steps
 
 
@@ -66,3 +66,42 @@ def test_entry_and_registry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_documents_of_any_number_of_rows(spark, tmp_path):
+    """Canonical documents, one a batch, all or none, and none over another."""
+    path = str(tmp_path / "documents")
+    heads = spark.createDataFrame([('a"/1', 0.5), ("b", None)], "batch_id string, x double").select("batch_id", F.struct("x").alias("numeric_reference"))
+    rows = spark.range(500).select(F.when(F.col("id") % 5 == 0, 'a"/1').otherwise("b").alias("batch_id"), F.col("id").cast("string").alias("turn_id"), (F.col("id") / 2).alias("g_directed"))
+    documents.write_batch_documents(heads, {"search": rows, "answer": rows.limit(0)}, path)
+    files = sorted(p.name for p in (tmp_path / "documents").iterdir())
+    assert files == ["batch-a%22%2F1.json", "batch-b.json"]
+    texts = {f: (tmp_path / "documents" / f).read_text() for f in files}
+    for text in texts.values():
+        value = json.loads(text)
+        assert list(value) == sorted(value) and value["search"]["rows"] == sorted(value["search"]["rows"], key=json.dumps)
+    read = tables.read_documents(spark, path).select("batch_id", F.size("search.rows").alias("n"), "numeric_reference.same_shape_repeat_max_abs_difference").collect()
+    assert {r.batch_id: r.n for r in read} == {'a"/1': 100, "b": 400}
+    with pytest.raises(Exception, match="FileExists|documents"):
+        documents.write_batch_documents(heads, {"search": rows}, path)
+    assert {f: (tmp_path / "documents" / f).read_text() for f in files} == texts
+
+
+def test_a_failed_document_job_leaves_nothing(spark, tmp_path):
+    path = str(tmp_path / "documents")
+    heads = spark.createDataFrame([("a", 1), ("a", 2)], "batch_id string, x int")  # a value that is there twice
+    with pytest.raises(Exception, match="twice"):
+        documents.write_batch_documents(heads, {}, path)
+    assert not [p for p in (tmp_path / "documents").rglob("*") if p.is_file()]
+
+
+def test_a_step_written_again_is_one_line(spark, tmp_path):
+    path = str(tmp_path / "log")
+    steps_of = lambda mark, *ids: spark.createDataFrame([(i, f"{mark}{i}") for i in ids], "global_step int, payload string").repartition(3)
+    documents.append_steps(steps_of("a", 1, 2, 3), path)
+    documents.append_steps(steps_of("b", 3, 4), path)
+    assert sorted(tuple(r) for r in documents.read_steps(spark, path).collect()) == [(1, "a1"), (2, "a2"), (3, "b3"), (4, "b4")]
+    with pytest.raises(Exception, match="twice|two tasks"):
+        documents.append_steps(steps_of("c", 5, 5), path)
+    assert documents.read_steps(spark, path).count() == 4
+    assert documents.read_steps(spark, str(tmp_path / "none")).count() == 0

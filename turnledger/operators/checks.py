@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,6 +60,33 @@ def forbidden_keys(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.explode(F.map_keys(column)).alias("key")).where(bad).distinct()
 
 
+def _forbidden(name: str) -> bool:
+    return name.lower() in FORBIDDEN or name.lower().startswith(FORBIDDEN_PREFIXES)
+
+
+def forbidden_document_paths(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, path): paths of forbidden names at any depth of JSON documents, each once a document; items of lists are ``element``.
+
+    key names a document; null documents and plain values have none, text that isn't
+    JSON raises.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def walk(value, path: tuple[str, ...]) -> Iterator[str]:
+        for name, inner in value.items() if isinstance(value, dict) else [("element", x) for x in value] if isinstance(value, list) else ():
+            if isinstance(value, dict) and _forbidden(name):
+                yield ".".join((*path, name))
+            yield from walk(inner, (*path, name))
+
+    def run(batches):
+        for batch in batches:
+            found = [sorted(set(walk(json.loads(t), ()))) if t is not None else [] for t in batch.column("document").to_pylist()]
+            rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows, pa.int64())), pa.array([p for f in found for p in f], pa.string())], [key, "path"])
+
+    return df.select(key, F.col(column).alias("document")).mapInArrow(run, f"{key} {kind}, path string")
+
+
 def drop_evidence(df: DataFrame, *columns: str) -> DataFrame:
     return require_allowed(df.drop(*(columns or ("metadata",))))
 

@@ -167,6 +167,12 @@ def safe_relative(path: str) -> str:
     return str(p)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark's readers name it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(found).toString()
+
+
 def verify_manifest(spark: SparkSession, root: str, manifest: dict, manifest_sha256: str | None = None) -> DataFrame:
     """(path, sha256) of the files that a manifest lists, all found with their hashes.
 
@@ -176,9 +182,11 @@ def verify_manifest(spark: SparkSession, root: str, manifest: dict, manifest_sha
         raise CheckFailed("the manifest isn't the recorded one")
     listed = {safe_relative(p): h for p, h in manifest["files"].items()}
     want = spark.createDataFrame(sorted(listed.items()), "path string, want string")
-    have = file_hashes(spark, *(f"{root}/{p}" for p in listed)).select(F.explode(F.array(*(F.when(F.col("path").endswith("/" + p), F.lit(p)) for p in listed))).alias("name"), "sha256").where("name is not null")
-    checks.require_none(want.join(have, (want.path == have.name) & (want.want == have.sha256), "left_anti"), "a file with another hash")
-    return have.select(F.col("name").alias("path"), "sha256")
+    have = file_hashes(spark, *(f"{root}/{p}" for p in listed))
+    name = F.substring("path", F.lit(len(qualified(spark, root)) + 2), F.length("path"))  # relative to the root, and to no folder of the same end
+    have = have.select(name.alias("path"), "sha256")
+    checks.require_none(want.join(have.withColumnRenamed("sha256", "want"), ["path", "want"], "left_anti"), "a file with another hash")
+    return have
 
 
 def health_findings(metrics: DataFrame, trajectories: int) -> DataFrame:

@@ -789,6 +789,36 @@ def p2_p13_p14_forbidden_fields(spark, d):
     return spark.createDataFrame([(name, len(checks.forbidden_paths(kind))) for name, kind in kinds.items()], "name string, forbidden int")
 
 
+@_query("""WITH d AS (SELECT doc_id, doc_id % 5 AS k FROM documents) SELECT doc_id, 'rows.element.Metadata' AS path FROM d WHERE k = 0 UNION ALL SELECT doc_id, 'rows.element.inner.new_fact_7' FROM d WHERE k = 1
+UNION ALL SELECT doc_id, 'support_hits' FROM d WHERE k IN (1, 2) UNION ALL SELECT doc_id, 'support_hits.element.context' FROM d WHERE k IN (1, 2)""")
+def p13_document_fields(spark, d):
+    """Evidence fields at any depth of JSON documents, one a row of documents."""
+    k, text = F.col("doc_id") % 5, F.to_json(F.struct("source", "lang"))
+    row = F.when(k == 0, F.concat(F.lit('{"Metadata": '), text, F.lit("}"))).when(k == 1, F.concat(F.lit('{"inner": {"new_fact_7": '), text, F.lit("}}"))).otherwise(F.concat(F.lit('{"metadata_source": '), text, F.lit("}")))
+    hits = F.when(k.isin(1, 2), F.lit(', "support_hits": [{"context": 1}, {"context": 2}]')).otherwise("")
+    rows = proxies.table(spark, d, "documents").select("doc_id", F.concat(F.lit('{"rows": ['), row, F.lit(", "), row, F.lit("]"), hits, F.lit("}")).alias("document"))
+    return checks.forbidden_document_paths(rows, "doc_id", "document")
+
+
+@_query("SELECT doc_id, lang AS split FROM documents WHERE lang IS DISTINCT FROM 'en'")
+def p14_required_columns(spark, d):
+    """The columns of a training table, with their types, and the rows of another split."""
+    rows = proxies.table(spark, d, "documents").select("doc_id", F.col("source").alias("data_source"), F.struct(F.col("doc_id").alias("index"), F.col("lang").alias("split")).alias("extra_info"))
+    checked = checks.require_columns(rows, {"data_source": "string", "extra_info": "struct<index:bigint,split:string>"})
+    return checks.not_split(checked, "en").select("doc_id", "extra_info.split")
+
+
+@_query(f"""WITH m AS ({proxies.MASKED}) SELECT turn_id, round(full_score, 6) AS full_score, round(whole_masked, 6) AS whole_masked, array_to_string(list_transform(chunk_masked, lambda x: CAST(CAST(round(x * 1000) AS INTEGER) AS VARCHAR)), ',') AS chunks FROM m""")
+def r18_masked_scores(spark, d):
+    """Scored requests, one a view, put together by turn again, and their responsibility."""
+    m = proxies.masked(spark, d)
+    view = lambda name, score: F.struct(name.alias("view"), score.alias("score"))
+    views = F.concat(F.array(view(F.lit("whole_mask"), F.col("whole_masked"))), F.transform("chunk_masked", lambda x, i: view(F.concat(F.lit("chunk_mask_"), i.cast("string")), x)))
+    scored = m.select("turn_id", "full_score", F.explode(views).alias("v")).select("turn_id", "full_score", "v.*")
+    mills = F.transform("chunk_masked", lambda x: F.round(x * 1000).cast("int").cast("string"))
+    return credits.masked_scores(scored).select("turn_id", _r("full_score").alias("full_score"), _r("whole_masked").alias("whole_masked"), F.array_join(mills, ",").alias("chunks"))
+
+
 # sources
 
 

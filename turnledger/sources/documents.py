@@ -201,10 +201,9 @@ def write_batch_documents(heads: DataFrame, sections: dict[str, DataFrame], path
     have any number of them.
     """
     spark = _registered(heads.sparkSession)
-    parts = [heads.select("batch_id", F.lit("batch_id").alias("section"), F.concat(F.lit('"'), F.replace(F.replace("batch_id", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')).alias("value"))]
-    for c in heads.columns:
-        if c != "batch_id":
-            parts.append(heads.select("batch_id", F.lit(c).alias("section"), F.to_json(c).alias("value")))
+    text = lambda c: F.to_json(F.array(F.col(c)))
+    value = lambda c: F.when(F.col(c).isNotNull(), F.substring(text(c), F.lit(2), F.length(text(c)) - 2))
+    parts = [heads.select("batch_id", F.lit(c).alias("section"), value(c).alias("value")) for c in heads.columns]
     for name, rows in sections.items():
         if name not in SECTIONS:
             raise ValueError(f"{name} isn't a section")
