@@ -111,8 +111,9 @@ def detect_language(docs: DataFrame, modulus: int = 3, held: int = 1, per_langua
     ``held``.  With many languages each has fewer texts, ``sample`` in all, but never
     a bound under ``least``: the documented bound of the fit; no language is left out.
     Every row is predicted from its whole text.  ``und`` with score 0 for a null
-    text, one without a letter, or when nothing could be learned.  Repeated rows
-    are predicted alike.  An empty table gives no rows.
+    text, one without a letter, or when nothing could be learned.  Of languages
+    with equal wins the one of the larger summed margin is taken, of equal ones the
+    first by name.  Repeated rows are predicted alike.  An empty table gives no rows.
     """
     docs = only(docs, doc_id="long", text="string", lang="string")
     fold = F.crc32(F.col("doc_id").cast("string")) % modulus == held

@@ -117,7 +117,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     detections to the base ones.  score is the largest weight of a detection, 1
     with a base label, else 0.  Null and empty texts have no words and no labels.
     Repeated rows, and rows without an id, each have the detections of their own
-    text.  An empty table gives no rows.
+    text.  Very long texts are searched whole.  An empty table gives no rows.
     """
     norm = only(docs, doc_id="long", text="string").select("doc_id", _once(normal(F.col("text"))).alias("norm"))
     low = only(docs, doc_id="long", text="string").select("doc_id", "text", _once(F.lower(F.coalesce("text", F.lit("")))).alias("low"))

@@ -52,7 +52,7 @@ def flat_blocks(docs: DataFrame, vocabulary: str, block_bytes: int = 1 << 20) ->
     One file for each task, in the order of its rows.  ``ids`` is the file's table
     of contents, kept beside the flat data and never read by the scan: the doc_ids
     whose separators lie in the block, in order.  Null and empty texts are a
-    separator alone.
+    separator alone; an empty table has no file and no block.
     """
     listed = load_ranks(vocabulary)
     end, width = layout(listed)
@@ -93,7 +93,8 @@ def read_flat_files(spark: SparkSession, path: str, block_bytes: int = 1 << 20,
 
     Files of at most ``whole_bytes`` are read through Hadoop's file system, so from
     any store, and cut into blocks.  Of larger ones byte ranges are dealt out, which
-    needs a path that the executors' Python opens; raises for any other.
+    needs a path that the executors' Python opens; raises for any other.  Empty files
+    have no block, and an empty folder gives no rows.
     """
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())

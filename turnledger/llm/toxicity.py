@@ -254,7 +254,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, held:
     neither is tuned to what it has seen.  Every row is scored by its whole
     text, by the isotonic fit at its margin; null and empty texts have zero
     features.  Without labels every score is that of an empty fit, 0.  Repeated
-    rows get equal scores.  An empty table gives no rows.
+    rows get equal scores.  Very long texts are read whole.  An empty table gives no
+    rows.
     """
     spark = docs.sparkSession
     fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(FOLDS))
