@@ -488,3 +488,9 @@ def test_evidence_in_documents(spark):
     rows = [(1, '{"a": [{"METADATA": {"context": 1}}, [{"doc_only_x": 2}]], "ok": "metadata"}'), (2, None), (3, "5"), (4, '{"gold_evidence": null}')]
     got = checks.forbidden_document_paths(spark.createDataFrame(rows, "id int, j string"), "id", "j").collect()
     assert sorted(tuple(r) for r in got) == [(1, "a.element.METADATA"), (1, "a.element.METADATA.context"), (1, "a.element.element.doc_only_x"), (4, "gold_evidence")]
+
+
+def test_health_findings_need_one_shuffle_and_no_join(spark):
+    rows = spark.createDataFrame([(s, m, 1.0) for s in range(3) for m in governance.HEALTH], "global_step int, metric string, value double")
+    plan = governance.health_findings(rows, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1

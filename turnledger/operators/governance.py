@@ -196,11 +196,13 @@ def health_findings(metrics: DataFrame, trajectories: int) -> DataFrame:
     local weight over zero, the learning rate not under zero and after the first
     step over it, and the trajectories as many as expected.  Other metrics are ignored.
     """
-    need = F.explode(F.array(*(F.lit(m) for m in HEALTH))).alias("metric")
-    rows = metrics.where(F.col("metric").isin(*HEALTH)).groupBy("global_step", "metric").agg(F.count("*").alias("n"), F.max("value").cast("double").alias("x"))
-    rows = metrics.select("global_step").distinct().select("global_step", need).join(rows, ["global_step", "metric"], "left")
+    own = lambda m: F.when(F.col("metric") == m, F.col("value"))
+    cells = [c for i, m in enumerate(HEALTH) for c in (F.count_if(F.col("metric") == m).alias(f"n{i}"), F.max(own(m)).cast("double").alias(f"x{i}"))]
+    steps = metrics.groupBy("global_step").agg(*cells)  # a step is a row, as there are few metrics
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"n{i}").alias("n"), F.col(f"x{i}").alias("x")) for i, m in enumerate(HEALTH)))).alias("c")
+    rows = steps.select("global_step", each).select("global_step", "c.*")
     x, m = F.col("x"), F.col("metric")
-    finding = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "not_scalar").when(x.isNull() | F.isnan("x") | (F.abs("x") == F.lit(math.inf)), "not_finite")
+    finding = F.when(F.col("n") == 0, "missing").when(F.col("n") > 1, "not_scalar").when(x.isNull() | F.isnan("x") | (F.abs("x") == F.lit(math.inf)), "not_finite")
     finding = finding.when(m.isin("actor/grad_norm", "urcr_v4/lambda_effective") & (x <= 0), "not_positive")
     finding = finding.when((m == "actor/lr") & ((x < 0) | (F.col("global_step") > 1) & (x <= 0)), "not_positive")
     finding = finding.when((m == "urcr_v4/original_trajectory_count") & (x.cast("long") != trajectories), "other_count")
