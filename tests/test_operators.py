@@ -494,3 +494,14 @@ def test_health_findings_need_one_shuffle_and_no_join(spark):
     rows = spark.createDataFrame([(s, m, 1.0) for s in range(3) for m in governance.HEALTH], "global_step int, metric string, value double")
     plan = governance.health_findings(rows, 8)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_responsibility_weights_round_as_their_sql(spark, tmp_path):
+    """A share of 785.49997 thousandths, which single precision rounds up."""
+    from turnledger.plans import registry
+
+    values = (30.82, 1.25, 175.04, 8.19, 47.24, 46.28, 14.22, 63.83)
+    spark.createDataFrame([(i, v) for i, v in enumerate(values)], "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    mass = [max(values[0] / 200 - v / 200 - 0.05, 0) ** 2 for v in values[2:]]
+    want = ",".join(str(round(1000 * m / sum(mass))) for m in mass)
+    assert registry.f6_responsibility(spark, str(tmp_path)).first().weights == want == "0,785,0,0,215,0"

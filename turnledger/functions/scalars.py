@@ -124,12 +124,16 @@ def responsibility_strength(full: Column, masked: Column, delta: Column | float,
     return 1 - F.exp(-F.greatest(full - masked - delta, F.lit(0.0)) / scale)
 
 
-def chunk_weights(full: Column, masked: Column, delta: Column | float, power: float = 2.0) -> Column:
-    """Shares of relu(full - masked - delta) ** power, in single precision; all 0 without mass."""
+def chunk_weights(full: Column, masked: Column, delta: Column | float, power: float = 2.0, precision: str = "float") -> Column:
+    """Shares of relu(full - masked - delta) ** power; all 0 without mass.
+
+    Single precision is the published one; ``precision`` may be ``double``.
+    """
     d = F.lit(delta) if isinstance(delta, int | float) else delta
-    mass = F.transform(masked, lambda m: F.pow(F.greatest((full - m).cast("float") - d.cast("float"), F.lit(0.0).cast("float")), F.lit(power)).cast("float"))
-    total = F.aggregate(mass, F.lit(0.0).cast("float"), lambda a, x: (a + x).cast("float"))
-    return F.transform(mass, lambda x: F.coalesce((x / F.nullif(total, F.lit(0.0).cast("float"))).cast("float"), F.lit(0.0).cast("float")))
+    cast, zero = (lambda c: c.cast(precision)), F.lit(0.0).cast(precision)
+    mass = F.transform(masked, lambda m: cast(F.pow(F.greatest(cast(full - m) - cast(d), zero), F.lit(power))))
+    total = F.aggregate(mass, zero, lambda a, x: cast(a + x))
+    return F.transform(mass, lambda x: F.coalesce(cast(x / F.nullif(total, zero)), zero))
 
 
 def route_credit(utility: Column, rho: Column, weights: Column, alpha: Column | float = 1.0) -> Column:

@@ -43,10 +43,10 @@ def action_utilities(turns: DataFrame, utilities: DataFrame, residuals: DataFram
     return rows.select("turn_id", "action_type", F.coalesce(value, F.lit(0.0)).alias("utility"))
 
 
-def responsibilities(rows: DataFrame, delta: Column | float, scale: Column | float, chunk_delta: Column | float) -> DataFrame:
-    """(turn_id, full_score, whole_masked, dependency, rho, weights) from turn_id, full_score, whole_masked and chunk_masked."""
+def responsibilities(rows: DataFrame, delta: Column | float, scale: Column | float, chunk_delta: Column | float, precision: str = "float") -> DataFrame:
+    """(turn_id, full_score, whole_masked, dependency, rho, weights) from turn_id, full_score, whole_masked and chunk_masked; ``precision`` is that of the weights."""
     full, whole = F.col("full_score"), F.col("whole_masked")
-    return rows.select("turn_id", "full_score", "whole_masked", (full - whole).alias("dependency"), scalars.responsibility_strength(full, whole, delta, scale).alias("rho"), scalars.chunk_weights(full, F.col("chunk_masked"), chunk_delta).alias("weights"))
+    return rows.select("turn_id", "full_score", "whole_masked", (full - whole).alias("dependency"), scalars.responsibility_strength(full, whole, delta, scale).alias("rho"), scalars.chunk_weights(full, F.col("chunk_masked"), chunk_delta, precision=precision).alias("weights"))
 
 
 def masked_scores(scored: DataFrame) -> DataFrame:
