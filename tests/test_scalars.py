@@ -94,3 +94,17 @@ def test_barrier_is_the_masked_matrix(spark):
     rows = spark.createDataFrame([("r", [1, 1, 1, 0], [1])], "request_id string, attention_mask array<int>, blocked_key_positions array<int>")
     got = {(r.q, r.k) for r in P.information_barrier(rows).collect()}
     assert got == {(0, 0), (1, 0), (1, 1), (2, 0), (2, 2)}
+
+
+def test_word_overlap_sorts_stretches_of_bounded_size(spark, monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"p": [[1] * n for n in (3, 0, 9, 2, 2)], "t": [[2], [], [3], None, [4, 4]]})
+    parts = list(S._by_words([batch, batch.slice(0, 0)], ("p", "t"), 5))
+    assert [b.num_rows for b in parts] == [2, 1, 1, 1] and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    rows = [(i, "x y " * (i % 7), "y z y" if i % 3 else "") for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, p string, t string")
+    whole = S.fbeta_scores(df, "k", "p", "t").sort("k").collect()
+    monkeypatch.setattr(S, "FBETA_WORDS", 10)
+    assert S.fbeta_scores(df, "k", "p", "t").sort("k").collect() == whole and whole[2].overlap == 2
+

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,18 +37,34 @@ def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+#: Words of both sides that a task sorts at once, unless one pair has more.
+FBETA_WORDS = 1 << 18
+
+
+def _by_words(batches: Iterable[pa.RecordBatch], columns: tuple[str, ...], most: int) -> Iterator[pa.RecordBatch]:
+    """Stretches of the batches' rows with at most ``most`` list entries, or of one row."""
+    for batch in batches:
+        size = sum(pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+        end, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            n = max(1, int(np.searchsorted(end, end[at] - size[at] + most, "right")) - at)
+            yield batch.slice(at, n)
+            at += n
+
+
 def fbeta_scores(pairs: DataFrame, key: str, prediction: str, target: str, beta: float = 0.5) -> DataFrame:
     """(key, overlap, n_prediction, n_target, fbeta) of two text columns, by counts of each word; key names a pair.
 
     The overlap is that of multisets: a word counts as often as on the side with
     fewer.  Both sides are split and hashed in the JVM; each pair is a row, and its
-    hashes are sorted and merged within a batch, so no word is ever shuffled.
+    hashes are sorted and merged within a stretch of a batch of bounded size, so no
+    word is ever shuffled.
     """
     hashed = lambda c: F.transform(answer_words(F.col(c)), lambda w: F.xxhash64(w))
     kind = pairs.schema[key].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in _by_words(batches, ("p", "t"), FBETA_WORDS):
             row, side, word = [], [], []
             for i, c in enumerate(("p", "t")):
                 size = pc.list_value_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64)
