@@ -185,7 +185,9 @@ def request_slices(requests: DataFrame, size: int, order: str = "request_id") ->
 
 def packing_cost(requests: DataFrame, packed: DataFrame) -> DataFrame:
     """item and batch counts, true, padded and padding tokens and the padding's share; raises if a request has no batch."""
-    checks.require_none(requests.join(packed, ["queue", "comparison_group_id"], "left_anti").select("request_id"), "a request without a batch")
+    packed = written(packed.select("queue", "comparison_group_id", "batch_id", "padded_tokens"))
+    groups = requests.groupBy("queue", "comparison_group_id").agg(F.min("request_id").alias("request_id"))
+    checks.require_none(groups.join(packed, ["queue", "comparison_group_id"], "left_anti").select("request_id"), "a request without a batch")
     true = requests.agg(F.count("*").alias("item_count"), F.coalesce(F.sum("length"), F.lit(0)).alias("true_token_count"))
     padded = packed.select("queue", "batch_id", "padded_tokens").distinct().agg(F.count("*").alias("forward_microbatch_count"), F.coalesce(F.sum("padded_tokens"), F.lit(0)).alias("padded_token_count"))
     both = true.join(F.broadcast(padded))  # one row each
