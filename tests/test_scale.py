@@ -137,3 +137,23 @@ def test_barrier_runs_answer_for_every_cell(spark):
         want = {(q, k) for q in range(len(mask)) for k in range(q + 1) if mask[q] and mask[k] and (q == k or q in blocked or k not in blocked)}
         assert pairs[x.request_id] == want and (x.s.pairs, x.s.q, x.s.k) == (len(want), sum(q for q, _ in want), sum(k for _, k in want))
         assert len(x.runs) <= 2 * len(blocked) + mask.count(0) + 1
+
+
+def test_links_are_doubled_only_where_a_block_is_entered(spark, monkeypatch):
+    """Beyond the first table of jumps, with all positions, few are left; a19's packing is read, not made again."""
+    tables = []
+
+    def written(df, keep=requests.written):
+        out = keep(df)
+        tables.append((set(out.columns), out.count()))
+        return out
+
+    rng = random.Random(5)
+    rows = [("q", f"r{i}-{j}", f"{i:05d}", rng.randint(1, 50)) for i in range(5000) for j in range(rng.randint(1, 7))]
+    df = spark.createDataFrame(rows, "queue string, request_id string, comparison_group_id string, length long")
+    monkeypatch.setattr(requests, "written", written)
+    packed = requests.pack(df, 1000, 32, 4)
+    jumps = [n for c, n in tables if "leaves" in c]
+    assert jumps[0] == 5000 and len(jumps) > 2 and max(jumps[1:]) < 500
+    assert requests.packing_cost(df, packed).first().item_count == len(rows) and "padded_tokens" in tables[-1][0]
+

@@ -100,8 +100,13 @@ def scored(requests: DataFrame, scores: DataFrame, check: bool = True) -> DataFr
 
 def length_buckets(requests: DataFrame) -> DataFrame:
     """(queue, comparison_group_id, width, n, tokens, position): complete groups, longest first, then by id."""
+    return _buckets(requests).drop("before")
+
+
+def _buckets(requests: DataFrame) -> DataFrame:
+    """The groups of length_buckets with the number of requests before each, from the same scan."""
     groups = requests.groupBy("queue", "comparison_group_id").agg(F.max("length").alias("width"), F.count("*").alias("n"), F.sum("length").alias("tokens"))
-    return ordinals.numbered(groups, ["queue"], [F.desc("width"), F.asc("comparison_group_id")])
+    return ordinals.running(groups.withColumn("__one", F.lit(1)), ["queue"], [F.desc("width"), F.asc("comparison_group_id")], {"position": "__one", "before": "n"}).drop("__one")
 
 
 #: Positions of a block, within which starts of batches are followed in one step.
@@ -111,13 +116,12 @@ BLOCK = 1024
 def _exits(table: pa.Table) -> pa.Table:
     """For each position of a block the first start of a batch beyond it, if a batch starts there."""
     table = table.sort_by("position")
-    position, follow = table.column("position").to_numpy(), table.column("follow").to_numpy()
-    first, n = int(position[0]), len(position)
-    leaves = follow.copy()
+    position, leaves = table.column("position"), table.column("follow").to_pylist()
+    first, n = position[0].as_py(), len(position)
     for i in range(n - 1, -1, -1):
-        if follow[i] - first < n:
-            leaves[i] = leaves[follow[i] - first]
-    return pa.table({"queue": table.column("queue"), "position": position, "leaves": leaves})
+        if leaves[i] - first < n:
+            leaves[i] = leaves[leaves[i] - first]
+    return pa.table({"queue": table.column("queue"), "position": position, "leaves": pa.array(leaves, pa.int64())})
 
 
 def _walk(table: pa.Table) -> pa.Table:
@@ -141,15 +145,16 @@ def pack(requests: DataFrame, token_budget: int, max_items: int | None = None, d
     The widest group of a batch is its first, so where the next batch begins follows
     from the running number of requests, by a search among these.  Which groups
     begin a batch then is a walk along these links from the first group: links are
-    followed within blocks of positions, and from block to block by doubling.  A
-    queue may have any length.
+    followed within blocks of positions, and from block to block by doubling, for
+    which only the positions matter at which a block can be entered.  A queue may
+    have any length.
     """
-    groups = length_buckets(requests)
+    groups = _buckets(requests)
     limit = F.floor(F.lit(token_budget) / F.col("width") / divisor) * divisor
     limit = limit if max_items is None else F.least(limit, F.lit(max_items))
     groups = written(groups.withColumn("limit", F.when(F.col("width") > 0, limit).otherwise(F.lit(max_items if max_items is not None else 2**62)).cast("long")))
     checks.require_none(groups.where(F.col("n") > F.col("limit")).select("comparison_group_id"), "a group that fits no batch")
-    rows = ordinals.running(groups, ["queue"], ["position"], {"before": "n"})
+    rows = groups
     ends = rows.select("queue", (F.col("before") + F.col("n")).alias("value"), F.lit(1).alias("group"), *(F.lit(None).cast("long").alias(c) for c in ("position", "before", "width")))
     asked = rows.select("queue", (F.col("before") + F.col("limit")).alias("value"), F.lit(0).alias("group"), F.col("position").cast("long"), F.col("before").cast("long"), F.col("width").cast("long"))
     links = ordinals.running(ends.unionByName(asked), ["queue"], [F.col("value"), F.desc("group")], {"follow": "group"}).where("group = 0")
@@ -157,6 +162,8 @@ def pack(requests: DataFrame, token_budget: int, max_items: int | None = None, d
     kind = links.schema["queue"].dataType.simpleString()
     jumps = written(links.select("queue", "block", "position", "follow").groupBy("queue", "block").applyInArrow(_exits, f"queue {kind}, position long, leaves long"))
     blocks = int(links.agg(F.max("block")).first()[0] or 0) + 1
+    doors = jumps.select("queue", F.col("leaves").alias("position")).distinct()
+    jumps = written(jumps.where("position = 0").unionByName(jumps.where("position > 0").join(doors, ["queue", "position"], "left_semi")))
     entered, levels = links.where("position = 0").select("queue", "position"), [jumps]
     for _ in range(max(0, (blocks - 1).bit_length() - 1)):
         far = jumps.select("queue", F.col("position").alias("leaves"), F.col("leaves").alias("far"))
