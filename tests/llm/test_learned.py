@@ -226,3 +226,29 @@ def test_language_features_and_duels_against_plain_python():
         best = max(range(3), key=lambda k: (wins[k], margin[k]))
         least = min(s if best == a else -s for (a, b), s in score.items() if best in (a, b))
         assert duels.choose(row) == ("abc"[best], pytest.approx(1 / (1 + np.exp(-4 * least))))
+
+
+def test_ranker_learns_from_every_labelled_row(spark, tmp_path):
+    """No label is left out, and the fit over partitions is that of the arrays."""
+    from turnledger.llm.common import Scratch
+
+    r = np.random.default_rng(11)
+    n = 13_000
+    x = r.normal(size=(n, len(quality_classifier.NAMES)))
+    y = (x[:, 0] + 0.5 * x[:, 1] + r.normal(size=n) > -0.5).astype(int)
+    rows = spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(n)], "doc_id long, y int, x array<double>")
+    scratch = Scratch(spark, "ranker")
+    m = quality_classifier.PairwiseRanker.fit(rows, scratch)
+    z = quality_classifier.expand(x)
+    assert m.share == np.mean(y == 0) and m.mean == pytest.approx(z.mean(0)) and m.scale == pytest.approx(z.std(0) + 1e-6)
+    pairs = spark.read.parquet(scratch.paths["pairs"])
+    assert pairs.select("a").distinct().count() == y.sum() and pairs.select("b").distinct().count() == n - y.sum() and pairs.count() == pairs.distinct().count() == 60_000
+    z = np.clip((z - m.mean) / m.scale, -8, 8)
+    raw, near = z @ m.weights, 0.05 * min(m.share, 1 - m.share)
+    assert m.threshold == pytest.approx(np.quantile(raw, [m.share - near, m.share + near]).mean())
+    assert m.spread == pytest.approx(np.quantile(np.abs(raw - m.threshold), 0.5) / 3)
+    diff = np.array([p.a for p in pairs.collect()]), np.array([p.b for p in pairs.collect()])
+    diff = np.subtract(*(np.clip((quality_classifier.expand(d) - m.mean) / m.scale, -8, 8) for d in diff))
+    slope, _, k = quality_classifier.loss_sums(diff, m.weights)
+    assert np.abs(slope / k + 1e-3 * m.weights).max() < 1e-5
+

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnledger.llm.common import only
+from turnledger.llm.common import BROADCAST_IDS, only
 from turnledger.llm.words import byte_table, hash_words, mix, slices
 
 _SPACE = byte_table("space")
@@ -57,13 +57,15 @@ def dense(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, bound: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``bound`` labelled rows outside the held-out fold.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, bound: int | None) -> DataFrame:
+    """(doc_id, text, y) of the labelled rows outside the held-out fold, at most ``bound`` of them if one is given.
 
-    Rows are chosen by a hash of doc_id, so the choice is the same in each run;
-    only their ids, at most ``bound``, are broadcast.  Null labels are left out.
+    Rows are chosen by a hash of doc_id, so the choice is the same in each run.
+    Ids are broadcast where a bound or a count keeps them few.  Null labels are left out.
     """
     rows = only(labels, doc_id="long", **{label: "int"}).where(F.col(label).isNotNull()).withColumnRenamed(label, "y")
     rows = rows.where(F.crc32(F.col("doc_id").cast("string")) % modulus != held).groupBy("doc_id").agg(F.max("y").alias("y"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return only(docs, doc_id="long", text="string").join(F.broadcast(rows), "doc_id")
+    if bound is not None:
+        rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    few = bound is not None or rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return only(docs, doc_id="long", text="string").join(F.broadcast(rows) if few else rows, "doc_id")
