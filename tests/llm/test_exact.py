@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -535,3 +536,39 @@ def test_fuzzy_recall_against_brute_force(spark, percent):
         rows += [(2 * i, " ".join(fresh(20) + p + fresh(20))), (2 * i + 1, " ".join(fresh(15) + [w if m[j] else f"z{next(own)}" for j, w in enumerate(p)] + fresh(15)))]
     got = set(covered_words(spark, rows))
     assert got <= truth and len(got) >= 0.95 * len(truth), (len(got), len(truth))
+
+
+def test_frequent_pairs_of_seeds_are_matched_in_all_surroundings(spark):
+    """Every short run of a passage stands in many earlier documents, first among other words; its source is found all the same."""
+    r = random.Random(11)
+    new = iter(f"u{i}" for i in range(1_000_000))
+    passage = [f"p{i}" for i in range(80)]
+    rows = []
+    for i in range(20):  # pieces of 12 words among words of their own
+        text = []
+        for at in r.sample(range(0, 69), 69):
+            text += passage[at : at + 12] + [next(new) for _ in range(20)]
+        rows.append((i, " ".join(text)))
+    rows.append((100, " ".join(["a", *passage, "b"])))
+    for i in range(3):
+        rows.append((200 + i, " ".join(next(new) if j % 5 == i else w for j, w in enumerate(passage))))
+    got = {x.doc_id: x for x in substring_dedup.repeated_passages(frame(spark, rows)).collect() if x.doc_id >= 200}
+    assert {i: x.src_doc_id for i, x in got.items()} == dict.fromkeys((200, 201, 202), 100)
+    assert all(x.n_words >= 76 for x in got.values())
+
+
+def test_covering_sources_have_all_words_that_any_has():
+    r = np.random.default_rng(4)
+    base = r.integers(0, 2**63, 1, np.uint64)
+    near = base ^ np.bitwise_or.reduce([(r.random(120) < 0.15).astype(np.uint64) << np.uint64(2 * j) for j in range(32)])
+    doc = np.sort(r.integers(0, 50, 120))
+    for cells in (1, 500, 1 << 18):
+        t, s = substring_dedup.covering(near, doc, np.zeros(120, np.int64), np.arange(120), np.zeros(120, np.uint32), 4, cells)
+        assert len(set(zip(t.tolist(), s.tolist()))) == len(t)
+        for i in range(120):
+            same = substring_dedup.agreement(near[i], near[doc < doc[i]])
+            same = same[substring_dedup.alike(same, 4)]
+            mine = substring_dedup.agreement(near[i], near[s[t == i]])
+            assert (doc[s[t == i]] < doc[i]).all() and substring_dedup.alike(mine, 4).all()
+            assert np.bitwise_or.reduce(mine, initial=np.uint32(0)) == np.bitwise_or.reduce(same, initial=np.uint32(0))
+            assert not len(same) or len(mine) and np.bitwise_count(mine).max() == np.bitwise_count(same).max()
