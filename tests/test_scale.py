@@ -157,3 +157,18 @@ def test_links_are_doubled_only_where_a_block_is_entered(spark, monkeypatch):
     assert jumps[0] == 5000 and len(jumps) > 2 and max(jumps[1:]) < 500
     assert requests.packing_cost(df, packed).first().item_count == len(rows) and "padded_tokens" in tables[-1][0]
 
+
+
+def test_places_of_a_tier_are_written_once(spark, monkeypatch):
+    """Index and anchors are ranked in one shuffle, which two writes made twice."""
+    tables = []
+
+    def written(df, keep=controls.written):
+        tables.append(set(df.columns))
+        return keep(df)
+
+    monkeypatch.setattr(controls, "written", written)
+    r = random.Random(5)
+    df = spark.createDataFrame([candidate(r, i) for i in range(20)], schema.CANDIDATE)
+    placed = controls._placed(controls.control_index(df), df.select("global_step", F.lit(0).cast("long").alias("point"), F.col("observation_id").alias("anchor_id")), ["global_step"])
+    assert {x.total for x in placed[1].collect()} and placed[0].count() and sum("is_index" in x for x in tables) == 1

@@ -109,7 +109,7 @@ def control_index(pool: DataFrame) -> DataFrame:
     Equal observations of any number are one row: its smallest id, and the smallest
     of another question, for anchors of the first one's question.
     """
-    rows = pool.where(F.col("valid") & (F.trim("serialized_observation") != "")).select("global_step", "document_count", "data_source", "call_bucket", "token_length", "question_id", "observation_id", fingerprint().alias("fingerprint"), F.sha2("serialized_observation", 256).alias("text"))
+    rows = pool.where(F.col("valid") & (F.trim("serialized_observation") != "")).select("global_step", "document_count", "data_source", "call_bucket", "token_length", "question_id", "observation_id", fingerprint().alias("fingerprint"), F.unhex(F.sha2("serialized_observation", 256)).alias("text"))
     key = ["global_step", "document_count", "data_source", "call_bucket", "token_length", "fingerprint", "text"]
     asked = rows.groupBy(*key, "question_id").agg(F.min("observation_id").alias("id"))
     first = asked.groupBy(*key).agg(F.min(F.struct("id", "question_id")).alias("first"))
@@ -121,6 +121,7 @@ def _placed(index: DataFrame, wanted: DataFrame, key: list[str]) -> tuple[DataFr
     """(index with its position on the circle of its key, wanted with how many come before its point and how many there are).
 
     Arcs of the circle are ranked apart and their counts added up, so no key meets in one task.
+    Both are ranked in one shuffle and written once.
     """
     both = index.select(*key, "point", F.lit(1).alias("is_index"), F.struct("*").alias("row"), F.lit(None).cast(wanted.select(F.struct("*").alias("x")).schema["x"].dataType).alias("ask"))
     both = both.unionByName(wanted.select(*key, "point", F.lit(0).alias("is_index"), F.lit(None).cast(both.schema["row"].dataType).alias("row"), F.struct("*").alias("ask"))).withColumn("arc", F.floor(F.col("point") / (CIRCLE // ARCS)))
@@ -129,8 +130,8 @@ def _placed(index: DataFrame, wanted: DataFrame, key: list[str]) -> tuple[DataFr
     arcs = arcs.withColumn("base", F.sum("n").over(before.orderBy("arc")) - F.col("n")).withColumn("total", F.sum("n").over(before)).drop("n")
     order = Window.partitionBy(*key, "arc").orderBy("point", "is_index", "row.fingerprint", "row.token_length", "row.text", "row.data_source", "row.call_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = both.withColumn("rank", F.sum("is_index").over(order) - F.col("is_index")).join(arcs, [*key, "arc"])
-    place = (F.col("base") + F.col("rank")).alias("place")
-    return placed.where("is_index = 1").select("row.*", place), placed.where("is_index = 0").select("ask.*", place, "total")
+    placed = written(placed.select("is_index", "row", "ask", (F.col("base") + F.col("rank")).alias("place"), "total").where("is_index = 1 or total > 0"))
+    return placed.where("is_index = 1").select("row.*", "place"), placed.where("is_index = 0").select("ask.*", "place", "total")
 
 
 def next_controls(anchors: DataFrame, pool: DataFrame, count: int = CONTROL_COUNT, window: int = 8) -> DataFrame:
@@ -147,7 +148,7 @@ def next_controls(anchors: DataFrame, pool: DataFrame, count: int = CONTROL_COUN
     at = ["global_step", "document_count"]
     index = written(control_index(pool))
     asks = anchors.select(
-        *at, F.col("observation_id").alias("anchor_id"), F.col("question_id").alias("a_question"), "data_source", "call_bucket", F.col("token_length").alias("a_length"), fingerprint().alias("a_fingerprint"), F.sha2("serialized_observation", 256).alias("a_text"),
+        *at, F.col("observation_id").alias("anchor_id"), F.col("question_id").alias("a_question"), "data_source", "call_bucket", F.col("token_length").alias("a_length"), fingerprint().alias("a_fingerprint"), F.unhex(F.sha2("serialized_observation", 256)).alias("a_text"),
         point(F.lit(REVISION), F.lit("anchor"), F.col("observation_id")).alias("point"), F.array().cast("array<string>").alias("taken"),
     ).withColumnsRenamed({"data_source": "a_source", "call_bucket": "a_bucket"})
     asks, chosen = written(asks), None
@@ -158,7 +159,6 @@ def next_controls(anchors: DataFrame, pool: DataFrame, count: int = CONTROL_COUN
             edge = lambda share, slack: F.floor(F.log(F.greatest(F.col("a_length") * share, F.lit(1e-9))) / F.log(F.lit(BAND)) + slack).cast("int")
             rows = rows.where("a_length > 0").withColumn("band", F.explode(F.sequence(edge(0.75, -1e-9), edge(1.25, 1e-9))))
         placed, open_ = _placed(index, rows, [*at, *own])
-        placed, open_ = written(placed), written(open_.where("total > 0"))
         size = window
         while True:
             steps = F.least(F.col("total"), F.lit(size)).cast("int")
