@@ -129,11 +129,17 @@ def count_ngrams(docs: DataFrame, held: int = 1 << 19) -> DataFrame:
         names: dict[str, int] = {}
 
         def summed():
-            h, lang, n, c = (np.concatenate([p[i] for p in parts]) for i in range(4))  # n: a column a fold
+            columns = [list(x) for x in zip(*parts, strict=True)]  # hash, language, numbers, characters
+            parts.clear()
+            whole = lambda: np.concatenate(columns.pop())  # noqa: E731  one column at a time, so that no second copy of all is held
+            h = np.concatenate(columns[0])
             order = np.argsort(h)
             start = np.flatnonzero(np.r_[True, np.diff(h[order].view(np.int64)) != 0])
             first = order[start]
-            parts[:] = [(h[first], lang[first], np.add.reduceat(n[order], start, axis=0), c[first])]
+            h = h[first]
+            c, n = whole()[first], whole()  # n: a column a fold
+            n = np.stack([np.add.reduceat(n[order, k], start) for k in (0, 1)], 1)
+            parts.append((h, whole()[first], n, c))
 
         def batches_of():
             _, lang, n, c = parts[0]
@@ -166,6 +172,8 @@ def count_ngrams(docs: DataFrame, held: int = 1 << 19) -> DataFrame:
         if parts:
             summed()
             yield from batches_of()
+            parts.clear()
+        pa.default_memory_pool().release_unused()
 
     return docs.select("text", "lang", "fold").mapInArrow(run, "lang string, gram string, n0 long, n1 long").groupBy("lang", "gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
@@ -488,6 +496,10 @@ def quality_rules(docs: DataFrame, under: float = 5.0, over: float = 3.0, floor:
     langs = sorted(r[0] for r in frequent.join(both, "of").select("of").collect())
     free_shuffles(docs.sparkSession)
     best = scratch.write(_mixed(scratch, keep_ids(docs, above, key="h"), shards, langs, window, share), "best")
+    for shared in shards:  # all that was made with them is written
+        shared.destroy()
+    shards.clear()
+    free_shuffles(docs.sparkSession)
     judged = judged.join(best.withColumnRenamed("best", "best_ppl"), "h", "left")
     kept = ~F.col("base_failed") & F.coalesce((F.col("log_ppl") >= F.col("low")) & (F.coalesce("best_ppl", "log_ppl") <= F.col("high")), F.lit(True))
     return judged.select("doc_id", *_COUNTS, "base_failed", kept.alias("kept"), "log_ppl", "best_ppl")
