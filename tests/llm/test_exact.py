@@ -13,6 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnledger.llm import decontaminate, jaccard_join, licenses, quality_rules, substring_dedup, token_counts
+from turnledger.llm.common import Scratch
+from turnledger.llm.components import connected_components
 from turnledger.llm.queries import VOCABULARY
 
 W5, W2 = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -572,3 +574,23 @@ def test_covering_sources_have_all_words_that_any_has():
             assert (doc[s[t == i]] < doc[i]).all() and substring_dedup.alike(mine, 4).all()
             assert np.bitwise_or.reduce(mine, initial=np.uint32(0)) == np.bitwise_or.reduce(same, initial=np.uint32(0))
             assert not len(same) or len(mine) and np.bitwise_count(mine).max() == np.bitwise_count(same).max()
+
+
+def test_components_take_one_join_and_no_broadcast_a_plan(spark):
+    plans = []
+
+    class Watched(Scratch):
+        def write(self, df, name):
+            plans.append(df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")))
+            return super().write(df, name)
+
+    rng = random.Random(5)
+    edges = [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(200 + i, 201 + i) for i in range(30)] + [(300, 301 + i) for i in range(40)]
+    got = {r.node: r.component for r in connected_components(spark, spark.createDataFrame(edges, "a long, b long"), Watched(spark, "watched")).collect()}
+    least = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert got == least
+    assert max(p.count("Join") for p in plans) == 1 and not any("Broadcast" in p for p in plans) and max(p.count("Exchange") for p in plans) <= 4
