@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from turnledger.llm import decontaminate, jaccard_join, language_id, licenses, mixing, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
+from turnledger.llm.common import free_shuffles
 from turnledger.llm.queries import VOCABULARY
 
 CLASH = ("hub", "key", "seed", "n", "norm", "items", "rep", "y", "x", "fold", "n_words", "row", "spans", "words", "id", "h", "p", "rate", "mix_copies", "mix_rate", "mix_domain", "kept", "n_tokens", "slice", "kind", "domain", "component_id", "best", "total", "score", "__spans")
@@ -116,3 +118,13 @@ def test_many_benchmark_blocks_share_no_task(spark):
     found = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), items, block_chars=1)
     assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 3
     assert {r.doc_id: r.items for r in found.collect()} == {i: [i] if i < 7 else [] for i in range(10)}
+
+
+def test_freed_native_memory_goes_back(spark):
+    status = f"/proc/{spark._jvm.java.lang.ProcessHandle.current().pid()}/status"
+    held = lambda: int(re.search(r"VmRSS:\s+(\d+)", open(status).read())[1]) >> 10
+    free_shuffles(spark)
+    buffers = [spark._jvm.java.nio.ByteBuffer.allocateDirect(1 << 16) for _ in range(4_000)]
+    full, buffers = held(), buffers[::50]  # some stay among the freed ones
+    free_shuffles(spark)
+    assert full - held() > 150 and len(buffers) == 80
