@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -594,3 +595,49 @@ def test_components_take_one_join_and_no_broadcast_a_plan(spark):
                 least[a] = least[b] = min(least[a], least[b])
     assert got == least
     assert max(p.count("Join") for p in plans) == 1 and not any("Broadcast" in p for p in plans) and max(p.count("Exchange") for p in plans) <= 4
+
+
+def test_likely_words_against_a_loop_over_the_words_around(spark):
+    def loop(x, same, k):
+        out = np.zeros(int(x.max()) + k + 17, bool)
+        for j in range(k):
+            out[x + j] = True
+        for shift, step in ((0, 1), (16, -1)):
+            side = same >> np.uint32(shift) & np.uint32(0xFFFF)
+            side = np.where(np.bitwise_count(side) >= 10, side, side & ~(side + np.uint32(1)))
+            for j in range(16):
+                at = x[(side >> np.uint32(j) & np.uint32(1)) == 1]
+                at = at + (k + j if step > 0 else -1 - j)
+                out[at[at >= 0]] = True
+        return out
+
+    def seconds(f, rows):
+        began = time.process_time()
+        for x, same in rows:
+            f(x, same, 4)
+        return time.process_time() - began
+
+    rng = np.random.default_rng(3)
+    rows = [(rng.integers(0, 400, n).astype(np.int32), rng.integers(0, 1 << 32, n, np.uint32) | rng.integers(0, 1 << 32, n, np.uint32)) for n in [1, 2, 40_000] + [80] * 200]
+    assert all(np.array_equal(substring_dedup.likely(x, same, 4), loop(x, same, 4)) for x, same in rows)
+    assert min(seconds(substring_dedup.likely, rows[3:]) for _ in range(5)) < 0.6 * min(seconds(loop, rows[3:]) for _ in range(5))
+
+
+def test_covering_counts_words_alike_as_agreement_does(spark):
+    rng = np.random.default_rng(4)
+    n, k = 300, 4
+    near = rng.integers(0, 1 << 63, n, np.uint64)
+    near = np.where(rng.random(n) < 0.7, near[rng.integers(0, 9, n)] ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)), near)
+    doc, start = np.arange(n) // 2, np.where(np.arange(n) < 200, 0, 200)
+    had = np.where(rng.random(n) < 0.5, rng.integers(0, 1 << 32, n), 0).astype(np.uint32)
+    want = []
+    for t in range(n):
+        left, sources = ~had[t], [s for s in range(start[t], n) if start[s] == start[t] and doc[s] < doc[t]]
+        same = substring_dedup.agreement(near[[t] * len(sources)], near[sources])
+        found = [(s, x) for s, x, ok in zip(sources, same, substring_dedup.alike(same, k), strict=True) if ok]
+        while found and (best := max(found, key=lambda y: (int(np.bitwise_count(y[1] & left)), -y[0]))) and best[1] & left:
+            want.append((t, best[0]))
+            left &= ~best[1]
+    for cells in (1, 1000, 1 << 16):
+        t, s = substring_dedup.covering(near, doc, start, np.arange(n), had, k, cells)
+        assert sorted(zip(t.tolist(), s.tolist(), strict=True)) == sorted(want) and len(want) > 200
