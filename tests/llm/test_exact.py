@@ -641,3 +641,36 @@ def test_covering_counts_words_alike_as_agreement_does(spark):
     for cells in (1, 1000, 1 << 16):
         t, s = substring_dedup.covering(near, doc, start, np.arange(n), had, k, cells)
         assert sorted(zip(t.tolist(), s.tolist(), strict=True)) == sorted(want) and len(want) > 200
+
+
+def test_an_ngram_of_a_slice_is_looked_up_once(spark, monkeypatch, tmp_path):
+    rows = [(i, t, "en") for i, t in enumerate(["the cat sat on the mat. " * 40, "a dog sat on the cat"])]
+    scratch = quality_rules.Scratch(spark, "test")
+    table, count = quality_rules.sharded(scratch, quality_rules.train(scratch, spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    shard = next(iter(quality_rules._shards(spark, table, count))).value
+    text = "the mat sat on a zebra, the dog! " * 300
+    c, begin = quality_rules.characters(np.frombuffer(text.encode(), np.uint8), np.array([0, 40, len(text)]))
+    at, _ = quality_rules.positions(begin)
+    starts = [quality_rules.seed(x) for x in ("en", "xx")]
+    alone = [np.concatenate([shard.score(c, at[i : i + 1], s) for i in range(200)]) for s in starts]
+    asked, find = [], quality_rules.Shard.find
+    monkeypatch.setattr(quality_rules.Shard, "find", lambda self, kind, h: asked.append(len(h)) or find(self, kind, h))
+    got = list(shard.scores(c, at, starts))
+    assert max(asked) == len({c[i - 4 : i + 1].tobytes() for i in at}) and sum(asked) < len(at) / 5
+    assert all(np.array_equal(x[:200], y) for x, y in zip(got, alone, strict=True))
+
+
+def test_equal_hashes_stand_together():
+    rng = np.random.default_rng(5)
+    close = np.uint64(7 << 40) + rng.integers(0, 3, 999).astype(np.uint64)  # all bits but the lowest are alike
+    for h in (rng.integers(0, 50, 999).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), close, close[:1], close[:0]):
+        order, start = quality_rules.repeats(h)
+        assert sorted(order.tolist()) == list(range(len(h))) and h[order[start]].tolist() == list(dict.fromkeys(h[order].tolist())) and len(start) == len(set(h.tolist()))
+        assert all((np.diff(x) > 0).all() for x in np.split(order, start[1:]))
+
+
+def test_repeated_words_are_counted_by_text():
+    texts = ["a b c", "a b c", "", "a b c d a b c", "x x x x", "x x", "d a b c\nq\nq\n\nq", "a b c a b", "e f"]
+    data, bounds = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    got = quality_rules.base_counts(data, bounds, *quality_rules.hash_words(data, bounds, quality_rules._EXACT))
+    assert got["n_repeat_words"].tolist() == [0, 0, 0, 6, 4, 0, 0, 0, 0] and got["n_dup_lines"].tolist() == [0, 0, 0, 0, 0, 0, 2, 0, 0]

@@ -34,6 +34,7 @@ _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _M = np.uint64(0xD1342543DE82EF95)
 _GAP = np.isin(np.arange(129), [0, *range(9, 14), 32])
 _MARK = np.array([c < 128 and not chr(c).isalnum() for c in range(129)])
+_KIND = _GAP + 2 * _MARK.astype(np.uint8)
 
 
 def named(lang: str | None) -> str:
@@ -53,10 +54,11 @@ def characters(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     """(code points, where each text begins and the end): runs of white space are one space, runs of one ASCII mark one mark, and ORDER - 1 spaces stand before each text."""
     cp = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     at = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][bounds] if len(data) else np.zeros(len(bounds), np.int64)
-    cp = np.where(_GAP[np.minimum(cp, 128)], np.uint32(32), cp)
+    kind = _KIND[np.minimum(cp, 128)]
+    cp = np.where((kind & 1).view(bool), np.uint32(32), cp)
     head = np.zeros(len(cp) + 1, bool)
     head[at] = True
-    mark = _MARK[np.minimum(cp, 128)]
+    mark = kind > 1  # a space is a mark
     keep = ~mark | np.r_[True, cp[1:] != cp[:-1]][: len(cp)] | head[:-1]
     n = np.r_[0, np.cumsum(keep)][at]
     out = np.full(int(n[-1]) + (ORDER - 1) * (len(bounds) - 1), 32, np.uint32)
@@ -88,32 +90,32 @@ class Suffixes:
         return mix(self.sums[order][which])
 
 
-def distinct_grams(c: np.ndarray, at: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code points of each different n-gram that ends at one of the places, their numbers, those of fold 1).
+def gram_sums(c: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``Suffixes(c, at, 0, ORDER).sums[ORDER]``, with the products made once a character."""
+    x = c.astype(np.uint64) + np.uint64(1)
+    sums = x[ORDER - 1 :] * _R[0]
+    for o in range(1, ORDER):
+        sums += x[ORDER - 1 - o : len(x) - o] * _R[o]
+    return sums[at - (ORDER - 1)]
 
-    Characters are numbered, and n-grams packed into 64 bits, the last of them the
-    fold, where that suffices.
+
+def repeats(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order in which equal hashes stand together, as they stood, where each different one begins in it).
+
+    Sorts values, the place in the low bits, as that is several times faster than an
+    argsort; where two hashes have all other bits alike it sorts the whole ones.
     """
-    known = np.flatnonzero(np.bincount(c))
-    bits = max(1, int(len(known) - 1).bit_length())
-    if bits * ORDER > 63:
-        _, first, which = np.unique(Suffixes(c, at, np.uint64(0), ORDER).hashes(ORDER), return_index=True, return_inverse=True)
-        return np.stack([c[at[first] - ORDER + 1 + j] for j in range(ORDER)], 1), np.bincount(which, minlength=len(first)), np.bincount(which[fold == 1], minlength=len(first))
-    number = np.zeros(int(known[-1]) + 1, np.uint64)
-    number[known] = np.arange(len(known), dtype=np.uint64)
-    number = number[c]
-    key = number[at]
-    for j in range(1, ORDER):
-        key = key | number[at - j] << np.uint64(bits * j)
-    key = key << np.uint64(1) | fold.astype(np.uint64)
-    key.sort()
-    gram = key >> np.uint64(1)
-    start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-    ones = np.r_[0, np.cumsum((key & np.uint64(1)).astype(np.int64))]
-    end = np.r_[start[1:], len(key)]
-    gram = gram[start]
-    mask = np.uint64((1 << bits) - 1)
-    return np.stack([known[(gram >> np.uint64(bits * (ORDER - 1 - j)) & mask).astype(np.int64)] for j in range(ORDER)], 1).astype(np.uint32), end - start, ones[end] - ones[start]
+    bits = np.uint64(len(h).bit_length())
+    order = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
+    order.sort()
+    order = (order & np.uint64((1 << int(bits)) - 1)).view(np.int64)
+    g = h[order]
+    new = g[1:] != g[:-1]
+    if (new & (g[1:] >> bits == g[:-1] >> bits)).any():
+        order = np.argsort(h, kind="stable")
+        g = h[order]
+        new = g[1:] != g[:-1]
+    return order, np.flatnonzero(np.r_[True, new][: len(h)])
 
 
 def shard_of(before: np.ndarray, last: np.ndarray, shards: int) -> np.ndarray:
@@ -133,8 +135,7 @@ def count_ngrams(docs: DataFrame, held: int = 1 << 19) -> DataFrame:
             parts.clear()
             whole = lambda: np.concatenate(columns.pop())  # noqa: E731  one column at a time, so that no second copy of all is held
             h = np.concatenate(columns[0])
-            order = np.argsort(h)
-            start = np.flatnonzero(np.r_[True, np.diff(h[order].view(np.int64)) != 0])
+            order, start = repeats(h)
             first = order[start]
             h = h[first]
             c, n = whole()[first], whole()  # n: a column a fold
@@ -153,14 +154,14 @@ def count_ngrams(docs: DataFrame, held: int = 1 << 19) -> DataFrame:
             c, begin = characters(data, bounds)
             at, text = positions(begin)
             langs = np.array([names.setdefault(x, len(names)) for x in map(named, rows.column("lang").to_pylist())], np.int64)[text]
-            seeds = [seed(x) for x in names]
-            folds = rows.column("fold").to_numpy()[text]
-            for x in np.unique(langs).tolist():
-                grams, n, ones = distinct_grams(c, at[langs == x], folds[langs == x])
-                flat = grams.ravel()
-                h = Suffixes(flat, np.arange(len(n)) * ORDER + ORDER - 1, seeds[x], ORDER).hashes(ORDER)
-                parts.append((h, np.full(len(n), x, np.int32), np.stack([n - ones, ones], 1).astype(np.int64), grams))
-                size += len(n)
+            if not len(at):
+                continue
+            h = mix(gram_sums(c, at) + np.array([seed(x) for x in names], np.uint64)[langs])
+            order, start = repeats(h)
+            ones = np.add.reduceat(rows.column("fold").to_numpy()[text[order]], start)
+            n, first = np.diff(np.r_[start, len(h)]), order[start]
+            parts.append((h[first], langs[first].astype(np.int32), np.stack([n - ones, ones], 1), c[at[first][:, None] + np.arange(1 - ORDER, 1)]))
+            size += len(n)
             if size > 2 * held:
                 summed()
                 size = len(parts[0][0])
@@ -258,13 +259,31 @@ class Shard:
         return at if self.shards == 1 else at[shard_of(c[at - 2], c[at - 1], self.shards) == self.number]
 
     def score(self, c: np.ndarray, at: np.ndarray, start: np.ndarray | np.uint64) -> np.ndarray:
-        """The log-probability of the character at each of its places, backing off where an n-gram wasn't seen."""
+        """The log-probability of the character at each of its places, by ``scores``."""
+        return next(self.scores(c, at, [start]))
+
+    def scores(self, c: np.ndarray, at: np.ndarray, starts: Iterable[np.ndarray | np.uint64]) -> Iterator[np.ndarray]:
+        """The log-probabilities at the places for each of ``starts``; an n-gram is looked up once, for places alike under the first, which have to be alike under the others."""
+        sums, order = gram_sums(c, at), None
+        for start in starts:
+            start = np.broadcast_to(np.asarray(start, np.uint64), at.shape)
+            if order is None:
+                order, group = repeats(mix(sums + start))
+                first, sizes = order[group], np.diff(np.r_[group, len(at)])
+                sums, ends = sums[first], at[first]
+            start, out = start[first], np.empty(len(at), np.float64)
+            hit, value = self.find(0, mix(sums + start))
+            value, miss = value.astype(np.float64), np.flatnonzero(~hit)
+            value[miss] = self.backed_off(c, ends[miss], start[miss])
+            out[order] = np.repeat(value, sizes)
+            yield out
+
+    def backed_off(self, c: np.ndarray, at: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """The log-probability of the character at each place, whose n-gram of ORDER characters wasn't seen."""
         out, todo = np.zeros(len(at), np.float64), np.arange(len(at))
-        grams, before = Suffixes(c, at, start, ORDER), None
-        for o in range(ORDER, -1, -1):
-            if o < ORDER:
-                before = before or Suffixes(c, at - 1, start, ORDER - 1)
-                out[todo] += self.find(1, before.hashes(o, todo))[1]
+        grams, before = Suffixes(c, at, start, ORDER - 1), Suffixes(c, at - 1, start, ORDER - 1)
+        for o in range(ORDER - 1, -1, -1):
+            out[todo] += self.find(1, before.hashes(o, todo))[1]
             if o:
                 hit, value = self.find(0, grams.hashes(o, todo))
                 out[todo] += value
@@ -313,6 +332,15 @@ def _shards(spark: SparkSession, table: DataFrame, shards: int) -> Iterator:
         pa.default_memory_pool().release_unused()
 
 
+def same_in_text(g: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``repeats`` of the hashes g, each text by itself; texts rise."""
+    order, start = repeats(mix(g + text.astype(np.uint64) * _M))
+    new = np.zeros(len(g), bool)
+    new[start] = True
+    new[1:] |= text[order[1:]] != text[order[:-1]]  # of two texts with one hash the places follow each other
+    return order, np.flatnonzero(new)
+
+
 def base_counts(data: np.ndarray, bounds: np.ndarray, h: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
     d = len(bounds) - 1
@@ -320,26 +348,27 @@ def base_counts(data: np.ndarray, bounds: np.ndarray, h: np.ndarray, s: np.ndarr
     symbols = np.r_[0, np.cumsum(_SYMBOLS[data])] if len(data) else np.zeros(1, np.int64)
     words = np.diff(first)
     repeat, lines = np.zeros(d, np.int64), np.zeros(d, np.int64)
-    g = mix(mix(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(0x9E3779B97F4A7C15)) + h[2:]) if len(h) > 2 else np.zeros(0, np.uint64)
+    text = np.repeat(np.arange(d), words)
+    at = np.flatnonzero(text[2:] == text[:-2])  # windows of one text
+    if len(at):
+        text = text[at]
+        g = mix(mix(h[at] * np.uint64(3) + h[at + 1] * np.uint64(0x9E3779B97F4A7C15)) + h[at + 2])
+        order, start = same_in_text(g, text)
+        size = np.diff(np.r_[start, len(at)])
+        twice = at[order[np.repeat(size > 1, size)]]
+        m = np.zeros(len(h), bool)
+        for j in range(3):
+            m[twice + j] = True
+        repeat = np.diff(np.r_[0, np.cumsum(m)][first])
     newline = np.flatnonzero(data == 10)
-    at = np.searchsorted(newline, bounds)
-    for i in range(d):
-        a, b = int(first[i]), int(first[i + 1])
-        if b - a > 3:
-            _, inverse, count = np.unique(g[a : b - 2], return_inverse=True, return_counts=True)
-            twice = count[inverse] > 1
-            if twice.any():
-                m = np.zeros(b - a, bool)
-                for j in range(3):
-                    m[j : j + len(twice)] |= twice
-                repeat[i] = m.sum()
-        if at[i + 1] > at[i] and b > a:
-            seen: set[bytes] = set()
-            for line in data[bounds[i] : bounds[i + 1]].tobytes().split(b"\n"):
-                if line in seen:
-                    lines[i] += 1
-                elif line.strip(b" \t\n\r\x0b\x0c"):
-                    seen.add(line)
+    cut = np.searchsorted(newline, bounds)
+    for i in np.flatnonzero((np.diff(cut) > 0) & (words > 0)).tolist():
+        seen: set[bytes] = set()
+        for line in data[bounds[i] : bounds[i + 1]].tobytes().split(b"\n"):
+            if line in seen:
+                lines[i] += 1
+            elif line.strip(b" \t\n\r\x0b\x0c"):
+                seen.add(line)
     return {"n_words": words, "word_chars": lead[bounds[1:]] - lead[bounds[:-1]], "n_symbols": symbols[bounds[1:]] - symbols[bounds[:-1]], "n_dup_lines": lines, "n_repeat_words": repeat}
 
 
@@ -415,8 +444,8 @@ def _mixed(scratch: Scratch, docs: DataFrame, shards: list, langs: list[str], wi
                 mine = shard.mine(c, at)
                 whose = text if len(mine) == len(at) else text[np.searchsorted(at, mine)]
                 where = first[whose] + (mine - begin[whose] - ORDER + 1) // window
-                for j, start in enumerate((own[whose], *(x[fold[whose]] for x in seeds))):
-                    cell[:, j] += np.bincount(where, shard.score(c, mine, start), len(cell))
+                for j, values in enumerate(shard.scores(c, mine, (own[whose], *(x[fold[whose]] for x in seeds)))):
+                    cell[:, j] += np.bincount(where, values, len(cell))
                 parts = [cell[i:j] for i, j in zip(first[:-1], first[1:], strict=True)]
                 if shard.number == shard.shards - 1:
                     parts = [np.array([_best(x.astype(np.float64), share) / m]) for x, m in zip(parts, n, strict=True)]
