@@ -674,3 +674,51 @@ def test_repeated_words_are_counted_by_text():
     data, bounds = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
     got = quality_rules.base_counts(data, bounds, *quality_rules.hash_words(data, bounds, quality_rules._EXACT))
     assert got["n_repeat_words"].tolist() == [0, 0, 0, 6, 4, 0, 0, 0, 0] and got["n_dup_lines"].tolist() == [0, 0, 0, 0, 0, 0, 2, 0, 0]
+
+
+def test_matches_of_one_place_are_marked_together():
+    rng = np.random.default_rng(6)
+    x, same = rng.integers(0, 90, 60_000).astype(np.int32), rng.integers(0, 1 << 32, 60_000, np.uint32) & rng.integers(0, 1 << 32, 60_000, np.uint32)
+    want = np.zeros(int(x.max()) + 4 + 17, bool)
+    for i in range(0, len(x), 100):
+        part = substring_dedup.likely(x[i : i + 100], same[i : i + 100], 4)
+        want[: len(part)] |= part
+    assert np.array_equal(substring_dedup.likely(x, same, 4), want)
+
+    def seconds(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    each = lambda: (x[:, None] + np.arange(32))[np.unpackbits(same.view(np.uint8).reshape(-1, 4), axis=1).view(bool)]  # noqa: E731  the words around every match
+    assert min(seconds(lambda: substring_dedup.likely(x, same, 4)) for _ in range(5)) < 0.6 * min(seconds(each) for _ in range(5))
+
+
+def test_windows_and_alignments_against_loops():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 30, 49, 50, 51, 400, 2000):
+        for share in (0.3, 0.7, 0.9):
+            mask = rng.random(n) < share
+            want = np.zeros(n, bool)
+            for i in range(max(1, n - 49)):
+                if mask[i : i + 50].sum() >= 35:
+                    want[max(0, i - 48) : i + 98] = True
+            assert np.array_equal(substring_dedup.around(mask, 50, 35, 48), want)
+            s, e = substring_dedup.edges(mask)
+            assert [j for a, b in zip(s, e, strict=True) for j in range(a, b)] == np.flatnonzero(mask).tolist() and (s[1:] > e[:-1]).all()
+    for _ in range(200):
+        a = rng.integers(0, 9, 80).astype(np.uint32)
+        b = np.where(rng.random(80) < rng.choice([0.1, 0.4]), 9, a).astype(np.uint32)
+        b[30:34] = a[30:34]
+        hit = np.zeros(80, bool)
+        for places in (range(30, 80), range(29, -1, -1)):
+            gain, top, n, found = 0, 0, 0, []
+            for j in places:
+                gain += 1 if a[j] == b[j] else -1
+                if top - gain >= 8:
+                    break
+                found.append(j)
+                if gain >= top and gain > 0:
+                    top, n = gain, len(found)
+            hit[[j for j in found[:n] if a[j] == b[j]]] = True
+        assert np.array_equal(substring_dedup.align(a, b, [(30, 30)], 4), hit)
